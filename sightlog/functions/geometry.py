@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,54 +25,60 @@ def normalised(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Col
     )
 
 
-def clamped(cx: Column, cy: Column, bw: Column, bh: Column) -> Column:
-    """Normalised box pushed inside the image; a box keeps at least 1e-6 of extent."""
-    w = clamp(bw, F.lit(1e-6), F.lit(1.0))
-    h = clamp(bh, F.lit(1e-6), F.lit(1.0))
-    return F.struct(
-        clamp(cx, w / 2, F.lit(1.0) - w / 2).alias("cx"),
-        clamp(cy, h / 2, F.lit(1.0) - h / 2).alias("cy"),
-        w.alias("bw"),
-        h.alias("bh"),
+def add_clamped(df: DataFrame, out: str, cx: Column, cy: Column, bw: Column, bh: Column) -> DataFrame:
+    """Normalised box pushed inside the image; a box keeps at least 1e-6 of extent.
+
+    Stages are separate projections so that each value is computed once.
+    """
+    one = F.lit(1.0)
+    return (
+        df.withColumns({"_cx": cx, "_cy": cy, "_bw": clamp(bw, F.lit(1e-6), one), "_bh": clamp(bh, F.lit(1e-6), one)})
+        .withColumns({
+            "_cx": clamp(F.col("_cx"), F.col("_bw") / 2, one - F.col("_bw") / 2),
+            "_cy": clamp(F.col("_cy"), F.col("_bh") / 2, one - F.col("_bh") / 2),
+        })
+        .withColumn(out, F.struct(*[F.col("_" + c).alias(c) for c in ("cx", "cy", "bw", "bh")]))
+        .drop("_cx", "_cy", "_bw", "_bh")
     )
 
 
-def round_half_even(v: Column, digits: int = 6) -> Column:
-    """Decimal rounding of the exact binary value, as text formatting does it.
+def fixed_text(v: Column, digits: int = 6) -> Column:
+    """Decimal text of the exact binary value, ties to even."""
+    return F.replace(F.format_number(v, digits), F.lit(","), F.lit(""))
 
-    ``v * 10^digits`` may itself be rounded onto a tie; the lost remainder is recovered by
-    splitting ``v`` into two halves whose products are exact.
-    """
-    scale = float(10**digits)
-    product = v * scale
-    low = F.floor(product)
-    big = v * 134217729.0
-    high = big - (big - v)
-    rest = (high * scale - product) + (v - high) * scale
-    part = product - low
-    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2)) == 1))))
-    return (low + up.cast("int")).cast("double") / scale
+
+def round_half_even(v: Column, digits: int = 6) -> Column:
+    return fixed_text(v, digits).cast("double")
 
 
 def box_line(class_id: Column, box: Column) -> Column:
     """Label text of a normalised box, six decimals."""
-    nums = [F.format_string("%.6f", round_half_even(box[f])) for f in ("cx", "cy", "bw", "bh")]
+    nums = [fixed_text(box[f]) for f in ("cx", "cy", "bw", "bh")]
     return F.concat_ws(" ", class_id.cast("string"), *nums)
 
 
-def clamp_to_image(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column) -> Column:
+def add_clamped_to_image(
+    df: DataFrame, out: str, x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column
+) -> DataFrame:
     """Corner box cut to the image, NULL when nothing is left.
 
     Swapped corners are not repaired: the left edge is lowered first and the right edge is
     then raised to it, so that such a box has no extent and is dropped.
     """
-    zero = F.lit(0.0)
-    left = F.greatest(zero, F.least(x1, x2))
-    right = F.least(w.cast("double"), F.greatest(left, x2))
-    top = F.greatest(zero, F.least(y1, y2))
-    bottom = F.least(h.cast("double"), F.greatest(top, y2))
-    box = F.struct(left.alias("x1"), top.alias("y1"), right.alias("x2"), bottom.alias("y2"))
-    return F.when((right > left) & (bottom > top), box)
+    c, zero = F.col, F.lit(0.0)
+    box = F.struct(c("_l").alias("x1"), c("_t").alias("y1"), c("_x2").alias("x2"), c("_y2").alias("y2"))
+    return (
+        df.withColumns({"_x1": x1, "_y1": y1, "_x2": x2, "_y2": y2})
+        .withColumns({
+            "_l": F.greatest(zero, F.least(c("_x1"), c("_x2"))), "_t": F.greatest(zero, F.least(c("_y1"), c("_y2"))),
+        })
+        .withColumns({
+            "_x2": F.least(w.cast("double"), F.greatest(c("_l"), c("_x2"))),
+            "_y2": F.least(h.cast("double"), F.greatest(c("_t"), c("_y2"))),
+        })
+        .withColumn(out, F.when((c("_x2") > c("_l")) & (c("_y2") > c("_t")), box))
+        .drop("_x1", "_y1", "_x2", "_y2", "_l", "_t")
+    )
 
 
 def iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,10 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
 
     ``truncate`` cuts fractions, ``round`` rounds half to even.
     """
-    tok = F.split(F.trim("line"), r"\s+")
-    v = lambda i: F.get(tok, F.lit(i)).cast("double")
+    v = lambda i: F.get("_t", F.lit(i)).cast("double")
     to_int = (lambda c: c.cast("int")) if rounding == "truncate" else (lambda c: F.rint(c).cast("int"))
-    return lines.filter((F.size(tok) == 5)).select(
+    tokens = lines.withColumn("_t", F.split(F.trim("line"), r"\s+")).filter(F.size("_t") == 5)
+    return tokens.select(
         *[c for c in lines.columns if c != "line"],
         v(0).cast("int").alias("class_id"),
         to_int((v(1) - v(3) / 2) * F.col("w")).alias("x1"),
@@ -34,60 +36,68 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
 
 def clamp_label_lines(lines: DataFrame) -> DataFrame:
     """Clamped text of five-token lines; other lines stay as they are, blank ones go."""
-    tok = F.split(F.trim("line"), r"\s+")
-    v = lambda i: F.get(tok, F.lit(i)).cast("double")
-    fixed = g.box_line(v(0).cast("int"), g.clamped(v(1), v(2), v(3), v(4)))
-    fixed = F.when(F.size(tok) == 5, fixed).otherwise(F.col("line"))
+    v = lambda i: F.get("_t", F.lit(i)).cast("double")
+    tokens = lines.filter(F.trim("line") != "").withColumn("_t", F.split(F.trim("line"), r"\s+"))
+    fixed = F.when(F.size("_t") == 5, g.box_line(F.get("_t", F.lit(0)).cast("double").cast("int"), F.col("_b")))
     return (
-        lines.filter(F.trim("line") != "")
-        .withColumn("fixed", fixed)
+        g.add_clamped(tokens, "_b", v(1), v(2), v(3), v(4))
+        .withColumn("fixed", F.coalesce(fixed, F.col("line")))
         .withColumn("changed", F.col("fixed") != F.trim("line"))
+        .drop("_t", "_b")
     )
 
 
-def legacy_box(bbox: Column, coords: Column, type_: Column, w: Column, h: Column) -> Column:
-    """Teacher box to pixels: fractions if all values are in [0, 1], else the old fixed canvas;
-    without a usable box, a prior box around the point."""
-    at = lambda a, i: F.get(a, F.lit(i))
-    unit = lambda a: F.forall(a, lambda v: (v >= 0) & (v <= 1))
-
-    def scaled(a, i, size, legacy):
-        return F.when(unit(a), at(a, i) * size).otherwise(at(a, i) * size / F.lit(legacy))
-
-    four = F.slice(bbox, 1, 4)
-    full = F.size(bbox) >= 4
-    finite = F.forall(four, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    from_box = g.clamp_to_image(
-        scaled(four, 0, w, LEGACY[0]), scaled(four, 1, h, LEGACY[1]),
-        scaled(four, 2, w, LEGACY[0]), scaled(four, 3, h, LEGACY[1]), w, h,
+def add_legacy_box(objects: DataFrame, out: str, w: Column, h: Column) -> DataFrame:
+    """Teacher (bbox, coords, type) to pixels: fractions if all values are in [0, 1], else the old
+    fixed canvas; without a usable box, a prior box around the point."""
+    c = F.col
+    names = ["_v0", "_v1", "_v2", "_v3"]
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    both = lambda conds: reduce(lambda a, b: a & b, conds)
+    pw, ph = vocab.prior_size(c("type"))
+    is_box = F.coalesce(both([finite(F.get("bbox", F.lit(i))) for i in range(4)]), F.lit(False))
+    value = lambda i: F.when(c("_isbox"), F.get("bbox", F.lit(i))).otherwise(
+        F.get("coords", F.lit(i % 2))
     )
-    two = F.slice(coords, 1, 2)
-    cx, cy = scaled(two, 0, w, LEGACY[0]), scaled(two, 1, h, LEGACY[1])
-    pw, ph = vocab.prior_size(type_)
-    from_point = g.clamp_to_image(
-        cx - pw * w / 2, cy - ph * h / 2, cx + pw * w / 2, cy + ph * h / 2, w, h
+    # fractions of the image, or pixels of the old canvas; a point stands in for both corners
+    scale = lambda n, size, legacy: F.when(c("_u"), c(n) * size).otherwise(c(n) * size / F.lit(legacy))
+    staged = (
+        objects.withColumn("_isbox", is_box)
+        .withColumns({n: value(i) for i, n in enumerate(names)})
+        .withColumn("_u", both([c(n).between(0, 1) for n in names]))
+        .withColumns({
+            "_v0": scale("_v0", w, LEGACY[0]), "_v1": scale("_v1", h, LEGACY[1]),
+            "_v2": scale("_v2", w, LEGACY[0]), "_v3": scale("_v3", h, LEGACY[1]),
+            "_pw": F.when(c("_isbox"), 0.0).otherwise(pw * w / 2), "_ph": F.when(c("_isbox"), 0.0).otherwise(ph * h / 2),
+        })
     )
-    return F.when(full & finite, from_box).when(F.size(coords) >= 2, from_point)
+    return g.add_clamped_to_image(
+        staged, out, c("_v0") - c("_pw"), c("_v1") - c("_ph"), c("_v2") + c("_pw"), c("_v3") + c("_ph"), w, h
+    ).drop("_isbox", "_u", "_pw", "_ph", *names)
 
 
-def teacher_box(bbox: Column, coords: Column, type_: Column, w: Column, h: Column) -> Column:
-    """Teacher box to a normalised box, each corner clamped on its own; else point and prior."""
+def add_teacher_box(objects: DataFrame, out: str, w: Column, h: Column) -> DataFrame:
+    """Teacher (bbox, coords, type) to a normalised box, each corner clamped on its own; else
+    point and prior size."""
     at = lambda a, i: F.get(a, F.lit(i))
-    zero = F.lit(0.0)
-    wd, hd = w.cast("double"), h.cast("double")
-    x1, x2 = g.clamp(at(bbox, 0), zero, wd), g.clamp(at(bbox, 2), zero, wd)
-    y1, y2 = g.clamp(at(bbox, 1), zero, hd), g.clamp(at(bbox, 3), zero, hd)
-    usable = (F.size(bbox) >= 4) & (x2 > x1) & (y2 > y1) & (x1 < wd) & (y1 < hd)
-    px, py = at(coords, 0), at(coords, 1)
-    inside = (F.size(coords) >= 2) & (px >= 0) & (px < wd) & (py >= 0) & (py < hd)
-    pw, ph = vocab.prior_size(type_)
-    return F.when(
-        usable,
-        F.struct(
-            ((x1 + x2) / 2 / w).alias("cx"), ((y1 + y2) / 2 / h).alias("cy"),
-            F.least((x2 - x1) / w, F.lit(1.0)).alias("bw"), F.least((y2 - y1) / h, F.lit(1.0)).alias("bh"),
-        ),
-    ).when(inside, F.struct((px / w).alias("cx"), (py / h).alias("cy"), pw.alias("bw"), ph.alias("bh")))
+    zero, wd, hd = F.lit(0.0), w.cast("double"), h.cast("double")
+    c = F.col
+    pw, ph = vocab.prior_size(c("type"))
+    staged = objects.withColumns({
+        "_x1": g.clamp(at("bbox", 0), zero, wd), "_x2": g.clamp(at("bbox", 2), zero, wd),
+        "_y1": g.clamp(at("bbox", 1), zero, hd), "_y2": g.clamp(at("bbox", 3), zero, hd),
+        "_px": at("coords", 0), "_py": at("coords", 1), "_pw": pw, "_ph": ph,
+    })
+    usable = (F.size("bbox") >= 4) & (c("_x2") > c("_x1")) & (c("_y2") > c("_y1")) & (c("_x1") < wd) & (c("_y1") < hd)
+    inside = (F.size("coords") >= 2) & (c("_px") >= 0) & (c("_px") < wd) & (c("_py") >= 0) & (c("_py") < hd)
+    box = F.struct(
+        ((c("_x1") + c("_x2")) / 2 / w).alias("cx"), ((c("_y1") + c("_y2")) / 2 / h).alias("cy"),
+        F.least((c("_x2") - c("_x1")) / w, F.lit(1.0)).alias("bw"), F.least((c("_y2") - c("_y1")) / h, F.lit(1.0)).alias("bh"),
+    )
+    point = F.struct((c("_px") / w).alias("cx"), (c("_py") / h).alias("cy"), c("_pw").alias("bw"), c("_ph").alias("bh"))
+    return staged.withColumn(out, F.when(usable, box).when(inside, point)).drop(
+        "_x1", "_x2", "_y1", "_y2", "_px", "_py", "_pw", "_ph"
+    )
 
 
 def logical_point_boxes(
@@ -97,22 +107,26 @@ def logical_point_boxes(
 
     Kept are farm classes with enough confidence whose point lies strictly inside.
     """
-    w, h = F.col("w"), F.col("h")
-    cx, cy = F.col("x") / LOGICAL[0] * w, F.col("y") / LOGICAL[1] * h
-    pw, ph = vocab.prior_size(F.col("type"), vocab.FARM_PRIOR_BOX)
-    bw, bh = pw * box_scale * w, ph * box_scale * h
-    zero = F.lit(0.0)
-    x1, y1 = F.greatest(zero, cx - bw / 2), F.greatest(zero, cy - bh / 2)
-    x2 = F.least(w.cast("double"), cx + bw / 2)
-    y2 = F.least(h.cast("double"), cy + bh / 2)
+    c, w, h, zero = F.col, F.col("w"), F.col("h"), F.lit(0.0)
+    pw, ph = vocab.prior_size(c("type"), vocab.FARM_PRIOR_BOX)
     return (
-        objects.withColumn("farm_id", vocab.class_id_of(F.col("type"), vocab.FARM_CLASSES))
-        .filter(F.col("farm_id").isNotNull())
-        .filter(F.coalesce(F.col("confidence"), zero) >= min_conf)
+        objects.withColumn("farm_id", vocab.class_id_of(c("type"), vocab.FARM_CLASSES))
+        .filter(c("farm_id").isNotNull())
+        .filter(F.coalesce(c("confidence"), zero) >= min_conf)
         .filter("x > 0 AND y > 0")
-        .filter((cx > 0) & (cx < w) & (cy > 0) & (cy < h))
-        .filter((x2 > x1) & (y2 > y1))
-        .withColumn("box", g.normalised(x1, y1, x2, y2, w, h))
+        .withColumns({
+            "_cx": c("x") / LOGICAL[0] * w, "_cy": c("y") / LOGICAL[1] * h,
+            "_bw": pw * box_scale * w, "_bh": ph * box_scale * h,
+        })
+        .filter("_cx > 0 AND _cx < w AND _cy > 0 AND _cy < h")
+        .withColumns({
+            "_x1": F.greatest(zero, c("_cx") - c("_bw") / 2), "_y1": F.greatest(zero, c("_cy") - c("_bh") / 2),
+            "_x2": F.least(w.cast("double"), c("_cx") + c("_bw") / 2),
+            "_y2": F.least(h.cast("double"), c("_cy") + c("_bh") / 2),
+        })
+        .filter("_x2 > _x1 AND _y2 > _y1")
+        .withColumn("box", g.normalised(c("_x1"), c("_y1"), c("_x2"), c("_y2"), w, h))
+        .drop("_cx", "_cy", "_bw", "_bh", "_x1", "_y1", "_x2", "_y2")
     )
 
 
@@ -130,26 +144,36 @@ def ocr_boxes(
     The box is the hull of the corner points, grown by ``pad`` pixels or, in prior mode, to
     max(2.2 x text width, prior width) by 1.4 x text height around its centre.
     """
+    c = F.col
     xs = F.transform("bbox", lambda p: p["x"])
     ys = F.transform("bbox", lambda p: p["y"])
-    tx1, tx2, ty1, ty2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    cid = tx.any_button_class(F.col("text")) if extended else tx.button_class(F.col("text"))
+    cid = tx.any_button_class(c("text")) if extended else tx.button_class(c("text"))
+    hits = (
+        results.filter(c("confidence") >= min_conf)
+        .withColumn("class_id", cid)
+        .filter(c("class_id").isNotNull())
+        .withColumns({"_l": F.array_min(xs), "_r": F.array_max(xs), "_t": F.array_min(ys), "_b": F.array_max(ys)})
+    )
     if prior_mode:
-        pw, _ = vocab.prior_size(vocab.class_name(F.col("class_id")))
-        bw, bh = F.greatest((tx2 - tx1) * 2.2, pw * w), (ty2 - ty1) * 1.4
-        cx, cy = (tx1 + tx2) / 2, (ty1 + ty2) / 2
-        x1, x2 = F.greatest(F.lit(0.0), cx - bw / 2), F.least(F.lit(float(w)), cx + bw / 2)
-        y1, y2 = F.greatest(F.lit(0.0), cy - bh / 2), F.least(F.lit(float(h)), cy + bh / 2)
+        pw, _ = vocab.prior_size(vocab.class_name(c("class_id")))
+        hits = hits.withColumns({
+            "_hw": F.greatest((c("_r") - c("_l")) * 2.2, pw * w) / 2, "_hh": (c("_b") - c("_t")) * 1.4 / 2,
+            "_cx": (c("_l") + c("_r")) / 2, "_cy": (c("_t") + c("_b")) / 2,
+        })
+        hull = {
+            "x1": F.greatest(F.lit(0.0), c("_cx") - c("_hw")), "x2": F.least(F.lit(float(w)), c("_cx") + c("_hw")),
+            "y1": F.greatest(F.lit(0.0), c("_cy") - c("_hh")), "y2": F.least(F.lit(float(h)), c("_cy") + c("_hh")),
+        }
     else:
-        x1, x2 = F.greatest(F.lit(0), tx1 - pad), F.least(F.lit(w), tx2 + pad)
-        y1, y2 = F.greatest(F.lit(0), ty1 - pad), F.least(F.lit(h), ty2 + pad)
+        hull = {
+            "x1": F.greatest(F.lit(0), c("_l") - pad), "x2": F.least(F.lit(w), c("_r") + pad),
+            "y1": F.greatest(F.lit(0), c("_t") - pad), "y2": F.least(F.lit(h), c("_b") + pad),
+        }
     return (
-        results.filter(F.col("confidence") >= min_conf)
-        .withColumn("class_id", cid)
-        .filter(F.col("class_id").isNotNull())
-        .withColumn("x1", x1).withColumn("x2", x2).withColumn("y1", y1).withColumn("y2", y2)
+        hits.withColumns(hull)
         .filter("x2 > x1 AND y2 > y1")
-        .withColumn("box", g.normalised(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(w), F.lit(h)))
+        .withColumn("box", g.normalised(c("x1"), c("y1"), c("x2"), c("y2"), F.lit(w), F.lit(h)))
+        .drop("_l", "_r", "_t", "_b", "_hw", "_hh", "_cx", "_cy")
     )
 
 

@@ -51,8 +51,8 @@ def box_centre(spark, sf):
 
 @query(
     "pr2_normalised_box",
-    f"""SELECT frame_id, det_no, class_id, round((x1+x2)/2/{W}, 6) AS cx, round((y1+y2)/2/{H}, 6) AS cy,
-  round((x2-x1)/{W}, 6) AS bw, round((y2-y1)/{H}, 6) AS bh FROM det WHERE x2 > x1 AND y2 > y1""",
+    f"""SELECT frame_id, det_no, class_id, r6((x1+x2)/2/{W}) AS cx, r6((y1+y2)/2/{H}) AS cy,
+  r6((x2-x1)/{W}) AS bw, r6((y2-y1)/{H}) AS bh FROM det WHERE x2 > x1 AND y2 > y1""",
     "det",
 )
 def normalised_box(spark, sf):
@@ -71,14 +71,14 @@ CLAMPED = """SELECT frame_id, det_no, class_id, least(greatest(cx, bw/2), 1.0::D
 @query(
     "pr3_clamped_line",
     f"""WITH norm AS ({NORM}), cl AS ({CLAMPED})
-SELECT frame_id, det_no, printf('%d %.6f %.6f %.6f %.6f', class_id, round(cx,6), round(cy,6), round(bw,6), round(bh,6)) AS line
+SELECT frame_id, det_no, printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, bw, bh) AS line
 FROM cl""",
     "det",
 )
 def clamped_line(spark, sf):
     d = src.detections(spark, sf)
     n = g.normalised(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(W), F.lit(H))
-    d = d.withColumn("n", n).withColumn("b", g.clamped(*[F.col("n")[f] for f in BOX]))
+    d = g.add_clamped(d.withColumn("n", n), "b", *[F.col("n")[f] for f in BOX])
     return d.select("frame_id", "det_no", g.box_line(F.col("class_id"), F.col("b")).alias("line"))
 
 
@@ -96,9 +96,9 @@ def stored_lines(spark, sf):
 
 
 STORED = f"""stored AS (SELECT frame_id, det_no, class_id,
-  CASE WHEN det_no % 13 = 0 THEN printf('%d %.6f %.6f %.6f', class_id, round(cx,6), round(cy,6), round(w0,6))
+  CASE WHEN det_no % 13 = 0 THEN printf('%d %.6f %.6f %.6f', class_id, cx, cy, w0)
     WHEN det_no % 17 = 0 THEN '  '
-    ELSE printf('%d %.6f %.6f %.6f %.6f', class_id, round(cx,6), round(cy,6), round(w0,6), round(h0,6)) END AS line
+    ELSE printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w0, h0) END AS line
   FROM ({NORM}))"""
 
 
@@ -107,8 +107,8 @@ STORED = f"""stored AS (SELECT frame_id, det_no, class_id,
     f"""WITH {STORED}, norm AS (SELECT frame_id, det_no, line, string_split(trim(line), ' ') AS t FROM stored WHERE trim(line) <> ''),
 p AS (SELECT frame_id, det_no, line, len(t) = 5 AS five, t[1] AS c, TRY_CAST(t[2] AS DOUBLE) AS cx, TRY_CAST(t[3] AS DOUBLE) AS cy,
   least(greatest(TRY_CAST(t[4] AS DOUBLE), 1e-6), 1.0::DOUBLE) AS bw, least(greatest(TRY_CAST(t[5] AS DOUBLE), 1e-6), 1.0::DOUBLE) AS bh FROM norm),
-f AS (SELECT frame_id, CASE WHEN five THEN printf('%s %.6f %.6f %.6f %.6f', c, round(least(greatest(cx, bw/2), 1.0::DOUBLE-bw/2),6),
-  round(least(greatest(cy, bh/2), 1.0::DOUBLE-bh/2),6), round(bw,6), round(bh,6)) ELSE line END AS fixed, line FROM p)
+f AS (SELECT frame_id, CASE WHEN five THEN printf('%s %.6f %.6f %.6f %.6f', c, least(greatest(cx, bw/2), 1.0::DOUBLE-bw/2),
+  least(greatest(cy, bh/2), 1.0::DOUBLE-bh/2), bw, bh) ELSE line END AS fixed, line FROM p)
 SELECT frame_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (fixed <> trim(line)) AS BIGINT) AS n_changed,
   bool_or(fixed <> trim(line)) AS changed FROM f GROUP BY frame_id""",
     "det",
@@ -132,13 +132,13 @@ SELECT * FROM c WHERE bx2 > bx1 AND by2 > by1""",
 def clamped_pixel_box(spark, sf):
     d = src.detections(spark, sf)
     swap = F.col("det_no") % 7 == 0
-    box = g.clamp_to_image(
-        F.when(swap, F.col("x2")).otherwise(F.col("x1") - 40).cast("double"), (F.col("y1") - 30).cast("double"),
+    d = g.add_clamped_to_image(
+        d, "b", F.when(swap, F.col("x2")).otherwise(F.col("x1") - 40).cast("double"), (F.col("y1") - 30).cast("double"),
         F.when(swap, F.col("x1")).otherwise(F.col("x2")).cast("double"), (F.col("y2") + 60).cast("double"),
         F.lit(W), F.lit(H),
     )
     return (
-        d.select("frame_id", "det_no", box.alias("b")).filter("b IS NOT NULL")
+        d.filter("b IS NOT NULL")
         .select("frame_id", "det_no", *[F.col("b")[c].alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
     )
 
@@ -180,9 +180,8 @@ FROM c WHERE bx2 > bx1 AND by2 > by1""",
 )
 def legacy_canvas_box(spark, sf):
     o = teacher_objects(spark, sf)
-    box = bx.legacy_box(F.col("bbox"), F.col("coords"), F.col("type"), F.lit(W), F.lit(H))
     return (
-        o.withColumn("b", box).filter("b IS NOT NULL")
+        bx.add_legacy_box(o, "b", F.lit(W), F.lit(H)).filter("b IS NOT NULL")
         .select("frame_id", "det_no", *[F.round(F.col("b")[c], 4).alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
     )
 
@@ -197,14 +196,13 @@ tb AS (SELECT frame_id, det_no, class_id, type, confidence,
 @query(
     "pr7_teacher_box",
     f"""WITH {OBJ}, {TBOX}
-SELECT frame_id, det_no, round(o[1],6) AS cx, round(o[2],6) AS cy, round(o[3],6) AS bw, round(o[4],6) AS bh
+SELECT frame_id, det_no, r6(o[1]) AS cx, r6(o[2]) AS cy, r6(o[3]) AS bw, r6(o[4]) AS bh
 FROM tb WHERE o IS NOT NULL""",
     "named",
 )
 def teacher_box(spark, sf):
     o = teacher_objects(spark, sf)
-    box = bx.teacher_box(F.col("bbox"), F.col("coords"), F.col("type"), F.lit(W), F.lit(H))
-    return o.withColumn("b", box).filter("b IS NOT NULL").select("frame_id", "det_no", *rounded("b", *BOX))
+    return bx.add_teacher_box(o, "b", F.lit(W), F.lit(H)).filter("b IS NOT NULL").select("frame_id", "det_no", *rounded("b", *BOX))
 
 
 def logical_objects(spark, sf):
@@ -224,8 +222,8 @@ lg AS (SELECT * FROM r WHERE x2 > x1 AND y2 > y1)"""
 
 @query(
     "pr8_logical_canvas_box",
-    f"""WITH {LOGICAL} SELECT frame_id, det_no, {case('type', FARM_ID)} AS farm_id, round((x1+x2)/2/1920,6) AS cx, round((y1+y2)/2/1080,6) AS cy,
-  round((x2-x1)/1920,6) AS bw, round((y2-y1)/1080,6) AS bh FROM lg""",
+    f"""WITH {LOGICAL} SELECT frame_id, det_no, {case('type', FARM_ID)} AS farm_id, r6((x1+x2)/2/1920) AS cx, r6((y1+y2)/2/1080) AS cy,
+  r6((x2-x1)/1920) AS bw, r6((y2-y1)/1080) AS bh FROM lg""",
     "named",
 )
 def logical_canvas_box(spark, sf):
@@ -246,8 +244,8 @@ def ocr_sql(rules: str, prior: bool = False) -> str:
 ob AS (SELECT * FROM ({box}) WHERE x2 > x1 AND y2 > y1)"""
 
 
-OCR_OUT = f"""SELECT frame_id, det_no, class_id, round((x1+x2)/2/{W},6) AS cx, round((y1+y2)/2/{H},6) AS cy,
-  round((x2-x1)/{W},6) AS bw, round((y2-y1)/{H},6) AS bh FROM ob"""
+OCR_OUT = f"""SELECT frame_id, det_no, class_id, r6((x1+x2)/2/{W}) AS cx, r6((y1+y2)/2/{H}) AS cy,
+  r6((x2-x1)/{W}) AS bw, r6((y2-y1)/{H}) AS bh FROM ob"""
 
 
 @query("pr9_button_box_padded", f"WITH {ocr_sql(BASE_RULES)} {OCR_OUT}", "ocr")
@@ -378,7 +376,7 @@ def unlabelled_excluded(spark, sf):
   greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS i,
   (a.x2-a.x1)*(a.y2-a.y1) + (b.x2-b.x1)*(b.y2-b.y1) AS s
   FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_no < b.det_no)
-SELECT frame_id, a_no, b_no, round(CAST(i AS DOUBLE)/(s-i), 6) AS iou FROM p WHERE CAST(i AS DOUBLE)/(s-i) > 0.5""",
+SELECT frame_id, a_no, b_no, r6(CAST(i AS DOUBLE)/(s-i)) AS iou FROM p WHERE CAST(i AS DOUBLE)/(s-i) > 0.5""",
     "det",
 )
 def overlapping_pairs(spark, sf):

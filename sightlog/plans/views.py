@@ -87,6 +87,18 @@ NEEDS = {
 }
 
 
+def expand_r6(sql: str) -> str:
+    """``r6(x)`` stands for x as six-decimal text and back: exact rounding in any engine."""
+    while "r6(" in sql:
+        i = sql.index("r6(")
+        depth, j = 1, i + 3
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        sql = f"{sql[:i]}CAST(printf('%.6f', CAST({sql[i + 3:j - 1]} AS DOUBLE)) AS DOUBLE){sql[j:]}"
+    return sql
+
+
 def with_views(names: list[str], sql: str) -> str:
     """Prefix ``sql`` with the CTEs it names; ``sql`` may go on with CTEs of its own
     by starting with a comma-free ``name AS (...)`` list and the word WITH."""
@@ -101,7 +113,7 @@ def with_views(names: list[str], sql: str) -> str:
     for n in names:
         need(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
-    body = sql.strip()
+    body = expand_r6(sql.strip())
     if not ctes:
         return body
     low = body[:15].upper()
