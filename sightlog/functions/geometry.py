@@ -57,17 +57,31 @@ def box_line(class_id: Column, box: Column) -> Column:
     return F.concat_ws(" ", class_id.cast("string"), *nums)
 
 
+def keep_when(df: DataFrame, cond: Column, out: str, value: Column) -> DataFrame:
+    """Rows that meet ``cond``, with ``value``: a generator over zero or one element.
+
+    A filter would be pushed below the staged projections and repeat all their expressions;
+    a generator stays where it is and each stage is computed once.
+    """
+    return keep_value(df, out, F.when(cond, value))
+
+
+def keep_value(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """Rows for which ``value`` is not NULL, with the value; see ``keep_when``."""
+    return df.select("*", F.explode(F.array_compact(F.array(value))).alias(out))
+
+
 def add_clamped_to_image(
     df: DataFrame, out: str, x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column
 ) -> DataFrame:
-    """Corner box cut to the image, NULL when nothing is left.
+    """Corner box cut to the image; the row goes when nothing is left.
 
     Swapped corners are not repaired: the left edge is lowered first and the right edge is
     then raised to it, so that such a box has no extent and is dropped.
     """
     c, zero = F.col, F.lit(0.0)
     box = F.struct(c("_l").alias("x1"), c("_t").alias("y1"), c("_x2").alias("x2"), c("_y2").alias("y2"))
-    return (
+    edges = (
         df.withColumns({"_x1": x1, "_y1": y1, "_x2": x2, "_y2": y2})
         .withColumns({
             "_l": F.greatest(zero, F.least(c("_x1"), c("_x2"))), "_t": F.greatest(zero, F.least(c("_y1"), c("_y2"))),
@@ -76,9 +90,9 @@ def add_clamped_to_image(
             "_x2": F.least(w.cast("double"), F.greatest(c("_l"), c("_x2"))),
             "_y2": F.least(h.cast("double"), F.greatest(c("_t"), c("_y2"))),
         })
-        .withColumn(out, F.when((c("_x2") > c("_l")) & (c("_y2") > c("_t")), box))
-        .drop("_x1", "_y1", "_x2", "_y2", "_l", "_t")
     )
+    kept = keep_when(edges, (c("_x2") > c("_l")) & (c("_y2") > c("_t")), out, box)
+    return kept.drop("_x1", "_y1", "_x2", "_y2", "_l", "_t")
 
 
 def iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:

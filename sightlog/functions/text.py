@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from sightlog import vocab
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
+
+
 def first_int(text: Column) -> Column:
     """First run of digits; NULL for '', 'info' and text without digits."""
     digits = F.regexp_extract(text, r"(\d+)", 1)
@@ -43,7 +48,7 @@ def front_matter(text: Column) -> Column:
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_]\w*:"))
 
     def entry(line):
-        value = F.trim(F.regexp_extract(line, r"^[A-Za-z_]\w*:\s*(.*)$", 1))
+        value = strip(F.regexp_extract(line, r"^[A-Za-z_]\w*:\s*(.*)$", 1))
         quoted = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')
         return F.struct(
             F.regexp_extract(line, r"^([A-Za-z_]\w*):", 1).alias("key"),
@@ -71,9 +76,9 @@ def link_id(link: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """The JSON text inside model output: the fenced block if any, and if that does not
     parse, the part from the first ``{`` to the last ``}``. NULL when neither parses."""
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     fence = F.regexp_extract(trimmed, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    inner = F.when(trimmed.rlike(r"```(?:json)?\s*[\s\S]*?```"), F.trim(fence)).otherwise(trimmed)
+    inner = F.when(trimmed.rlike(r"```(?:json)?\s*[\s\S]*?```"), strip(fence)).otherwise(trimmed)
     span = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
     return F.when(is_json(inner), inner).when((span != "") & is_json(span), span)
 

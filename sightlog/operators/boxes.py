@@ -23,7 +23,7 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
     """
     v = lambda i: F.get("_t", F.lit(i)).cast("double")
     to_int = (lambda c: c.cast("int")) if rounding == "truncate" else (lambda c: F.rint(c).cast("int"))
-    tokens = lines.withColumn("_t", F.split(F.trim("line"), r"\s+")).filter(F.size("_t") == 5)
+    tokens = lines.withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+")).filter(F.size("_t") == 5)
     return tokens.select(
         *[c for c in lines.columns if c != "line"],
         v(0).cast("int").alias("class_id"),
@@ -37,12 +37,12 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
 def clamp_label_lines(lines: DataFrame) -> DataFrame:
     """Clamped text of five-token lines; other lines stay as they are, blank ones go."""
     v = lambda i: F.get("_t", F.lit(i)).cast("double")
-    tokens = lines.filter(F.trim("line") != "").withColumn("_t", F.split(F.trim("line"), r"\s+"))
+    tokens = lines.filter(tx.strip(F.col("line")) != "").withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+"))
     fixed = F.when(F.size("_t") == 5, g.box_line(F.get("_t", F.lit(0)).cast("double").cast("int"), F.col("_b")))
     return (
         g.add_clamped(tokens, "_b", v(1), v(2), v(3), v(4))
         .withColumn("fixed", F.coalesce(fixed, F.col("line")))
-        .withColumn("changed", F.col("fixed") != F.trim("line"))
+        .withColumn("changed", F.col("fixed") != tx.strip(F.col("line")))
         .drop("_t", "_b")
     )
 
@@ -95,7 +95,8 @@ def add_teacher_box(objects: DataFrame, out: str, w: Column, h: Column) -> DataF
         F.least((c("_x2") - c("_x1")) / w, F.lit(1.0)).alias("bw"), F.least((c("_y2") - c("_y1")) / h, F.lit(1.0)).alias("bh"),
     )
     point = F.struct((c("_px") / w).alias("cx"), (c("_py") / h).alias("cy"), c("_pw").alias("bw"), c("_ph").alias("bh"))
-    return staged.withColumn(out, F.when(usable, box).when(inside, point)).drop(
+    # a usable box or a point inside the image; other objects go
+    return g.keep_when(staged, usable | inside, out, F.when(usable, box).otherwise(point)).drop(
         "_x1", "_x2", "_y1", "_y2", "_px", "_py", "_pw", "_ph"
     )
 
@@ -124,8 +125,9 @@ def logical_point_boxes(
             "_x2": F.least(w.cast("double"), c("_cx") + c("_bw") / 2),
             "_y2": F.least(h.cast("double"), c("_cy") + c("_bh") / 2),
         })
-        .filter("_x2 > _x1 AND _y2 > _y1")
-        .withColumn("box", g.normalised(c("_x1"), c("_y1"), c("_x2"), c("_y2"), w, h))
+        .transform(lambda df: g.keep_when(
+            df, F.expr("_x2 > _x1 AND _y2 > _y1"), "box", g.normalised(c("_x1"), c("_y1"), c("_x2"), c("_y2"), w, h)
+        ))
         .drop("_cx", "_cy", "_bw", "_bh", "_x1", "_y1", "_x2", "_y2")
     )
 
@@ -149,9 +151,7 @@ def ocr_boxes(
     ys = F.transform("bbox", lambda p: p["y"])
     cid = tx.any_button_class(c("text")) if extended else tx.button_class(c("text"))
     hits = (
-        results.filter(c("confidence") >= min_conf)
-        .withColumn("class_id", cid)
-        .filter(c("class_id").isNotNull())
+        g.keep_value(results.filter(c("confidence") >= min_conf), "class_id", cid)
         .withColumns({"_l": F.array_min(xs), "_r": F.array_max(xs), "_t": F.array_min(ys), "_b": F.array_max(ys)})
     )
     if prior_mode:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sightlog.plans import registry
 
-GROUPS = ["boxes"]
+GROUPS = ["boxes", "evaluate", "sessions", "scoring"]
 
 
 def _load() -> None:

@@ -138,7 +138,7 @@ def clamped_pixel_box(spark, sf):
         F.lit(W), F.lit(H),
     )
     return (
-        d.filter("b IS NOT NULL")
+        d
         .select("frame_id", "det_no", *[F.col("b")[c].alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
     )
 
@@ -181,7 +181,7 @@ FROM c WHERE bx2 > bx1 AND by2 > by1""",
 def legacy_canvas_box(spark, sf):
     o = teacher_objects(spark, sf)
     return (
-        bx.add_legacy_box(o, "b", F.lit(W), F.lit(H)).filter("b IS NOT NULL")
+        bx.add_legacy_box(o, "b", F.lit(W), F.lit(H))
         .select("frame_id", "det_no", *[F.round(F.col("b")[c], 4).alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
     )
 
@@ -202,7 +202,7 @@ FROM tb WHERE o IS NOT NULL""",
 )
 def teacher_box(spark, sf):
     o = teacher_objects(spark, sf)
-    return bx.add_teacher_box(o, "b", F.lit(W), F.lit(H)).filter("b IS NOT NULL").select("frame_id", "det_no", *rounded("b", *BOX))
+    return bx.add_teacher_box(o, "b", F.lit(W), F.lit(H)).select("frame_id", "det_no", *rounded("b", *BOX))
 
 
 def logical_objects(spark, sf):
