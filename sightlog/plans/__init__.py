@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sightlog.plans import registry
 
-GROUPS = ["boxes", "evaluate", "sessions", "scoring"]
+GROUPS = ["boxes", "evaluate", "sessions", "scoring", "replay"]
 
 
 def _load() -> None:

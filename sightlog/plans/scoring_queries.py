@@ -130,7 +130,7 @@ MEET = f"""(NOT (greatest(ax,bx)<least(cx,dx) OR greatest(cx,dx)<least(ax,bx) OR
  OR ((({ORI('c','d','a')}>0) <> ({ORI('c','d','b')}>0)) AND (({ORI('a','b','c')}>0) <> ({ORI('a','b','d')}>0)))))"""
 LANDED = f"""land AS (SELECT t.frame_id, t.det_no, any_value(t.x) AS x, any_value(t.y) AS y, min({D2('p')}) AS d2, arg_min(p.x, ROW({D2('p')}, p.y, p.x)) AS px, arg_min(p.y, ROW({D2('p')}, p.y, p.x)) AS py
   FROM targets t JOIN landable p ON p.frame_id = t.frame_id AND {D2('p')} <= 320*320 GROUP BY t.frame_id, t.det_no),
-lw AS (SELECT frame_id, det_no, count(*) FILTER ({MEET}) AS layers FROM (SELECT l.frame_id, l.det_no, l.px AS ax, l.py AS ay, l.x AS bx, l.y AS by, w.x1 AS cx, w.y1 AS cy, w.x2 AS dx, w.y2 AS dy
+lw AS (SELECT frame_id, det_no, count(*) FILTER (WHERE {MEET}) AS layers FROM (SELECT l.frame_id, l.det_no, l.px AS ax, l.py AS ay, l.x AS bx, l.y AS by, w.x1 AS cx, w.y1 AS cy, w.x2 AS dx, w.y2 AS dy
   FROM land l JOIN walls w ON w.frame_id = l.frame_id) GROUP BY ALL)"""
 
 
