@@ -88,7 +88,8 @@ def add_teacher_box(objects: DataFrame, out: str, w: Column, h: Column) -> DataF
         "_y1": g.clamp(at("bbox", 1), zero, hd), "_y2": g.clamp(at("bbox", 3), zero, hd),
         "_px": at("coords", 0), "_py": at("coords", 1), "_pw": pw, "_ph": ph,
     })
-    usable = (F.size("bbox") >= 4) & (c("_x2") > c("_x1")) & (c("_y2") > c("_y1")) & (c("_x1") < wd) & (c("_y1") < hd)
+    given = reduce(lambda a, b: a & b, [at("bbox", i).isNotNull() for i in range(4)])
+    usable = given & (c("_x2") > c("_x1")) & (c("_y2") > c("_y1")) & (c("_x1") < wd) & (c("_y1") < hd)
     inside = (F.size("coords") >= 2) & (c("_px") >= 0) & (c("_px") < wd) & (c("_py") >= 0) & (c("_py") < hd)
     box = F.struct(
         ((c("_x1") + c("_x2")) / 2 / w).alias("cx"), ((c("_y1") + c("_y2")) / 2 / h).alias("cy"),

@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 from sightlog import vocab
 from sightlog.operators.segments import ordered, ordered_fold
 
-BIG0 = F.lit(0).cast("bigint")
-
 
 def hysteresis(df: DataFrame, keys, order, value: Column, low, resume, name: str, reached: Column | None = None, group_rows=None):
     """Flag that is raised at or below ``low`` and lowered at or above ``resume`` (low < resume).
@@ -35,7 +33,7 @@ def streak(df: DataFrame, keys, order, hit: Column, reset: Column, name: str, gr
     o = ordered(df.withColumns({"_hit": hit, "_reset": reset}), keys, order, group_rows)
     o = o.running_sum("_n", F.when(F.col("_hit"), 1).otherwise(0).cast("bigint"))
     o = o.running_max("_base", F.when(F.col("_reset"), F.col("_n")))
-    out = o.result().withColumn(name, F.col("_n") - F.coalesce("_base", BIG0))
+    out = o.result().withColumn(name, F.col("_n") - F.coalesce("_base", F.lit(0)))
     return out.drop("_hit", "_reset", "_n", "_base")
 
 
@@ -62,7 +60,7 @@ def ledger(df: DataFrame, keys, order, delta: Column, name: str, group_rows=None
     """
     o = ordered(df, keys, order, group_rows).running_sum("_s", delta.cast("bigint"))
     o = o.running_max("_debt", -F.col("_s"))
-    return o.result().withColumn(name, F.col("_s") + F.greatest(BIG0, F.col("_debt"))).drop("_s", "_debt")
+    return o.result().withColumn(name, F.col("_s") + F.greatest(F.lit(0), F.col("_debt"))).drop("_s", "_debt")
 
 
 def site_memory(df: DataFrame, keys, order, capacity: Column, group_rows=None) -> DataFrame:

@@ -65,7 +65,7 @@ def score_targets(targets: DataFrame, size: tuple[int, int], landable: DataFrame
     far = g.distance(c("x"), c("y"), F.lit(w // 2), F.lit(h - 10))
     t = t.withColumns({
         "value": vocab.lookup(c("name"), vocab.BASE_VALUE, vocab.DEFAULT_VALUE),
-        "safety": F.coalesce(F.least(F.lit(1.0), c("defence_px") / float(SAFE_PX)), F.lit(0.5)),
+        "safety": F.when(c("defence_px").isNull(), 0.5).otherwise(F.least(F.lit(1.0), c("defence_px") / float(SAFE_PX))),
         "distance": unit((F.lit(diagonal) - far) / F.lit(diagonal)),
     })
     total = reduce(lambda a, b: a + b, [F.lit(k) * c(n) for n, k in WEIGHTS.items()])
@@ -99,7 +99,8 @@ def estimate_loot(
     default = vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY)
     if "level" in targets.columns:
         scaled = (default * (F.lit(0.8) + 0.15 * F.greatest(F.lit(1), c("level")))).cast("int")
-        default = F.coalesce(scaled, default)
+        # greatest() skips NULL, so an unknown level has to be kept out by hand
+        default = F.when(c("level").isNull(), default).otherwise(scaled)
     if known is not None:
         match = spatial.first_in_reach(targets, known, ["frame_id", "name"], cfg["match_px"], "det_no", ["capacity", "looted"])
         t = t.join(match.drop("det_no"), ["frame_id", "name", "x", "y"], "left")

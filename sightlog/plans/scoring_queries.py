@@ -125,12 +125,12 @@ def teacher_candidates_added(spark, sf):
 
 ORI = lambda p, q, r: f"(({q}x-{p}x)*({r}y-{p}y)-({q}y-{p}y)*({r}x-{p}x))"
 ON = lambda p, q, r: f"(least({p}x,{q}x)<={r}x AND {r}x<=greatest({p}x,{q}x) AND least({p}y,{q}y)<={r}y AND {r}y<=greatest({p}y,{q}y))"
-MEET = f"""(NOT (greatest(ax,bx)<least(cx,dx) OR greatest(cx,dx)<least(ax,bx) OR greatest(ay,by)<least(cy,dy) OR greatest(cy,dy)<least(ay,by)) AND (
- ({ORI('c','d','a')}=0 AND {ON('c','d','a')}) OR ({ORI('c','d','b')}=0 AND {ON('c','d','b')}) OR ({ORI('a','b','c')}=0 AND {ON('a','b','c')}) OR ({ORI('a','b','d')}=0 AND {ON('a','b','d')})
- OR ((({ORI('c','d','a')}>0) <> ({ORI('c','d','b')}>0)) AND (({ORI('a','b','c')}>0) <> ({ORI('a','b','d')}>0)))))"""
+MEET = f"""(NOT (greatest(ex,fx)<least(gx,hx) OR greatest(gx,hx)<least(ex,fx) OR greatest(ey,fy)<least(gy,hy) OR greatest(gy,hy)<least(ey,fy)) AND (
+ ({ORI('g','h','e')}=0 AND {ON('g','h','e')}) OR ({ORI('g','h','f')}=0 AND {ON('g','h','f')}) OR ({ORI('e','f','g')}=0 AND {ON('e','f','g')}) OR ({ORI('e','f','h')}=0 AND {ON('e','f','h')})
+ OR ((({ORI('g','h','e')}>0) <> ({ORI('g','h','f')}>0)) AND (({ORI('e','f','g')}>0) <> ({ORI('e','f','h')}>0)))))"""
 LANDED = f"""land AS (SELECT t.frame_id, t.det_no, any_value(t.x) AS x, any_value(t.y) AS y, min({D2('p')}) AS d2, arg_min(p.x, ROW({D2('p')}, p.y, p.x)) AS px, arg_min(p.y, ROW({D2('p')}, p.y, p.x)) AS py
   FROM targets t JOIN landable p ON p.frame_id = t.frame_id AND {D2('p')} <= 320*320 GROUP BY t.frame_id, t.det_no),
-lw AS (SELECT frame_id, det_no, count(*) FILTER (WHERE {MEET}) AS layers FROM (SELECT l.frame_id, l.det_no, l.px AS ax, l.py AS ay, l.x AS bx, l.y AS by, w.x1 AS cx, w.y1 AS cy, w.x2 AS dx, w.y2 AS dy
+lw AS (SELECT frame_id, det_no, count(*) FILTER (WHERE {MEET}) AS layers FROM (SELECT l.frame_id, l.det_no, l.px AS ex, l.py AS ey, l.x AS fx, l.y AS fy, w.x1 AS gx, w.y1 AS gy, w.x2 AS hx, w.y2 AS hy
   FROM land l JOIN walls w ON w.frame_id = l.frame_id) GROUP BY ALL)"""
 
 
@@ -168,7 +168,7 @@ def score_sql(land: bool) -> str:
     return f"""open_t AS (SELECT t.* FROM targets t WHERE NOT EXISTS (SELECT 1 FROM full_res f WHERE f.frame_id = t.frame_id AND f.resource = {RES})),
 al AS (SELECT t.frame_id, t.det_no, min({D2('p')}) AS l2 FROM targets t JOIN landable p ON p.frame_id = t.frame_id AND {D2('p')} <= 14400 GROUP BY ALL),
 sc AS (SELECT *, round(0.4::DOUBLE * value + 0.35::DOUBLE * access + 0.15::DOUBLE * safety + 0.1::DOUBLE * distance, 6) AS score FROM (
-  SELECT t.frame_id, t.det_no, t.name, t.x, t.y, {VALUE} AS value, CAST({acc} AS DOUBLE) AS access, coalesce(least(1, defence_px / 200), 0.5) AS safety,
+  SELECT t.frame_id, t.det_no, t.name, t.x, t.y, {VALUE} AS value, CAST({acc} AS DOUBLE) AS access, CASE WHEN defence_px IS NULL THEN 0.5 ELSE least(1, defence_px / 200) END AS safety,
   least(1, greatest(0, (sqrt(2156800::DOUBLE) - sqrt(((x-640)*(x-640)+(y-710)*(y-710))::DOUBLE)) / sqrt(2156800::DOUBLE))) AS distance
   FROM open_t t LEFT JOIN nd USING (frame_id, det_no) LEFT JOIN al USING (frame_id, det_no) LEFT JOIN (SELECT DISTINCT frame_id, true AS has_land FROM landable) h USING (frame_id))),
 rk AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_no) AS rank FROM sc)"""
