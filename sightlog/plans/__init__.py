@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sightlog.plans import registry
 
-GROUPS = ["boxes", "evaluate", "sessions", "scoring", "replay"]
+GROUPS = ["boxes", "evaluate", "sessions", "scoring", "replay", "pages", "audit", "cluster", "sinks", "streams"]
 
 
 def _load() -> None:
