@@ -22,15 +22,14 @@ FINDING_SCHEMA = "path STRING, rule_id STRING, severity STRING, line INT, col IN
 
 
 def _matches(path: Column, patterns: list[str]) -> Column:
-    """A pattern fits the path, its name, one of its parts, or its leading parts."""
-    name = F.substring_index(path, "/", -1)
-    out = F.lit(False)
-    for p in patterns:
-        glob = fnmatch.translate(p).replace(r"\Z", "$").replace(r"\z", "$")
-        lead = "^" if p == "." else "^" + re.escape(p.rstrip("/")) + "(/|$)"
-        part = F.array_contains(F.split(path, "/"), p)
-        out = out | (path == p) | part | path.rlike("^" + glob) | name.rlike("^" + glob) | path.rlike(lead)
-    return out
+    """A pattern fits the path, its name, one of its parts, or its leading parts.
+
+    All patterns become one expression per kind of test.
+    """
+    globs = "|".join(fnmatch.translate(p).replace(r"\Z", "$").replace(r"\z", "$") for p in patterns)
+    leads = "|".join(re.escape(p.rstrip("/")) for p in patterns)
+    parts = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(p) for p in patterns]))
+    return parts | path.rlike(f"^({globs})") | F.substring_index(path, "/", -1).rlike(f"^({globs})") | path.rlike(f"^({leads})(/|$)")
 
 
 def discover(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ SPLIT = """sp AS (SELECT frame_id, CASE WHEN rn <= greatest(1, CAST(trunc(n*0.2:
 
 def split_column(frames):
     s = splits.split_whole(frames.select("frame_id"), "frame_id", 0.2)
-    return s.select("frame_id", F.when("is_val", "val").otherwise("train").alias("split"))
+    return s.select("frame_id", F.when(F.col("is_val"), "val").otherwise("train").alias("split"))
 
 
 @query(
