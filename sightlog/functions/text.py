@@ -103,12 +103,15 @@ def severity_rank(severity: Column) -> Column:
 def number_pair(raw: Column) -> Column:
     """Point from '[x, y]', 'x, y' or four corner numbers (their centre), rounded half to even."""
     nums = F.transform(
-        F.regexp_extract_all(raw, F.lit(r"(-?\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double")
-    )
-    at = lambda i: F.get(nums, F.lit(i))
-    pair = lambda x, y: F.struct(
-        F.rint(x).cast("bigint").alias("x"), F.rint(y).cast("bigint").alias("y")
-    )
-    return F.when(F.size(nums) >= 4, pair((at(0) + at(2)) / 2, (at(1) + at(3)) / 2)).when(
-        F.size(nums) >= 2, pair(at(0), at(1))
+        F.regexp_extract_all(raw, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double")
     )
+
+    def point(n):
+        at = lambda i: F.get(n, F.lit(i))
+        pair = lambda x, y: F.struct(
+            F.rint(x).cast("bigint").alias("x"), F.rint(y).cast("bigint").alias("y")
+        )
+        return F.when(F.size(n) >= 4, pair((at(0) + at(2)) / 2, (at(1) + at(3)) / 2)).when(F.size(n) >= 2, pair(at(0), at(1)))
+
+    # the lambda binds the numbers, so that the text is searched once
+    return F.get(F.transform(F.array(nums), point), F.lit(0))

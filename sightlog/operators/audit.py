@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sightlog import vocab
 from sightlog.functions import text as tx
+from sightlog.session import materialise
 
 FINDING = ["path", "rule_id", "severity", "line", "col"]
 FINDING_SCHEMA = "path STRING, rule_id STRING, severity STRING, line INT, col INT"
@@ -89,6 +90,8 @@ def report_lines(findings: DataFrame, config: dict, form: str = "console") -> Da
     """The report as ordered lines (part, path, line, col, rule_id, text), to be written in that order;
     head lines come from the small count table, findings stay distributed."""
     md = form == "markdown"
+    # findings feed the head, the verdict and the body: the scan itself should run once
+    findings = materialise(findings)
     counts = severity_counts(findings)
     verdict = gate(findings, config).agg(F.bool_or(F.col("over_limit") | F.col("at_threshold")).alias("failed"))
     text = F.concat_ws(" | ", "severity", "n") if md else F.concat(F.lit("  "), "severity", F.lit(": "), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightlog import vocab
+from sightlog.functions import geometry as g
 from sightlog.functions import text as tx
 
 OBJECT_SCHEMA = "type STRING, coords STRING, position_estimate STRING, bbox STRING, confidence DOUBLE"
@@ -20,20 +21,17 @@ ACTION_SCHEMA = f"kind STRING, target STRING, coords {POINT}, troop_coords {POIN
 
 def objects_to_detections(objects: DataFrame, json_col: str = "payload") -> DataFrame:
     """Teacher objects with a type and a positive point; an unusable confidence counts as 0.5."""
+    c = F.col
     o = objects.withColumn("_o", F.from_json(json_col, OBJECT_SCHEMA))
-    box = F.when(F.size(F.regexp_extract_all(F.col("_o.bbox"), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)) >= 4, F.col("_o.bbox"))
+    box = F.when(F.size(F.regexp_extract_all(c("_o.bbox"), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))) >= 4, c("_o.bbox"))
     o = o.withColumn(
-        "_p",
-        F.coalesce(tx.number_pair(F.col("_o.coords")), tx.number_pair(F.col("_o.position_estimate")), tx.number_pair(box)),
+        "_p", F.coalesce(tx.number_pair(c("_o.coords")), tx.number_pair(c("_o.position_estimate")), tx.number_pair(box))
     )
-    conf = F.coalesce(F.nullif(F.col("_o.confidence"), F.lit(0.0)), F.lit(0.5))
-    return (
-        o.select(
-            *objects.columns, F.col("_o.type").alias("type"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"),
-            F.when(conf.between(0.0, 1.0), conf).otherwise(0.5).alias("confidence"),
-        )
-        .filter("x > 0 AND y > 0 AND type <> ''")
-        .drop(json_col)
+    o = g.keep_when(o, (c("_p.x") > 0) & (c("_p.y") > 0) & (c("_o.type") != ""), "_q", c("_p"))
+    conf = F.coalesce(F.nullif(c("_o.confidence"), F.lit(0.0)), F.lit(0.5))
+    return o.select(
+        *[n for n in objects.columns if n != json_col], c("_o.type").alias("type"), c("_q.x").alias("x"), c("_q.y").alias("y"),
+        F.when(conf.between(0.0, 1.0), conf).otherwise(0.5).alias("confidence"),
     )
 
 
