@@ -27,6 +27,8 @@ def _matches(path: Column, patterns: list[str]) -> Column:
 
     All patterns become one expression per kind of test.
     """
+    if not patterns:
+        return F.lit(False)
     globs = "|".join(fnmatch.translate(p).replace(r"\Z", "$").replace(r"\z", "$") for p in patterns)
     leads = "|".join(re.escape(p.rstrip("/")) for p in patterns)
     parts = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(p) for p in patterns]))

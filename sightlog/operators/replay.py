@@ -174,6 +174,9 @@ def rotate_targets(targets: DataFrame, session: str, group_rows=None) -> DataFra
         else:
             reason = "only_candidate" if n == 1 else "top_scored_target"
         site = site_of(sites, *pick)
+        if site is None:  # a hit on a place that was never observed is remembered as well
+            site = [pick[1], pick[2], capacity.get(pick[0], vocab.DEFAULT_CAPACITY), 0, 0]
+            sites.setdefault(pick[0], []).append(site)
         site[3] += 1
         return [pick, now, sites, None, None, 0], f"{pick[0]}|{pick[1]}|{pick[2]}|{now}|{reason}|{n}"
 

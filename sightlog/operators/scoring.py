@@ -42,11 +42,14 @@ def skip_full(targets: DataFrame, status: DataFrame) -> DataFrame:
     return targets.withColumn("resource", resource).join(status, ["frame_id", "resource"], "left_anti").drop("resource")
 
 
-def score_targets(targets: DataFrame, size: tuple[int, int], landable: DataFrame | None = None) -> DataFrame:
+def score_targets(
+    targets: DataFrame, size: tuple[int, int], landable: DataFrame | None = None, near: DataFrame | None = None
+) -> DataFrame:
     """Weighted score of value, accessibility, safety and distance to the deploy point.
 
     ``targets`` carries ``defence_px``. Accessibility follows the nearest landable point, or the
-    distance to the image edge where no landable points are given at all.
+    distance to the image edge where no landable points are given at all. ``near`` may pass the
+    nearest landable points if they are known already.
     """
     w, h = size
     c = F.col
@@ -56,7 +59,9 @@ def score_targets(targets: DataFrame, size: tuple[int, int], landable: DataFrame
     if landable is None:
         t = targets.withColumn("access", by_edge)
     else:
-        near = spatial.nearest(targets, landable, ["frame_id"], REACH_PX, RINGS).select("frame_id", "x", "y", c("d2").alias("_l2"))
+        if near is None:
+            near = spatial.nearest(targets, landable, ["frame_id"], REACH_PX, RINGS)
+        near = near.select("frame_id", "x", "y", c("d2").alias("_l2"))
         some = landable.select("frame_id").distinct().withColumn("_some", F.lit(True))
         t = targets.join(near, ["frame_id", "x", "y"], "left").join(some, "frame_id", "left")
         by_land = F.when(c("_l2").isNull(), 0.0).otherwise(unit(1.0 - F.sqrt(c("_l2").cast("double")) / float(REACH_PX)))
@@ -85,6 +90,7 @@ def estimate_loot(
     walls: DataFrame,
     known: DataFrame | None = None,
     cfg: dict = LOOT,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Loot estimate per target (frame_id, det_no, name, x, y, defence_px, and optionally level).
 
@@ -92,7 +98,7 @@ def estimate_loot(
     capacity and a looted amount; the first of the same name within reach is used.
     """
     c, key = F.col, ["frame_id"]
-    land = spatial.nearest(targets, landable, key, LANDING_PX, RINGS)
+    land = spatial.nearest(targets, landable, key, LANDING_PX, RINGS) if near is None else near
     layers = spatial.crossing_layers(land, walls, key)
     place = land.join(layers, key + ["x", "y", "px", "py"], "left")
     t = targets.join(place, key + ["x", "y"], "left")

@@ -136,6 +136,8 @@ def _scan(key_cols: list[str], cols: list[str], init, step, keep_rows: bool, car
     """mapInPandas body: rows arrive sorted by key, segment and order; the state of the
     current group lives across batches, so no group is ever held in memory."""
 
+    first = json.dumps(init)  # a fresh copy for every group, since steps may change it in place
+
     def run(batches):
         current, state = None, None
         for pdf in batches:
@@ -148,7 +150,7 @@ def _scan(key_cols: list[str], cols: list[str], init, step, keep_rows: bool, car
                     if current is not None and not keep_rows:
                         ends.append((*current, json.dumps(state)))
                     current = key
-                    state = json.loads(starts.iloc[i]) if carried and starts.iloc[i] is not None else init
+                    state = json.loads(starts.iloc[i] if carried else first)
                 state, out = step(state, *row)
                 if keep_rows:
                     outs.append(out)

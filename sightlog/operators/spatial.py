@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from sightlog.functions import geometry as g
 
 
+# distinct points of one frame from which on a search in rings is worth its extra join
+CROWDED = 2_000
+
+
 def _cell(c: Column, size: int) -> Column:
     return F.floor(c / size).cast("int")
 
@@ -49,7 +53,9 @@ def nearest(
     other = right.select(*keys, F.col("x").alias("px"), F.col("y").alias("py")).distinct()
     best = F.min(F.struct("d2", "py", "px")).alias("b")
     found = None
-    rings = [r for r in first_rings if r < radius] + [radius]
+    # rings pay only in crowded frames: look at the fullest one
+    fullest = other.groupBy(*keys).count().agg(F.max("count")).first()[0] if first_rings else 0
+    rings = [r for r in first_rings if r < radius and (fullest or 0) > CROWDED] + [radius]
     for i, ring in enumerate(rings):
         hit = within_reach(todo, other, keys, ring).groupBy(*point).agg(best)
         found = hit if found is None else found.unionByName(hit)

@@ -11,6 +11,7 @@ from sightlog.operators import scoring as sc
 from sightlog.operators import spatial as sp
 from sightlog.plans.registry import query
 from sightlog.plans.views import case
+from sightlog.session import materialise
 from sightlog.sources import tables as src
 
 W, H = src.CANVAS
@@ -271,14 +272,14 @@ est AS (SELECT frame_id, det_no, name, x, y, CAST(px AS INT) AS px, CAST(py AS I
   reason = 'ok' AND expected / (needed * 1000) >= 0.35 AND risk <= 0.8::DOUBLE * 0.7::DOUBLE AS efficient FROM e)"""
 
 
-def estimates(spark, sf):
-    t = guarded(spark, sf).withColumn("level", F.when(F.col("det_no") % 3 == 0, F.col("det_no") % 12))
+def estimates(spark, sf, base=None, near=None):
+    t = (guarded(spark, sf) if base is None else base).withColumn("level", F.when(F.col("det_no") % 3 == 0, F.col("det_no") % 12))
     known = src.targets(spark, sf).select(
         "frame_id", "det_no", "name", "x", "y",
         F.expr("CASE WHEN det_no % 5 = 0 THEN 900 + CAST(det_no % 3000 AS INT) END").alias("capacity"),
         F.expr("CASE WHEN det_no % 7 = 0 THEN CAST(det_no % 2500 AS INT) END").alias("looted"),
     )
-    return sc.estimate_loot(t, src.landable(spark, sf), src.walls(spark, sf), known)
+    return sc.estimate_loot(t, src.landable(spark, sf), src.walls(spark, sf), known, near=near)
 
 
 @query("so2_loot_estimate", f"WITH {LOOT} SELECT * FROM est", SC_VIEWS)
@@ -297,13 +298,18 @@ s AS (SELECT frame_id, req_no IS NOT NULL AND NOT req_tired AS honoured, CASE WH
 
 
 def selection(spark, sf):
-    ranked = sc.rank_targets(scored(spark, sf))
+    # neighbours serve the score and the estimate: find them once and cut the plan there
+    base = materialise(guarded(spark, sf))
+    land = src.landable(spark, sf)
+    near = materialise(sp.nearest(base, land, KEY, sc.LANDING_PX, sc.RINGS))
+    open_targets = sc.skip_full(base, full_resources(spark, sf))
+    ranked = materialise(sc.rank_targets(sc.score_targets(open_targets, (W, H), land, near)))
     first = ranked.filter("rank = 1").select("frame_id", F.col("name").alias("l_name"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     last = first.withColumn("l_name", F.when(F.col("frame_id") % 2 == 0, F.col("l_name"))).withColumn(
         "repeats", (F.col("frame_id") % 3 + 1).cast("int")
     )
     depleted = src.targets(spark, sf).filter("det_no % 13 = 0")
-    return sc.select_target(ranked, estimates(spark, sf), depleted, requests(spark, sf), last)
+    return sc.select_target(ranked, estimates(spark, sf, base, near), depleted, requests(spark, sf), last)
 
 
 @query(
