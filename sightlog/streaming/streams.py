@@ -17,12 +17,12 @@ from sightlog.session import scratch_path
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """A stored table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    """A stored table, one file or a folder of files, as a stream of its files."""
+    table = f"{folder}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(table) if is_folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _stateful(df: DataFrame, key: str, value: str, state: str, start, step, out: str) -> DataFrame:

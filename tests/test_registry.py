@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["ag8_signal_recall", "pr2_normalised_box", "jo8_source_merge", "wi1_hysteresis_gate", "st2_donation_replay", "wi8_shuffled_split", "au9_gate", "pg6_notes"]
+SAMPLE = ["ag8_signal_recall", "pr2_normalised_box", "jo8_source_merge", "wi1_hysteresis_gate", "st2_donation_replay", "wi8_shuffled_split", "ag12_session_summary", "pg6_notes"]
 
 
 def test_every_reference_query_has_a_spark_query():
