@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_DIGITS = 4  # 65,536 buckets: the window over bucket counts stays small
+EDGE_ROWS = 50_000  # rows that may be ranked in one task
+MAX_DIGITS = 5  # about a million buckets per stratum at most
 
 
 def hash_key(seed: int | str, *cols: str) -> Column:
@@ -28,11 +30,13 @@ def lowest_by_hash(
     """Mark the ``take`` rows with the smallest hash in each stratum (``take`` may use ``n``).
 
     Radix selection: count rows per hash prefix, find the prefix in which the
-    cumulated count passes ``take``, and rank only the rows of that one prefix. No task
-    sees more than a 65,536th of a stratum, however large it is.
+    cumulated count passes ``take``, and rank only the rows of that one prefix. The prefix is
+    as long as the largest stratum needs for about ``EDGE_ROWS`` rows per prefix.
     """
     strata = list(strata)
-    h = df.withColumn("_h", hash_key(seed, *key_cols)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    largest = df.groupBy(*strata).count().agg(F.max("count")).first()[0] or 0
+    digits = min(MAX_DIGITS, max(1, math.ceil(math.log(max(1, largest / EDGE_ROWS), 16))))
+    h = df.withColumn("_h", hash_key(seed, *key_cols)).withColumn("_b", F.substring("_h", 1, digits))
     counts = h.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*strata).orderBy("_b")
     edges = (
