@@ -29,7 +29,7 @@ NAME = case("class_id", dict(enumerate(vocab.CLASSES)))
 
 VIEWS: dict[str, str] = {
     "det": """SELECT l_orderkey AS frame_id,
-  CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 1000003 + l_suppkey AS det_no,
+  CAST(l_linenumber AS BIGINT) * 1000000000000000000 + (l_partkey * 1000003 + l_suppkey) * 50 + CAST(l_quantity AS INT) - 1 AS det_no,
   CAST(l_partkey % 17 AS INT) AS class_id,
   CAST(100 - 9*CAST(round(l_discount*100) AS INT) AS DOUBLE)/CAST(100 AS DOUBLE) AS confidence,
   CAST((l_suppkey*131+l_partkey*17)%1180 AS INT) AS x1,

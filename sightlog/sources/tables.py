@@ -43,14 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per box. ``det_no`` orders the boxes of a frame and needs no window:
-    it is the line number followed by the part and supplier keys."""
+    it is the line number followed by part, supplier and quantity."""
     x1 = F.expr("CAST((l_suppkey * 131 + l_partkey * 17) % 1180 AS INT)")
     y1 = F.expr("CAST((l_partkey * 29 + l_suppkey * 7) % 640 AS INT)")
     side = F.expr("20 + 2 * CAST(l_quantity AS INT)")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("frame_id"),
         F.expr(
-            "CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 1000003 + l_suppkey"
+            "CAST(l_linenumber AS BIGINT) * 1000000000000000000 + (l_partkey * 1000003 + l_suppkey) * 50 + CAST(l_quantity AS INT) - 1"
         ).alias("det_no"),
         F.expr("CAST(l_partkey % 17 AS INT)").alias("class_id"),
         F.expr(
