@@ -3,8 +3,8 @@
 Equal windows are brought together first. The smallest hash of the byte grams in a window (its minimiser) depends on
 the window alone, so equal windows have equal minimisers; a run of neighbouring windows with one minimiser is a short
 string. Minimisers seen once hold no repeat and end there. Of the others, equal strings are one row with their earliest
-place before anything is gathered, so a passage that a third of the rows share is one string; all other copies of
-it repeat it. The remaining distinct strings of a minimiser are compared window by window: blocks of strings are split into shards, each shard
+place; copies within a task are told apart before anything is gathered, so a passage that a third of the rows share
+is moved once for each task. The remaining distinct strings of a minimiser are compared window by window: blocks of strings are split into shards, each shard
 gets its Burrows-Wheeler transform, and the transforms are merged by interleave refinement (``bwt``), whose classes after ``WIDTH``
 rounds are the repeated intervals. All but the earliest window of a class are repeats.
 
@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlog.llm.bwt import repeated_windows
-from sightlog.llm.common import query, table
-from sightlog.session import materialise
+from sightlog.llm.common import map_batches, query, table
 
 WIDTH, GRAM = 100, 24
 #: Bytes of strings that are transformed and merged at once; a minimiser's strings are never divided.
 BLOCK = 250_000
+#: What a task holds at most to find its own copies, in minimisers and in bytes of strings.
+HELD_RUNS, HELD_BYTES = 2_000_000, 64_000_000
 #: Fixed odd multipliers of the gram hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
@@ -61,25 +62,37 @@ def _append(total, level, done, power):
     return total[:n] * power + level[done : done + n]
 
 
-def minimisers(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Minimum of each window of ``span`` hashes."""
-    low, reach = hashes, 1
+def sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each window of ``span`` values."""
+    out, reach = values, 1
     while reach * 2 <= span:
-        low = np.minimum(low[:-reach], low[reach:])
+        out = pick(out[:-reach], out[reach:])
         reach *= 2
     rest = span - reach
-    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
 def window_runs(raw: bytes, width: int = WIDTH, gram: int = GRAM):
-    """(minimiser, first window, end of the last window) of the runs of windows with one minimiser."""
+    """Runs of windows with one minimiser: (minimiser, first window, end of the last window, whether its bytes hold the gram more
+    than once). Only a run that does can hold two equal windows."""
     if len(raw) < width:
         none = np.empty(0, np.int64)
-        return none, none, none
-    low = minimisers(gram_hashes(np.frombuffer(raw, dtype=np.uint8), gram), width - gram + 1)
+        return none, none, none, none.astype(bool)
+    span = width - gram + 1
+    hashes = gram_hashes(np.frombuffer(raw, dtype=np.uint8), gram)
+    low = sliding(hashes, span, np.minimum)
     first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     end = np.concatenate([first[1:], [len(low)]]) + width - 1
-    return low[first].view(np.int64), first, end
+    value = low[first]
+    # places that are the minimum of a window; a run's own are those between its ends with its value
+    around = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
+    places = np.flatnonzero(hashes == sliding(around, span, np.maximum))
+    at, stop = np.searchsorted(places, first), np.searchsorted(places, end - gram, side="right")
+    found, step = np.zeros(len(first), np.int64), 0
+    while (more := at + step < stop).any():
+        found[more] += hashes[places[at[more] + step]] == value[more]
+        step += 1
+    return value.view(np.int64), first, end, found > 1
 
 
 def merge_intervals(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -92,153 +105,231 @@ def merge_intervals(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _numbered(documents: DataFrame) -> DataFrame:
-    """Rows with their order: ``rank`` is the id (nulls last), ``uid`` the place in the table."""
-    return documents.withColumns(
-        {"rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "uid": F.monotonically_increasing_id(), "text": F.coalesce("text", F.lit(""))}
-    )
-
-
 def _runs(width: int, gram: int):
+    """Minimisers of a task's rows as (pass, key, other): one row (low, uid) for each minimiser that the task has once, one row (low, -1) for
+    each that it has more often, and for the latter all rows (uid, low), marked as known repeats."""
+
+    def emit(low, uid):
+        values, at, counts = np.unique(low, return_inverse=True, return_counts=True)
+        often = counts[at] > 1
+        known = np.unique(np.stack([uid[often], low[often]], axis=1), axis=0)
+        heads = values[counts > 1]
+        mark = np.concatenate([np.zeros(len(low) - often.sum() + len(heads), bool), np.ones(len(known), bool)])
+        key = np.concatenate([low[~often], heads, known[:, 0]])
+        other = np.concatenate([uid[~often], np.full(len(heads), -1), known[:, 1]])
+        for i in range(0, len(key), 200_000):
+            part = slice(i, i + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(mark[part]), pa.array(key[part]), pa.array(other[part])], names=["pass", "key", "other"])
+
     def run(batches):
+        lows, uids, held = [], [], 0
         for batch in batches:
-            uids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [window_runs(t.encode(), width, gram) for t in texts]
-            n = [len(f[0]) for f in found]
-            low, first, end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
-            arrays = [low, np.repeat(np.array(uids, dtype=np.int64), n), first << 32 | (end - first)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()) for a in arrays], names=["low", "uid", "run"])
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, _, _, twice = window_runs((text or "").encode(), width, gram)
+                low = np.concatenate([low, low[twice]])
+                lows.append(low)
+                uids.append(np.full(len(low), uid, dtype=np.int64))
+                held += len(low)
+            if held >= HELD_RUNS:
+                yield from emit(np.concatenate(lows), np.concatenate(uids))
+                lows, uids, held = [], [], 0
+        if held:
+            yield from emit(np.concatenate(lows), np.concatenate(uids))
 
     return run
 
 
-def _strings(batches):
-    from xxhash import xxh3_128_digest
+def _shared(batches):
+    """(uid, low) of the known repeats and of minimisers that several tasks have; rows come sorted by (pass, key)."""
 
+    def emit(mark, key, other):
+        same = key[1:] == key[:-1]
+        several = np.zeros(len(key), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        take = several & ~mark & (other >= 0)
+        uid, low = np.concatenate([key[mark], other[take]]), np.concatenate([other[mark], key[take]])
+        return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(low)], names=["uid", "low"])
+
+    rest = None
     for batch in batches:
-        uids, ranks, texts, lows, runs = (c.to_pylist() for c in batch.columns)
-        rows = []
-        for uid, rank, text, low, run in zip(uids, ranks, texts, lows, runs, strict=True):
-            raw = text.encode()
-            for l, r in zip(low, run, strict=True):
-                start = r >> 32
-                s = raw[start : start + (r & 0xFFFFFFFF)]
-                rows.append((xxh3_128_digest(s), l, rank, uid, start, s))
-            if len(rows) >= 50_000:
-                yield _string_batch(rows)
-                rows = []
-        yield _string_batch(rows)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if rest is not None:
+            columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
+        mark, key, _ = columns
+        whole = len(key) if mark[-1] else int(np.searchsorted(key[~mark], key[-1]))  # the last key may go on
+        if whole:
+            yield emit(*(c[:whole] for c in columns))
+        rest = [c[whole:] for c in columns]
+    if rest is not None and len(rest[0]):
+        yield emit(*rest)
+
+
+def _strings(width: int, gram: int, names: list[str]):
+    """Strings of the shared minimisers: each distinct one of a task once, with its earliest place; the places of its copies as spans."""
+    from xxhash import xxh3_128_digest
 
+    columns = [names.index(n) for n in ("uid", "doc_id", "text", "lows")]
 
-def _string_batch(rows):
-    kinds = {"digest": pa.binary(), "low": pa.int64(), "rank": pa.int64(), "uid": pa.int64(), "start": pa.int64(), "string": pa.binary()}
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+    def emit(rows):
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(STRING_TYPES)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, STRING_TYPES.values(), strict=True)], names=list(STRING_TYPES))
+
+    def run(batches):
+        first: dict[bytes, tuple] = {}
+        held = 0
+        for batch in batches:
+            copies = []
+            for uid, doc_id, text, lows in zip(*(batch.column(i).to_pylist() for i in columns), strict=True):
+                raw = (text or "").encode()
+                rank = LAST if doc_id is None else doc_id
+                low, start, end, twice = window_runs(raw, width, gram)
+                take = np.isin(low, np.array(lows, dtype=np.int64))
+                for l, a, b, w in zip(*(x[take].tolist() for x in (low, start, end, twice)), strict=True):
+                    s = raw[a:b]
+                    digest = xxh3_128_digest(s)
+                    old = first.get(digest)
+                    new = (rank, uid, a, l, s, w)
+                    if old is None:
+                        first[digest] = new
+                        held += b - a
+                        continue
+                    if new[:3] < old[:3]:
+                        first[digest], new = new, old
+                    copies.append((True, new[1], None, None, new[1], new[2], b - a, None, None))
+                if held >= HELD_BYTES:
+                    yield emit([(False, l, d, r, u, a, len(s), s, w) for d, (r, u, a, l, s, w) in first.items()])
+                    first, held = {}, 0
+            yield emit(copies)
+        items = [(False, l, d, r, u, a, len(s), s, w) for d, (r, u, a, l, s, w) in first.items()]
+        for i in range(0, len(items), 20_000):
+            yield emit(items[i : i + 20_000])
+
+    return run
 
 
-STRING_ROW = "digest binary, low long, rank long, uid long, start long, string binary"
+STRING_TYPES = {"pass": pa.bool_(), "key": pa.int64(), "digest": pa.binary(), "rank": pa.int64(), "uid": pa.int64(), "start": pa.int64(), "size": pa.int64(), "string": pa.binary(), "twice": pa.bool_()}
+STRING_ROW = "pass boolean, key long, digest binary, rank long, uid long, start long, size long, string binary, twice boolean"
 
 
 def _compare(width: int):
-    """Repeats among the distinct strings of each minimiser; rows come sorted by minimiser and earliest place."""
+    """Repeated spans (uid, a, b). Rows come sorted by (pass, minimiser, digest, place): the first row of a digest is the earliest, its other
+    rows are copies; the distinct strings of a minimiser are compared window by window."""
+
+    def spans(uid, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (uid, a, b)], names=["uid", "a", "b"])
 
     def repeats(rows):
-        number, offset, classes = repeated_windows([r[4] for r in rows], width)
-        if not len(number):
-            return None
-        uid = np.array([r[2] for r in rows])[number]
-        place = np.array([r[3] for r in rows])[number] + offset
-        order = np.lexsort((place, uid, np.array([r[1] for r in rows])[number], classes))
+        number, offset, classes = repeated_windows([r[7] for r in rows], width)
+        uid = np.array([r[4] for r in rows], dtype=np.int64)[number]
+        place = np.array([r[5] for r in rows], dtype=np.int64)[number] + offset
+        order = np.lexsort((place, uid, np.array([r[3] for r in rows], dtype=np.int64)[number], classes))
         later = order[1:][classes[order][1:] == classes[order][:-1]]  # the earliest of each class stays
         later = later[np.lexsort((place[later], uid[later]))]
         u, p = uid[later], place[later]
-        if not len(u):
-            return None
-        new = np.concatenate([[True], (u[1:] != u[:-1]) | (p[1:] > p[:-1] + 1)])
-        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(u) - 1]])
-        arrays = [u[new], p[new], p[last] + width]
-        return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()) for a in arrays], names=["uid", "a", "b"])
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (p[1:] > p[:-1] + 1)
+        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(u) - 1]]) if len(u) else np.empty(0, int)
+        return spans(u[new], p[new], p[last] + width)
 
     def run(batches):
         group, block, held = [], [], 0
 
         def close():
             nonlocal group, held
-            # one short string has no two equal windows: their minimisers would be the same gram at two distances
-            if len(group) > 1 or group and len(group[0][4]) > 2 * width - GRAM:
+            if len(group) > 1 or group and group[0][8]:  # a lone string repeats at most itself
                 block.extend(group)
-                held += sum(len(r[4]) for r in group)
+                held += sum(r[6] for r in group)
             group = []
 
         for batch in batches:
+            copies = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[0] != group[0][0]:
+                if row[0]:
+                    copies.append(row)
+                    continue
+                if group and row[1] != group[0][1]:
                     close()
                     if held >= BLOCK:
-                        if (out := repeats(block)) is not None:
-                            yield out
+                        yield repeats(block)
                         block, held = [], 0
-                group.append(row)
+                if group and row[2] == group[-1][2]:
+                    copies.append(row)
+                else:
+                    group.append(row)
+            yield spans([r[4] for r in copies], [r[5] for r in copies], [r[5] + r[6] for r in copies])
         close()
-        if (out := repeats(block)) is not None:
-            yield out
+        if block:
+            yield repeats(block)
 
     return run
 
 
-def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(uid, spans) of the removed runs of bytes, and the rows with any repeated minimiser (uid, rank, text), written once."""
-    runs = rows.select("uid", "text").mapInArrow(_runs(width, gram), "low long, uid long, run long")
-    many = runs.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
-    listed = runs.join(many, "low", "left_semi").groupBy("uid").agg(F.collect_list("low").alias("low"), F.collect_list("run").alias("run"))
-    held = materialise(rows.select("uid", "rank", "text").join(listed, "uid"))
-    strings = held.mapInArrow(_strings, STRING_ROW)
-    place = F.struct("rank", "uid", "start")
-    firsts = materialise(strings.groupBy("digest").agg(F.min(place).alias("place"), F.first("low").alias("low"), F.first("string").alias("string")))
-    copies = strings.select("digest", "uid", "start", F.length("string").alias("size"), place.alias("own")).join(firsts.select("digest", "place"), "digest")
-    copied = copies.where("own <> place").select("uid", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    flat = firsts.select("low", "place.rank", "place.uid", "place.start", "string")
-    dealt = flat.repartition("low").sortWithinPartitions("low", "rank", "uid", "start")
-    windows = dealt.mapInArrow(_compare(width), "uid long, a long, b long")
-    spans = copied.union(windows).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return materialise(spans), held.select("uid", "text")
+def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(uid, spans) of the removed runs of bytes, from rows with ``uid``, ``doc_id`` and ``text``.
+
+    Tasks name what they have already seen twice, so that a passage comes from each task once, however many of its rows share it.
+    """
+    runs = rows.select("uid", "text").mapInArrow(_runs(width, gram), "pass boolean, key long, other long")
+    shared = runs.repartition("key").sortWithinPartitions("pass", "key").mapInArrow(_shared, "uid long, low long")
+    held = rows.join(shared.groupBy("uid").agg(F.collect_set("low").alias("lows")), "uid")
+    # all columns go in, so that this shuffle of the rows serves the last join too
+    strings = held.mapInArrow(_strings(width, gram, held.columns), STRING_ROW)
+    dealt = strings.repartition("key").sortWithinPartitions("pass", "key", "digest", "rank", "uid", "start")
+    found = dealt.mapInArrow(_compare(width), "uid long, a long, b long")
+    return found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def remaining(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """What is left outside of the spans, and the number of maximal removed runs."""
+    merged = merge_intervals(spans)
+    keep, at = [], 0
+    for a, b in merged:
+        keep.append(raw[at:a])
+        at = b
+    return b"".join([*keep, raw[at:]]), len(merged)
+
+
+def with_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The rows of ``documents`` (a stored table, whose rows keep their places) with the spans of bytes to remove, null for none."""
+    rows = documents.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("uid", F.monotonically_increasing_id())
+    return rows.join(repeated_spans(rows, width, gram), "uid", "left")
 
 
 def deduplicate(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """All columns of ``documents`` with ``kept`` (remaining bytes), n_removed and n_spans added, in rows with any removal; other rows have nulls there."""
-    rows = _numbered(documents)
-    spans, held = repeated_spans(rows, width, gram)
+    """The columns of ``documents`` with the repeats cut out of ``text``; a character of which only a part is left goes too."""
+
+    def cut(texts, spans):
+        return [[t if s is None else remaining((t or "").encode(), [(x["a"], x["b"]) for x in s])[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]]
+
+    names = documents.columns
+    found = with_spans(documents, width, gram)
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
 
-    def cut(batches):
+    def run(batches):
         for batch in batches:
-            out = []
-            for uid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                merged = merge_intervals([(s["a"], s["b"]) for s in found])
-                keep, at = [], 0
-                for a, b in merged:
-                    keep.append(raw[at:a])
-                    at = b
-                keep.append(raw[at:])
-                kept = b"".join(keep)
-                out.append((uid, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["uid", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    done = held.join(spans, "uid").mapInArrow(cut, "uid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return rows, done
-
-
-def deduplicate_digests(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            texts = cut(columns["text"].to_pylist(), columns["spans"].to_pylist())[0]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string()) if n == "text" else columns[n] for n in names], names=names)
+
+    return found.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+
+
+def deduplicate_digests(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row."""
-    rows, done = deduplicate(documents.select("doc_id", "text"), width)
-    raw = F.encode("text", "UTF-8")
-    facts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
-    return facts.join(done.drop("kept"), "uid", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-    )
+
+    def digests(ids, texts, spans):
+        rows = []
+        for text, found in zip(texts, spans, strict=True):
+            raw = (text or "").encode()
+            kept, runs = remaining(raw, [(x["a"], x["b"]) for x in found or ()])
+            rows.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+        return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 4)]
+
+    found = with_spans(documents.select("doc_id", "text"), width, gram)
+    return map_batches(found.select("doc_id", "text", "spans"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digests)
 
 
 @query("op8_repeats")
