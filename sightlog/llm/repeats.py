@@ -169,8 +169,6 @@ def _shared(batches):
 
 def _strings(width: int, gram: int, names: list[str]):
     """Strings of the shared minimisers: each distinct one of a task once, with its earliest place; the places of its copies as spans."""
-    from xxhash import xxh3_128_digest
-
     columns = [names.index(n) for n in ("uid", "doc_id", "text", "lows")]
 
     def emit(rows):
@@ -178,7 +176,7 @@ def _strings(width: int, gram: int, names: list[str]):
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, STRING_TYPES.values(), strict=True)], names=list(STRING_TYPES))
 
     def run(batches):
-        first: dict[bytes, tuple] = {}
+        first: dict[bytes, tuple] = {}  # by the string
         held = 0
         for batch in batches:
             copies = []
@@ -189,43 +187,41 @@ def _strings(width: int, gram: int, names: list[str]):
                 take = np.isin(low, np.array(lows, dtype=np.int64))
                 for l, a, b, w in zip(*(x[take].tolist() for x in (low, start, end, twice)), strict=True):
                     s = raw[a:b]
-                    digest = xxh3_128_digest(s)
-                    old = first.get(digest)
-                    new = (rank, uid, a, l, s, w)
+                    old, new = first.get(s), (rank, uid, a, l, w)
                     if old is None:
-                        first[digest] = new
+                        first[s] = new
                         held += b - a
                         continue
                     if new[:3] < old[:3]:
-                        first[digest], new = new, old
-                    copies.append((True, new[1], None, None, new[1], new[2], b - a, None, None))
+                        first[s], new = new, old
+                    copies.append((True, new[1], None, new[1], new[2], b - a, None, None))
                 if held >= HELD_BYTES:
-                    yield emit([(False, l, d, r, u, a, len(s), s, w) for d, (r, u, a, l, s, w) in first.items()])
+                    yield emit([(False, l, r, u, a, len(s), s, w) for s, (r, u, a, l, w) in first.items()])
                     first, held = {}, 0
             yield emit(copies)
-        items = [(False, l, d, r, u, a, len(s), s, w) for d, (r, u, a, l, s, w) in first.items()]
+        items = [(False, l, r, u, a, len(s), s, w) for s, (r, u, a, l, w) in first.items()]
         for i in range(0, len(items), 20_000):
             yield emit(items[i : i + 20_000])
 
     return run
 
 
-STRING_TYPES = {"pass": pa.bool_(), "key": pa.int64(), "digest": pa.binary(), "rank": pa.int64(), "uid": pa.int64(), "start": pa.int64(), "size": pa.int64(), "string": pa.binary(), "twice": pa.bool_()}
-STRING_ROW = "pass boolean, key long, digest binary, rank long, uid long, start long, size long, string binary, twice boolean"
+STRING_TYPES = {"pass": pa.bool_(), "key": pa.int64(), "rank": pa.int64(), "uid": pa.int64(), "start": pa.int64(), "size": pa.int64(), "string": pa.binary(), "twice": pa.bool_()}
+STRING_ROW = "pass boolean, key long, rank long, uid long, start long, size long, string binary, twice boolean"
 
 
 def _compare(width: int):
-    """Repeated spans (uid, a, b). Rows come sorted by (pass, minimiser, digest, place): the first row of a digest is the earliest, its other
+    """Repeated spans (uid, a, b). Rows come sorted by (pass, minimiser, string, place): the first row of a string is the earliest, its other
     rows are copies; the distinct strings of a minimiser are compared window by window."""
 
     def spans(uid, a, b):
         return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (uid, a, b)], names=["uid", "a", "b"])
 
     def repeats(rows):
-        number, offset, classes = repeated_windows([r[7] for r in rows], width)
-        uid = np.array([r[4] for r in rows], dtype=np.int64)[number]
-        place = np.array([r[5] for r in rows], dtype=np.int64)[number] + offset
-        order = np.lexsort((place, uid, np.array([r[3] for r in rows], dtype=np.int64)[number], classes))
+        number, offset, classes = repeated_windows([r[6] for r in rows], width)
+        uid = np.array([r[3] for r in rows], dtype=np.int64)[number]
+        place = np.array([r[4] for r in rows], dtype=np.int64)[number] + offset
+        order = np.lexsort((place, uid, np.array([r[2] for r in rows], dtype=np.int64)[number], classes))
         later = order[1:][classes[order][1:] == classes[order][:-1]]  # the earliest of each class stays
         later = later[np.lexsort((place[later], uid[later]))]
         u, p = uid[later], place[later]
@@ -239,9 +235,9 @@ def _compare(width: int):
 
         def close():
             nonlocal group, held
-            if len(group) > 1 or group and group[0][8]:  # a lone string repeats at most itself
+            if len(group) > 1 or group and group[0][7]:  # a lone string repeats at most itself
                 block.extend(group)
-                held += sum(r[6] for r in group)
+                held += sum(r[5] for r in group)
             group = []
 
         for batch in batches:
@@ -255,11 +251,11 @@ def _compare(width: int):
                     if held >= BLOCK:
                         yield repeats(block)
                         block, held = [], 0
-                if group and row[2] == group[-1][2]:
+                if group and row[6] == group[-1][6]:
                     copies.append(row)
                 else:
                     group.append(row)
-            yield spans([r[4] for r in copies], [r[5] for r in copies], [r[5] + r[6] for r in copies])
+            yield spans([r[3] for r in copies], [r[4] for r in copies], [r[4] + r[5] for r in copies])
         close()
         if block:
             yield repeats(block)
@@ -277,7 +273,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     held = rows.join(shared.groupBy("uid").agg(F.collect_set("low").alias("lows")), "uid")
     # all columns go in, so that this shuffle of the rows serves the last join too
     strings = held.mapInArrow(_strings(width, gram, held.columns), STRING_ROW)
-    dealt = strings.repartition("key").sortWithinPartitions("pass", "key", "digest", "rank", "uid", "start")
+    dealt = strings.repartition("key").sortWithinPartitions("pass", "key", "string", "rank", "uid", "start")
     found = dealt.mapInArrow(_compare(width), "uid long, a long, b long")
     return found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
