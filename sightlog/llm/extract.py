@@ -57,16 +57,15 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             self.blocks.append((text, self.tags, self.container))
-            self.tags = 0
-        self.parts = []
+        self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
-        self.tags += not self.skipped
         if tag not in INLINE_TAGS:
             self.flush()
             self._end_implied(tag)
         elif tag == "br":
             self.parts.append(" ")
+        self.tags += not self.skipped
         if tag in VOID_TAGS:
             return
         skip = tag in SKIP_TAGS and not (tag == "header" and self.container) or self._named(tag, attrs)
@@ -141,6 +140,8 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 def threshold(values: list[float]) -> float:
     """Midpoint between the centres of two clusters; one value (or equal values) is a cluster of its own and passes."""
     low, high = min(values), max(values)
+    if high - low <= 1e-9 * high:
+        return low
     for _ in range(100):
         if not high > low:
             break

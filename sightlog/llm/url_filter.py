@@ -91,6 +91,49 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> Data
     )
 
 
-@query("op2_url_filter")
+def _case(host: str, path: str, what: int) -> str:
+    """The longest fitting rule (what: 0) or its verdict (1) as a SQL expression."""
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    whens = (f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{pre}') THEN '{(h + pre, v)[what]}'" for v, h, pre in longest)
+    return f"CASE {' '.join(whens)} END"
+
+
+def _address(url: str) -> str:
+    rest = rf"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    host = rf"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    return f"CASE WHEN contains({url}, '://') THEN {host} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+SQL = rf"""
+WITH RECURSIVE seen AS (
+  SELECT page_id, url, html, {_address("url")} AS address,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), tags AS (
+  SELECT address, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM seen
+), targets AS (
+  SELECT address, url, regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*["'']?)([^"''\s>]+)', 1) AS t FROM tags
+  WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b')
+), absolute AS (
+  SELECT address AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS u FROM targets
+), links AS (
+  SELECT a, {_address("u")} AS b FROM absolute WHERE a IS NOT NULL AND contains(u, '://')
+), ways AS (
+  SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b
+), reach AS (
+  SELECT a, b FROM ways UNION SELECT a, a FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), judged AS (
+  SELECT reach.a AS address, {_case("regexp_extract(b, '^[^/?]*')", "regexp_extract(b, '^[^/?]*([^?]*)', 1)", 1)} AS v FROM reach
+), decided AS (
+  SELECT address, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS spread FROM judged WHERE v IS NOT NULL GROUP BY 1
+)
+SELECT page_id, host, path, {_case("host", "path", 0)} AS rule, coalesce({_case("host", "path", 1)}, spread, 'allow') AS verdict
+FROM seen LEFT JOIN decided USING (address)
+"""
+
+
+@query("op2_url_filter", SQL)
 def op2_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages")).drop("alias_root")
