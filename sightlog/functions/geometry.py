@@ -48,7 +48,9 @@ def fixed_text(v: Column, digits: int = 6) -> Column:
 
 
 def round_half_even(v: Column, digits: int = 6) -> Column:
-    return fixed_text(v, digits).cast("double")
+    """The number itself, rounded; text is made only where text is the result."""
+    scale = F.lit(float(10**digits))
+    return F.rint(v * scale) / scale
 
 
 def box_line(class_id: Column, box: Column) -> Column:

@@ -14,9 +14,9 @@ def strip(text: Column) -> Column:
 
 
 def first_int(text: Column) -> Column:
-    """First run of digits; NULL for '', 'info' and text without digits."""
+    """First run of digits; NULL for '', 'info', text without digits and a number past the type."""
     digits = F.regexp_extract(text, r"(\d+)", 1)
-    return F.when((text != "info") & (digits != ""), digits.cast("bigint"))
+    return F.when((text != "info") & (digits != ""), digits.try_cast("bigint"))
 
 
 def _first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:

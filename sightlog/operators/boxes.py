@@ -16,17 +16,22 @@ LEGACY = (1280.0, 960.0)
 LOGICAL = (1280, 720)
 
 
+def numbers_only(tokens: Column) -> Column:
+    """Whether every token is a finite number."""
+    return F.forall(tokens, lambda t: F.coalesce(F.abs(t.try_cast("double")) < float("inf"), F.lit(False)))
+
+
 def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame:
-    """Label text (path, w, h, line) to pixel boxes; lines without five tokens are dropped.
+    """Label text (path, w, h, line) to pixel boxes; lines without five numbers are dropped.
 
     ``truncate`` cuts fractions, ``round`` rounds half to even.
     """
-    v = lambda i: F.get("_t", F.lit(i)).cast("double")
-    to_int = (lambda c: c.cast("int")) if rounding == "truncate" else (lambda c: F.rint(c).cast("int"))
-    tokens = lines.withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+")).filter(F.size("_t") == 5)
+    v = lambda i: F.get("_t", F.lit(i)).try_cast("double")
+    to_int = (lambda c: c.try_cast("int")) if rounding == "truncate" else (lambda c: F.rint(c).try_cast("int"))
+    tokens = lines.withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+")).filter((F.size("_t") == 5) & numbers_only(F.col("_t")))
     return tokens.select(
         *[c for c in lines.columns if c != "line"],
-        v(0).cast("int").alias("class_id"),
+        v(0).try_cast("int").alias("class_id"),
         to_int((v(1) - v(3) / 2) * F.col("w")).alias("x1"),
         to_int((v(2) - v(4) / 2) * F.col("h")).alias("y1"),
         to_int((v(1) + v(3) / 2) * F.col("w")).alias("x2"),
@@ -35,10 +40,10 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
 
 
 def clamp_label_lines(lines: DataFrame) -> DataFrame:
-    """Clamped text of five-token lines; other lines stay as they are, blank ones go."""
-    v = lambda i: F.get("_t", F.lit(i)).cast("double")
+    """Clamped text of lines with five numbers; other lines stay as they are, blank ones go."""
+    v = lambda i: F.get("_t", F.lit(i)).try_cast("double")
     tokens = lines.filter(tx.strip(F.col("line")) != "").withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+"))
-    fixed = F.when(F.size("_t") == 5, g.box_line(F.get("_t", F.lit(0)).cast("double").cast("int"), F.col("_b")))
+    fixed = F.when((F.size("_t") == 5) & numbers_only(F.col("_t")), g.box_line(v(0).try_cast("int"), F.col("_b")))
     return (
         g.add_clamped(tokens, "_b", v(1), v(2), v(3), v(4))
         .withColumn("fixed", F.coalesce(fixed, F.col("line")))

@@ -30,16 +30,14 @@ def centroids(members: DataFrame, cluster: str, vector: str, dim: int) -> DataFr
 def representatives(members: DataFrame, cluster: str, key: str, vector: str, dim: int, list_size: int = 50) -> DataFrame:
     """Per cluster: size, the member closest to the centroid and the first members by key.
 
-    There are few clusters, so the centroids are broadcast after their number is checked.
+    How the centroids meet their members is left to the optimiser, which knows their size.
     """
     c = centroids(members, cluster, vector, dim)
-    n = members.agg(F.approx_count_distinct(cluster)).first()[0]
-    side = F.broadcast(c) if n <= 10_000 else c
     sq = F.aggregate(
         F.zip_with(vector, "centroid", lambda a, b: a.cast("double") - b), F.lit(0.0), lambda s, d: s + d * d
     )
     # eight decimals make the choice independent of the order of partial sums
-    near = members.join(side, cluster).select(cluster, key, "size", F.round(F.sqrt(sq), 8).alias("d"))
+    near = members.join(c, cluster).select(cluster, key, "size", F.round(F.sqrt(sq), 8).alias("d"))
     best = near.groupBy(cluster).agg(F.first("size").alias("size"), F.min_by(key, F.struct("d", key)).alias("representative"))
     rn = F.row_number().over(Window.partitionBy(cluster).orderBy(key))
     first = members.select(cluster, key).withColumn("_rn", rn).filter(F.col("_rn") <= list_size)
@@ -49,4 +47,4 @@ def representatives(members: DataFrame, cluster: str, key: str, vector: str, dim
 
 def propagate_labels(members: DataFrame, labelled: DataFrame, cluster: str) -> DataFrame:
     """Label of each cluster's representative to all its members."""
-    return members.join(F.broadcast(labelled), cluster, "left")
+    return members.join(labelled, cluster, "left")

@@ -120,7 +120,7 @@ def signal_recall(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def top_bar(results: DataFrame, height: int, fraction: float = 0.16) -> DataFrame:
     """Digits of texts that lie wholly above ``fraction`` of the image; a text without a box counts
-    as lying at (0, 0)."""
+    as lying at (0, 0). Numbers past the type are dropped."""
     ys = F.transform("bbox", lambda p: p["y"])
     mean = lambda f: F.aggregate(
         "bbox", F.lit(0.0), lambda a, p: a + p[f], lambda a: a / F.size("bbox")
@@ -135,8 +135,9 @@ def top_bar(results: DataFrame, height: int, fraction: float = 0.16) -> DataFram
             "frame_id",
             F.when(boxed, mean("x")).otherwise(0.0).alias("cx"),
             F.when(boxed, mean("y")).otherwise(0.0).alias("cy"),
-            F.col("digits").cast("bigint").alias("value"),
+            F.col("digits").try_cast("bigint").alias("value"),
         )
+        .filter("value IS NOT NULL")
     )
 
 
@@ -159,7 +160,7 @@ def resource_status(frames: DataFrame, numbers: DataFrame, storage: dict[str, in
 
 
 def spoken_resources(frames: DataFrame, results: DataFrame) -> DataFrame:
-    """Amounts from texts that name a resource; the last text per resource wins, 0 if none."""
+    """Amounts from texts that name a resource; the last text per resource wins, 0 if none or past the type."""
     low = F.lower("text")
     kind = (
         F.when(low.contains("gold") | F.col("text").contains("金币"), "gold")
@@ -170,7 +171,7 @@ def spoken_resources(frames: DataFrame, results: DataFrame) -> DataFrame:
     hits = results.withColumn("kind", kind).withColumn("digits", digits).filter("kind IS NOT NULL AND digits <> ''")
     names = ["gold", "elixir", "dark_elixir"]
     wide = hits.groupBy("frame_id").agg(
-        *[F.max_by(F.col("digits").cast("bigint"), F.when(F.col("kind") == n, F.col("det_no"))).alias(n) for n in names]
+        *[F.max_by(F.col("digits").try_cast("bigint"), F.when(F.col("kind") == n, F.col("det_no"))).alias(n) for n in names]
     )
     return frames.select("frame_id").join(wide, "frame_id", "left").select(
         "frame_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]

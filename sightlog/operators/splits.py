@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGE_ROWS = 50_000  # rows that may be ranked in one task
-MAX_DIGITS = 5  # about a million buckets per stratum at most
+LEVELS = (3, 8)  # hex digits of the hash; eight leave one row in four billion to a range
 
 
 def hash_key(seed: int | str, *cols: str) -> Column:
@@ -29,33 +27,29 @@ def lowest_by_hash(
 ) -> DataFrame:
     """Mark the ``take`` rows with the smallest hash in each stratum (``take`` may use ``n``).
 
-    Radix selection: count rows per hash prefix, find the prefix in which the
-    cumulated count passes ``take``, and rank only the rows of that one prefix. The prefix is
-    as long as the largest stratum needs for about ``EDGE_ROWS`` rows per prefix.
+    Radix selection in fixed levels: rows are counted per hash prefix, and only the rows of the prefix in which the cumulated
+    count reaches ``take`` go on to the next, longer prefix; the few that are left are ranked. That gives one cut per
+    stratum, and a last pass compares each row with it. Rows with equal keys stay together.
     """
     strata = list(strata)
-    largest = df.groupBy(*strata).count().agg(F.max("count")).first()[0] or 0
-    digits = min(MAX_DIGITS, max(1, math.ceil(math.log(max(1, largest / EDGE_ROWS), 16))))
-    h = df.withColumn("_h", hash_key(seed, *key_cols)).withColumn("_b", F.substring("_h", 1, digits))
-    counts = h.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    h = df.withColumn("_h", hash_key(seed, *key_cols))
+    place = F.struct("_h", *key_cols)
+    rows, wanted = h.select(*strata, "_h", *[c for c in key_cols if c not in strata]), None
     w = Window.partitionBy(*strata).orderBy("_b")
-    edges = (
-        counts.withColumn("n", F.sum("_c").over(Window.partitionBy(*strata)))
-        .withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
-        .withColumn("_take", take)
-        .withColumn(
-            "_kind",
-            F.when(F.col("_before") + F.col("_c") <= F.col("_take"), F.lit(1))
-            .when(F.col("_before") >= F.col("_take"), F.lit(0)),
-        )
-        .withColumn("_left", F.col("_take") - F.col("_before"))
-        .select(*strata, "_b", "_kind", "_left")
-    )
-    marked = h.join(edges, strata + ["_b"])
-    clear = marked.filter("_kind IS NOT NULL").withColumn(name, F.col("_kind") == 1)
-    rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", *key_cols))
-    edge = marked.filter("_kind IS NULL").withColumn(name, rank <= F.col("_left"))
-    return clear.unionByName(edge).drop("_h", "_b", "_kind", "_left")
+    for digits in LEVELS:
+        rows = rows.withColumn("_b", F.substring("_h", 1, digits))
+        if wanted is None:
+            counts = rows.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+            counts = counts.withColumn("n", F.sum("_c").over(Window.partitionBy(*strata))).withColumn("_take", take)
+        else:
+            counts = rows.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_left").alias("_take"))
+        before = F.sum("_c").over(w) - F.col("_c")
+        wanted = counts.select(*strata, "_b", (F.col("_take") - before).alias("_left"), "_c").filter("_left > 0 AND _left <= _c")
+        rows = rows.drop("_left").join(wanted.drop("_c"), strata + ["_b"])
+    rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy(place))
+    cut = rows.withColumn("_rank", rank).filter("_rank = _left").select(*strata, place.alias("_cut"))
+    marked = h.join(cut, strata, "left") if strata else h.crossJoin(cut.agg(F.first("_cut").alias("_cut")))
+    return marked.withColumn(name, F.coalesce(place <= F.col("_cut"), F.lit(False))).drop("_h", "_cut")
 
 
 def split_whole(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:

@@ -84,12 +84,12 @@ def findings_by_rule(spark, sf):
 
 @query("au2_format_arguments", f"SELECT * FROM ({C_EXPECT}) WHERE rule_id = 'c-format-string'")
 def format_arguments(spark, sf):
-    return au.syntax_findings(c_files(spark, sf)).filter("rule_id = 'c-format-string'")
+    return au.format_arguments(c_files(spark, sf))
 
 
 @query("au3_memory_rules", f"SELECT * FROM ({C_EXPECT}) WHERE rule_id <> 'c-format-string'")
 def memory_rules(spark, sf):
-    return au.syntax_findings(c_files(spark, sf)).filter("rule_id <> 'c-format-string'")
+    return au.memory_findings(c_files(spark, sf))
 
 
 rules(
@@ -181,12 +181,6 @@ def file_discovery(spark, sf):
     "SELECT o_orderkey, [CAST(o_custkey AS VARCHAR), ' f(a, \"x)\", b)', ' ' || o_orderstatus] AS args FROM orders",
 )
 def call_arguments(spark, sf):
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "args": [au.split_args(t) for t in pdf["rest"]]})
-
     rest = F.concat(F.col("o_custkey"), F.lit(', f(a, "x)", b), '), F.col("o_orderstatus"), F.lit("); next(1, 2)"))
     o = src.table(spark, sf, "orders").select("o_orderkey", rest.alias("rest"))
-    return o.mapInPandas(run, "o_orderkey BIGINT, args ARRAY<STRING>")
+    return o.select("o_orderkey", au.call_arguments(F.col("rest")).alias("args"))

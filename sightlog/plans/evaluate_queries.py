@@ -197,13 +197,13 @@ def bar_texts(spark, sf):
     return src.ocr_results(spark, sf).withColumn("bbox", F.when(F.col("det_no") % 10 != 0, F.col("bbox")))
 
 
-@query("fi8_top_bar_numbers", f"WITH {BAR} SELECT frame_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, CAST(digits AS BIGINT) AS value FROM bar", "ocr")
+@query("fi8_top_bar_numbers", f"WITH {BAR} SELECT frame_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, TRY_CAST(digits AS BIGINT) AS value FROM bar WHERE TRY_CAST(digits AS BIGINT) IS NOT NULL", "ocr")
 def top_bar_numbers(spark, sf):
     return ev.top_bar(bar_texts(spark, sf), H)
 
 
 STORE = {"gold": 900, "elixir": 700, "dark_elixir": 500}
-STATUS = f"""WITH {BAR}, r AS (SELECT frame_id, CAST(digits AS BIGINT) AS v, row_number() OVER (PARTITION BY frame_id ORDER BY cx, cy, CAST(digits AS BIGINT)) AS rn FROM bar),
+STATUS = f"""WITH {BAR}, r AS (SELECT frame_id, TRY_CAST(digits AS BIGINT) AS v, row_number() OVER (PARTITION BY frame_id ORDER BY cx, cy, TRY_CAST(digits AS BIGINT)) AS rn FROM bar WHERE TRY_CAST(digits AS BIGINT) IS NOT NULL),
 w AS (SELECT f.frame_id, count(rn) FILTER (rn <= 3) AS detected, coalesce(max(v) FILTER (rn = 1), 0) AS gold, coalesce(max(v) FILTER (rn = 2), 0) AS elixir,
   coalesce(max(v) FILTER (rn = 3), 0) AS dark_elixir FROM frames f LEFT JOIN r USING (frame_id) GROUP BY 1),
 st AS (SELECT frame_id, CAST(detected AS BIGINT) AS detected, gold, elixir, dark_elixir, detected >= 1 AND gold >= 900 AS gold_full,
@@ -232,7 +232,7 @@ def resource_full_flags(spark, sf):
     """WITH t AS (SELECT frame_id, det_no, regexp_extract(replace(replace(text, ',', ''), ' ', ''), '([0-9]+)', 1) AS d,
   CASE WHEN contains(lower(text), 'gold') OR contains(text, '金币') THEN 'gold' WHEN contains(lower(text), 'elixir') OR contains(text, '圣水') THEN 'elixir'
     WHEN contains(lower(text), 'dark') OR contains(text, '黑油') THEN 'dark' END AS k FROM ocr),
-h AS (SELECT frame_id, det_no, CAST(d AS BIGINT) AS v, k FROM t WHERE k IS NOT NULL AND d <> '')
+h AS (SELECT frame_id, det_no, TRY_CAST(d AS BIGINT) AS v, k FROM t WHERE k IS NOT NULL AND d <> '')
 SELECT f.frame_id, coalesce(arg_max(v, det_no) FILTER (k = 'gold'), 0) AS gold, coalesce(arg_max(v, det_no) FILTER (k = 'elixir'), 0) AS elixir,
   coalesce(arg_max(v, det_no) FILTER (k = 'dark'), 0) AS dark_elixir FROM frames f LEFT JOIN h USING (frame_id) GROUP BY f.frame_id""",
     "ocr frames",

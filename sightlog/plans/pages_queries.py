@@ -211,12 +211,10 @@ def safe_name(spark, sf):
 
 @query(
     "fn1_first_integer",
-    "SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '[0-9]{1,9}', 0), '') AS BIGINT) AS first_number FROM documents",
+    "SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '[0-9]+', 0), '') AS BIGINT) AS first_number FROM documents",
 )
 def first_integer(spark, sf):
-    # long digit runs are cut to nine digits on both sides, so that they fit the type
-    d = src.table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "([0-9]{1,9})", 1).alias("t"))
-    return d.select("doc_id", tx.first_int(F.col("t")).alias("first_number"))
+    return src.table(spark, sf, "documents").select("doc_id", tx.first_int(F.col("text")).alias("first_number"))
 
 
 @query(

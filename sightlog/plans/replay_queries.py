@@ -182,18 +182,22 @@ def frame_filter(spark, sf):
 
 @query(
     "sc12_stride_sample",
-    """WITH r AS (SELECT o_orderkey AS frame_id, row_number() OVER (ORDER BY lpad(o_orderkey::VARCHAR, 12, '0')) - 1 AS rn, count(*) OVER () AS n FROM orders),
+    """WITH r AS (SELECT o_orderkey AS frame_id, row_number() OVER (ORDER BY lpad(o_orderkey::VARCHAR, 20, '0')) - 1 AS rn, count(*) OVER () AS n FROM orders),
 i AS (SELECT DISTINCT CAST(floor(i * (SELECT count(*) FROM orders) / 200) AS BIGINT) AS rn FROM range(200) t(i))
-SELECT frame_id, CAST(rn AS BIGINT) AS pos FROM r WHERE n <= 200 OR rn IN (SELECT rn FROM i)""",
+SELECT frame_id, CAST(rn AS BIGINT) AS pos FROM r WHERE rn IN (SELECT rn FROM i)""",
 )
 def stride_sample(spark, sf):
-    frames = src.frames(spark, sf).select("frame_id", F.lpad(F.col("frame_id").cast("string"), 12, "0").alias("path"))
-    ranked = global_rank(frames, ["path"], "rn")
-    n, cap = ranked.count(), 200
-    wanted = spark.range(cap).select(F.floor(F.col("id") * F.lit(n) / F.lit(cap)).alias("pos")).distinct()
-    ranked = ranked.withColumn("pos", F.col("rn") - 1)
-    kept = ranked if n <= cap else ranked.join(F.broadcast(wanted), "pos", "left_semi")
-    return kept.select("frame_id", "pos")
+    # wide enough for any BIGINT, so text order is the order of numbers
+    frames = src.frames(spark, sf).select("frame_id", F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("path"))
+    ranked = global_rank(frames, ["path"], "rn").withColumn("pos", F.col("rn") - 1)
+    return stride_sample_of(ranked, frames.agg(F.count("*").alias("n")), 200)
+
+
+def stride_sample_of(ranked, total, cap):
+    """Rows at ``cap`` even steps of ``pos``; all rows, if there are no more. ``total`` is one row (n)."""
+    steps = ranked.sparkSession.range(cap).crossJoin(total)
+    wanted = steps.select(F.floor(F.col("id") * F.col("n") / F.lit(cap)).alias("pos")).distinct()
+    return ranked.join(F.broadcast(wanted), "pos", "left_semi").select("frame_id", "pos")
 
 
 # --- ledger and arbitration -------------------------------------------------------------------------

@@ -88,14 +88,14 @@ NEEDS = {
 
 
 def expand_r6(sql: str) -> str:
-    """``r6(x)`` stands for x as six-decimal text and back: exact rounding in any engine."""
+    """``r6(x)`` stands for x rounded to six decimals, halves to even, by the same two operations in any engine."""
     while "r6(" in sql:
         i = sql.index("r6(")
         depth, j = 1, i + 3
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[j], 0)
             j += 1
-        sql = f"{sql[:i]}CAST(printf('%.6f', CAST({sql[i + 3:j - 1]} AS DOUBLE)) AS DOUBLE){sql[j:]}"
+        sql = f"{sql[:i]}(round_even(CAST({sql[i + 3:j - 1]} AS DOUBLE) * 1e6, 0) / 1e6){sql[j:]}"
     return sql
 
 

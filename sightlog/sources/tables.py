@@ -16,29 +16,9 @@ from sightlog import vocab
 CANVAS = (1280, 720)
 
 
-# tables that grow; the others are dimensions of a few rows
-GROWING = {"lineitem", "orders", "events", "documents", "pages", "conversations", "part", "customer", "embeddings"}
-
-
-_splits: dict[tuple[str, str], int] = {}  # number of scan tasks per application and path, a hint only
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with at least one partition per core if it is one that grows.
-
-    A file of one row group is one task, which would run the whole stage on one core. Input with
-    enough splits, as on a cluster, passes through unchanged; filters and column pruning reach
-    the scan in both cases.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name not in GROWING:
-        return df
-    sc = spark.sparkContext
-    key = (sc.applicationId, path)
-    if key not in _splits:
-        _splits[key] = df.rdd.getNumPartitions()
-    return df.repartition(sc.defaultParallelism) if _splits[key] < sc.defaultParallelism else df
+    """A given table as it is stored; its number of tasks follows from its files and row groups."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

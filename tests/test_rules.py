@@ -125,19 +125,48 @@ def test_discovery(spark):
     assert {r.path for r in au.discover(df, include=["x.egg-info"], exclude=[]).collect()} == {"x.egg-info/y.c"}
 
 
-def test_split_args():
-    assert au.split_args('a, f(b, "c)"), d); x') == ["a", ' f(b, "c)")', " d"]
-    assert au.split_args("") == [] and au.split_args(")") == []
+def test_call_arguments(spark):
+    texts = ['a, f(b, "c)"), d); x', "", ")", "a, b", 'x, "open', "(((a, b))), c)"]
+    rows = spark.createDataFrame([(t,) for t in texts], "rest STRING").select(au.call_arguments(F.col("rest"))).collect()
+    assert [r[0] for r in rows] == [["a", ' f(b, "c)")', " d"], [], [], ["a"], ["x"], ["(((a, b)))", " c"]]
 
 
-def test_c_rules():
+def findings(spark, source, language):
+    files = spark.createDataFrame([("f", language, source)], "path STRING, language STRING, content STRING")
+    return sorted(tuple(r)[1:] for r in au.audit(files).collect())
+
+
+def test_c_rules(spark):
     source = "int f(void) {\n  char *a = malloc(1);\n  char *b = malloc(1);\n  free(a);\n  use(a);\n  free(b);\n  free(b);\n}\n"
-    assert sorted(au.scan_c(source)) == [("c-double-free", "CRITICAL", 7, 2), ("c-memory-leak", "MEDIUM", 2, 0), ("c-use-after-free", "CRITICAL", 5, 0)]
+    assert findings(spark, source, "c/c++") == [
+        ("c-double-free", "CRITICAL", 7, 2), ("c-memory-leak", "MEDIUM", 2, 0), ("c-use-after-free", "CRITICAL", 5, 0)
+    ]
+
+
+def test_c_functions_and_renewal(spark):
+    # a nested block, a header-like line inside, a renewed pointer, two frees in a line, an open end
+    source = (
+        "int f(int n) {\n  p = malloc(1);\n  if (n) {\n    free(p);\n  }\n  else if (x) {\n    p = malloc(2);\n  }\n}\n"
+        "free(p); free(p);\nvoid g(void) {\n  q = strdup(s); free(q); free(q);\n  r = malloc(3);\n"
+    )
+    assert findings(spark, source, "c/c++") == [("c-double-free", "CRITICAL", 12, 26), ("c-memory-leak", "MEDIUM", 2, 0)]
 
 
-def test_python_rules_scope():
+def test_lines_are_counted_alike(spark):
+    source = "int a;\x0cint b;\r\ngets(x);\nprintf(u);\rvoid f(void) {\n  char *z = malloc(3);\n}\n"
+    assert findings(spark, source, "c/c++") == [("c-format-string", "HIGH", 4, 0), ("c-memory-leak", "MEDIUM", 6, 0), ("c-unsafe-api-gets", "CRITICAL", 3, 0)]
+
+
+def test_python_rules_scope(spark):
     source = "import os as o\no.system('x')\ndef f():\n    h = open('a')\n    with open('b') as h:\n        pass\nasync def g():\n    k = open('a')\n"
-    assert list(au.scan_python(source)) == [("python-dangerous-os-system", "CRITICAL", 2, 0), ("python-resource-leak", "MEDIUM", 7, 0)]
+    assert findings(spark, source, "python") == [("python-dangerous-os-system", "CRITICAL", 2, 0), ("python-resource-leak", "MEDIUM", 7, 0)]
+
+
+def test_deep_sources_are_findings(spark):
+    assert [f[0] for f in findings(spark, "x = " + "(" * 5000 + ")" * 5000, "python")] == ["python-syntax-error"]
+    chain = findings(spark, "x = " + "+".join(["eval(1)"] * 3000), "python")
+    assert {f[0] for f in chain} <= {"python-dangerous-eval", "python-syntax-error"} and chain
+    assert findings(spark, None, "python") == [("audit-read-error", "INFO", 0, 0)]
 
 
 def test_gate_limits(spark):

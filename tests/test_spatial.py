@@ -12,7 +12,7 @@ def points(rnd, n):
     return [(1 if rnd.random() < 0.6 else rnd.randint(2, 5), rnd.randint(0, 300), rnd.randint(0, 200)) for _ in range(n)]
 
 
-def test_nearest_with_and_without_rings(spark, monkeypatch):
+def test_nearest_with_and_without_rings(spark):
     rnd = random.Random(1)
     left, right = points(rnd, 120), points(rnd, 80)
     l = spark.createDataFrame(left, "f INT, x INT, y INT")
@@ -23,9 +23,8 @@ def test_nearest_with_and_without_rings(spark, monkeypatch):
         near = [v for v in near if v[0] <= 60 * 60]
         if near:
             want[f, x, y] = min(near)
-    for crowded in (10_000, 0):
-        monkeypatch.setattr(sp, "CROWDED", crowded)
-        got = {(q.f, q.x, q.y): (q.d2, q.py, q.px) for q in sp.nearest(l, r, ["f"], 60, (10, 25)).collect()}
+    for rings in ((), (10, 25)):
+        got = {(q.f, q.x, q.y): (q.d2, q.py, q.px) for q in sp.nearest(l, r, ["f"], 60, rings).collect()}
         assert got == want
 
 
