@@ -120,3 +120,11 @@ def first_writer_wins(parts: list[DataFrame], key: list[str]) -> DataFrame:
     payload = [c for c in union.columns if c not in key]
     first = union.groupBy(*key).agg(F.min_by(F.struct(*payload), "part_no").alias("_p"))
     return first.select(*key, *[F.col("_p")[c].alias(c) for c in payload])
+
+
+def images_with_labels(images: DataFrame, labels: DataFrame, stem: str) -> DataFrame:
+    """Images with their label file by (``stem``, ``source``); of images with one name the first source that has both wins."""
+    both = images.join(labels, [stem, "source"])
+    rest = [c for c in both.columns if c not in (stem, "source")]
+    first = both.groupBy(stem).agg(F.min_by(F.struct("source", *rest), "source").alias("_first"))
+    return first.select(stem, "_first.*")

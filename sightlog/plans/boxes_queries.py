@@ -407,17 +407,23 @@ def source_merge(spark, sf):
     return m.select("frame_id", "class_id", "det_no")
 
 
+RAN = "((source = 'ocr' AND frame_id % 5 <> 0) OR (source = 'llm' AND frame_id % 3 <> 0))"
+
+
 @query(
     "pr21_frame_label",
-    f"""WITH {MERGED}
+    f"""WITH {MERGED.replace("WHERE source IN ('ocr', 'llm')", "WHERE " + RAN)}
 SELECT f.frame_id, CAST(count(m.det_no) AS BIGINT) AS n_boxes, CAST(count(*) FILTER (d.source = 'ocr') AS BIGINT) AS n_ocr,
-  CAST(count(*) FILTER (d.source = 'llm') AS BIGINT) AS n_llm, ['ocr', 'llm'] AS sources, any_value(t.expected_state) AS state
-FROM frames f JOIN truth t USING (frame_id) LEFT JOIN det d ON d.frame_id = f.frame_id AND d.source IN ('ocr', 'llm')
+  CAST(count(*) FILTER (d.source = 'llm') AS BIGINT) AS n_llm, list_filter(['ocr', 'llm'], lambda s: CASE s WHEN 'ocr' THEN f.frame_id % 5 <> 0 ELSE f.frame_id % 3 <> 0 END) AS sources,
+  CASE WHEN f.frame_id % 3 <> 0 THEN any_value(t.expected_state) END AS state
+FROM frames f JOIN truth t USING (frame_id) LEFT JOIN det d ON d.frame_id = f.frame_id AND {RAN.replace('source', 'd.source').replace('frame_id', 'd.frame_id')}
 LEFT JOIN m ON m.frame_id = d.frame_id AND m.det_no = d.det_no GROUP BY f.frame_id""",
     "det frames truth",
 )
 def frame_label(spark, sf):
-    d = src.detections(spark, sf)
+    # which source ran on a frame is known from the run, whether it found boxes or not
+    frames = src.frames(spark, sf).select("frame_id", (F.col("frame_id") % 5 != 0).alias("ocr"), (F.col("frame_id") % 3 != 0).alias("llm"))
+    d = src.detections(spark, sf).filter(RAN)
     merged = bx.merge_sources(d, ["frame_id", "class_id"], "det_no", "ocr", "llm")
     n = merged.groupBy("frame_id").agg(lb.count_rows("n_boxes"))
     raw = d.groupBy("frame_id").agg(
@@ -425,9 +431,12 @@ def frame_label(spark, sf):
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (
-        src.frames(spark, sf).select("frame_id").join(raw, "frame_id", "left").join(n, "frame_id", "left")
+        frames.join(raw, "frame_id", "left").join(n, "frame_id", "left")
         .join(src.ground_truth(spark, sf).select("frame_id", F.col("expected_state").alias("state")), "frame_id")
-        .select("frame_id", zero("n_boxes"), zero("n_ocr"), zero("n_llm"), F.array(F.lit("ocr"), F.lit("llm")).alias("sources"), "state")
+        .select(
+            "frame_id", zero("n_boxes"), zero("n_ocr"), zero("n_llm"),
+            F.array_compact(F.array(F.when(F.col("ocr"), "ocr"), F.when(F.col("llm"), "llm"))).alias("sources"), F.when(F.col("llm"), F.col("state")).alias("state"),
+        )
     )
 
 
@@ -540,13 +549,21 @@ def button_conversion(spark, sf):
 
 @query(
     "jo1_image_label_join",
-    """SELECT frame_id, any_value(split) AS split, CAST(min(det_no) AS BIGINT) AS first_label, CAST(count(*) AS BIGINT) AS n_lines
-FROM frames JOIN det USING (frame_id) GROUP BY frame_id""",
+    """WITH copies AS (SELECT frame_id, split, 0 AS source FROM frames UNION ALL SELECT frame_id, 'copy', 1 FROM frames WHERE frame_id % 4 = 0),
+lab AS (SELECT frame_id, CASE WHEN frame_id % 8 = 0 THEN 1 ELSE 0 END AS source, CAST(min(det_no) AS BIGINT) AS first_label, CAST(count(*) AS BIGINT) AS n_lines FROM det GROUP BY 1
+  UNION ALL SELECT frame_id, 1, CAST(min(det_no) AS BIGINT), CAST(count(*) AS BIGINT) FROM det WHERE frame_id % 12 = 0 AND frame_id % 8 <> 0 GROUP BY 1),
+j AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY source) AS k FROM copies JOIN lab USING (frame_id, source))
+SELECT frame_id, split, source, first_label, n_lines FROM j WHERE k = 1""",
     "det frames",
 )
 def image_label_join(spark, sf):
-    per = src.detections(spark, sf).groupBy("frame_id").agg(F.min("det_no").alias("first_label"), lb.count_rows("n_lines"))
-    return src.frames(spark, sf).select("frame_id", "split").join(per, "frame_id")
+    # two folders hold images of one name; every eighth label file lies in the second folder, some lie in both
+    fid = F.col("frame_id")
+    frames = src.frames(spark, sf).select("frame_id", "split")
+    copies = frames.withColumn("source", F.lit(0)).union(frames.filter(fid % 4 == 0).select("frame_id", F.lit("copy"), F.lit(1)))
+    per = src.detections(spark, sf).groupBy("frame_id").agg(F.min("det_no").cast("bigint").alias("first_label"), lb.count_rows("n_lines"))
+    own = F.when(fid % 8 == 0, F.array(F.lit(1))).when(fid % 12 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return lb.images_with_labels(copies, per.withColumn("source", F.explode(own)), "frame_id").select("frame_id", "split", "source", "first_label", "n_lines")
 
 
 @query(

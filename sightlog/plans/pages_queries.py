@@ -142,16 +142,16 @@ def image_owner(spark, sf):
 
 @query(
     "jo9_paragraph_heading",
-    """WITH b AS (SELECT page_id, unnest(string_split(regexp_replace(html, '(<h[1-6]>)', chr(1) || '\\1', 'g'), chr(1))) AS block FROM pages),
-h AS (SELECT page_id, regexp_extract(block, '^<h[1-6]>([^<]*)', 1) AS heading, len(regexp_extract_all(block, '<p>')) AS n FROM b)
-SELECT page_id, heading, CAST(sum(n) AS BIGINT) AS n_paragraphs FROM h GROUP BY ALL HAVING sum(n) > 0""",
+    """WITH b AS (SELECT page_id, unnest(string_split(regexp_replace(html, '(<h[1-6]>)', chr(1) || '\\1', 'g'), chr(1))) AS block,
+  generate_subscripts(string_split(regexp_replace(html, '(<h[1-6]>)', chr(1) || '\\1', 'g'), chr(1)), 1) - 1 AS heading_no FROM pages),
+h AS (SELECT page_id, heading_no, regexp_extract(block, '^<h[1-6]>([^<]*)', 1) AS heading, len(regexp_extract_all(block, '<p>')) AS n FROM b)
+SELECT page_id, CAST(heading_no AS INT) AS heading_no, heading, CAST(n AS BIGINT) AS n_paragraphs FROM h WHERE n > 0""",
 )
 def paragraph_heading(spark, sf):
     b = ct.blocks(src.table(spark, sf, "pages").select("page_id", "html"), "html", "<h[1-6]>", "pos", "block")
     n = F.size(F.regexp_extract_all("block", F.lit("(<p>)"), F.lit(1)))
-    return b.select("page_id", F.regexp_extract("block", "^<h[1-6]>([^<]*)", 1).alias("heading"), n.alias("n")).groupBy(
-        "page_id", "heading"
-    ).agg(F.sum("n").alias("n_paragraphs")).filter("n_paragraphs > 0")
+    heading = F.regexp_extract("block", "^<h[1-6]>([^<]*)", 1).alias("heading")
+    return b.select("page_id", F.col("pos").cast("int").alias("heading_no"), heading, n.cast("bigint").alias("n_paragraphs")).filter("n_paragraphs > 0")
 
 
 @query(
@@ -291,7 +291,8 @@ def category_trim(spark, sf):
 
 IMAGES = f"""img AS (SELECT i.p_partkey::VARCHAR AS id, p.p_name AS name, p.p_type AS section, TRY_CAST(nullif(regexp_extract(level, '[0-9]+', 0), '') AS BIGINT) AS level, concat('h_', p_size % 4, '/', src) AS path
   FROM ({OWNED}) i JOIN part p USING (p_partkey)),
-kept AS (SELECT * FROM img WHERE level IS NOT NULL AND NOT (path LIKE '%/c.png' AND id::BIGINT % 3 = 0))"""
+listing AS (SELECT DISTINCT path FROM img WHERE path NOT IN ('h_1/c.png', 'h_3/c.png')),
+kept AS (SELECT * FROM img WHERE level IS NOT NULL AND path IN (SELECT path FROM listing))"""
 
 
 def item_records(spark, sf):
@@ -310,10 +311,16 @@ def item_records(spark, sf):
 
 def catalogue(spark, sf, sections=None):
     items = item_records(spark, sf).select(F.from_json("json", ct.ITEM_SCHEMA).alias("r")).select("r.*")
-    img = ct.catalogue_images(items, sections, None)
-    # files that exist: the third image of every third item was never downloaded
-    missing = F.col("path").endswith("/c.png") & (F.col("id").cast("bigint") % 3 == 0)
-    return img.filter(~missing)
+    return ct.catalogue_images(items, sections, stored_images(spark, sf))
+
+
+def stored_images(spark, sf):
+    """The listing of image files: two folders lack their third image."""
+    folder = F.concat(F.lit("h_"), F.col("p_size") % 4)
+    folders = src.table(spark, sf, "part").select(folder.alias("folder")).distinct()
+    owned = ct.image_groups(detail_pages(spark, sf), ["p_partkey"]).select("src").distinct()
+    paths = folders.join(owned).select(F.concat_ws("/", "folder", "src").alias("path"))
+    return paths.filter(~F.col("path").isin("h_1/c.png", "h_3/c.png"))
 
 
 @query(

@@ -55,7 +55,7 @@ def counter_stream(spark, sf):
 
 @query(
     "st8_session_stream",
-    """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM steps WINDOW w AS (PARTITION BY session_id ORDER BY event_id)),
+    """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM steps WINDOW w AS (PARTITION BY session_id ORDER BY event_id)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY event_id) AS run FROM s),
 a AS (SELECT session_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS closed, CAST(count(*) AS BIGINT) AS total_steps, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS executed,
   CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS corrected FROM i GROUP BY session_id, run)
