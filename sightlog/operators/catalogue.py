@@ -245,7 +245,7 @@ def call_tables(pages: DataFrame, key: str, text: str) -> DataFrame:
     return pages.select(key, text).mapInPandas(run, f"{key} {kind}, table_no INT, {TABLE_SCHEMA}")
 
 
-def trim_category(details: DataFrame, tab: str = "英雄", arrays=("building_num", "timeline", "images")) -> DataFrame:
+def trim_category(details: DataFrame, tab: str = "英雄", arrays=("image_groups", "tables", "timeline", "building_num", "notes")) -> DataFrame:
     """Child arrays of one category are emptied."""
     def emptied(c):
         return F.when(F.col("tab") == tab, F.slice(F.col(c), 1, 0)).otherwise(F.col(c))

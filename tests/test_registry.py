@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sightlog.plans import all_queries, reference_sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -11,8 +12,9 @@ SAMPLE = ["ag8_signal_recall", "pr2_normalised_box", "jo8_source_merge", "wi1_hy
 
 
 def test_every_reference_query_has_a_spark_query():
-    queries, sql = entry.queries(), entry.oracle_sql()
+    queries, sql = all_queries(), reference_sql()
     assert set(sql) <= set(queries) and len(queries) >= 200
+    assert set(queries) <= set(entry.queries()) and set(sql) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries) - set(sql) == {"st5_target_rotation", "ag19_kmeans_clusters"}
 
 
