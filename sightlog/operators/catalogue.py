@@ -115,7 +115,7 @@ def detail_fields(pages: DataFrame, text: str = "text", images: str = IMAGES) ->
         .withColumns({
             "item_id": tx.link_id(F.col("link")),
             "name": tx.first_filled(fm("navTitle"), fm("shownTitle"), fm("title")),
-            "title": fm("title"), "description": fm("description"), "module": fm("module"), "img_folder": fm("imgFolder"),
+            "title": fm("title"), "description": fm("description"), "module": fm("module"), "canonical": fm("canonical"), "wiki": fm("wiki"), "img_folder": fm("imgFolder"),
             "info_url": F.when(info != "", F.concat(F.lit(f"{images}/"), fm("imgFolder"), F.lit("/"), info)),
             "building_num": pairs(t, NUMBER, "title", "num"),
             "properties": pairs(t, PROPERTY, "key", "value"),
@@ -184,6 +184,34 @@ def tables(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     )
 
 
+def detail_records(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Whole detail records: the fields of ``detail_fields`` and the nested image groups, tables and notes, in page order.
+
+    ``key`` names a page; each list is gathered for its page alone.
+    """
+
+    def listed(rows: DataFrame, order: list[str], value: list[str], out: str) -> DataFrame:
+        found = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *value))).alias("_l"))
+        one = (lambda e: e[value[0]]) if len(value) == 1 else (lambda e: F.struct(*[e[v].alias(v) for v in value]))
+        return found.select(key, F.transform("_l", one).alias(out))
+
+    images = image_groups(pages, [key], text).groupBy(key, "group_no", "fallback", "group").agg(
+        F.array_sort(F.collect_list(F.struct("image_no", "level", "src"))).alias("_i")
+    )
+    images = images.withColumn("images", F.transform("_i", lambda i: F.struct(i["level"].alias("level"), i["src"].alias("src"))))
+    parts = [
+        listed(images, ["fallback", "group_no"], ["group", "images"], "image_groups"),
+        listed(tables(pages, [key], text), ["block_no", "table_no"], ["label", "headers", "rows"], "tables"),
+        listed(notes(pages, [key], text), ["line_no"], ["note"], "notes"),
+    ]
+    out = detail_fields(pages, text)
+    for part in parts:
+        name = part.columns[-1]
+        empty = F.array().cast(part.schema[name].dataType)
+        out = out.join(part, key, "left").withColumn(name, F.coalesce(F.col(name), empty))
+    return out
+
+
 TABLE_SCHEMA = "label STRING, headers ARRAY<STRING>, rows ARRAY<ARRAY<STRING>>"
 
 

@@ -45,7 +45,7 @@ def live_index_extract(spark, sf):
     return ct.index_items(pages, live=True).select("p_partkey", "tab", "section", "item_id", "name", "link")
 
 
-DETAIL_TEXT = """concat('\ufeff---\ntitle: "T ', p_name, '"\nnavTitle: ', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, '\nimgFolder: h_', p_size % 4, '\nmodule: ', p_type, '\nbad line\n---\n',
+DETAIL_TEXT = """concat('\ufeff---\ntitle: "T ', p_name, '"\nnavTitle: ', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, '\nimgFolder: h_', p_size % 4, '\nmodule: ', p_type, '\ncanonical: /u/', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('\nwiki: https://wiki.example/', p_size) ELSE '' END, '\nbad line\n---\n',
  '<UnitInfo a="1" imgSrc="info', p_size, '.png">\n', CASE WHEN p_partkey % 4 = 0 THEN '<UnitImg imgTitle="0 级" imgSrc="pre.png">\n' ELSE '' END,
  '<UnitImgGroup title="', p_type, '">\n<UnitImg imgTitle="', p_size, ' 级" imgSrc="a', p_size, '.png"><UnitImg imgTitle="建造中" imgSrc="b.png">\n<unitimggroup cols="2">\n<UnitImg imgTitle="1 - 2 级" imgSrc="c.png">\n',
  '<BuildingNumRow title="TH', p_size % 9, '" num="', p_size, '">\n<UnitProperty pKey="brand" pValue="', p_brand, '"><UnitProperty x pKey="size" pValue="', p_size, '">\n',
@@ -64,10 +64,10 @@ def detail_pages(spark, sf):
 @query(
     "pg2_detail_extract",
     """SELECT p_partkey, p_partkey::VARCHAR AS item_id, CASE WHEN p_partkey % 3 = 0 THEN 'T ' || p_name ELSE p_name END AS name, 'T ' || p_name AS title, p_type AS module,
-  'h_' || p_size % 4 AS img_folder, concat('https://images.example/h_', p_size % 4, '/info', p_size, '.png') AS info_url FROM part""",
+  'h_' || p_size % 4 AS img_folder, '/u/' || p_partkey AS canonical, CASE WHEN p_partkey % 2 = 0 THEN 'https://wiki.example/' || p_size ELSE '' END AS wiki, concat('https://images.example/h_', p_size % 4, '/info', p_size, '.png') AS info_url FROM part""",
 )
 def detail_extract(spark, sf):
-    return ct.detail_fields(detail_pages(spark, sf)).select("p_partkey", "item_id", "name", "title", "module", "img_folder", "info_url")
+    return ct.detail_fields(detail_pages(spark, sf)).select("p_partkey", "item_id", "name", "title", "module", "img_folder", "canonical", "wiki", "info_url")
 
 
 @query(
@@ -174,7 +174,7 @@ def clean_cell(spark, sf):
 
 @query(
     "fn5_front_matter",
-    "SELECT p_partkey, 'T ' || p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS nav, 4 AS n_keys FROM part",
+    "SELECT p_partkey, 'T ' || p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS nav, CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 5 END AS n_keys FROM part",
 )
 def front_matter(spark, sf):
     d = detail_pages(spark, sf).withColumn("fm", tx.front_matter(F.col("text")))
@@ -278,12 +278,15 @@ def item_limit(spark, sf):
 
 @query(
     "pr18_category_trim",
-    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '英雄' ELSE '建筑' END AS tab, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS n_num, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS n_dates, 2 AS n_properties FROM part""",
+    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '英雄' ELSE '建筑' END AS tab, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS n_num, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS n_dates, 2 AS n_properties,
+  CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 END AS n_tables, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 END AS n_notes, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE n END AS n_groups
+  FROM part JOIN (SELECT p_partkey, CAST(count(DISTINCT (fallback, "group")) AS INT) AS n FROM (""" + OWNED + """) GROUP BY ALL) USING (p_partkey)""",
 )
 def category_trim(spark, sf):
-    d = ct.detail_fields(detail_pages(spark, sf)).withColumn("tab", F.expr("CASE WHEN p_partkey % 2 = 0 THEN '英雄' ELSE '建筑' END"))
+    d = ct.detail_records(detail_pages(spark, sf), "p_partkey").withColumn("tab", F.expr("CASE WHEN p_partkey % 2 = 0 THEN '英雄' ELSE '建筑' END"))
     return ct.trim_category(d).select(
-        "p_partkey", "tab", F.size("building_num").alias("n_num"), F.size("timeline").alias("n_dates"), F.size("properties").alias("n_properties")
+        "p_partkey", "tab", F.size("building_num").alias("n_num"), F.size("timeline").alias("n_dates"), F.size("properties").alias("n_properties"),
+        F.size("tables").alias("n_tables"), F.size("notes").alias("n_notes"), F.size("image_groups").alias("n_groups"),
     )
 
 

@@ -105,14 +105,19 @@ def retrain_extract(spark, sf):
 
 @query(
     "sk5_catalogue_records",
-    "SELECT p_partkey || '-' || p_brand AS link, p_type AS module, 2 AS n_properties, CAST(p_size AS VARCHAR) AS num FROM part",
+    f"""SELECT p_partkey || '-' || p_brand AS link, p_type AS module, 2 AS n_properties, CAST(p_size AS VARCHAR) AS num, '/u/' || p_partkey AS canonical,
+  ['升级 ' || p_size % 3, '其他'] AS labels, [['1', p_size::VARCHAR], ['2', 'a b']] AS cells, ['first ' || p_partkey, 'second note'] AS notes, n AS n_images
+  FROM part JOIN (SELECT p_partkey, CAST(count(*) AS INT) AS n FROM ({pq.OWNED}) GROUP BY ALL) USING (p_partkey)""",
 )
 def catalogue_records(spark, sf):
     out = scratch_path(spark, "catalogue")
-    details = ct.detail_fields(pq.detail_pages(spark, sf)).drop("text")
+    details = ct.detail_records(pq.detail_pages(spark, sf), "p_partkey").drop("text")
     sinks.write_catalogue(ct.index_items(pq.index_pages(spark, sf)), details, out)
     back = spark.read.schema(details.schema).json(f"{out}/items")
-    return back.selectExpr("link", "module", "size(properties) AS n_properties", "building_num[0].num AS num")
+    return back.selectExpr(
+        "link", "module", "size(properties) AS n_properties", "building_num[0].num AS num", "canonical", "transform(tables, t -> t.label) AS labels",
+        "tables[0].rows AS cells", "notes", "aggregate(image_groups, 0, (n, g) -> n + size(g.images)) AS n_images",
+    )
 
 
 @query("sk6_report_file", f"WITH {aq.FOUND} SELECT CAST(6 + count(*) AS BIGINT) AS n_lines FROM found")
