@@ -167,3 +167,11 @@ def session_summary(local: DataFrame, teacher: DataFrame) -> DataFrame:
         )
         .withColumn("correction_rate", F.round(F.col("corrected") / F.col("total_steps"), 3))
     )
+
+
+def step_records(local: DataFrame, teacher: DataFrame) -> DataFrame:
+    """One record per step as a session stores it: a step without review is neither approved nor corrected."""
+    j = local.join(teacher.select("session_id", "step_no", "approved"), ["session_id", "step_no"], "left")
+    return j.select(
+        "session_id", "step_no", "local_state", "approved", F.coalesce(~F.col("approved"), F.lit(False)).alias("corrected"), "executed"
+    )

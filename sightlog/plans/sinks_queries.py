@@ -63,12 +63,21 @@ def class_manifest(spark, sf):
     return F.broadcast(names).join(n, "class_id", "left").select("class_id", "class_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("sk4_session_summaries", sq.SUMMARY, sq.PAIR_VIEWS)
+@query(
+    "sk4_session_summaries",
+    f"""SELECT s.*, 'battle' AS module, 30 AS max_steps, total_steps AS n_records, corrected AS n_corrected FROM ({sq.SUMMARY}) s""",
+    sq.PAIR_VIEWS,
+)
 def session_summaries(spark, sf):
     out = scratch_path(spark, "summaries")
     summary = te.session_summary(sq.local(spark, sf), sq.teacher(spark, sf))
-    sinks.write_summaries(summary, out)
-    return spark.read.schema(summary.schema).json(out)
+    steps = te.step_records(sq.local(spark, sf), sq.teacher(spark, sf))
+    sinks.write_summaries(summary, steps, "battle", 30, out)
+    heads = spark.read.schema(summary.schema.add("module", "string").add("max_steps", "integer")).json(f"{out}/summary")
+    records = spark.read.schema(steps.schema).json(f"{out}/steps").groupBy("session_id").agg(
+        lb.count_rows("n_records"), F.count_if("corrected").alias("n_corrected")
+    )
+    return heads.join(records, "session_id")
 
 
 @query(

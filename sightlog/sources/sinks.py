@@ -27,8 +27,12 @@ def write_label_text(labels: DataFrame, out: str) -> None:
     labels.select("split", F.concat_ws(" ", "frame_id", "line").alias("value")).write.mode("overwrite").partitionBy("split").text(out)
 
 
-def write_summaries(summary: DataFrame, out: str) -> None:
-    summary.write.mode("overwrite").json(out)
+def write_summaries(summary: DataFrame, steps: DataFrame, module: str, max_steps: int, out: str) -> None:
+    """One summary per session with its module and step limit, and the step records beside it, keyed by session: a long
+    session is many rows and never one record."""
+    head = summary.withColumns({"module": F.lit(module), "max_steps": F.lit(max_steps)})
+    head.write.mode("overwrite").json(f"{out}/summary")
+    steps.write.mode("overwrite").json(f"{out}/steps")
 
 
 def write_catalogue(index: DataFrame, details: DataFrame, out: str) -> None:
