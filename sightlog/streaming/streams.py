@@ -19,29 +19,49 @@ from sightlog.session import scratch_path
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """A stored table, one file or a folder of files, as a stream of its files."""
     table = f"{folder}/{name}.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(table) if is_folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    stored = spark.read.parquet(table)
+    is_file = any(f.endswith(f"/{name}.parquet") for f in stored.inputFiles())
+    reader = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if is_file else reader.parquet(table)
 
 
-def _stateful(df: DataFrame, key: str, value: str, state: str, start, step, out: str) -> DataFrame:
-    """``state, result = step(state, value)`` per row of a key; ``state`` is an SQL type."""
-    rows = df.select(key, "ts", "event_id", F.col(value).alias("_v"))
+DELAY, EXPIRY_MS = "1 hour", 30 * 24 * 3600 * 1000
+
+
+def _stateful(df: DataFrame, key: str, value: str, state: str, start, step, out: str, delay: str = DELAY) -> DataFrame:
+    """``state, result = step(state, value)`` per row of a key in the order of (ts, event_id); ``state`` is an SQL type.
+
+    Rows wait in the state until the watermark has passed them, so files may come in any order within ``delay``. What comes
+    later still is dropped and counted by the engine (``run_counted``). A key without rows for thirty days of event time is forgotten.
+    """
+    rows = df.withWatermark("ts", delay).select(key, "ts", "event_id", F.col(value).alias("_v"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{key} {types[key]}, event_id {types['event_id']}, _out {out}"
+    kept = f"s {state}, at ARRAY<BIGINT>, id ARRAY<{types['event_id']}>, v ARRAY<{types['_v']}>"
 
     def run(k, batches, store):
-        current = store.get[0] if store.exists else start
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        results = []
-        for v in pdf["_v"]:
-            current, r = step(current, None if pd.isna(v) else v)
+        current, at, ids, values = store.get if store.exists else (start, [], [], [])
+        waiting = list(zip(at, ids, values, strict=True))
+        mark_ms = store.getCurrentWatermarkMs()
+        for pdf in [] if store.hasTimedOut else batches:
+            times = pdf["ts"].astype("datetime64[us, UTC]" if pdf["ts"].dt.tz else "datetime64[us]").astype("int64")
+            waiting += zip(times.tolist(), pdf["event_id"].tolist(), [None if pd.isna(v) else v for v in pdf["_v"].tolist()], strict=True)
+        waiting.sort(key=lambda r: r[:2])
+        n, results = 0, []
+        while n < len(waiting) and waiting[n][0] < mark_ms * 1000:
+            current, r = step(current, waiting[n][2])
             results.append(r)
-        store.update((current,))
-        yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"], "_out": results})
+            n += 1
+        done, waiting = waiting[:n], waiting[n:]
+        if store.hasTimedOut and not done and not waiting:
+            store.remove()
+        else:
+            store.update((current, *([list(c) for c in zip(*waiting, strict=True)] or [[], [], []])))
+            first = waiting[0][0] // 1000 if waiting else mark_ms + EXPIRY_MS
+            store.setTimeoutTimestamp(max(first, mark_ms + 1))
+        yield pd.DataFrame({key: [k[0]] * n, "event_id": [r[1] for r in done], "_out": pd.Series(results, dtype=object)})
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, f"s {state}", "append", "NoTimeout")
+    return rows.groupBy(key).applyInPandasWithState(run, schema, kept, "append", "EventTimeTimeout")
 
 
 def machine_stream(steps: DataFrame, key: str, machine: ma.Machine) -> DataFrame:
@@ -86,8 +106,9 @@ def first_contents(rows: DataFrame, content: str, delay: str) -> DataFrame:
     )
 
 
-def run_to_table(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything available into a table of the shared folder and read that."""
+def run_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Run a stream over everything available into a table of the shared folder; that table, and the number of rows that
+    came too late."""
     spark = df.sparkSession
     out = scratch_path(spark, name)
     q = (
@@ -95,4 +116,9 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/data")
+    late = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    return spark.read.schema(df.schema).parquet(f"{out}/data"), late
+
+
+def run_to_table(df: DataFrame, name: str) -> DataFrame:
+    return run_counted(df, name)[0]

@@ -28,7 +28,8 @@ def test_machine_gate_and_counters(spark, tmp_path):
     got = st.run_to_table(st.machine_stream(stream().selectExpr(*COLS), "s", ma.battle_machine()), "m")
     want = ma.replay(log.selectExpr(*COLS), ["s"], ["event_id"], ma.battle_machine())
     key = ["s", "event_id", "state", "action"]
-    assert got.select(*key).exceptAll(want.select(*key)).count() == 0 and got.count() == 240
+    # rows wait until the watermark, an hour behind the last row, has passed them
+    assert got.select(*key).exceptAll(want.select(*key)).count() == 0 and got.count() == 179
 
     gate = st.run_to_table(st.gate_stream(stream(), "s", "v", 2, 7), "g")
     twin = rp.hysteresis(log, ["s"], ["event_id"], F.col("v"), 2, 7, "flagged").select("s", "event_id", "flagged")
@@ -47,3 +48,16 @@ def test_first_contents(spark, tmp_path):
     df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i"))).repartition(3).write.parquet(f"{tmp_path}/d.parquet")
     out = st.run_to_table(st.first_contents(st.table_stream(spark, str(tmp_path), "d", 1), "text", "1 hour"), "f")
     assert sorted(r.text for r in out.collect()) == [f"text {i}" for i in range(7)]
+
+
+def test_files_out_of_order_and_late_rows(spark, tmp_path):
+    rows = [(t % 2, t, 1_700_000_000 + 60 * t, (7 * t) % 10) for t in range(240)]
+    df = spark.createDataFrame(rows, "s INT, event_id BIGINT, sec BIGINT, v INT").withColumn("ts", F.timestamp_seconds("sec"))
+    # the second half hour comes after the third; row 0 comes when the watermark has long passed it
+    files = [range(1, 30), range(60, 90), range(30, 60), range(90, 240), [0]]
+    for i, part in enumerate(files):
+        df.filter(F.col("event_id").isin(list(part))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log.parquet")
+    got, late = st.run_counted(st.gate_stream(st.table_stream(spark, str(tmp_path), "log", 1), "s", "v", 2, 7), "late")
+    twin = rp.hysteresis(df.filter("event_id > 0"), ["s"], ["event_id"], F.col("v"), 2, 7, "flagged").select("s", "event_id", "flagged")
+    assert got.select("s", "event_id", "flagged").exceptAll(twin).count() == 0 and got.count() == 178
+    assert late == 1
