@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightlog.operators import machines as ma
 from sightlog.plans import replay_queries as rq
-from sightlog.plans.registry import query
+from sightlog.plans.registry import ORACLES, query
 from sightlog.streaming import streams as st
 
 STEP_COLS = """event_type = 'click' AS attack;event_type = 'view' AND value < 60 AS search;event_type = 'view' AND value >= 60 AS next_b;
@@ -31,6 +31,17 @@ def battle_stream(spark, sf):
     return st.run_to_table(st.machine_stream(steps(spark, sf), "session_id", ma.battle_machine()), "battle")
 
 
+@query("st2_donation_stream", passed(ORACLES["st2_donation_replay"]))
+def donation_stream(spark, sf):
+    signals = steps(spark, sf).selectExpr("*", *[c.strip() for c in rq.DON.replace("\n", " ").split(",")])
+    return st.run_to_table(st.machine_stream(signals, "session_id", ma.donation_machine()), "donation")
+
+
+@query("st3_farm_stream", passed(ORACLES["st3_farm_replay"]))
+def farm_stream(spark, sf):
+    return st.run_to_table(st.machine_stream(steps(spark, sf), "session_id", ma.farm_machine()), "farm")
+
+
 @query(
     "st6_gate_stream",
     passed(f"WITH {rq.GATE} SELECT session_id, event_id, flagged FROM g"),
@@ -40,6 +51,15 @@ def gate_stream(spark, sf):
     return st.run_to_table(st.gate_stream(steps(spark, sf), "session_id", "amount", 20, 100), "gate")
 
 
+def routes(spark, sf):
+    """Route and token cost of each event, as a stream."""
+    return st.table_stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type").isin("error", "purchase"), "llm").otherwise("local").alias("route"),
+        (500 + F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 40).alias("completion_tokens"),
+    )
+
+
 @query(
     "st7_counter_stream",
     """WITH l AS (SELECT ts, CASE WHEN event_type IN ('error', 'purchase') THEN 'llm' ELSE 'local' END AS route, 500 + CAST(event_id % 100 AS BIGINT) AS p, CAST(event_id % 40 AS BIGINT) AS c FROM events),
@@ -49,12 +69,21 @@ SELECT start, CAST(total AS BIGINT) AS total, CAST(local AS BIGINT) AS local, CA
   round(llm / total, 4) AS llm_ratio FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )
 def counter_stream(spark, sf):
-    e = st.table_stream(spark, sf, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_type").isin("error", "purchase"), "llm").otherwise("local").alias("route"),
-        (500 + F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 40).alias("completion_tokens"),
-    )
-    out = st.run_to_table(st.route_counters(e, "1 hour", "1 hour"), "counters")
+    out = st.run_to_table(st.route_counters(routes(spark, sf), "1 hour", "1 hour"), "counters")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).drop("end")
+
+
+@query(
+    "st7_sliding_stream",
+    """WITH l AS (SELECT CASE WHEN event_type IN ('error', 'purchase') THEN 'llm' ELSE 'local' END AS route, 500 + CAST(event_id % 100 AS BIGINT) AS p, CAST(event_id % 40 AS BIGINT) AS c,
+  unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events),
+w AS (SELECT start, count(*) AS total, count(*) FILTER (route <> 'llm') AS local, count(*) FILTER (route = 'llm') AS llm,
+  coalesce(sum(p) FILTER (route = 'llm'), 0) AS prompt_tokens, coalesce(sum(c) FILTER (route = 'llm'), 0) AS completion_tokens FROM l GROUP BY 1)
+SELECT start, CAST(total AS BIGINT) AS total, CAST(local AS BIGINT) AS local, CAST(llm AS BIGINT) AS llm, CAST(prompt_tokens AS BIGINT) AS prompt_tokens, CAST(completion_tokens AS BIGINT) AS completion_tokens,
+  round(llm / total, 4) AS llm_ratio FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def sliding_stream(spark, sf):
+    out = st.run_to_table(st.route_counters(routes(spark, sf), "1 hour", "1 hour", "30 minutes"), "sliding")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).drop("end")
 
 
