@@ -1,12 +1,12 @@
 """Personal data by base patterns and bootstrapped contexts, in DataFrame functions only.
 
 Base matches of four kinds are found where the text is read. They seed a bootstrap: the words around a match induce lexical
-patterns (the word before, the two words before, the word after, each with the shape of the value), and identifier-like words
-that no base match touches (at least four digits, or an at sign, in one word) are candidates. Patterns and values form a graph of distinct
-edges. In each round a pattern's confidence in a kind is the lower Wilson bound of the share of its values
-already known as that kind; a candidate's score is the chance that not all its patterns err (noisy or); candidates above ``ACCEPT`` join
-the known values, until none is new or after ``ROUNDS`` rounds. Only aggregates meet in a task: a pattern or value that
-a third of the rows share is summed before it is moved.
+patterns (the word before, the two words before, the word after, whatever the value looks like). Candidates are what no base match
+touches: words with at least four digits or an at sign, numbers of 7 to 19 digits over several words, addresses with blanks around the
+at sign. Patterns and values form a graph of distinct edges. In each round a pattern's confidence in a kind is the lower Wilson bound of
+the share of its values already known as that kind; a candidate's score for a kind that it may be at all (``fits``) is the chance that not all
+its patterns err (noisy or); candidates above ``ACCEPT`` join the known values for good, until a round adds none. Only aggregates meet
+in a task: a pattern or value that a third of the rows share is summed before it is moved.
 
 Every pattern reads a text once from left to right: runs that cannot be given back are possessive, and a match starts at
 the start of its run or where the match before ended.
@@ -31,8 +31,11 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@0-9]*+[@0-9][^\x20\x09-\x0D]*+"
+#: Seven to 19 digits over one or more words of a line; an at sign with a blank before or after it.
+NUMBERS = r"(?<![^\x20\x09-\x0D])[+(]{0,2}[0-9](?:[\x20\x09\u00A0\u2009\u202F\u2010-\u2015().,/-]{0,3}[0-9]){6,18}(?![^\x20\x09-\x0D.,;:!?)])"
+SPACED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++(?:[\x20\x09]++@[\x20\x09]*+|@[\x20\x09]++)[^\x20\x09-\x0D@]++"
 BLOCK = 256
-ROUNDS, ACCEPT, CONFIDENT, Z = 3, 0.8, 0.6, 1.96
+ACCEPT, CONFIDENT, Z = 0.8, 0.6, 1.96
 
 
 def prefix_sums(values: Column) -> Column:
@@ -119,13 +122,15 @@ def found_rows(documents: DataFrame) -> DataFrame:
     """Per row: a number, the base matches of all kinds in order (a, rank of the kind, ...) and the candidates."""
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = with_matches(with_base_matches(rows), "word", CANDIDATE, F.col("text").rlike("[0-9@]"))
+    found = with_matches(found, "numbers", NUMBERS, F.col("text").rlike("[0-9]"))
+    found = with_matches(found, "spaced", SPACED, F.col("text").contains("@"))
 
     def tagged(kind: str) -> Column:
         at = KINDS.index(kind)
         return F.transform(kind, lambda m: F.struct(m["a"].alias("a"), F.lit(at).alias("k"), m["b"].alias("b"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after")))
 
     base = F.array_sort(F.concat(*map(tagged, KINDS)))
-    bare = F.transform("word", trimmed)
+    bare = F.array_distinct(F.concat(*(F.transform(name, trimmed) for name in ("word", "numbers", "spaced"))))
     like = F.filter(bare, lambda m: (F.length(digits_of(m["value"])) >= 4) | (m["value"].contains("@") & (F.length(m["value"]) > 4)))
     free = F.filter("like", lambda c: ~F.exists("base", lambda m: (m["a"] < c["b"]) & (m["b"] > c["a"])))
     listed = found.select("uid", "doc_id", base.alias("base"), like.alias("like"))
@@ -139,9 +144,13 @@ def trimmed(m: Column) -> Column:
     return F.struct((m["a"] + left).alias("a"), (m["a"] + left + F.length(core)).alias("b"), core.alias("value"), m["before"].alias("before"), m["after"].alias("after"))
 
 
-def shape_of(value: Column) -> Column:
-    """Digits as 9, letters as a, runs as one character."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]+", "9"), r"(a9)(?:a9)+", "$1")
+def fits(value: Column) -> Column:
+    """The kinds that a value may be at all, whatever its spelling."""
+    digits, letters = F.length(digits_of(value)), F.length(F.regexp_replace(value, r"[^\p{L}]", ""))
+    at, parts = value.contains("@"), F.size(F.split(value, "[.:]"))
+    number = ~at & (letters <= 4)
+    can = (at, ~at & (parts >= 3), number & (digits >= 8), number & ((digits >= 7) | value.startswith("+")))
+    return F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(can))), lambda k: k.isNotNull())
 
 
 def patterns_of(m: Column) -> Column:
@@ -164,7 +173,7 @@ def patterns_of(m: Column) -> Column:
 
 
 def edges_of(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, value, kind) edges; kind is null for candidates."""
+    """Distinct (pattern, value, kind, fits) edges; kind is null for candidates."""
     base = found.select(F.explode("base").alias("m"), F.col("m.k").alias("kind"))
     free = found.select(F.explode("free").alias("m"), F.lit(None).cast("int").alias("kind"))
 
@@ -172,7 +181,7 @@ def edges_of(found: DataFrame) -> DataFrame:
         return rows.select(F.explode(patterns_of(F.col("m"))).alias("pattern"), F.lower("m.value").alias("value"), "kind")
 
     both = spread(base).union(spread(free))
-    return both.select(F.concat("pattern", F.lit(" "), shape_of(F.col("value")).substr(1, 24)).alias("pattern"), "value", "kind").distinct()
+    return both.distinct().withColumn("fits", fits(F.col("value")))
 
 
 def wilson_low(hits: Column, n: Column) -> Column:
@@ -181,12 +190,13 @@ def wilson_low(hits: Column, n: Column) -> Column:
     return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, confident: float = CONFIDENT) -> DataFrame:
-    """(value, kind) of accepted candidates. Patterns are scored over seeds and what was accepted before."""
+def bootstrap(edges: DataFrame, accept: float = ACCEPT, confident: float = CONFIDENT) -> DataFrame:
+    """(value, kind) of accepted candidates. Patterns are scored over seeds and what was accepted before, until a round accepts
+    nothing new. Without a column ``fits`` a value may be of any kind."""
     edges = materialise(edges)
+    allowed = F.array_contains("fits", F.col("to")) if "fits" in edges.columns else F.lit(True)
     accepted = materialise(edges.where("false").select("value", F.col("kind").alias("got")))
-    size = 0
-    for _ in range(rounds):
+    while True:
         known = edges.join(accepted, "value", "left").withColumn("now", F.coalesce("kind", "got"))
         counts = known.groupBy("pattern", "now").agg(F.count("*").alias("hits"))
         totals = counts.groupBy("pattern").agg(
@@ -194,13 +204,13 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, co
         )
         sure = totals.where("best IS NOT NULL").select("pattern", F.col("best.now").alias("to"), wilson_low(F.col("best.hits"), F.col("n")).alias("c"))
         sure = sure.where(F.col("c") >= confident)
-        scores = edges.where("kind IS NULL").join(sure, "pattern").groupBy("value", "to").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("score"))
+        open_edges = edges.where("kind IS NULL").join(accepted, "value", "left_anti")
+        scores = open_edges.join(sure, "pattern").where(allowed).groupBy("value", "to").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("score"))
         best = scores.groupBy("value").agg(F.max(F.struct("score", -F.col("to"))).alias("s"))
-        accepted = materialise(best.where(F.col("s.score") >= accept).select("value", (-F.col("s.col2")).cast("int").alias("got")))
-        now = accepted.count()
-        if now == size:
+        new = materialise(best.where(F.col("s.score") >= accept).select("value", (-F.col("s.col2")).cast("int").alias("got")))
+        if new.isEmpty():
             break
-        size = now
+        accepted = materialise(accepted.union(new))
     return accepted.select("value", F.col("got").alias("kind"))
 
 
@@ -210,6 +220,9 @@ def find(documents: DataFrame, **options) -> DataFrame:
     accepted = bootstrap(edges_of(found), **options)
     free = found.select("uid", F.explode("free").alias("m")).select("uid", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.lower("m.value").alias("value"))
     added = free.join(accepted, "value").groupBy("uid").agg(F.collect_list(F.struct("a", F.col("kind").alias("k"), "b")).alias("added"))
+    # of several spellings at one place the longest counts
+    inside = lambda m, o: (o["a"] <= m["a"]) & (o["b"] >= m["b"]) & (o["b"] - o["a"] > m["b"] - m["a"])
+    added = added.withColumn("added", F.filter("added", lambda m: ~F.exists("added", lambda o: inside(m, o))))
     base = F.transform("base", lambda m: F.struct(m["a"].alias("a"), m["k"].alias("k"), m["b"].alias("b")))
     none = F.array().cast("array<struct<a:bigint,k:int,b:bigint>>")
     out = found.select("uid", "doc_id", base.alias("base")).join(added, "uid", "left")

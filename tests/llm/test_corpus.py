@@ -408,6 +408,24 @@ def test_pii_bootstrap_finds_identifiers_in_seen_contexts(store):
     assert len(got[0]["spans"]) == 1 and got[41]["spans"] == []
 
 
+def test_pii_unseen_spellings_in_seen_contexts(store):
+    texts = [f"please dial +1 (988) 555-{1000 + i} today, my mail is u{i}@h{i}.example.org thanks" for i in range(60)]
+    unseen = [("988-555-7777", 3), ("030 123 456", 3), ("(030) 123 45 67", 3), ("0301234567", 3)]
+    texts += [f"please dial {value} today" for value, _ in unseen] + ["my mail is root@localhost9 thanks", "my mail is root @ localhost thanks", "rooms 030 123 457 here"]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(store(rows_of(texts))).collect()}
+    got = [[(texts[i][m["a"] : m["b"]], m["k"]) for m in found[i]] for i in range(60, len(texts))]
+    assert got == [[("988-555-7777", 3)], [("030 123 456", 3)], [("030) 123 45 67", 3)], [("0301234567", 3)], [("root@localhost9", 0)], [("root @ localhost", 0)], []]
+
+
+def test_pii_chains_longer_than_three_rounds(spark):
+    links = [("start", f"a{i}", 0) for i in range(40)]
+    for k in range(6):  # a step is sure only once all values of the step before are known
+        links += [("start" if not k else f"step{k}", f"b{k}_{i}", None) for i in range(8)] + [(f"step{k + 1}", f"b{k}_{i}", None) for i in range(8)]
+        links += [(f"step{k + 1}", f"t{k}_{i}", 0) for i in range(24)]
+    edges = spark.createDataFrame(links, "pattern string, value string, kind int")
+    assert {r["value"] for r in pii.bootstrap(edges, accept=0.6).collect()} == {f"b{k}_{i}" for k in range(6) for i in range(8)}
+
+
 def test_pii_pattern_graph_scores(spark):
     rows = [("p", f"v{i}", 0) for i in range(30)] + [("p", "new", None), ("q", "new", None), ("q", "far", None), *(("q", f"w{i}", 0) for i in range(30))]
     rows += [("mixed", f"v{i}", 0) for i in range(5)] + [("mixed", f"x{i}", 1) for i in range(5)] + [("mixed", "unsure", None)]
