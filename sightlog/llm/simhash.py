@@ -7,7 +7,8 @@ is lost. Distinct fingerprints are joined on the keys, verified by their Hamming
 formed over them; documents find their component by their fingerprint.
 
 Copies meet before the join, as equal fingerprints are one row. Rows of a key are compared in arrays inside the task that has them
-and leave it as one star per connected set, never as pairs.
+and leave it as one star per connected set, never as pairs. A key with more than ``HOT`` fingerprints is not compared there: its rows are
+dealt to blocks by a hash, and each pair of blocks is a task's group of its own, so all pairs still meet.
 
 Defined cases: null texts count as empty, texts without words have fingerprint zero and link like any other; repeated rows give
 one row each; null ids never name a component unless it has no other (then null); further columns are not read.
@@ -28,6 +29,8 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 FLUSH = 1_000_000
+#: Fingerprints of a key, or of a block of it, that one task compares.
+HOT = 16_384
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -103,10 +106,13 @@ def links_in_order(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE):
         step += 1
 
 
-def _verify(distance: int):
+def _verify(distance: int, hot: int | None):
+    """(key, a, b): stars of close fingerprints, with a null key; of a key with more than ``hot`` rows, the rows (key, fp, null) instead."""
+
     def run(batches):
         kept_a, kept_b, held = [], [], 0
         rest_k = rest_f = np.empty(0, dtype=np.int64)
+        passed = None  # the hot key whose rows are going by
 
         def reduce():
             nonlocal kept_a, kept_b, held
@@ -123,23 +129,59 @@ def _verify(distance: int):
                 if held >= FLUSH:
                     reduce()
 
+        def whole(k, f):
+            """Compares the keys of few rows; returns the rows of the others."""
+            if hot is None or not len(k):
+                take(k, f)
+                return k[:0], f[:0]
+            _, at, counts = np.unique(k, return_inverse=True, return_counts=True)
+            many = counts[at] > hot
+            take(k[~many], f[~many])
+            return k[many], f[many]
+
+        def rows(k, f):
+            for at in range(0, len(k), 200_000):
+                part = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(f[part]), pa.nulls(len(k[part]), pa.int64())], names=["key", "a", "b"])
+
         for batch in batches:
-            k = np.concatenate([rest_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([rest_f, batch.column(1).to_numpy(zero_copy_only=False)])
+            k = batch.column(0).to_numpy(zero_copy_only=False)
+            f = batch.column(1).to_numpy(zero_copy_only=False)
+            if passed is not None:
+                n = int(np.searchsorted(k, passed, side="right"))
+                yield from rows(k[:n], f[:n])
+                k, f = k[n:], f[n:]
+                if len(k):
+                    passed = None
+            k, f = np.concatenate([rest_k, k]), np.concatenate([rest_f, f])
             if not len(k):
                 continue
             cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            take(k[:cut], f[:cut])
+            yield from rows(*whole(k[:cut], f[:cut]))
             rest_k, rest_f = k[cut:], f[cut:]
-        take(rest_k, rest_f)
+            if hot is not None and len(rest_k) > hot:
+                passed = int(rest_k[0])
+                yield from rows(rest_k, rest_f)
+                rest_k, rest_f = rest_k[:0], rest_f[:0]
+        yield from rows(*whole(rest_k, rest_f))
         reduce()
         for a, b in zip(kept_a, kept_b, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def block_pairs(rows: DataFrame, hot: int) -> DataFrame:
+    """(key, fp) rows of hot keys as (group, fp): once for each pair of blocks that holds the fingerprint's block."""
+    rows = rows.repartition("fp")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))
+    paired = dealt.select("key", "fp", "own", F.explode(others).alias("other"))
+    return paired.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("group"), "fp")
+
+
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """Stars (a, b) that connect all fingerprints at ``distance`` or fewer bits; ``fps`` has distinct values ``fp``."""
 
     def spread(batches):
@@ -148,9 +190,17 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             for at in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(owners[at : at + 200_000])], names=["key", "fp"])
 
-    rows = fps.select("fp").mapInArrow(spread, "key long, fp long")
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_verify(distance), "a long, b long")
+    def verified(rows, limit):
+        dealt = rows.repartition("key").sortWithinPartitions("key")
+        return dealt.mapInArrow(_verify(distance, limit), "key long, a long, b long")
+
+    first = materialise(verified(fps.select("fp").mapInArrow(spread, "key long, fp long"), hot))
+    links, held = first.where("key IS NULL").select("a", "b"), first.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
+    if held.isEmpty():
+        return links
+    # groups of equal hash are compared as one, which only adds pairs that are verified as well
+    grouped = block_pairs(held, hot).select(F.xxhash64("group.key", "group.i", "group.j").alias("key"), "fp")
+    return links.union(verified(grouped, None).select("a", "b"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:

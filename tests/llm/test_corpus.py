@@ -198,6 +198,22 @@ def test_simhash_links_of_flipped_bits(spark):
     assert [got.get(f, f) for f in signed] == want
 
 
+def test_simhash_hot_keys_are_split_and_every_link_is_kept(spark):
+    r = random.Random(12)
+    base = r.getrandbits(64)
+    fps = list(dict.fromkeys(base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(500)))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    keys, owners = simhash.keys_of(np.array(signed, dtype=np.int64))
+    assert Counter(keys.tolist()).most_common(1)[0][1] > 40
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    edges = simhash.fingerprint_links(table, hot=10)
+    got = {row["id"]: row["root"] for row in components(edges).collect()}
+    want = slow_components(signed, lambda i, j: ((signed[i] ^ signed[j]) & (1 << 64) - 1).bit_count() <= 4)
+    assert [got.get(f, f) for f in signed] == want
+    sizes = simhash.block_pairs(spark.createDataFrame([(7, f) for f in signed], "key long, fp long"), 10).groupBy("group").count().collect()
+    assert max(row["count"] for row in sizes) < 50
+
+
 def test_golay_neighbours_share_a_codeword():
     rng = np.random.default_rng(4)
     v = rng.integers(0, 1 << 23, 3000)
