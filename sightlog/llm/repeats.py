@@ -8,6 +8,9 @@ is moved once for each task. The remaining distinct strings of a minimiser are c
 gets its Burrows-Wheeler transform, and the transforms are merged by interleave refinement (``bwt``), whose classes after ``WIDTH``
 rounds are the repeated intervals. All but the earliest window of a class are repeats.
 
+The strings of a minimiser that more than ``HOT`` documents hold are not gathered: each is cut into its windows, and windows meet by a hash
+of all their bytes, each once for each task with its earliest place. Equal windows have equal minimisers, so they are cut alike everywhere.
+
 Order is by document id, then by start. Defined cases: null texts count as empty; texts shorter than a window lose nothing; null ids come
 last; rows with equal ids are ordered by their place in the table; further columns are not read.
 """
@@ -23,10 +26,13 @@ from pyspark.sql import functions as F
 
 from sightlog.llm.bwt import repeated_windows
 from sightlog.llm.common import map_batches, query, table
+from sightlog.session import materialise
 
 WIDTH, GRAM = 100, 24
-#: Bytes of strings that are transformed and merged at once; a minimiser's strings are never divided.
+#: Bytes of strings that are transformed and merged at once.
 BLOCK = 250_000
+#: Documents with a minimiser beyond which its strings are divided; windows that a task holds to find their copies.
+HOT, HELD_WINDOWS = 20_000, 250_000
 #: What a task holds at most to find its own copies, in minimisers and in bytes of strings.
 HELD_RUNS, HELD_BYTES = 2_000_000, 64_000_000
 #: Fixed odd multipliers of the gram hash.
@@ -168,20 +174,54 @@ def _shared(batches):
 
 
 def _strings(width: int, gram: int, names: list[str]):
-    """Strings of the shared minimisers: each distinct one of a task once, with its earliest place; the places of its copies as spans."""
-    columns = [names.index(n) for n in ("uid", "doc_id", "text", "lows")]
+    """Strings of the shared minimisers, of those in ``hots`` windows: each distinct one of a task once, with its earliest place; the places
+    of its copies as spans."""
+    columns = [names.index(n) for n in ("uid", "doc_id", "text", "lows", "hots")]
 
     def emit(rows):
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(STRING_TYPES)
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, STRING_TYPES.values(), strict=True)], names=list(STRING_TYPES))
 
+    def key(window):
+        return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+
+    def whole(first, divided):
+        """Rows of the strings, with windows in place of those of divided minimisers."""
+        windows: dict[bytes, tuple] = {}
+        out = []
+
+        def close():
+            out.extend((False, key(w), *place, width, w, False) for w, place in windows.items())
+            windows.clear()
+
+        for s, (r, u, a, l, w) in first.items():
+            if l not in divided:
+                out.append((False, l, r, u, a, len(s), s, w))
+            for at in range(len(s) - width + 1) if l in divided else ():
+                part, new = s[at : at + width], (r, u, a + at)
+                old = windows.setdefault(part, new)
+                if old != new:
+                    windows[part] = min(old, new)
+                    _, u2, p = max(old, new)
+                    out.append((True, u2, None, u2, p, width, None, None))
+            if len(windows) >= HELD_WINDOWS:
+                close()
+            if len(out) >= 20_000:
+                yield emit(out)
+                out = []
+        close()
+        for i in range(0, len(out), 20_000):
+            yield emit(out[i : i + 20_000])
+
     def run(batches):
         first: dict[bytes, tuple] = {}  # by the string
+        divided: set[int] = set()
         held = 0
         for batch in batches:
             copies = []
-            for uid, doc_id, text, lows in zip(*(batch.column(i).to_pylist() for i in columns), strict=True):
+            for uid, doc_id, text, lows, hots in zip(*(batch.column(i).to_pylist() for i in columns), strict=True):
                 raw = (text or "").encode()
+                divided.update(hots)
                 rank = LAST if doc_id is None else doc_id
                 low, start, end, twice = window_runs(raw, width, gram)
                 take = np.isin(low, np.array(lows, dtype=np.int64))
@@ -196,12 +236,10 @@ def _strings(width: int, gram: int, names: list[str]):
                         first[s], new = new, old
                     copies.append((True, new[1], None, new[1], new[2], b - a, None, None))
                 if held >= HELD_BYTES:
-                    yield emit([(False, l, r, u, a, len(s), s, w) for s, (r, u, a, l, w) in first.items()])
+                    yield from whole(first, divided)
                     first, held = {}, 0
             yield emit(copies)
-        items = [(False, l, r, u, a, len(s), s, w) for s, (r, u, a, l, w) in first.items()]
-        for i in range(0, len(items), 20_000):
-            yield emit(items[i : i + 20_000])
+        yield from whole(first, divided)
 
     return run
 
@@ -263,14 +301,16 @@ def _compare(width: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(uid, spans) of the removed runs of bytes, from rows with ``uid``, ``doc_id`` and ``text``.
 
     Tasks name what they have already seen twice, so that a passage comes from each task once, however many of its rows share it.
     """
     runs = rows.select("uid", "text").mapInArrow(_runs(width, gram), "pass boolean, key long, other long")
-    shared = runs.repartition("key").sortWithinPartitions("pass", "key").mapInArrow(_shared, "uid long, low long")
-    held = rows.join(shared.groupBy("uid").agg(F.collect_set("low").alias("lows")), "uid")
+    shared = materialise(runs.repartition("key").sortWithinPartitions("pass", "key").mapInArrow(_shared, "uid long, low long"))
+    divided = shared.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("low").alias("hot"))
+    marked = shared.join(F.broadcast(divided), F.col("low") == F.col("hot"), "left")
+    held = rows.join(marked.groupBy("uid").agg(F.collect_set("low").alias("lows"), F.collect_set("hot").alias("hots")), "uid")
     # all columns go in, so that this shuffle of the rows serves the last join too
     strings = held.mapInArrow(_strings(width, gram, held.columns), STRING_ROW)
     dealt = strings.repartition("key").sortWithinPartitions("pass", "key", "string", "rank", "uid", "start")

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sightlog.llm import byte_bpe, bwt, extract, golay, packing, pii, quality, repeats, risk_rules, simhash, url_filter, vector_graph
 from sightlog.llm.common import components
@@ -359,6 +361,32 @@ def test_repeats_in_periodic_texts(store, width):
     same(map(tuple, repeats.deduplicate_digests(table, width=width, gram=9).collect()), slow_repeats(rows, width))
 
 
+def test_repeats_of_divided_minimisers(store, mixed):
+    r = random.Random(21)
+    passage = words(r, 60)
+    texts = [words(r, 30) + passage + words(r, 30) for _ in range(60)] + ["q" * 400, (words(r, 12) + passage) * 2]
+    copies = [t[k:] for k, t in enumerate(texts[:10])]
+    for table in (store(rows_of(texts + copies)), mixed):
+        rows = [tuple(x) for x in table.select("doc_id", "text").collect()]
+        by_uid = table.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+        for hot in (0, 20):
+            found = by_uid.join(repeats.repeated_spans(by_uid, hot=hot), "uid", "left").collect()
+            raws = [(x["doc_id"], (x["text"] or "").encode(), [tuple(y) for y in x["spans"] or ()]) for x in found]
+            cut = [(d, raw, *repeats.remaining(raw, spans)) for d, raw, spans in raws]
+            same([(d, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()) for d, raw, kept, n in cut], slow_repeats(rows, 100))
+
+
+def test_strings_of_a_divided_minimiser_have_keys_of_their_own():
+    r = random.Random(4)
+    passage = words(r, 60)
+    texts = [words(r, 30) + passage + words(r, 30) for _ in range(50)]
+    lows = [repeats.window_runs(t.encode())[0].tolist() for t in texts]
+    often = [k for k, n in Counter(x for l in lows for x in set(l)).items() if n > 20]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(50)), "doc_id": list(range(50)), "text": texts, "lows": [often] * 50, "hots": [often] * 50})
+    out = [x for b in repeats._strings(100, 24, batch.schema.names)(iter([batch])) for x in b.to_pylist() if not x["pass"]]
+    assert out and max(Counter(x["key"] for x in out).values()) == 1 and not {x["key"] for x in out} & set(often)
+
+
 def test_cut_texts_keep_columns(store):
     table = store(rows_of(["q" + "é" * 200, "z" + "é" * 200, None]))
     got = {r["doc_id"]: r for r in repeats.deduplicate(table).collect()}
