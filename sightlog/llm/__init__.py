@@ -6,7 +6,7 @@ from sightlog.llm.common import ORACLES, QUERIES
 
 MODULES = [
     "quality", "url_filter", "simhash", "vector_graph", "byte_bpe", "extract", "packing", "repeats", "pii", "risk_rules",
-    "toxicity", "infill",
+    "toxicity", "infill", "prefix_trie",
 ]
 
 
