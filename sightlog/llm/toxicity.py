@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlog.llm.common import map_batches, query, table
-from sightlog.session import materialise
+from sightlog.session import materialise, scratch_path
 
-TRAIN_ROWS, BUCKETS, FEATURES, LEAST_DOCUMENTS = 40_000, 1 << 18, 4096, 3
+TRAIN_ROWS, BUCKETS, FEATURES, LEAST_DOCUMENTS = 20_000, 1 << 18, 4096, 3
 STEPS, RATE, RIDGE, FOLDS, CUT = 40, 0.4, 1e-5, 5, 0.5
 STEMS = (4, 5, 6)
 #: Words kept per task with their features; a full memory is emptied.
@@ -99,7 +99,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_RO
             cut = row["bin"] * 1024
             break
         kept += row["count"]
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.where(F.col("h") < cut), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    # at most about ``bound`` ids and labels go to every task, so no text is shuffled
+    chosen = F.broadcast(known.where(F.col("h") < cut).select("doc_id", F.col("y").cast("int").alias("y")))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("text", "y")
 
 
 def screen(rows: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float, float]:
@@ -152,19 +154,22 @@ def instances(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
     return map_batches(rows.select("text", "y"), "y int, n int, feats array<int>, ends array<int>", run)
 
 
-def loss_and_gradient(ys, sizes, feats, ends, weights: np.ndarray) -> np.ndarray:
-    """Gradient by weight (the bias last), then the log loss, of documents given as ``instances`` gives them."""
-    k = len(weights) - 1
-    flat = np.fromiter((f for x in feats for f in x), dtype=np.int64)
-    per = [np.diff([0, *e]) for e in ends]
-    counts = np.concatenate([*per, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of a column of lists, without a Python object for each."""
+    return np.asarray(column.flatten()), np.diff(np.asarray(column.offsets))
+
+
+def loss_and_gradient(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
+    """Gradient by weight (the bias last), then the log loss, of documents as ``instances`` gives them."""
+    k, (flat, _), (ends, n_ends) = len(weights) - 1, _lists(batch.column("feats")), _lists(batch.column("ends"))
+    y, sizes = np.asarray(batch.column("y")), np.asarray(batch.column("n"))
+    doc = np.repeat(np.arange(len(y)), n_ends)
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+    counts = np.where(first, ends, np.diff(ends, prepend=0))
     sentence = np.repeat(np.arange(len(counts)), counts)
-    doc = np.repeat(np.arange(len(ys)), [len(e) for e in ends])
-    y = np.asarray(ys)
-    bare = np.maximum(np.asarray(sizes), 1) - np.bincount(doc, minlength=len(ys))
+    bare = np.maximum(sizes, 1) - n_ends
     z = np.bincount(sentence, weights=weights[flat], minlength=len(counts)) + weights[-1]
-    soft = np.logaddexp(0, z)
-    a = np.maximum(np.bincount(doc, weights=soft, minlength=len(ys)) + bare * np.logaddexp(0, weights[-1]), 1e-12)
+    a = np.maximum(np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y)) + bare * np.logaddexp(0, weights[-1]), 1e-12)
     slope = np.where(y == 1, -1 / np.expm1(np.minimum(a, 500)), 1.0)
     dz = slope[doc] / (1 + np.exp(-z))
     grad = np.bincount(flat, weights=dz[sentence], minlength=k)
@@ -175,7 +180,9 @@ def loss_and_gradient(ys, sizes, feats, ends, weights: np.ndarray) -> np.ndarray
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, features: int = FEATURES, steps: int = STEPS) -> dict:
     """Weights by bucket and the bias: full gradients with a step of its own for each weight (Adam), from the rate of toxic labels."""
-    rows = materialise(training_rows(documents, labels, bound))
+    path = scratch_path(documents.sparkSession, "toxicity-training")
+    training_rows(documents, labels, bound).write.parquet(path)
+    rows = documents.sparkSession.read.parquet(path)
     buckets, n0, n1 = screen(rows, features)
     model = {"buckets": buckets, "weights": np.zeros(len(buckets)), "bias": 0.0, "constant": None}
     if not n0 or not n1:
@@ -188,7 +195,7 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, feat
     for t in range(1, steps + 1):
 
         def gradient(batch, weights=w.copy()):
-            return loss_and_gradient(*(c.to_pylist() for c in batch.columns), weights)
+            return loss_and_gradient(batch, weights)
 
         grad = _summed(data, k + 2, gradient)[:-1] / (n0 + n1)
         grad[:-1] += RIDGE * w[:-1]

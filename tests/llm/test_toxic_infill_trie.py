@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,14 +46,15 @@ def sentences(r, n, bad=None):
 
 def test_gradient_is_that_of_the_log_loss():
     r = np.random.default_rng(4)
-    ys, sizes = [1, 0, 1, 0], [3, 2, 1, 0]
-    feats, ends = [[0, 2, 1], [1, 3], [], []], [[1, 3], [2], [], []]
+    ys = [1, 0, 1, 0]
+    columns = {"y": ys, "n": [3, 2, 1, 0], "feats": [[0, 2, 1], [1, 3], [], []], "ends": [[1, 3], [2], [], []]}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(columns.values(), [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())], strict=True)], names=list(columns))
     w = r.normal(size=5)
 
     def loss(v):
-        return toxicity.loss_and_gradient(ys, sizes, feats, ends, v)[-1]
+        return toxicity.loss_and_gradient(batch, v)[-1]
 
-    got = toxicity.loss_and_gradient(ys, sizes, feats, ends, w)[:-1]
+    got = toxicity.loss_and_gradient(batch, w)[:-1]
     want = [(loss(w + d) - loss(w - d)) / 2e-6 for d in np.eye(5) * 1e-6]
     assert got == pytest.approx(want, rel=1e-4)
     # the loss itself, by the product of the definition
