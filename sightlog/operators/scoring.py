@@ -15,7 +15,6 @@ WEIGHTS = {"value": 0.40, "access": 0.35, "safety": 0.15, "distance": 0.10}
 SAFE_PX = 200
 REACH_PX = 120
 LANDING_PX = 320
-RINGS = (32,)
 
 LOOT = {
     "per_troop": 1000, "budget": 30, "optimal_px": 120.0, "max_px": 260.0, "breaker": 3, "wall_limit": 6,
@@ -23,17 +22,16 @@ LOOT = {
 }
 
 
-def defence_distance(targets: DataFrame, defences: DataFrame, keys=("frame_id",), safe_px: int = SAFE_PX) -> DataFrame:
-    """Distance of each target to its nearest defence, cut at ``safe_px``; NULL in a frame without
-    defences. Beyond the cut every score is the same, so the search may stop there."""
-    keys = list(keys)
-    near = spatial.nearest(targets, defences, keys, safe_px, RINGS).select(*keys, "x", "y", F.col("d2").alias("_d2"))
-    some = defences.select(*keys).distinct().withColumn("_some", F.lit(True))
-    dist = F.when(F.col("_some"), F.coalesce(F.sqrt(F.col("_d2").cast("double")), F.lit(float(safe_px))))
-    return (
-        targets.join(near, keys + ["x", "y"], "left").join(some, keys, "left")
-        .withColumn("defence_px", dist).drop("_d2", "_some")
-    )
+def with_neighbours(targets: DataFrame, points: DataFrame, safe_px: int = SAFE_PX, landing_px: int = LANDING_PX) -> DataFrame:
+    """Targets with what lies around them, from one pass over ``points`` (frame_id, role, x, y; roles target, defence, landable).
+
+    Adds ``defence_px``: distance to the nearest defence, cut at ``safe_px`` (beyond it every score is the same), NULL in a frame
+    without defences; ``landable``: struct (d2, py, px) of the nearest landable point within ``landing_px``; ``has_landable``.
+    """
+    near = spatial.neighbours(points, ["frame_id"], "target", {"defence": safe_px, "landable": landing_px})
+    far = F.coalesce(F.sqrt(F.col("defence")["d2"].cast("double")), F.lit(float(safe_px)))
+    near = near.withColumn("defence_px", F.when(F.col("has_defence"), far))
+    return targets.join(near.select("frame_id", "x", "y", "defence_px", "landable", "has_landable"), ["frame_id", "x", "y"])
 
 
 def skip_full(targets: DataFrame, status: DataFrame) -> DataFrame:
@@ -42,30 +40,22 @@ def skip_full(targets: DataFrame, status: DataFrame) -> DataFrame:
     return targets.withColumn("resource", resource).join(status, ["frame_id", "resource"], "left_anti").drop("resource")
 
 
-def score_targets(
-    targets: DataFrame, size: tuple[int, int], landable: DataFrame | None = None, near: DataFrame | None = None
-) -> DataFrame:
+def score_targets(targets: DataFrame, size: tuple[int, int]) -> DataFrame:
     """Weighted score of value, accessibility, safety and distance to the deploy point.
 
-    ``targets`` carries ``defence_px``. Accessibility follows the nearest landable point, or the
-    distance to the image edge where no landable points are given at all. ``near`` may pass the
-    nearest landable points if they are known already.
+    ``targets`` carries ``defence_px``. Accessibility follows the nearest landable point (``landable``, ``has_landable``), or the distance
+    to the image edge in frames without any and where ``targets`` has no such columns.
     """
     w, h = size
     c = F.col
     unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
     edge = F.least(c("x"), c("y"), w - c("x"), h - c("y"))
-    by_edge = 1.0 - F.least(F.lit(1.0), edge / (0.5 * min(w, h)))
-    if landable is None:
-        t = targets.withColumn("access", by_edge)
-    else:
-        if near is None:
-            near = spatial.nearest(targets, landable, ["frame_id"], REACH_PX, RINGS)
-        near = near.select("frame_id", "x", "y", c("d2").alias("_l2"))
-        some = landable.select("frame_id").distinct().withColumn("_some", F.lit(True))
-        t = targets.join(near, ["frame_id", "x", "y"], "left").join(some, "frame_id", "left")
-        by_land = F.when(c("_l2").isNull(), 0.0).otherwise(unit(1.0 - F.sqrt(c("_l2").cast("double")) / float(REACH_PX)))
-        t = t.withColumn("access", F.when(c("_some"), by_land).otherwise(by_edge)).drop("_l2", "_some")
+    access = 1.0 - F.least(F.lit(1.0), edge / (0.5 * min(w, h)))
+    if "landable" in targets.columns:
+        px = F.sqrt(c("landable")["d2"].cast("double"))
+        by_land = F.when(px.isNull(), 0.0).otherwise(unit(1.0 - px / float(REACH_PX)))
+        access = F.when(c("has_landable"), by_land).otherwise(access)
+    t = targets.withColumn("access", access)
     diagonal = float((w * w + h * h) ** 0.5)
     far = g.distance(c("x"), c("y"), F.lit(w // 2), F.lit(h - 10))
     t = t.withColumns({
@@ -84,24 +74,18 @@ def rank_targets(scored: DataFrame, top_k: int | None = None) -> DataFrame:
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 
 
-def estimate_loot(
-    targets: DataFrame,
-    landable: DataFrame,
-    walls: DataFrame,
-    known: DataFrame | None = None,
-    cfg: dict = LOOT,
-    near: DataFrame | None = None,
-) -> DataFrame:
-    """Loot estimate per target (frame_id, det_no, name, x, y, defence_px, and optionally level).
+def estimate_loot(targets: DataFrame, walls: DataFrame, known: DataFrame | None = None, cfg: dict = LOOT) -> DataFrame:
+    """Loot estimate per target (frame_id, det_no, name, x, y, defence_px, landable, and optionally level); all columns of ``targets`` stay.
 
-    A frame without landable points has no allowed place at all. ``known`` lists boxes with a
+    A target without a landable point in reach has no allowed place. ``known`` lists boxes with a
     capacity and a looted amount; the first of the same name within reach is used.
     """
     c, key = F.col, ["frame_id"]
-    land = spatial.nearest(targets, landable, key, LANDING_PX, RINGS) if near is None else near
-    layers = spatial.crossing_layers(land, walls, key)
-    place = land.join(layers, key + ["x", "y", "px", "py"], "left")
-    t = targets.join(place, key + ["x", "y"], "left")
+    kept = targets.columns
+    t = targets.withColumns({"px": c("landable")["px"], "py": c("landable")["py"], "d2": c("landable")["d2"]})
+    route = [*key, "x", "y", "px", "py"]
+    layers = spatial.crossing_layers(t.filter("px IS NOT NULL").select(*route), walls, key)
+    t = t.join(layers, route, "left")
     default = vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY)
     if "level" in targets.columns:
         scaled = (default * (F.lit(0.8) + 0.15 * F.greatest(F.lit(1), c("level")))).cast("int")
@@ -161,30 +145,27 @@ def estimate_loot(
         "efficient",
         c("accessible") & (efficiency >= cfg["min_efficiency"]) & (c("risk") <= cfg["max_risk"] * 0.7),
     ).select(
-        "frame_id", "det_no", "name", "x", "y", "px", "py", F.round("dist", 1).alias("landing_px"), "wall_cost", "walk_extra",
+        *kept, "px", "py", F.round("dist", 1).alias("landing_px"), "wall_cost", "walk_extra",
         "troops_needed", F.col("expected_loot").cast("bigint").alias("expected_loot"), F.round("risk", 3).alias("risk"),
         F.round("loot_factor", 3).alias("loot_factor"), "accessible", "reason", "efficient",
     )
 
 
-def select_target(ranked: DataFrame, estimates: DataFrame, depleted: DataFrame, requests: DataFrame, last: DataFrame, limit: int = 2, match_px: int = 48) -> DataFrame:
-    """One target per frame: accessible and not depleted; the requested one unless it was hit
-    ``limit`` times in a row, else the best below that limit, else the best.
+def select_target(candidates: DataFrame, limit: int = 2, match_px: int = 48) -> DataFrame:
+    """One target per frame: the requested one unless it was hit ``limit`` times in a row, else the best below that limit,
+    else the best.
 
-    ``requests`` is (frame_id, r_name, rx, ry), ``last`` is (frame_id, l_name, lx, ly, repeats).
+    ``candidates`` are ranked, accessible and not depleted, each with the request of its frame (r_name, rx, ry) and the last
+    choice (l_name, lx, ly, repeats); NULL where there is none.
     """
     c = F.col
-    ok = estimates.filter("accessible").select("frame_id", "det_no", "troops_needed", "expected_loot", "px", "py")
     near = lambda n, x, y: (c("name") == c(n)) & (
         g.squared_distance(c("x"), c("y"), c(x), c(y)) <= match_px * match_px
     )
-    q = (
-        ranked.join(ok, ["frame_id", "det_no"])
-        .join(depleted.select("frame_id", "det_no"), ["frame_id", "det_no"], "left_anti")
-        .join(requests, "frame_id", "left").join(last, "frame_id", "left")
-        .withColumn("asked", F.coalesce(near("r_name", "rx", "ry"), F.lit(False)))
-        .withColumn("tired", F.coalesce(near("l_name", "lx", "ly") & (c("repeats") >= limit), F.lit(False)))
-    )
+    q = candidates.withColumns({
+        "asked": F.coalesce(near("r_name", "rx", "ry"), F.lit(False)),
+        "tired": F.coalesce(near("l_name", "lx", "ly") & (c("repeats") >= limit), F.lit(False)),
+    })
     # the request is the best ranked row in reach of it, and it is honoured only if that row is not tired
     chosen = F.struct("det_no", "name", "x", "y", "px", "py", "score", "troops_needed", "expected_loot", "tired")
     per = q.groupBy("frame_id").agg(

@@ -1,8 +1,10 @@
-"""Neighbour joins inside a frame: nearest point, first point in reach, lines that meet.
+"""Neighbours inside a frame: nearest points, first point in reach, lines that meet.
 
-Frames are the equi key, a grid cell is the second one, so a point meets only points
-around it and never all points of its frame. Points are made distinct first: a frame has
-at most as many distinct points as its canvas has pixels, whatever the number of rows.
+Points are made distinct first: a frame has at most as many distinct points as its canvas has pixels, whatever the
+number of rows. Nearest points come from a distance transform of each frame: per row of the canvas that is asked for,
+the nearest point of every column, then per asked point the nearest of those. Its work is bounded by the canvas (rows
+x points + points x columns), where pairs of points would grow with the square. The other joins use the frame and a grid
+cell as key, so a point meets only points around it.
 """
 
 from __future__ import annotations
@@ -35,27 +37,58 @@ def within_reach(left: DataFrame, right: DataFrame, keys: list[str], radius: int
     return l.join(r, keys + ["_gx", "_gy"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop("_gx", "_gy")
 
 
-def nearest(
-    left: DataFrame, right: DataFrame, keys: list[str], radius: int, first_rings: tuple[int, ...] = ()
-) -> DataFrame:
-    """Nearest right point within ``radius`` of each distinct left point: (keys, x, y, d2, px, py).
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where the optimiser would inline it into a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Ties go to the smallest (py, px). ``first_rings`` are smaller radii to try before: a left
-    point with a neighbour inside a ring is settled there and leaves the wider search,
-    which keeps crowded frames cheap.
+def neighbours(points: DataFrame, keys: list[str], asked: str, radii: dict[str, int]) -> DataFrame:
+    """Nearest points of several roles around each distinct point of the role ``asked``, in one pass over ``points`` (keys, role, x, y).
+
+    One row (keys, x, y) per asked point, with a struct (d2, py, px) for each role of ``radii``, NULL beyond its radius, and
+    ``has_<role>``: whether the group has any point of it. Ties go to the smallest (py, px).
     """
-    point = keys + ["x", "y"]
-    todo = left.select(*point).distinct()
-    other = right.select(*keys, F.col("x").alias("px"), F.col("y").alias("py")).distinct()
-    best = F.min(F.struct("d2", "py", "px")).alias("b")
-    found = None
-    rings = [r for r in first_rings if r < radius] + [radius]
-    for i, ring in enumerate(rings):
-        hit = within_reach(todo, other, keys, ring).groupBy(*point).agg(best)
-        found = hit if found is None else found.unionByName(hit)
-        if i < len(rings) - 1:
-            todo = todo.join(hit, point, "left_anti")
-    return found.select(*point, "b.d2", "b.px", "b.py")
+    c = F.col
+    square = lambda v: v.cast("bigint") * v.cast("bigint")
+    sets = [F.collect_set(F.when(c("role") == asked, F.struct("y", "x"))).alias("_asked")]
+    sets += [F.collect_set(F.when(c("role") == r, F.struct("x", "y"))).alias(r) for r in radii]
+    frames = points.groupBy(*keys).agg(*sets).filter(F.size("_asked") > 0)
+
+    def by_column(r):
+        xs = F.array_distinct(F.transform(c(r), lambda p: p["x"]))
+        ys = lambda x: F.transform(F.filter(c(r), lambda p: p["x"] == x), lambda p: p["y"])
+        return F.transform(xs, lambda x: F.struct(x.alias("x"), ys(x).alias("ys"))).alias(r)
+
+    def in_row(columns, y0):
+        to = lambda k: F.transform(k["ys"], lambda y: F.struct(square(y - y0).alias("d"), y.alias("py"), k["x"].alias("px")))
+        return F.transform(columns, lambda k: F.array_min(to(k)))
+
+    def to_point(row, x0):
+        return F.array_min(F.transform(row, lambda q: F.struct((q["d"] + square(q["px"] - x0)).alias("d2"), q["py"].alias("py"), q["px"].alias("px"))))
+
+    def row_of(v, y0):
+        rows = F.struct(*[in_row(v[r], y0).alias(r) for r in radii])
+        return _let(rows, lambda row: F.transform(
+            F.filter(c("_asked"), lambda p: p["y"] == y0),
+            lambda p: F.struct(p["x"].alias("x"), y0.alias("y"), *[to_point(row[r], p["x"]).alias(r) for r in radii]),
+        ))
+
+    rows = F.array_distinct(F.transform(c("_asked"), lambda p: p["y"]))
+    all_points = _let(F.struct(*[by_column(r) for r in radii]), lambda v: F.flatten(F.transform(rows, lambda y0: row_of(v, y0))))
+    some = [(F.size(r) > 0).alias(f"has_{r}") for r in radii]
+    found = frames.select(*keys, *some, F.explode(all_points).alias("_p"))
+    return found.select(
+        *keys, "_p.x", "_p.y", *[f"has_{r}" for r in radii],
+        *[F.when(c("_p")[r]["d2"] <= radius * radius, c("_p")[r]).alias(r) for r, radius in radii.items()],
+    )
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Nearest right point within ``radius`` of each distinct left point: (keys, x, y, d2, px, py)."""
+    point = [*keys, "x", "y"]
+    both = left.select(*point, F.lit("asked").alias("role")).unionByName(right.select(*point, F.lit("near").alias("role")))
+    found = neighbours(both, keys, "asked", {"near": radius}).filter("near IS NOT NULL")
+    return found.select(*point, "near.d2", "near.px", "near.py")
 
 
 def first_in_reach(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightlog import vocab
@@ -11,7 +12,6 @@ from sightlog.operators import scoring as sc
 from sightlog.operators import spatial as sp
 from sightlog.plans.registry import query
 from sightlog.plans.views import case
-from sightlog.session import materialise
 from sightlog.sources import tables as src
 
 W, H = src.CANVAS
@@ -23,7 +23,8 @@ NEAR_DEF = f"""nd AS (SELECT t.frame_id, t.det_no, min(CASE WHEN d.frame_id IS N
 
 
 def guarded(spark, sf):
-    return sc.defence_distance(src.targets(spark, sf), src.defences(spark, sf))
+    """Targets with their neighbours: one scan of the points, one of the targets."""
+    return sc.with_neighbours(src.targets(spark, sf), src.frame_points(spark, sf))
 
 
 @query("jo5_nearest_defence", f"WITH {NEAR_DEF} SELECT frame_id, det_no, defence_px FROM nd", "targets defences")
@@ -43,7 +44,7 @@ FROM targets t JOIN landable p ON p.frame_id = t.frame_id AND {D2('p')} <= 320*3
 )
 def nearest_landable_point(spark, sf):
     t = src.targets(spark, sf).select("frame_id", "det_no", "x", "y")
-    near = sp.nearest(t, src.landable(spark, sf), KEY, sc.LANDING_PX, sc.RINGS)
+    near = sp.nearest(t, src.landable(spark, sf), KEY, sc.LANDING_PX)
     return t.join(near, KEY + ["x", "y"]).select("frame_id", "det_no", "d2", "px", "py")
 
 
@@ -142,7 +143,7 @@ lw AS (SELECT frame_id, det_no, count(*) FILTER (WHERE {MEET}) AS layers FROM (S
 )
 def walls_crossed(spark, sf):
     t = src.targets(spark, sf).select("frame_id", "det_no", "x", "y")
-    route = sp.nearest(t, src.landable(spark, sf), KEY, sc.LANDING_PX, sc.RINGS)
+    route = sp.nearest(t, src.landable(spark, sf), KEY, sc.LANDING_PX)
     layers = sp.crossing_layers(route, src.walls(spark, sf), KEY)
     j = t.join(route, KEY + ["x", "y"]).join(layers, KEY + ["x", "y", "px", "py"], "left")
     return j.select("frame_id", "det_no", (F.coalesce("layers", F.lit(0)) * 3).cast("int").alias("wall_cost"))
@@ -182,7 +183,7 @@ SCORE_OUT = "frame_id, det_no, value, round(access, 6) AS access, round(safety,
 
 def scored(spark, sf, land=True):
     t = sc.skip_full(guarded(spark, sf), full_resources(spark, sf))
-    return sc.score_targets(t, (W, H), src.landable(spark, sf) if land else None)
+    return sc.score_targets(t if land else t.drop("landable", "has_landable"), (W, H))
 
 
 def score_out(df):
@@ -219,7 +220,7 @@ def top_targets(spark, sf):
 @query("ud1_policy_as_transform", f"{SCORED} SELECT frame_id, det_no FROM rk WHERE rank = 1", SC_VIEWS)
 def policy_as_transform(spark, sf):
     """A policy is any function from targets to ordered targets, applied with ``transform``."""
-    best_only = lambda df: sc.rank_targets(sc.score_targets(df, (W, H), src.landable(spark, sf)), 1)
+    best_only = lambda df: sc.rank_targets(sc.score_targets(df, (W, H)), 1)
     t = sc.skip_full(guarded(spark, sf), full_resources(spark, sf))
     return t.transform(best_only).select("frame_id", "det_no")
 
@@ -272,19 +273,22 @@ est AS (SELECT frame_id, det_no, name, x, y, CAST(px AS INT) AS px, CAST(py AS I
   reason = 'ok' AND expected / (needed * 1000) >= 0.35 AND risk <= 0.8::DOUBLE * 0.7::DOUBLE AS efficient FROM e)"""
 
 
-def estimates(spark, sf, base=None, near=None):
-    t = (guarded(spark, sf) if base is None else base).withColumn("level", F.when(F.col("det_no") % 3 == 0, F.col("det_no") % 12))
+def estimates(spark, sf, base):
+    t = base.withColumn("level", F.when(F.col("det_no") % 3 == 0, F.col("det_no") % 12))
     known = src.targets(spark, sf).select(
         "frame_id", "det_no", "name", "x", "y",
         F.expr("CASE WHEN det_no % 5 = 0 THEN 900 + CAST(det_no % 3000 AS INT) END").alias("capacity"),
         F.expr("CASE WHEN det_no % 7 = 0 THEN CAST(det_no % 2500 AS INT) END").alias("looted"),
     )
-    return sc.estimate_loot(t, src.landable(spark, sf), src.walls(spark, sf), known, near=near)
+    return sc.estimate_loot(t, src.walls(spark, sf), known)
 
 
 @query("so2_loot_estimate", f"WITH {LOOT} SELECT * FROM est", SC_VIEWS)
 def loot_estimate(spark, sf):
-    return estimates(spark, sf)
+    return estimates(spark, sf, guarded(spark, sf)).select(
+        "frame_id", "det_no", "name", "x", "y", "px", "py", "landing_px", "wall_cost", "walk_extra", "troops_needed", "expected_loot", "risk", "loot_factor",
+        "accessible", "reason", "efficient",
+    )
 
 
 PICK = f"""WITH {FULL}, {LOOT}, {score_sql(True)}, {REQ},
@@ -298,18 +302,17 @@ s AS (SELECT frame_id, req_no IS NOT NULL AND NOT req_tired AS honoured, CASE WH
 
 
 def selection(spark, sf):
-    # neighbours serve the score and the estimate: find them once and cut the plan there
-    base = materialise(guarded(spark, sf))
-    land = src.landable(spark, sf)
-    near = materialise(sp.nearest(base, land, KEY, sc.LANDING_PX, sc.RINGS))
-    open_targets = sc.skip_full(base, full_resources(spark, sf))
-    ranked = materialise(sc.rank_targets(sc.score_targets(open_targets, (W, H), land, near)))
-    first = ranked.filter("rank = 1").select("frame_id", F.col("name").alias("l_name"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    last = first.withColumn("l_name", F.when(F.col("frame_id") % 2 == 0, F.col("l_name"))).withColumn(
-        "repeats", (F.col("frame_id") % 3 + 1).cast("int")
-    )
-    depleted = src.targets(spark, sf).filter("det_no % 13 = 0")
-    return sc.select_target(ranked, estimates(spark, sf, base, near), depleted, requests(spark, sf), last)
+    open_targets = sc.skip_full(guarded(spark, sf), full_resources(spark, sf))
+    ranked = sc.rank_targets(sc.score_targets(open_targets, (W, H)))
+    # the last choice of a frame is taken to be its best target, so it comes from the window that ranks
+    by_rank = Window.partitionBy("frame_id").orderBy(F.desc("score"), "det_no")
+    best = F.first(F.struct("name", "x", "y")).over(by_rank)
+    even = F.col("frame_id") % 2 == 0
+    ranked = ranked.withColumn("_best", best).withColumns({
+        "l_name": F.when(even, F.col("_best.name")), "lx": F.col("_best.x"), "ly": F.col("_best.y"), "repeats": (F.col("frame_id") % 3 + 1).cast("int"),
+    }).drop("_best")
+    able = estimates(spark, sf, ranked).filter("accessible AND det_no % 13 <> 0")
+    return sc.select_target(able.join(requests(spark, sf), "frame_id", "left"))
 
 
 @query(

@@ -142,6 +142,12 @@ def landable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir, "class_id >= 12")
 
 
+def frame_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of targets, defences and landable places by role, from one scan."""
+    role = "CASE WHEN class_id < 6 THEN 'target' WHEN class_id >= 12 THEN 'landable' WHEN class_id < 10 THEN 'defence' END AS role"
+    return _points(spark, sf_dir, "class_id NOT IN (10, 11)", role)
+
+
 def walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         detections(spark, sf_dir)

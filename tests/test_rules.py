@@ -87,7 +87,9 @@ def test_loot_distances(spark):
     t = spark.createDataFrame([(i, i, "储金罐", 100, 100, None) for i in range(1, 6)], "frame_id INT, det_no INT, name STRING, x INT, y INT, defence_px DOUBLE")
     land = spark.createDataFrame([(1, 100, 100), (2, 220, 100), (3, 360, 100), (4, 361, 100)], "frame_id INT, x INT, y INT")
     walls = spark.createDataFrame([], "frame_id INT, x1 INT, y1 INT, x2 INT, y2 INT")
-    got = {r.frame_id: (r.reason, r.walk_extra, r.troops_needed, r.expected_loot) for r in sc.estimate_loot(t, land, walls).collect()}
+    points = t.select("frame_id", F.lit("target").alias("role"), "x", "y").unionByName(land.withColumn("role", F.lit("landable")))
+    near = sc.with_neighbours(t.drop("defence_px"), points)
+    got = {r.frame_id: (r.reason, r.walk_extra, r.troops_needed, r.expected_loot) for r in sc.estimate_loot(near, walls).collect()}
     assert got == {1: ("ok", 0, 4, 4000), 2: ("ok", 0, 4, 4000), 3: ("ok", 1, 5, 1400), 4: ("too_far", 1, 5, 1400), 5: ("no_landing", 0, 0, 0)}
 
 

@@ -12,7 +12,7 @@ def points(rnd, n):
     return [(1 if rnd.random() < 0.6 else rnd.randint(2, 5), rnd.randint(0, 300), rnd.randint(0, 200)) for _ in range(n)]
 
 
-def test_nearest_with_and_without_rings(spark):
+def test_nearest_against_all_pairs(spark):
     rnd = random.Random(1)
     left, right = points(rnd, 120), points(rnd, 80)
     l = spark.createDataFrame(left, "f INT, x INT, y INT")
@@ -23,9 +23,28 @@ def test_nearest_with_and_without_rings(spark):
         near = [v for v in near if v[0] <= 60 * 60]
         if near:
             want[f, x, y] = min(near)
-    for rings in ((), (10, 25)):
-        got = {(q.f, q.x, q.y): (q.d2, q.py, q.px) for q in sp.nearest(l, r, ["f"], 60, rings).collect()}
-        assert got == want
+    got = {(q.f, q.x, q.y): (q.d2, q.py, q.px) for q in sp.nearest(l, r, ["f"], 60).collect()}
+    assert got == want
+
+
+def test_neighbours_of_several_roles_in_one_pass(spark):
+    rows = [(1, "t", 10, 10), (1, "t", 10, 10), (1, "t", 50, 10), (1, "d", 13, 14), (1, "d", 13, 6), (2, "t", 0, 0), (2, "l", 300, 0), (3, "l", 1, 1), (4, "t", 5, 5), (4, "d", 5, 5)]
+    got = sp.neighbours(spark.createDataFrame(rows, "f INT, role STRING, x INT, y INT"), ["f"], "t", {"d": 30, "l": 299}).collect()
+    have = {(r.f, r.x, r.y): (r.has_d, r.has_l, r.d and tuple(r.d), r.l and tuple(r.l)) for r in got}
+    assert have == {
+        (1, 10, 10): (True, False, (25, 6, 13), None), (1, 50, 10): (True, False, None, None), (2, 0, 0): (False, True, None, None),
+        (4, 5, 5): (True, False, (0, 5, 5), None),
+    }
+    assert len(got) == 4
+
+
+def test_crowded_frame_ends(spark):
+    # 60,000 rows of either side in one frame: pairs would be 3.6 thousand millions
+    side = lambda a, b, role: spark.range(60_000).selectExpr("1 AS f", f"'{role}' AS role", f"CAST((id * {a}) % 1280 AS INT) AS x", f"CAST((id * {b}) div 7 % 720 AS INT) AS y")
+    points = side(37, 11, "t").unionByName(side(53, 29, "d"))
+    got = sp.neighbours(points, ["f"], "t", {"d": 200})
+    total = got.agg(F.count("*").alias("n"), F.count("d").alias("found"), F.max("d.d2").alias("far")).first()
+    assert total.n == points.filter("role = 't'").distinct().count() == total.found and total.far < 400
 
 
 def test_first_in_reach_takes_the_first_not_the_nearest(spark):
