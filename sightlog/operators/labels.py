@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sightlog import vocab
-from sightlog.operators.segments import ordered_fold
+from sightlog.operators.segments import SEG, group_starts, in_order, join_segments, ordered
+from sightlog.session import materialise
 
 N = len(vocab.CLASSES)
 
@@ -77,23 +80,88 @@ def keep_classes(boxes: DataFrame, keep: dict[int, int]) -> DataFrame:
     return boxes.withColumn("new_id", vocab.lookup(F.col("class_id"), keep)).filter("new_id IS NOT NULL")
 
 
-def background_quota(frames: DataFrame, keep_boxes: DataFrame, max_background: float) -> DataFrame:
+def background_quota(frames: DataFrame, keep_boxes: DataFrame, max_background: float, segments: int | None = None) -> DataFrame:
     """Frames in order; a frame without kept boxes stays while the number of such frames so far,
-    skipped ones included, is at most ``max_background`` x max(1, frames kept so far)."""
+    skipped ones included, is at most ``max_background`` x max(1, frames kept so far).
+
+    Both running numbers of frames with and without boxes are plain sums. What is left is the number a of kept backgrounds, which rises by one at
+    a row if it has reached that row's need. A block of rows is a step function of the a it starts from: each row has the smallest
+    start at which it is kept. One pass finds these steps for all blocks at once, one takes the steps of a split's blocks in order.
+    """
     n = keep_boxes.groupBy("frame_id").agg(count_rows("n_boxes"))
-    rows = frames.select("split", "frame_id").join(n, "frame_id", "left").withColumn(
-        "n_boxes", F.coalesce("n_boxes", F.lit(0)).cast("bigint")
-    )
+    rows = frames.select("split", "frame_id").join(n, "frame_id", "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)).cast("bigint"))
+    bare = F.col("n_boxes") == 0
+    o = ordered(rows, ["split"], ["frame_id"], segments).running_sum("_bg", bare.cast("bigint"))
+    o = o.running_sum("_boxed", (~bare).cast("bigint"))
+    # the smallest number of kept frames that allows this background; the quotient is set right by the test itself
+    b, q = F.col("_bg"), F.lit(float(max_background))
+    near = F.ceil(b / q).cast("bigint")
+    allows = lambda k: b <= q * F.greatest(F.lit(1), k)
+    least = F.when(allows(F.lit(0)), 0).when(allows(near - 1), near - 1).when(allows(near), near).otherwise(near + 1)
+    # without any allowance nothing is kept; greatest() would turn a NULL need into 0
+    need = F.when(bare, F.greatest(F.lit(0), least - F.col("_boxed"))) if max_background > 0 else F.lit(None)
+    need = need.cast("bigint")
+    rows = o.df.select("split", "frame_id", "n_boxes", need.alias("_need"), F.when(bare, b - 1).alias("_most"), SEG)
+    stepped = materialise(rows.repartition("split", SEG).sortWithinPartitions("split", SEG, "frame_id").mapInArrow(_steps, "split string, frame_id long, n_boxes long, _seg int, _block long, _from long"))
+    block = ["split", SEG, "_block"]
+    steps = stepped.filter("_from IS NOT NULL").groupBy(*block).agg(F.array_sort(F.collect_list("_from")).alias("_steps"))
+    starts = in_order(steps, ["split"], [SEG, "_block"], _block_starts, "split string, _seg int, _block long, _at long")
+    kept = (F.col("n_boxes") > 0) | F.coalesce(F.col("_at") >= F.col("_from"), F.lit(False))
+    return join_segments(stepped, starts, block).select("split", "frame_id", "n_boxes", kept.alias("kept"))
+
+
+#: Rows of a block of ``background_quota``.
+BLOCK = 32_768
+
+
+def _steps(batches):
+    """For each background the smallest number of kept ones, at its block's start, with which it is kept (NULL: none that can be)."""
+    group, steps, size, block = None, [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, group = group_starts(batch, ["split", SEG], group)
+        blocks, found = [], []
+        for new, need, most in zip(starts.tolist(), batch.column("_need").to_pylist(), batch.column("_most").to_pylist(), strict=True):
+            if new or size >= BLOCK:
+                steps, size, block = [], 0, 0 if new else block + 1
+            size += 1
+            at = None
+            if need is not None:
+                # smallest start a with a + (steps up to a) >= need: a lies between two steps, or is one of them
+                low, high = 0, len(steps)
+                while low < high:
+                    mid = (low + high) // 2
+                    if steps[mid] + mid + 1 >= need:
+                        high = mid
+                    else:
+                        low = mid + 1
+                at = max(0, need - low) if low == len(steps) else max(0, min(steps[low], need - low))
+                if at > most:
+                    at = None  # not even with every background before it kept
+                else:
+                    insort(steps, at)
+            blocks.append(block)
+            found.append(at)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("split"), batch.column("frame_id").cast(pa.int64()), batch.column("n_boxes"), batch.column(SEG), pa.array(blocks, pa.int64()), pa.array(found, pa.int64())],
+            names=["split", "frame_id", "n_boxes", SEG, "_block", "_from"],
+        )
 
-    def step(state, n_boxes):
-        kept, background = state
-        if n_boxes == 0:
-            background += 1
-            if background > max_background * max(1, kept):
-                return [kept, background], False
-        return [kept + 1, background], True
 
-    return ordered_fold(rows, ["split"], ["frame_id"], ["n_boxes"], [0, 0], step, T.BooleanType(), "kept")
+def _block_starts(batches):
+    """Backgrounds kept before each block, from the steps of the blocks before it: one block at a time."""
+    group, kept = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, group = group_starts(batch, ["split"], group)
+        at = []
+        for i, new in enumerate(starts.tolist()):
+            kept = 0 if new else kept
+            at.append(kept)
+            kept += int(np.searchsorted(np.asarray(batch.column("_steps")[i].values), kept, side="right"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("split", SEG, "_block")), pa.array(at, pa.int64())], names=["split", SEG, "_block", "_at"])
 
 
 def triage(frames: DataFrame, boxes: DataFrame, keep_conf: float, floor_conf: float, reviewer: bool) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A machine is an ordered list of rules (state, condition, next state, action). The conditions
 are Spark columns. For each row the first rule that would fire in each state is found in
-generated code and packed into one integer; the replay itself is then a table lookup.
+generated code and packed into one integer: a map from states to states. Maps compose, so a replay is
+a scan over segments of any group (``segments.machine_states``) and no step depends on the one before.
 """
 
 from __future__ import annotations
@@ -12,11 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sightlog.operators.segments import ordered_fold
-
-BITS = 4  # at most 16 rules per state
+from sightlog.operators.segments import BITS, apply_map, machine_states
 
 
 @dataclass(frozen=True)
@@ -63,12 +61,16 @@ def stepper(machine: Machine):
     return step
 
 
-def replay(steps: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, group_rows: int | None = None) -> DataFrame:
+def replay(steps: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, segments: int | None = None) -> DataFrame:
     """(keys, order, state, action) after each step; every group starts in the start state."""
     coded = steps.select(*keys, *order, machine.code().alias("_code"))
-    start = machine.states.index(machine.start)
-    out = ordered_fold(coded, keys, order, ["_code"], start, stepper(machine), T.IntegerType(), "_out", group_rows)
-    return decode(out, machine).drop("_code", "_out")
+    table = machine.table()
+    found = machine_states(coded, keys, order, "_code", [[to for to, _ in row] for row in table], machine.states.index(machine.start), segments)
+    # state and action of every (state before, rule)
+    width = max(map(len, table))
+    packed = [to * 256 + ACTIONS.index(action) for row in table for to, action in row + [row[-1]] * (width - len(row))]
+    at = F.col("_before") * width + apply_map(F.col("_code"), F.col("_before"))
+    return decode(found.withColumn("_out", F.get(F.array(*map(F.lit, packed)), at)), machine).drop("_code", "_before", "_out")
 
 
 def decode(df: DataFrame, machine: Machine) -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sightlog import vocab
-from sightlog.operators.segments import ordered, ordered_fold
+from sightlog.operators.segments import group_starts, in_order, ordered
 
 
-def hysteresis(df: DataFrame, keys, order, value: Column, low, resume, name: str, reached: Column | None = None, group_rows=None):
+def hysteresis(df: DataFrame, keys, order, value: Column, low, resume, name: str, reached: Column | None = None, segments=None):
     """Flag that is raised at or below ``low`` and lowered at or above ``resume`` (low < resume).
 
     The flag is the latest of these two events; rows that are not ``reached`` cause none.
@@ -20,85 +18,105 @@ def hysteresis(df: DataFrame, keys, order, value: Column, low, resume, name: str
     event = F.when(value >= resume, False).when(value <= low, True)
     if reached is not None:
         event = F.when(reached, event)
-    o = ordered(df, keys, order, group_rows).last_value(name, event)
+    o = ordered(df, keys, order, segments).last_value(name, event)
     return o.result().withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def streak(df: DataFrame, keys, order, hit: Column, reset: Column, name: str, group_rows=None) -> DataFrame:
+def streak(df: DataFrame, keys, order, hit: Column, reset: Column, name: str, segments=None) -> DataFrame:
     """Number of hits since the last reset; other rows leave it unchanged.
 
     It is the running number of hits minus that number at the latest reset, which is the largest
     one seen at any reset because the number never falls.
     """
-    o = ordered(df.withColumns({"_hit": hit, "_reset": reset}), keys, order, group_rows)
+    o = ordered(df.withColumns({"_hit": hit, "_reset": reset}), keys, order, segments)
     o = o.running_sum("_n", F.when(F.col("_hit"), 1).otherwise(0).cast("bigint"))
     o = o.running_max("_base", F.when(F.col("_reset"), F.col("_n")))
     out = o.result().withColumn(name, F.col("_n") - F.coalesce("_base", F.lit(0)))
     return out.drop("_hit", "_reset", "_n", "_base")
 
 
-def run_length(df: DataFrame, keys, order, value: Column, name: str, group_rows=None) -> DataFrame:
+def run_length(df: DataFrame, keys, order, value: Column, name: str, segments=None) -> DataFrame:
     """Length so far of the run of equal values that a row belongs to."""
-    o = ordered(df.withColumn("_v", value), keys, order, group_rows)
+    o = ordered(df.withColumn("_v", value), keys, order, segments)
     o = o.row_number("_rn").previous("_p", F.struct("_v"))
     changed = F.col("_p").isNull() | ~F.col("_p")["_v"].eqNullSafe(F.col("_v"))
     o = o.running_max("_first", F.when(changed, F.col("_rn")))
     return o.result().withColumn(name, F.col("_rn") - F.col("_first") + 1).drop("_v", "_rn", "_p", "_first")
 
 
-def changes(df: DataFrame, keys, order, value: Column, group_rows=None) -> DataFrame:
+def changes(df: DataFrame, keys, order, value: Column, segments=None) -> DataFrame:
     """Rows whose value differs from the row before: the history without repeats, as rows."""
-    o = ordered(df.withColumn("_v", value), keys, order, group_rows).previous("_p", F.struct("_v"))
+    o = ordered(df.withColumn("_v", value), keys, order, segments).previous("_p", F.struct("_v"))
     new = F.col("_p").isNull() | ~F.col("_p")["_v"].eqNullSafe(F.col("_v"))
     return o.result().filter(new).drop("_v", "_p")
 
 
-def ledger(df: DataFrame, keys, order, delta: Column, name: str, group_rows=None) -> DataFrame:
+def ledger(df: DataFrame, keys, order, delta: Column, name: str, segments=None) -> DataFrame:
     """Balance that is cut at 0 after each movement.
 
     The cut balance is the plain running sum plus the deepest debt it has ever had.
     """
-    o = ordered(df, keys, order, group_rows).running_sum("_s", delta.cast("bigint"))
+    o = ordered(df, keys, order, segments).running_sum("_s", delta.cast("bigint"))
     o = o.running_max("_debt", -F.col("_s"))
     return o.result().withColumn(name, F.col("_s") + F.greatest(F.lit(0), F.col("_debt"))).drop("_s", "_debt")
 
 
-def site_memory(df: DataFrame, keys, order, capacity: Column, group_rows=None) -> DataFrame:
-    """Times seen so far and largest capacity so far, per site."""
-    o = ordered(df.withColumn("_cap", capacity), keys, order, group_rows)
-    return o.row_number("times_seen").running_max("max_capacity", F.col("_cap")).result().drop("_cap")
-
-
-def depletion(capacity: Column, deploys: Column, seen: Column, wall: Column, walk: Column, per_troop: int = 1000, min_seen: int = 2) -> dict[str, Column]:
-    looted = F.least(capacity, F.greatest(F.lit(0), deploys - wall - walk) * per_troop)
-    remaining = F.greatest(F.lit(0), capacity - looted)
-    needed = F.when(capacity <= 0, 0).otherwise(F.ceil(capacity / per_troop) + wall + walk)
-    return {
-        "looted": looted, "remaining": remaining, "needed": needed,
-        "depleted": (seen >= min_seen) & ((remaining <= 0) | (deploys >= needed)),
-    }
-
-
 def mean_abs_difference(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     return F.aggregate(pairs, F.lit(0.0), lambda s, d: s + d) / F.size(a)
 
 
-def keep_changed_frames(df: DataFrame, keys, order, vector: str, interval: int, threshold: float, cap: int, group_rows=None) -> DataFrame:
-    """Every ``interval``-th frame that differs enough from the last kept one, at most ``cap`` per video."""
-    numbered = ordered(df.select(*keys, *order, vector), keys, order, group_rows).row_number("_n").result()
-    sampled = numbered.filter((F.col("_n") - 1) % interval == 0)
-
-    def step(last, v):
-        v = [float(x) for x in v]
-        if last is not None and sum(abs(a - b) for a, b in zip(v, last)) / len(v) < threshold:
-            return last, False
-        return v, True
+def keep_changed_frames(df: DataFrame, keys, order, vector: str, interval: int, threshold: float, cap: int, segments=None) -> DataFrame:
+    """Every ``interval``-th frame that differs enough from the last kept one, at most ``cap`` per video: (keys, order, n_kept).
 
-    kept = ordered_fold(sampled, keys, order, [vector], None, step, T.BooleanType(), "kept", group_rows).filter("kept")
-    return ordered(kept.select(*keys, *order), keys, order, group_rows).row_number("n_kept").result().filter(
-        F.col("n_kept") <= cap
-    )
+    Which frame is compared depends on every choice before, so a video's frames pass one task in order. It holds a batch and the last
+    kept frame; distances of a stretch of frames to it are one array operation, and frames after the ``cap``-th are skipped.
+    """
+    numbered = ordered(df.select(*keys, *order, vector), keys, order, segments).row_number("_n").result()
+    sampled = numbered.filter((F.col("_n") - 1) % interval == 0).select(*keys, *order, F.col(vector).cast("array<double>").alias("_v"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in sampled.schema.fields if f.name != "_v"]
+
+    def run(batches):
+        group, last, n = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, now = group_starts(batch, keys, group)
+            group = now
+            edges = [0, *(np.flatnonzero(starts[1:]) + 1), batch.num_rows]
+            vectors = batch.column("_v")
+            rows, counts = [], []
+            for low, high in zip(edges, edges[1:]):
+                if starts[low]:
+                    last, n = None, 0
+                frames = np.asarray(vectors.slice(low, high - low).flatten()).reshape(high - low, -1)
+                at = 0
+                while at < len(frames) and n < cap:
+                    if last is not None:
+                        at = _first_far(frames, at, last, threshold)
+                        if at is None:
+                            break
+                    last, n = frames[at].copy(), n + 1
+                    rows.append(low + at)
+                    counts.append(n)
+                    at += 1
+            kept = batch.select([f.split(" ")[0] for f in fields]).take(pa.array(rows, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(counts, type=pa.int64())], names=[*kept.schema.names, "n_kept"])
+
+    return in_order(sampled, keys, order, run, ", ".join([*fields, "n_kept long"]))
+
+
+def _first_far(frames: np.ndarray, at: int, last: np.ndarray, threshold: float) -> int | None:
+    """Place of the first frame from ``at`` on whose mean distance to ``last`` reaches the threshold."""
+    size = 16
+    while at < len(frames):
+        # one addition after the other, as a plain sum over the values would have it
+        apart = np.add.accumulate(np.abs(frames[at : at + size] - last), axis=1)[:, -1] / len(last)
+        hit = np.flatnonzero(~(apart < threshold))
+        if len(hit):
+            return at + int(hit[0])
+        at, size = at + size, size * 2
+    return None
 
 
 def until_terminal(df: DataFrame, keys, order: str, terminal: Column) -> DataFrame:
@@ -106,87 +124,3 @@ def until_terminal(df: DataFrame, keys, order: str, terminal: Column) -> DataFra
     stop = df.filter(terminal).groupBy(*keys).agg(F.min(order).alias("_stop"))
     j = df.join(stop, keys, "left")
     return j.filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
-
-
-# --- battle memory and rotation: a fold whose state is a map of sites --------------------------
-
-OBSERVE, CHOOSE, COMMIT = 0, 1, 2
-MATCH_SITE, MATCH_TARGET, MAX_REPEATS = 32.0, 48.0, 2
-
-
-def rotation_events(targets: DataFrame, session: str) -> DataFrame:
-    """Targets (session, frame_id, det_no, name, x, y, score) as events of each tick: all targets are
-    observed in detection order, then weighed by score, then the tick is decided."""
-    base = targets.select(session, "frame_id", "det_no", "name", "x", "y", "score")
-    seen = base.withColumn("phase", F.lit(OBSERVE)).withColumn("place", F.lit(0.0))
-    weighed = base.withColumn("phase", F.lit(CHOOSE)).withColumn("place", -F.col("score"))
-    done = base.select(session, "frame_id").distinct().selectExpr(
-        session, "frame_id", "CAST(0 AS BIGINT) AS det_no", "'' AS name", "0 AS x", "0 AS y", "0D AS score",
-        f"{COMMIT} AS phase", "0D AS place",
-    )
-    return seen.unionByName(weighed).unionByName(done)
-
-
-def rotate_targets(targets: DataFrame, session: str, group_rows=None) -> DataFrame:
-    """Chosen target per tick with run length and reason; emptied sites are passed over.
-
-    Sites of one name lie more than 32 px apart, so the state is bounded by the canvas.
-    """
-    capacity = dict(vocab.CAPACITY)
-
-    def close(a, x, y, radius):
-        return math.hypot(a[0] - x, a[1] - y) <= radius
-
-    def site_of(sites, name, x, y):
-        return next((s for s in sites.get(name, []) if close(s, x, y, MATCH_SITE)), None)
-
-    def emptied(site):
-        x, y, cap, deploys, seen = site
-        return seen >= 2 and (deploys * 1000 >= cap or deploys >= math.ceil(cap / 1000))
-
-    def step(state, phase, name, x, y, score):
-        last, repeats, sites, best, fresh, n = state
-        x, y = int(x), int(y)
-        if phase == OBSERVE:
-            cap = capacity.get(name, vocab.DEFAULT_CAPACITY)
-            site = site_of(sites, name, x, y)
-            if site is None:
-                sites.setdefault(name, []).append([x, y, cap, 0, 1])
-            else:
-                site[2], site[4] = max(site[2], cap), site[4] + 1
-            return [last, repeats, sites, best, fresh, n], None
-        if phase == CHOOSE:
-            site = site_of(sites, name, x, y)
-            if site is not None and emptied(site):
-                return [last, repeats, sites, best, fresh, n], None
-            tired = last is not None and last[0] == name and close(last[1:], x, y, MATCH_TARGET) and repeats >= MAX_REPEATS
-            me = [name, x, y]
-            return [last, repeats, sites, best or me, fresh or (None if tired else me), n + 1], None
-        pick = fresh or best
-        if pick is None:
-            return [last, repeats, sites, None, None, 0], None
-        same = last is not None and last[0] == pick[0] and close(last[1:], pick[1], pick[2], MATCH_TARGET)
-        now = repeats + 1 if same else 1
-        if same and now >= MAX_REPEATS:
-            reason = "repeat_limit_only_candidate" if n == 1 else "repeat_limit_reached"
-        elif last is not None and not same and repeats >= MAX_REPEATS:
-            reason = "rotated_after_repeat_limit"
-        else:
-            reason = "only_candidate" if n == 1 else "top_scored_target"
-        site = site_of(sites, *pick)
-        if site is None:  # a hit on a place that was never observed is remembered as well
-            site = [pick[1], pick[2], capacity.get(pick[0], vocab.DEFAULT_CAPACITY), 0, 0]
-            sites.setdefault(pick[0], []).append(site)
-        site[3] += 1
-        return [pick, now, sites, None, None, 0], f"{pick[0]}|{pick[1]}|{pick[2]}|{now}|{reason}|{n}"
-
-    events = rotation_events(targets, session)
-    out = ordered_fold(
-        events, [session], ["frame_id", "phase", "place", "det_no"], ["phase", "name", "x", "y", "score"],
-        [None, 0, {}, None, None, 0], step, T.StringType(), "pick", group_rows,
-    )
-    part = lambda i: F.split_part("pick", F.lit("|"), F.lit(i))
-    return out.filter("pick IS NOT NULL").select(
-        session, "frame_id", part(1).alias("name"), part(2).cast("int").alias("x"), part(3).cast("int").alias("y"),
-        part(4).cast("int").alias("repeats"), part(5).alias("reason"), part(6).cast("int").alias("n_candidates"),
-    )

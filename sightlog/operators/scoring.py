@@ -74,18 +74,33 @@ def rank_targets(scored: DataFrame, top_k: int | None = None) -> DataFrame:
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 
 
+def approach(targets: DataFrame, walls: DataFrame, cfg: dict = LOOT) -> DataFrame:
+    """What a landing at the nearest landable point costs: px, py, dist, wall_cost, walk_extra, loot_factor and risk, added to all columns of
+    ``targets`` (frame_id, x, y, defence_px, landable). ``dist`` is NULL without a landable point in reach."""
+    c, key = F.col, ["frame_id"]
+    t = targets.withColumns({"px": c("landable")["px"], "py": c("landable")["py"], "dist": F.sqrt(c("landable")["d2"].cast("double"))})
+    route = [*key, "x", "y", "px", "py"]
+    layers = spatial.crossing_layers(t.filter("px IS NOT NULL").select(*route), walls, key)
+    over = F.greatest(F.lit(0.0), c("dist") - cfg["optimal_px"])
+    span = cfg["max_px"] - cfg["optimal_px"]
+    near = 1.0 - c("defence_px") / float(SAFE_PX)
+    return t.join(layers, route, "left").withColumns({
+        "wall_cost": F.coalesce(c("layers") * cfg["breaker"], F.lit(0)),
+        "risk": F.when(c("defence_px").isNull(), 0.1).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), near))),
+        "walk_extra": F.when(over > 0, F.ceil(over / cfg["walk_px"])).otherwise(0).cast("int"),
+        "loot_factor": F.when(over > 0, F.greatest(F.lit(0.35), 1.0 - F.least(F.lit(1.0), over / span) * 0.8)).otherwise(1.0),
+    }).drop("layers")
+
+
 def estimate_loot(targets: DataFrame, walls: DataFrame, known: DataFrame | None = None, cfg: dict = LOOT) -> DataFrame:
     """Loot estimate per target (frame_id, det_no, name, x, y, defence_px, landable, and optionally level); all columns of ``targets`` stay.
 
     A target without a landable point in reach has no allowed place. ``known`` lists boxes with a
     capacity and a looted amount; the first of the same name within reach is used.
     """
-    c, key = F.col, ["frame_id"]
+    c = F.col
     kept = targets.columns
-    t = targets.withColumns({"px": c("landable")["px"], "py": c("landable")["py"], "d2": c("landable")["d2"]})
-    route = [*key, "x", "y", "px", "py"]
-    layers = spatial.crossing_layers(t.filter("px IS NOT NULL").select(*route), walls, key)
-    t = t.join(layers, route, "left")
+    t = approach(targets, walls, cfg)
     default = vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY)
     if "level" in targets.columns:
         scaled = (default * (F.lit(0.8) + 0.15 * F.greatest(F.lit(1), c("level")))).cast("int")
@@ -97,35 +112,18 @@ def estimate_loot(targets: DataFrame, walls: DataFrame, known: DataFrame | None
         capacity, looted = F.coalesce("capacity", default), F.coalesce("looted", F.lit(0))
     else:
         capacity, looted = default, F.lit(0)
-    over = F.greatest(F.lit(0.0), c("dist") - cfg["optimal_px"])
-    span = cfg["max_px"] - cfg["optimal_px"]
-    t = (
-        t.withColumns({
-            "dist": F.sqrt(c("d2").cast("double")),
-            "remaining": F.greatest(F.lit(0), capacity - looted).cast("bigint"),
-            "wall_cost": F.coalesce(c("layers") * cfg["breaker"], F.lit(0)),
-            "risk": F.when(c("defence_px").isNull(), 0.1).otherwise(
-                F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - c("defence_px") / float(SAFE_PX)))
-            ),
-        })
-        .withColumns({
-            "walk_extra": F.when(over > 0, F.ceil(over / cfg["walk_px"])).otherwise(0).cast("int"),
-            "loot_factor": F.when(
-                over > 0, F.greatest(F.lit(0.35), 1.0 - F.least(F.lit(1.0), over / span) * 0.8)
-            ).otherwise(1.0),
-            "base": F.ceil(c("remaining") / cfg["per_troop"]).cast("int"),
-        })
-        .withColumns({
-            "troops_needed": c("base") + c("wall_cost") + c("walk_extra"),
-            "expected_loot": F.least(
-                c("remaining"),
-                (c("base") * cfg["per_troop"] * c("loot_factor")).cast("bigint"),
-                (F.greatest(F.lit(0), cfg["budget"] - c("wall_cost") - c("walk_extra")) * cfg["per_troop"] * c("loot_factor")).cast("bigint"),
-            ),
-        })
-    )
+    t = t.withColumn("remaining", F.greatest(F.lit(0), capacity - looted).cast("bigint"))
+    t = t.withColumn("base", F.ceil(c("remaining") / cfg["per_troop"]).cast("int")).withColumns({
+        "troops_needed": c("base") + c("wall_cost") + c("walk_extra"),
+        "expected_loot": F.least(
+            c("remaining"),
+            (c("base") * cfg["per_troop"] * c("loot_factor")).cast("bigint"),
+            (F.greatest(F.lit(0), cfg["budget"] - c("wall_cost") - c("walk_extra")) * cfg["per_troop"] * c("loot_factor")).cast("bigint"),
+        ),
+    })
+    gone = c("dist").isNull()
     reason = (
-        F.when(c("d2").isNull(), "no_landing")
+        F.when(gone, "no_landing")
         .when(c("dist") > cfg["max_px"], "too_far")
         .when(c("wall_cost") > cfg["wall_limit"], "walls")
         .when(c("troops_needed") > cfg["budget"], "budget")
@@ -135,16 +133,13 @@ def estimate_loot(targets: DataFrame, walls: DataFrame, known: DataFrame | None
         .otherwise("ok")
     )
     t = t.withColumn("reason", reason).withColumn("accessible", c("reason") == "ok")
-    gone = c("d2").isNull()
     zero = {n: F.when(gone, F.lit(0)).otherwise(c(n)) for n in ("wall_cost", "walk_extra", "troops_needed", "expected_loot")}
     t = t.withColumns(zero).withColumns({
         "risk": F.when(gone, 1.0).otherwise(c("risk")), "loot_factor": F.when(gone, 0.0).otherwise(c("loot_factor")),
     })
     efficiency = F.when(c("troops_needed") > 0, c("expected_loot") / (c("troops_needed") * cfg["per_troop"])).otherwise(0.0)
-    return t.withColumn(
-        "efficient",
-        c("accessible") & (efficiency >= cfg["min_efficiency"]) & (c("risk") <= cfg["max_risk"] * 0.7),
-    ).select(
+    efficient = c("accessible") & (efficiency >= cfg["min_efficiency"]) & (c("risk") <= cfg["max_risk"] * 0.7)
+    return t.withColumn("efficient", efficient).select(
         *kept, "px", "py", F.round("dist", 1).alias("landing_px"), "wall_cost", "walk_extra",
         "troops_needed", F.col("expected_loot").cast("bigint").alias("expected_loot"), F.round("risk", 3).alias("risk"),
         F.round("loot_factor", 3).alias("loot_factor"), "accessible", "reason", "efficient",

@@ -1,30 +1,42 @@
 """Ordered computations over groups of any size.
 
-A window over ``partitionBy(session)`` puts a whole session into one task. That is
-right for the usual session and wrong for one that holds a third of the log. The
-functions here measure the largest group once (a count with map-side combine). If
-every group fits a task, a plain window is used. If not, the rows are range
-partitioned by (keys, order), so that a large group spans many partitions
-("segments"), the window runs inside each segment, and what one segment hands to
-the next is added afterwards from one summary row per segment.
+A window over ``partitionBy(session)`` puts a whole session into one task. Here rows are range partitioned by (keys, order), so a
+large group spans many partitions ("segments"), the window runs inside each segment, and what one segment hands to the next is
+added afterwards from one summary row per segment. There is one way for all sizes; the number of jobs does not depend on the
+number of segments.
+
+State machines are scanned the same way: a row is a map from states to states, maps are composed along a segment (doubling in
+numpy, no step per row), and a segment's map carries the state on (``machine_states``).
+
+Folds whose next state depends on a choice made from all states before have to run in order; ``in_order`` streams the sorted rows of
+each group through one task, which holds a batch and the fold's state, never a group.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightlog.session import materialise
 
-# rows of one group that a single task may sort and scan
-GROUP_ROWS = 2_000_000
 SEG = "_seg"
+#: Bits of a packed map or rule number: at most 16 states, 16 rules each.
+BITS = 4
+
+
+def join_segments(rows: DataFrame, per_segment: DataFrame, by: list[str]) -> DataFrame:
+    """``per_segment`` (one row per ``by``, which may hold NULL) to every row of ``rows``."""
+    other = per_segment.withColumnsRenamed({k: f"_{i}_{k}" for i, k in enumerate(by)})
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(other[f"_{i}_{k}"]) for i, k in enumerate(by)])
+    return rows.join(other, same, "left").drop(*[f"_{i}_{k}" for i, k in enumerate(by)])
 
 
 @dataclass
@@ -34,7 +46,6 @@ class Ordered:
     df: DataFrame
     keys: list[str]
     order: list[str]
-    split: bool
 
     @property
     def _by(self) -> list[str]:
@@ -47,19 +58,9 @@ class Ordered:
         return Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
 
     def _add(self, name: str, local: Column, summary: Column, carry: Column, join: Callable) -> "Ordered":
-        if not self.split:
-            return Ordered(self.df.withColumn(name, local), self.keys, self.order, False)
-        before = (
-            self.df.groupBy(*self._by)
-            .agg(summary.alias("_sum"))
-            .withColumn("_carry", carry)
-            .drop("_sum")
-        )
-        df = self.df.withColumn(name, local).join(before, self._by, "left")
-        return Ordered(
-            df.withColumn(name, join(F.col(name), F.col("_carry"))).drop("_carry"),
-            self.keys, self.order, True,
-        )
+        before = self.df.groupBy(*self._by).agg(summary.alias("_sum")).withColumn("_carry", carry).drop("_sum")
+        df = join_segments(self.df.withColumn(name, local), before, self._by)
+        return Ordered(df.withColumn(name, join(F.col(name), F.col("_carry"))).drop("_carry"), self.keys, self.order)
 
     def running_sum(self, name: str, value: Column) -> "Ordered":
         """Sum over all rows up to and including this one."""
@@ -95,123 +96,133 @@ class Ordered:
             F.last("_sum", ignorenulls=True).over(self._carry_window()),
             lambda a, b: F.coalesce(a, b),
         )
-        return Ordered(out.df.withColumn(name, F.col(name)["v"]), self.keys, self.order, self.split)
+        return Ordered(out.df.withColumn(name, F.col(name)["v"]), self.keys, self.order)
 
     def row_number(self, name: str) -> "Ordered":
         return self.running_sum(name, F.lit(1).cast("bigint"))
 
     def with_columns(self, **cols: Column) -> "Ordered":
-        return Ordered(self.df.withColumns(cols), self.keys, self.order, self.split)
+        return Ordered(self.df.withColumns(cols), self.keys, self.order)
 
     def result(self) -> DataFrame:
         return self.df.drop(SEG)
 
 
-def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], group_rows: int | None = None) -> Ordered:
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int | None = None) -> DataFrame:
+    """Rows sorted into range partitions, each a segment with its number; not yet stored."""
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(segments, *by) if segments else df.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*by).withColumn(SEG, F.spark_partition_id())
+
+
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int | None = None) -> Ordered:
     """Lay ``df`` out for ordered computation; ``order`` must be total within ``keys``.
 
-    Without keys the whole table is one group.
+    Without keys the whole table is one group. ``segments`` defaults to Spark's number of shuffle partitions.
     """
-    keys, order = list(keys), list(order)
-    limit = group_rows or int(df.sparkSession.conf.get("sightlog.group.rows", str(GROUP_ROWS)))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    if (largest or 0) <= limit:
-        return Ordered(df.withColumn(SEG, F.lit(0)), keys, order, False)
-    parts = max(2, -(-int(total) // limit) * 2)
-    laid = df.repartitionByRange(parts, *keys, *order).withColumn(SEG, F.spark_partition_id())
-    # the segment of a row must not change between the summary and the scan
-    return Ordered(materialise(laid), keys, order, True)
-
-
-def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", group_rows: int | None = None) -> DataFrame:
+    # the segment of a row must not change between the summary and the scan, so it is stored
+    return Ordered(materialise(lay_out(df, keys, order, segments)), list(keys), list(order))
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", segments: int | None = None) -> DataFrame:
     """Position of each row in the order of the whole table, from 1."""
-    return ordered(df, [], order, group_rows).row_number(name).result()
+    return ordered(df, [], order, segments).row_number(name).result()
+
+
+# --- scans of maps between states ----------------------------------------------------------------------
+
+
+def group_starts(batch: pa.RecordBatch, keys: Sequence[str], before: tuple | None) -> tuple[np.ndarray, tuple | None]:
+    """Whether each row begins a group (its keys differ from the row before), and the keys of the last row."""
+    n = batch.num_rows
+    starts = np.zeros(n, dtype=bool)
+    last = []
+    for i, k in enumerate(keys):
+        column = batch.column(k)
+        if n > 1:
+            # two nulls are one key
+            a, b = column.slice(1), column.slice(0, n - 1)
+            same = pc.equal(a, b).fill_null(False)
+            same = pc.or_(same, pc.and_(pc.is_null(a), pc.is_null(b)))
+            starts[1:] |= ~np.asarray(same)
+        starts[0] |= before is None or before[i] != column[0].as_py()
+        last.append(column[n - 1].as_py())
+    starts[0] |= before is None
+    return starts, tuple(last)
+
+
+def compose_along(maps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Composition of the maps (rows x states) of each group up to and including each row, by doubling."""
+    group, out, step = np.cumsum(starts), maps.copy(), 1
+    while step < len(out):
+        joined = group[step:] == group[:-step]
+        if not joined.any():
+            break
+        late = out[step:]
+        out[step:] = np.where(joined[:, None], np.take_along_axis(late, out[:-step], axis=1), late)
+        step *= 2
+    return out
 
 
-# --- folds whose state is more than a running aggregate --------------------------
+def _pack(maps: np.ndarray) -> np.ndarray:
+    shifts = np.arange(maps.shape[1], dtype=np.int64) * BITS
+    return (maps.astype(np.int64) << shifts).sum(axis=1)
 
 
-def _scan(key_cols: list[str], cols: list[str], init, step, keep_rows: bool, carried: bool):
-    """mapInPandas body: rows arrive sorted by key, segment and order; the state of the
-    current group lives across batches, so no group is ever held in memory."""
+def machine_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], code: str, moves: list[list[int]], start: int, segments: int | None = None) -> DataFrame:
+    """Adds ``_before``, the state in which each row finds its group; every group begins in ``start``.
 
-    first = json.dumps(init)  # a fresh copy for every group, since steps may change it in place
+    ``code`` names a BIGINT that packs, for each state, the number of the rule that fires; ``moves[state][rule]`` is the next state. Each segment is
+    read once: every row gets the map of all rows before it in its segment, and the segments' maps, applied in order, give the
+    state that each segment starts from.
+    """
+    keys, order = list(keys), list(order)
+    n_states = len(moves)
+    table = np.zeros((n_states, 1 << BITS), dtype=np.int64)
+    for i, row in enumerate(moves):
+        table[i, : len(row)] = row
+    laid = lay_out(df, keys, order, segments)
+    schema = T.StructType([*laid.schema.fields, T.StructField("_pre", T.LongType()), T.StructField("_all", T.LongType())])
+    shifts = np.arange(n_states, dtype=np.int64) * BITS
 
     def run(batches):
-        current, state = None, None
-        for pdf in batches:
-            outs, ends = [], []
-            keys = list(zip(*(pdf[k] for k in key_cols)))
-            rows = zip(*(pdf[c] for c in cols))
-            starts = pdf["_start"] if carried else None
-            for i, (key, row) in enumerate(zip(keys, rows)):
-                if key != current:
-                    if current is not None and not keep_rows:
-                        ends.append((*current, json.dumps(state)))
-                    current = key
-                    state = json.loads(starts.iloc[i] if carried else first)
-                state, out = step(state, *row)
-                if keep_rows:
-                    outs.append(out)
-            if keep_rows:
-                extra = [c for c in (SEG, "_start") if c in pdf]
-                yield pdf.drop(columns=extra).assign(_out=outs)
-            elif ends:
-                yield pd.DataFrame(ends, columns=key_cols + ["_end"])
-        if not keep_rows and current is not None:
-            yield pd.DataFrame([(*current, json.dumps(state))], columns=key_cols + ["_end"])
-
-    return run
-
-
-def ordered_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    cols: Sequence[str],
-    init,
-    step: Callable,
-    out: T.DataType,
-    name: str = "out",
-    group_rows: int | None = None,
-) -> DataFrame:
-    """``state, out = step(state, *cols)`` along each group; adds ``out`` to every row.
-
-    The state must survive JSON. A group that is split over segments is folded in
-    rounds: every segment first guesses that it starts from ``init``; a segment is run
-    again only if the end state of the one before it turned out to be another one.
-    State machines and filters forget their start quickly, so few rounds are needed;
-    the loop ends only when every start agrees with the end before it, so the
-    result is exact in any case.
-    """
-    keys, order, cols = list(keys), list(order), list(cols)
-    lay = ordered(df, keys, order, group_rows)
-    by = keys + [SEG]
-    schema = T.StructType([f for f in df.schema.fields] + [T.StructField("_out", out)])
-    if not lay.split:
-        sorted_df = lay.df.repartition(*by).sortWithinPartitions(*by, *order)
-        body = _scan(by, cols, init, step, True, False)
-        return sorted_df.mapInPandas(body, schema).withColumnRenamed("_out", name)
-
-    end_schema = T.StructType([lay.df.schema[k] for k in by] + [T.StructField("_end", T.StringType())])
-    first = json.dumps(init)
-
-    def ends(starts: DataFrame) -> DataFrame:
-        rows = lay.df.join(starts, by).repartition(*by).sortWithinPartitions(*by, *order)
-        return rows.mapInPandas(_scan(by, cols, init, step, False, True), end_schema)
-
-    chain = Window.partitionBy(*keys).orderBy(SEG)
-    starts = lay.df.select(*by).distinct().withColumn("_start", F.lit(first))
-    known = materialise(starts.join(ends(starts), by))
-    while True:
-        linked = known.withColumn("_want", F.coalesce(F.lag("_end").over(chain), F.lit(first)))
-        stale = linked.filter("_want <> _start").select(*by, F.col("_want").alias("_start"))
-        stale = materialise(stale)
-        if stale.isEmpty():
-            break
-        again = stale.join(ends(stale), by)
-        known = materialise(known.join(stale.select(*by), by, "left_anti").unionByName(again))
-    rows = lay.df.join(known.select(*by, "_start"), by).repartition(*by).sortWithinPartitions(*by, *order)
-    body = _scan(by, cols, init, step, True, True)
-    return rows.mapInPandas(body, schema).withColumnRenamed("_out", name)
+        before, carried = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rules = (np.asarray(batch.column(code))[:, None] >> shifts) & ((1 << BITS) - 1)
+            starts, last = group_starts(batch, keys, before)
+            maps = compose_along(table[np.arange(n_states), rules], starts)
+            if not starts[0]:
+                # rows of the group that the batch before ended in
+                end = int(np.argmax(starts)) if starts.any() else len(starts)
+                maps[:end] = maps[:end][:, carried]
+            pre = np.empty_like(maps)
+            pre[1:] = maps[:-1]
+            pre[starts] = np.arange(n_states)
+            if not starts[0]:
+                pre[0] = carried
+            before, carried = last, maps[-1].copy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_pack(pre)), pa.array(_pack(maps))], names=[*batch.schema.names, "_pre", "_all"])
+
+    scanned = materialise(laid.mapInArrow(run, schema))
+    by = [*keys, SEG]
+    whole = scanned.groupBy(*by).agg(F.max_by("_all", F.struct(*order)).alias("_map"))
+    earlier = F.collect_list("_map").over(Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1))
+    apply = lambda s, m: apply_map(m, s)
+    starts = whole.withColumn("_maps", earlier).select(*by, F.aggregate("_maps", F.lit(start).cast("int"), apply).alias("_start"))
+    rows = join_segments(scanned, starts, by)
+    return rows.withColumn("_before", apply_map(F.col("_pre"), F.col("_start"))).drop("_pre", "_all", "_start", SEG)
+
+
+def apply_map(packed: Column, state: Column) -> Column:
+    """Value of a packed map (or rule list) for a state."""
+    return F.call_function("shiftright", packed, state * BITS).bitwiseAND((1 << BITS) - 1).cast("int")
+
+
+# --- folds in order ---------------------------------------------------------------------------------------
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], body: Callable, schema: str) -> DataFrame:
+    """``body(batches)`` over Arrow batches in which the rows of each group follow each other in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(body, schema)

@@ -8,10 +8,12 @@ from sightlog import vocab
 from sightlog.operators import labels as lb
 from sightlog.operators import machines as ma
 from sightlog.operators import replay as rp
-from sightlog.operators import scoring as sc
+from sightlog.operators import rotation as rt
+from sightlog.operators import sites as st
 from sightlog.operators.segments import global_rank, ordered
+from sightlog.plans import scoring_queries as sq
 from sightlog.plans.registry import query
-from sightlog.plans.views import case
+from sightlog.plans.views import VIEWS, case
 from sightlog.sources import tables as src
 
 W, H = src.CANVAS
@@ -97,55 +99,69 @@ def state_history(spark, sf):
 
 
 CAPS = case("name", vocab.CAPACITY)
-SITES = f"""s AS (SELECT f.session_id, t.name, t.x // 320 AS gx, t.y // 240 AS gy, f.frame_id, t.det_no, {CAPS} + CAST(t.det_no % 700 AS INT) AS cap, t.det_no % 3 = 0 AS deploy
-  FROM targets t JOIN frames f USING (frame_id))"""
+APART = "(({0}.x - {1}.x) * ({0}.x - {1}.x) + ({0}.y - {1}.y) * ({0}.y - {1}.y))".format
+# sites by recursion over the distinct points of a name in the order of their first sighting
+SITES = f"""s AS (SELECT f.session_id, t.name, t.x, t.y, f.frame_id, t.det_no, f.step, {CAPS} + CASE WHEN t.det_no = 9223372036854775807 THEN 0 ELSE CAST(t.det_no % 700 AS INT) END AS cap, t.det_no % 3 = 0 AS deploy
+  FROM targets t JOIN (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY frame_id) AS step FROM frames) f USING (frame_id)),
+pt AS (SELECT *, row_number() OVER (PARTITION BY session_id, name ORDER BY first) AS k FROM (SELECT session_id, name, x, y, min(ROW(frame_id, det_no)) AS first FROM s GROUP BY ALL)),
+fd AS (SELECT session_id, name, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x INT, y INT)[]) AS found FROM pt GROUP BY session_id, name
+  UNION ALL SELECT pt.session_id, pt.name, pt.k, CASE WHEN len(list_filter(fd.found, lambda q: {APART('q', 'pt')} <= 1024)) > 0 THEN fd.found ELSE list_append(fd.found, {{'x': pt.x, 'y': pt.y}}) END
+  FROM fd JOIN pt ON pt.session_id = fd.session_id AND pt.name = fd.name AND pt.k = fd.k + 1),
+st AS (SELECT s.*, list_filter(fl.found, lambda q: {APART('q', 's')} <= 1024)[1] AS site FROM s JOIN (SELECT session_id, name, arg_max(found, k) AS found FROM fd GROUP BY session_id, name) fl USING (session_id, name)),
+sm AS (SELECT *, site.x AS site_x, site.y AS site_y, CAST(count(*) OVER w AS BIGINT) AS times_seen, max(cap) OVER w AS max_capacity FROM st
+  WINDOW w AS (PARTITION BY session_id, name, site.x, site.y ORDER BY frame_id, det_no))"""
+SITE = ["session_id", "name", "site_x", "site_y"]
+
+
+def numbered_frames(spark, sf):
+    """Frames with the number of their tick in the session."""
+    return ordered(src.frames(spark, sf).select("frame_id", "session_id"), SESSION, ["frame_id"]).row_number("step").result()
+
+
+def capacity_of(name, det_no):
+    return vocab.lookup(name, vocab.CAPACITY) + (det_no % 700).cast("int")
 
 
 def sites(spark, sf):
-    t = src.targets(spark, sf).join(src.frames(spark, sf).select("frame_id", "session_id"), "frame_id")
-    cap = vocab.lookup(F.col("name"), vocab.CAPACITY) + F.expr("CAST(det_no % 700 AS INT)")
-    return t.select(
-        "session_id", "name", F.expr("CAST(x div 320 AS INT)").alias("gx"), F.expr("CAST(y div 240 AS INT)").alias("gy"),
-        "frame_id", "det_no", cap.alias("cap"), (F.col("det_no") % 3 == 0).alias("deploy"),
-    )
+    t = src.targets(spark, sf).join(numbered_frames(spark, sf), "frame_id")
+    t = t.select("session_id", "name", "x", "y", "frame_id", "det_no", "step", capacity_of(F.col("name"), F.col("det_no")).alias("cap"), (F.col("det_no") % 3 == 0).alias("deploy"))
+    return st.with_sites(t, ["session_id", "name"], ["frame_id", "det_no"])
 
 
 @query(
     "wi5_site_memory",
-    f"""WITH {SITES} SELECT session_id, name, gx, gy, frame_id, det_no, CAST(count(*) OVER w AS BIGINT) AS times_seen, CAST(max(cap) OVER w AS INT) AS max_capacity FROM s
-WINDOW w AS (PARTITION BY session_id, name, gx, gy ORDER BY frame_id, det_no)""",
+    f"WITH RECURSIVE {SITES} SELECT session_id, name, site_x, site_y, frame_id, det_no, times_seen, CAST(max_capacity AS INT) AS max_capacity, CAST(step AS BIGINT) AS last_seen FROM sm",
     "targets frames",
 )
 def site_memory(spark, sf):
-    keys = ["session_id", "name", "gx", "gy"]
-    s = sites(spark, sf)
-    return rp.site_memory(s, keys, ["frame_id", "det_no"], F.col("cap")).drop("cap", "deploy")
+    m = st.site_memory(sites(spark, sf), ["session_id", "name"], ["frame_id", "det_no"], F.col("cap"), "step")
+    return m.select(*SITE, "frame_id", "det_no", "times_seen", "max_capacity", "last_seen")
 
 
-SITE_TABLE = f"""WITH {SITES}, a AS (SELECT session_id, name, gx, gy, CAST(count(*) AS BIGINT) AS seen, CAST(max(cap) AS BIGINT) AS capacity, CAST(count(*) FILTER (deploy) AS BIGINT) AS deploys FROM s GROUP BY ALL),
+SITE_TABLE = f"""WITH RECURSIVE {SITES}, a AS (SELECT session_id, name, site_x, site_y, CAST(count(*) AS BIGINT) AS seen, CAST(max(cap) AS BIGINT) AS capacity, CAST(count(*) FILTER (deploy) AS BIGINT) AS deploys, CAST(max(step) AS BIGINT) AS last_seen FROM sm GROUP BY ALL),
 b AS (SELECT *, CASE WHEN deploys <= 0 THEN 0 ELSE least(capacity, greatest(0, deploys - 1) * 1000) END AS looted, CAST(ceil(capacity / 1000) AS BIGINT) + 1 AS needed FROM a)"""
 
 
 def site_table(spark, sf):
-    a = sites(spark, sf).groupBy("session_id", "name", "gx", "gy").agg(
-        lb.count_rows("seen"), F.max("cap").cast("bigint").alias("capacity"), F.count_if("deploy").alias("deploys")
+    a = sites(spark, sf).groupBy(*SITE).agg(
+        lb.count_rows("seen"), F.max("cap").cast("bigint").alias("capacity"), F.count_if("deploy").alias("deploys"), F.max("step").alias("last_seen")
     )
-    d = rp.depletion(F.col("capacity"), F.col("deploys"), F.col("seen"), F.lit(0), F.lit(1))
+    d = st.depletion(F.col("capacity"), F.col("deploys"), F.col("seen"), F.lit(0), F.lit(1))
     return a.withColumns(d)
 
 
-@query("so6_site_depletion", f"{SITE_TABLE} SELECT session_id, name, gx, gy, seen >= 2 AND (capacity - looted <= 0 OR deploys >= needed) AS depleted FROM b", "targets frames")
+@query("so6_site_depletion", f"{SITE_TABLE} SELECT session_id, name, site_x, site_y, seen >= 2 AND (capacity - looted <= 0 OR deploys >= needed) AS depleted FROM b", "targets frames")
 def site_depletion(spark, sf):
-    return site_table(spark, sf).select("session_id", "name", "gx", "gy", "depleted")
+    return site_table(spark, sf).select(*SITE, "depleted")
 
 
 @query(
     "ag26_site_table",
-    f"{SITE_TABLE} SELECT session_id, name, gx, gy, seen, capacity, deploys, CAST(looted AS BIGINT) AS looted, CAST(greatest(0, capacity - looted) AS BIGINT) AS remaining, needed FROM b",
+    f"{SITE_TABLE} SELECT session_id, name, site_x, site_y, seen, last_seen, capacity, deploys, CAST(looted AS BIGINT) AS looted, CAST(greatest(0, capacity - looted) AS BIGINT) AS remaining, needed FROM b",
     "targets frames",
 )
 def site_report(spark, sf):
-    return site_table(spark, sf).select("session_id", "name", "gx", "gy", "seen", "capacity", "deploys", "looted", "remaining", "needed")
+    return site_table(spark, sf).select(*SITE, "seen", "last_seen", "capacity", "deploys", "looted", "remaining", "needed")
 
 
 # --- frame vectors ---------------------------------------------------------------------------------
@@ -359,11 +375,52 @@ def collector_replay(spark, sf):
     )
 
 
-@query("st5_target_rotation")
+# local detections and requested places under the name of the view that the scores are written on
+CANDIDATES = f"""lt AS ({VIEWS['targets']}), {sq.REQ},
+targets AS (SELECT frame_id, det_no, name, x, y FROM lt UNION ALL SELECT frame_id, 9223372036854775807, r_name, rx, ry FROM req r WHERE r_name IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM lt WHERE lt.frame_id = r.frame_id AND lt.name = r.r_name AND (lt.x - rx) * (lt.x - rx) + (lt.y - ry) * (lt.y - ry) <= 2304))"""
+ROTATION = f"""WITH RECURSIVE {CANDIDATES}, {sq.FULL}, {sq.NEAR_DEF}, {sq.LANDED}, {sq.score_sql(True)}, {SITES},
+me AS (SELECT session_id, name, site_x, site_y, frame_id, max(times_seen) AS seen, max(max_capacity) AS capacity FROM sm GROUP BY ALL),
+ca AS (SELECT sm.session_id, sc.frame_id, sc.det_no, sc.name, sc.x, sc.y, sc.score, sm.site_x, sm.site_y, me.seen, CAST(me.capacity AS BIGINT) AS capacity, l.px, l.py, 3 * least(2, coalesce(lw.layers, 0)) AS wall,
+  CASE WHEN sqrt(l.d2::DOUBLE) > 120 THEN CAST(ceil((sqrt(l.d2::DOUBLE) - 120) / 180) AS INT) ELSE 0 END AS walk,
+  CASE WHEN sqrt(l.d2::DOUBLE) > 120 THEN greatest(0.35::DOUBLE, 1 - least(1, (sqrt(l.d2::DOUBLE) - 120) / 140) * 0.8::DOUBLE) ELSE 1.0::DOUBLE END AS factor,
+  coalesce(sc.name = r_name AND (sc.x - rx) * (sc.x - rx) + (sc.y - ry) * (sc.y - ry) <= 2304, false) AS asked, coalesce(sc.name = r_name, false) AS of_name
+  FROM sc JOIN sm USING (frame_id, det_no) JOIN me ON me.session_id = sm.session_id AND me.name = sm.name AND me.site_x = sm.site_x AND me.site_y = sm.site_y AND me.frame_id = sm.frame_id
+  JOIN land l ON l.frame_id = sc.frame_id AND l.det_no = sc.det_no LEFT JOIN lw ON lw.frame_id = sc.frame_id AND lw.det_no = sc.det_no JOIN nd ON nd.frame_id = sc.frame_id AND nd.det_no = sc.det_no
+  LEFT JOIN req ON req.frame_id = sc.frame_id
+  WHERE sqrt(l.d2::DOUBLE) <= 260 AND CASE WHEN nd.defence_px IS NULL THEN 0.1::DOUBLE ELSE least(1, greatest(0, 1 - nd.defence_px / 200)) END <= 0.8::DOUBLE),
+tk AS (SELECT session_id, frame_id, row_number() OVER (PARTITION BY session_id ORDER BY frame_id) AS k, list(ca ORDER BY score DESC, det_no) AS cs FROM ca GROUP BY session_id, frame_id),
+ro AS (SELECT session_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS STRUCT(name VARCHAR, x INT, y INT)) AS last, CAST(0 AS BIGINT) AS repeats,
+  CAST([] AS STRUCT(name VARCHAR, sx INT, sy INT, wall BIGINT, walk BIGINT, needed BIGINT)[]) AS hits, CAST(NULL AS STRUCT(name VARCHAR, x INT, y INT, px INT, py INT, score DOUBLE, reason VARCHAR, n BIGINT, wall BIGINT, walk BIGINT, needed BIGINT, loot BIGINT)) AS plan
+  FROM tk GROUP BY session_id
+  UNION ALL SELECT session_id, k, frame_id, CASE WHEN n = 0 THEN last ELSE {{'name': pick.c.name, 'x': pick.c.x, 'y': pick.c.y}} END, CASE WHEN n = 0 THEN repeats ELSE now_repeats END,
+  CASE WHEN n = 0 THEN hits ELSE list_append(hits, {{'name': pick.c.name, 'sx': pick.c.site_x, 'sy': pick.c.site_y, 'wall': way.c.wall, 'walk': way.c.walk, 'needed': way.needed}}) END,
+  CASE WHEN n = 0 THEN NULL ELSE {{'name': pick.c.name, 'x': pick.c.x, 'y': pick.c.y, 'px': way.c.px, 'py': way.c.py, 'score': pick.c.score,
+    'reason': CASE WHEN same AND now_repeats >= 2 THEN CASE WHEN n = 1 THEN 'repeat_limit_only_candidate' ELSE 'repeat_limit_reached' END WHEN last IS NOT NULL AND NOT same AND repeats >= 2 THEN 'rotated_after_repeat_limit'
+      WHEN pick.c.of_name THEN 'requested_target_honored' WHEN n = 1 THEN 'only_candidate' ELSE 'top_scored_target' END, 'n': n, 'wall': way.c.wall, 'walk': way.c.walk, 'needed': way.needed, 'loot': way.loot}} END
+  FROM (SELECT *, CASE WHEN same THEN repeats + 1 ELSE 1 END AS now_repeats FROM (SELECT *, list_filter(q, lambda a: a.c.name = pick.c.name AND {APART('a.c', 'pick.c')} <= 2304)[1] AS way,
+    coalesce(last.name = pick.c.name AND {APART('last', 'pick.c')} <= 2304, false) AS same
+  FROM (SELECT *, CASE WHEN asked IS NOT NULL AND NOT asked.tired THEN asked ELSE coalesce(list_filter(q, lambda a: NOT a.tired)[1], q[1]) END AS pick
+  FROM (SELECT *, len(q) AS n, list_filter(q, lambda a: a.c.asked)[1] AS asked
+  FROM (SELECT session_id, k, frame_id, last, repeats, hits, list_filter(list_transform(list_transform(list_filter(list_transform(list_transform(list_transform(cs,
+      lambda a: {{'c': a, 'h': list_filter(hits, lambda h: h.name = a.name AND h.sx = a.site_x AND h.sy = a.site_y)}}),
+      lambda a: {{'c': a.c, 'd': len(a.h), 'm': a.h[-1]}}),
+      lambda a: {{'c': a.c, 'left_over': greatest(0, a.c.capacity - CASE WHEN a.d > 0 THEN least(a.c.capacity, greatest(0, a.d - a.m.wall - a.m.walk) * 1000) ELSE 0 END), 'd': a.d, 'full_at': coalesce(a.m.needed, CAST(ceil(a.c.capacity / 1000) AS BIGINT))}}),
+      lambda a: NOT (a.c.seen >= 2 AND (a.left_over <= 0 OR a.d >= a.full_at))),
+      lambda a: {{'c': a.c, 'left_over': a.left_over, 'base': CAST(ceil(a.left_over / 1000) AS BIGINT), 'tired': coalesce(repeats >= 2 AND last.name = a.c.name AND {APART('last', 'a.c')} <= 2304, false)}}),
+      lambda a: {{'c': a.c, 'tired': a.tired, 'left_over': a.left_over, 'needed': a.base + a.c.wall + a.c.walk, 'loot': CAST(least(a.left_over, trunc(a.base * 1000 * a.c.factor), trunc(greatest(0, 30 - a.c.wall - a.c.walk) * 1000 * a.c.factor)) AS BIGINT)}}),
+      lambda a: a.needed <= 30 AND a.left_over > 0 AND a.loot >= 400) AS q
+  FROM (SELECT ro.session_id, tk.k, tk.frame_id, ro.last, ro.repeats, ro.hits, tk.cs FROM ro JOIN tk ON tk.session_id = ro.session_id AND tk.k = ro.k + 1))))))
+)
+SELECT session_id, frame_id, plan.name AS name, plan.x AS x, plan.y AS y, plan.px AS land_x, plan.py AS land_y, plan.score AS score, CAST(repeats AS INT) AS repeats, plan.reason AS reason, plan.n AS n_candidates,
+  CAST(plan.wall AS INT) AS wall_cost, CAST(plan.walk AS INT) AS walk_extra, plan.needed AS troops_needed, plan.loot AS expected_loot FROM ro WHERE plan IS NOT NULL"""
+
+
+@query("st5_target_rotation", ROTATION, "det defences landable walls frames")
 def target_rotation(spark, sf):
-    t = src.targets(spark, sf).withColumn("defence_px", F.lit(None).cast("double"))
-    s = sc.score_targets(t, (W, H)).join(src.frames(spark, sf).select("frame_id", "session_id"), "frame_id")
-    return rp.rotate_targets(s, "session_id")
+    t = src.targets(spark, sf).select("frame_id", "det_no", "name", "x", "y", capacity_of(F.col("name"), F.col("det_no")).alias("cap"))
+    ranked = rt.candidates(t, numbered_frames(spark, sf), sq.requests(spark, sf), src.frame_points(spark, sf), src.walls(spark, sf), sq.full_resources(spark, sf), (W, H))
+    return rt.rotate_targets(ranked)
 
 
 TRACE = """t AS (SELECT session_id, event_id, CASE event_id % 3 WHEN 0 THEN 'village' WHEN 1 THEN 'farm' ELSE 'donate' END AS ring,

@@ -9,7 +9,7 @@ from sightlog.operators import labels as lb
 from sightlog.operators import machines as ma
 from sightlog.operators import replay as rp
 from sightlog.operators import splits
-from sightlog.operators.segments import global_rank
+from sightlog.operators.segments import global_rank, machine_states
 
 K, O = ["s"], ["t"]
 
@@ -33,14 +33,14 @@ def run(df, *cols):
     return {(r["s"], r["t"]): tuple(r[c] for c in cols) for r in df.collect()}
 
 
-@pytest.mark.parametrize("limit", [None, 25])
+@pytest.mark.parametrize("limit", [None, 2, 32])
 def test_gate_streak_ledger_run(log, limit):
     df, rows = log
-    gate = run(rp.hysteresis(df, K, O, F.col("v"), 2, 7, "f", group_rows=limit), "f")
-    streak = run(rp.streak(df, K, O, F.col("v") < 5, F.col("v") == 9, "n", group_rows=limit), "n")
-    ledger = run(rp.ledger(df, K, O, F.col("v") - 5, "b", group_rows=limit), "b")
-    length = run(rp.run_length(df, K, O, F.col("v") > 4, "l", group_rows=limit), "l")
-    history = set(run(rp.changes(df, K, O, F.col("v") > 4, group_rows=limit)))
+    gate = run(rp.hysteresis(df, K, O, F.col("v"), 2, 7, "f", segments=limit), "f")
+    streak = run(rp.streak(df, K, O, F.col("v") < 5, F.col("v") == 9, "n", segments=limit), "n")
+    ledger = run(rp.ledger(df, K, O, F.col("v") - 5, "b", segments=limit), "b")
+    length = run(rp.run_length(df, K, O, F.col("v") > 4, "l", segments=limit), "l")
+    history = set(run(rp.changes(df, K, O, F.col("v") > 4, segments=limit)))
     for s, items in by_session(rows).items():
         flag, n, b, prev, l = False, 0, 0, None, 0
         for t, v in items:
@@ -53,7 +53,7 @@ def test_gate_streak_ledger_run(log, limit):
             assert (gate[s, t], streak[s, t], ledger[s, t], length[s, t]) == ((flag,), (n,), (b,), (l,))
 
 
-@pytest.mark.parametrize("limit", [None, 25])
+@pytest.mark.parametrize("limit", [None, 2, 32])
 def test_machine_replay(spark, log, limit):
     df, rows = log
     steps = df.selectExpr(
@@ -91,7 +91,7 @@ def test_machine_replay(spark, log, limit):
             assert got[s, t] == (state, act)
 
 
-@pytest.mark.parametrize("limit", [None, 25])
+@pytest.mark.parametrize("limit", [None, 2, 32])
 def test_frame_filter_and_quota(spark, log, limit):
     df, rows = log
     vec = df.select("s", "t", F.array(F.col("v").cast("float"), F.lit(1.0).cast("float")).alias("vec"))
@@ -105,21 +105,67 @@ def test_frame_filter_and_quota(spark, log, limit):
             assert ((s, t) in kept) == (new and n <= 10)
 
 
-def test_background_quota(spark):
-    frames = spark.createDataFrame([("train", i) for i in range(30)], "split STRING, frame_id INT")
-    boxes = spark.createDataFrame([(i, 0) for i in (3, 4, 12, 20)], "frame_id INT, class_id INT")
-    got = {r.frame_id for r in lb.background_quota(frames, boxes, 1.0).filter("kept").collect()}
-    kept, bg, want = 0, 0, set()
-    for i in range(30):
-        if i not in (3, 4, 12, 20):
-            bg += 1
-            if bg > 1.0 * max(1, kept):
-                continue
-        kept += 1
-        want.add(i)
+@pytest.mark.parametrize("quota", [0.0, 0.1, 0.3, 0.5, 1.0, 1.7])
+@pytest.mark.parametrize("share, segments", [(0.1, 3), (0.3, 9), (0.7, None)])
+def test_background_quota(spark, monkeypatch, quota, share, segments):
+    monkeypatch.setattr(lb, "BLOCK", 17)
+    rnd = random.Random(int(quota * 10 + share * 100))
+    boxed = {i for i in range(300) if rnd.random() < share}
+    frames = spark.createDataFrame([("train" if i % 7 else "val", i) for i in range(300)], "split STRING, frame_id INT")
+    boxes = spark.createDataFrame([(i, 0) for i in sorted(boxed)], "frame_id INT, class_id INT")
+    got = {r.frame_id for r in lb.background_quota(frames, boxes, quota, segments).filter("kept").collect()}
+    want = set()
+    for split in (0, 1):
+        kept, bg = 0, 0
+        for i in (i for i in range(300) if bool(i % 7) == bool(split)):
+            if i not in boxed:
+                bg += 1
+                if bg > quota * max(1, kept):
+                    continue
+            kept += 1
+            want.add(i)
     assert got == want
 
 
+def test_maps_compose_over_batches_and_segments(spark):
+    rnd = random.Random(8)
+    moves = [[rnd.randrange(5) for _ in range(3)] for _ in range(5)]
+    rows = [(s, t, sum(rnd.randrange(3) << 4 * i for i in range(5))) for s in (None, 1, 2) for t in range(130)]
+    df = spark.createDataFrame(rows, "s INT, t INT, code LONG")
+    want = {}
+    for s in (None, 1, 2):
+        state = 3
+        for _, t, code in (r for r in rows if r[0] == s):
+            want[s, t] = (state,)
+            state = moves[state][(code >> 4 * state) & 15]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for batch in (7, 10_000):
+            spark.conf.set(size, batch)
+            for segments in (1, 4, 32):
+                assert run(segments_of(df, moves, segments), "_before") == want
+    finally:
+        spark.conf.set(size, before)
+
+
+def segments_of(df, moves, segments):
+    return machine_states(df, K, O, "code", moves, 3, segments)
+
+
+def test_jobs_do_not_grow_with_segments(spark, log):
+    df, _ = log
+    steps = df.selectExpr("s", "t", "v = 0 AS attack", "v = 3 AS return_b", "CASE WHEN v = 8 THEN 2 ELSE 0 END AS n_targets", "false AS all_full")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (4, 32):
+        spark.sparkContext.setJobGroup(f"segments-{n}", "replay")
+        ma.replay(steps, K, O, ma.farm_machine(), n).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"segments-{n}")))
+    spark.sparkContext.setJobGroup("after", "")
+    assert jobs[0] == jobs[1]
+
+
 @pytest.mark.parametrize("limit", [None, 50])
 def test_global_rank(spark, limit):
     df = spark.range(300).withColumn("k", F.md5(F.col("id").cast("string")))
@@ -137,46 +183,3 @@ def test_split_per_group(spark):
     df = spark.range(101).withColumn("g", F.when(F.col("id") == 0, 0).otherwise(1 + F.col("id") % 2))
     got = {r.g: r.n for r in splits.split_per_group(df, ["g"], ["id"], 0.3).filter("is_val").groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 15, 2: 15}
-
-
-def test_target_rotation_against_brute_force(spark):
-    import math
-
-    rnd = random.Random(2)
-    names = ["金矿", "圣水瓶"]
-    rows = [(1 + f % 2, f, d, rnd.choice(names), rnd.choice([100, 130, 400]), rnd.choice([100, 300]), rnd.random())
-            for f in range(60) for d in range(rnd.randint(1, 3))]
-    df = spark.createDataFrame(rows, "session_id INT, frame_id INT, det_no BIGINT, name STRING, x INT, y INT, score DOUBLE")
-    want = {}
-    cap = {"金矿": 1500, "圣水瓶": 4000}
-    for s in (1, 2):
-        sites, last, rep = [], None, 0
-        dist = lambda a, b: math.dist(a, b)
-        find = lambda n, p: next((z for z in sites if z["n"] == n and dist(z["p"], p) <= 32), None)
-        for f in sorted({r[1] for r in rows if r[0] == s}):
-            tick = sorted((r for r in rows if r[0] == s and r[1] == f), key=lambda r: r[2])
-            for r in tick:
-                z = find(r[3], r[4:6])
-                if z is None:
-                    sites.append({"n": r[3], "p": r[4:6], "seen": 1, "dep": 0})
-                else:
-                    z["seen"] += 1
-            ok = []
-            for r in sorted(tick, key=lambda r: (-r[6], r[2])):
-                z = find(r[3], r[4:6])
-                need = math.ceil(cap[r[3]] / 1000)
-                if not (z["seen"] >= 2 and (z["dep"] * 1000 >= cap[r[3]] or z["dep"] >= need)):
-                    ok.append(r)
-            if not ok:
-                continue
-            same = lambda r: last is not None and r[3] == last[0] and dist(r[4:6], last[1]) <= 48
-            fresh = [r for r in ok if not (same(r) and rep >= 2)]
-            pick = (fresh or ok)[0]
-            rep = rep + 1 if same(pick) else 1
-            last = (pick[3], pick[4:6])
-            find(pick[3], pick[4:6])["dep"] += 1
-            want[s, f] = (pick[3], pick[4], pick[5], rep, len(ok))
-    for limit in (None, 40):
-        got = {(r.session_id, r.frame_id): (r.name, r.x, r.y, r.repeats, r.n_candidates)
-               for r in rp.rotate_targets(df, "session_id", limit).collect()}
-        assert got == want
