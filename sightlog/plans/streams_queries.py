@@ -21,34 +21,31 @@ def steps(spark, sf):
     )
 
 
-def passed(sql: str) -> str:
-    """Of the batch twin's rows those that the watermark has passed when the stream has read everything."""
-    return f"SELECT twin.* FROM ({sql}) twin JOIN events e USING (event_id) WHERE e.ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+def to_the_end(spark, sf, name: str, replay, *extra: str):
+    """A replay of the events as a stream that is told of its source's end, so every row comes out."""
+    end = st.End(spark, name)
+    return st.run_to_table(replay(end.joined(steps(spark, sf).selectExpr("*", *extra))), name, end)
 
 
-@query("st1_battle_stream", passed(rq.BATTLE), "steps")
+@query("st1_battle_stream", rq.BATTLE, "steps")
 def battle_stream(spark, sf):
-    return st.run_to_table(st.machine_stream(steps(spark, sf), "session_id", ma.battle_machine()), "battle")
+    return to_the_end(spark, sf, "battle", lambda s: st.machine_stream(s, "session_id", ma.battle_machine()))
 
 
-@query("st2_donation_stream", passed(ORACLES["st2_donation_replay"]))
+@query("st2_donation_stream", ORACLES["st2_donation_replay"])
 def donation_stream(spark, sf):
-    signals = steps(spark, sf).selectExpr("*", *[c.strip() for c in rq.DON.replace("\n", " ").split(",")])
-    return st.run_to_table(st.machine_stream(signals, "session_id", ma.donation_machine()), "donation")
+    signals = [c.strip() for c in rq.DON.replace("\n", " ").split(",")]
+    return to_the_end(spark, sf, "donation", lambda s: st.machine_stream(s, "session_id", ma.donation_machine()), *signals)
 
 
-@query("st3_farm_stream", passed(ORACLES["st3_farm_replay"]))
+@query("st3_farm_stream", ORACLES["st3_farm_replay"])
 def farm_stream(spark, sf):
-    return st.run_to_table(st.machine_stream(steps(spark, sf), "session_id", ma.farm_machine()), "farm")
+    return to_the_end(spark, sf, "farm", lambda s: st.machine_stream(s, "session_id", ma.farm_machine()))
 
 
-@query(
-    "st6_gate_stream",
-    passed(f"WITH {rq.GATE} SELECT session_id, event_id, flagged FROM g"),
-    "steps",
-)
+@query("st6_gate_stream", f"WITH {rq.GATE} SELECT session_id, event_id, flagged FROM g", "steps")
 def gate_stream(spark, sf):
-    return st.run_to_table(st.gate_stream(steps(spark, sf), "session_id", "amount", 20, 100), "gate")
+    return to_the_end(spark, sf, "gate", lambda s: st.gate_stream(s, "session_id", "amount", 20, 100))
 
 
 def routes(spark, sf):

@@ -1,14 +1,20 @@
 """Keyed streams: the replay operators and counters on unbounded input.
 
-Rows are ordered by (ts, event_id) inside a micro-batch, whose size the source bounds; the
-state of a session lives in the state store and its checkpoint in the shared folder.
+Rows of a key wait in buckets of event time until the watermark has passed the bucket; a timer then releases it, in the order of
+(ts, event_id). A micro-batch touches the buckets it adds to or releases, not what else waits. State lives in the state store, its
+checkpoint in the shared folder. A source that has come to its end is told so by ``End``, whose mark lets the watermark pass everything.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections import defaultdict
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sightlog.functions import text as tx
 from sightlog.operators import machines as ma
@@ -25,43 +31,98 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if is_file else reader.parquet(table)
 
 
-DELAY, EXPIRY_MS = "1 hour", 30 * 24 * 3600 * 1000
+DELAY, BUCKET_MS, EXPIRY_MS = "1 hour", 10 * 60 * 1000, 30 * 24 * 3600 * 1000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class End:
+    """The end of a source, as a second stream with at most one row: a time after all others, in no group that counts."""
+
+    # names with a leading underscore do not reach the processor
+    MARK = "at_end"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.folder = scratch_path(spark, f"{name}-end")
+
+    def joined(self, rows: DataFrame, ts: str = "ts") -> DataFrame:
+        """``rows`` with the column MARK, and the mark row once it is written."""
+        spark = rows.sparkSession
+        empty = spark.createDataFrame([], "_at TIMESTAMP")
+        empty.write.mode("append").parquet(self.folder)
+        mark = spark.readStream.schema("_at TIMESTAMP").parquet(self.folder)
+        cols = [F.col("_at").alias(c) if c == ts else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+        return rows.withColumn(self.MARK, F.lit(False)).unionByName(mark.select(*cols, F.lit(True).alias(self.MARK)))
+
+    def write(self, spark: SparkSession) -> None:
+        spark.createDataFrame([(datetime.datetime(2200, 1, 1),)], "_at TIMESTAMP").write.mode("append").parquet(self.folder)
+
+
+class Replay(StatefulProcessor):
+    """``state, result = step(state, value)`` per row of a key, once the watermark has passed the row's bucket.
+
+    State per key: the fold's state with the end of the last bucket, and the waiting rows by bucket. A key without rows for EXPIRY_MS of
+    event time is forgotten.
+    """
+
+    def __init__(self, key: str, types: dict[str, str], state: str, start, step):
+        self.key, self.types, self.state_type, self.start, self.step = key, types, state, start, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", f"s {self.state_type}, upto bigint")
+        self.waiting = handle.getMapState("waiting", "bucket bigint", f"at array<bigint>, id array<{self.types['event_id']}>, v array<{self.types['held']}>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        buckets = defaultdict(lambda: ([], [], []))
+        for pdf in rows:
+            pdf = pdf[~pdf[End.MARK].astype(bool)] if End.MARK in pdf else pdf
+            at = pdf["ts"].astype("datetime64[us, UTC]" if pdf["ts"].dt.tz else "datetime64[us]").astype("int64")
+            for t, i, v in zip(at.tolist(), pdf["event_id"].tolist(), pdf["held"].tolist(), strict=True):
+                for column, value in zip(buckets[t // 1000 // BUCKET_MS], (t, i, None if pd.isna(v) else v), strict=True):
+                    column.append(value)
+        for bucket, (at, ids, values) in buckets.items():
+            if self.waiting.containsKey((bucket,)):
+                held = self.waiting.getValue((bucket,))
+                at, ids, values = [*held[0], *at], [*held[1], *ids], [*held[2], *values]
+            else:
+                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
+            self.waiting.updateValue((bucket,), (at, ids, values))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        state, upto = self.current.get() if self.current.exists() else (self.start, None)
+        if now % BUCKET_MS:  # the time to forget, unless newer rows have come
+            if upto is not None and upto + EXPIRY_MS + 1 == now:
+                self.current.clear()
+            return
+        bucket = (now // BUCKET_MS - 1,)
+        at, ids, values = self.waiting.getValue(bucket)
+        self.waiting.removeKey(bucket)
+        done, results = [], []
+        for _, i, v in sorted(zip(at, ids, values, strict=True), key=lambda r: r[:2]):
+            state, r = self.step(state, v)
+            done.append(i)
+            results.append(r)
+        if upto is not None:
+            self.handle.deleteTimer(upto + EXPIRY_MS + 1)
+        self.handle.registerTimer(now + EXPIRY_MS + 1)
+        self.current.update((state, now))
+        yield pd.DataFrame({self.key: [key[0]] * len(done), "event_id": done, "_out": pd.Series(results, dtype=object)})
 
 
 def _stateful(df: DataFrame, key: str, value: str, state: str, start, step, out: str, delay: str = DELAY) -> DataFrame:
-    """``state, result = step(state, value)`` per row of a key in the order of (ts, event_id); ``state`` is an SQL type.
+    """Each row with the result of a fold along its key in the order of (ts, event_id); ``state`` and ``out`` are SQL types.
 
-    Rows wait in the state until the watermark has passed them, so files may come in any order within ``delay``. What comes
-    later still is dropped and counted by the engine (``run_counted``). A key without rows for thirty days of event time is forgotten.
+    Files may come in any order within ``delay``; what comes later still is dropped and counted by the engine (``run_counted``). Rows without
+    a time are not taken.
     """
-    rows = df.withWatermark("ts", delay).select(key, "ts", "event_id", F.col(value).alias("_v"))
+    marked = [End.MARK] if End.MARK in df.columns else []
+    rows = df.withWatermark("ts", delay).select(key, "ts", "event_id", F.col(value).alias("held"), *marked)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{key} {types[key]}, event_id {types['event_id']}, _out {out}"
-    kept = f"s {state}, at ARRAY<BIGINT>, id ARRAY<{types['event_id']}>, v ARRAY<{types['_v']}>"
-
-    def run(k, batches, store):
-        current, at, ids, values = store.get if store.exists else (start, [], [], [])
-        waiting = list(zip(at, ids, values, strict=True))
-        mark_ms = store.getCurrentWatermarkMs()
-        for pdf in [] if store.hasTimedOut else batches:
-            times = pdf["ts"].astype("datetime64[us, UTC]" if pdf["ts"].dt.tz else "datetime64[us]").astype("int64")
-            waiting += zip(times.tolist(), pdf["event_id"].tolist(), [None if pd.isna(v) else v for v in pdf["_v"].tolist()], strict=True)
-        waiting.sort(key=lambda r: r[:2])
-        n, results = 0, []
-        while n < len(waiting) and waiting[n][0] < mark_ms * 1000:
-            current, r = step(current, waiting[n][2])
-            results.append(r)
-            n += 1
-        done, waiting = waiting[:n], waiting[n:]
-        if store.hasTimedOut and not done and not waiting:
-            store.remove()
-        else:
-            store.update((current, *([list(c) for c in zip(*waiting, strict=True)] or [[], [], []])))
-            first = waiting[0][0] // 1000 if waiting else mark_ms + EXPIRY_MS
-            store.setTimeoutTimestamp(max(first, mark_ms + 1))
-        yield pd.DataFrame({key: [k[0]] * n, "event_id": [r[1] for r in done], "_out": pd.Series(results, dtype=object)})
-
-    return rows.groupBy(key).applyInPandasWithState(run, schema, kept, "append", "EventTimeTimeout")
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy(key).transformWithStateInPandas(Replay(key, types, state, start, step), schema, "Append", "EventTime")
 
 
 def machine_stream(steps: DataFrame, key: str, machine: ma.Machine) -> DataFrame:
@@ -106,19 +167,31 @@ def first_contents(rows: DataFrame, content: str, delay: str) -> DataFrame:
     )
 
 
-def run_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def run_counted(df: DataFrame, name: str, end: End | None = None) -> tuple[DataFrame, int]:
     """Run a stream over everything available into a table of the shared folder; that table, and the number of rows that
-    came too late."""
+    came too late. With ``end`` the source is at its end afterwards, and what still waits comes out."""
     spark = df.sparkSession
     out = scratch_path(spark, name)
-    q = (
-        df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    late = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
-    return spark.read.schema(df.schema).parquet(f"{out}/data"), late
-
-
-def run_to_table(df: DataFrame, name: str) -> DataFrame:
-    return run_counted(df, name)[0]
+    dropped: dict[tuple, int] = {}
+
+    def run(which: int) -> None:
+        q = (
+            df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
+            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        )
+        over = False
+        while not over:
+            # the engine keeps the last hundred reports only, so they are read while it runs
+            over = q.awaitTermination(1)
+            for p in q.recentProgress:
+                dropped[which, p.batchId] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    run(0)
+    if end is not None:
+        end.write(spark)
+        run(1)
+    return spark.read.schema(df.schema).parquet(f"{out}/data"), sum(dropped.values())
+
+
+def run_to_table(df: DataFrame, name: str, end: End | None = None) -> DataFrame:
+    return run_counted(df, name, end)[0]

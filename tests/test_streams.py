@@ -25,15 +25,20 @@ COLS = ["s", "event_id", "ts", "v", "v = 0 AS attack", "v = 1 AS search", "v = 2
 def test_machine_gate_and_counters(spark, tmp_path):
     log = write_log(spark, str(tmp_path))
     stream = lambda: st.table_stream(spark, str(tmp_path), "log", 1)
-    got = st.run_to_table(st.machine_stream(stream().selectExpr(*COLS), "s", ma.battle_machine()), "m")
-    want = ma.replay(log.selectExpr(*COLS), ["s"], ["event_id"], ma.battle_machine())
     key = ["s", "event_id", "state", "action"]
-    # rows wait until the watermark, an hour behind the last row, has passed them
-    assert got.select(*key).exceptAll(want.select(*key)).count() == 0 and got.count() == 179
+    replayed = lambda end: st.machine_stream(end.joined(stream().selectExpr(*COLS)), "s", ma.battle_machine())
+    want = ma.replay(log.selectExpr(*COLS), ["s"], ["event_id"], ma.battle_machine()).select(*key)
+    end = st.End(spark, "m")
+    got = st.run_to_table(replayed(end), "m", end).select(*key)
+    assert got.count() == 240 and got.exceptAll(want).count() == 0
+    # as long as the source may go on, rows wait until the watermark, an hour behind the last row, has passed their bucket
+    open_end = st.run_to_table(replayed(st.End(spark, "open")), "open").select(*key)
+    assert 160 < open_end.count() <= 179 and open_end.exceptAll(want).count() == 0
 
-    gate = st.run_to_table(st.gate_stream(stream(), "s", "v", 2, 7), "g")
+    end = st.End(spark, "g")
+    gate = st.run_to_table(st.gate_stream(end.joined(stream()), "s", "v", 2, 7), "g", end).select("s", "event_id", "flagged")
     twin = rp.hysteresis(log, ["s"], ["event_id"], F.col("v"), 2, 7, "flagged").select("s", "event_id", "flagged")
-    assert gate.select("s", "event_id", "flagged").exceptAll(twin).count() == 0
+    assert gate.exceptAll(twin).count() == 0 and gate.count() == 240
 
     route = [F.when(F.col("v") > 6, "llm").otherwise("local").alias("route"), F.lit(5).alias("prompt_tokens"), F.lit(2).alias("completion_tokens")]
     closed = st.run_to_table(st.route_counters(stream().select("ts", *route), "30 minutes", "10 minutes", "15 minutes"), "c")
@@ -57,7 +62,19 @@ def test_files_out_of_order_and_late_rows(spark, tmp_path):
     files = [range(1, 30), range(60, 90), range(30, 60), range(90, 240), [0]]
     for i, part in enumerate(files):
         df.filter(F.col("event_id").isin(list(part))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log.parquet")
-    got, late = st.run_counted(st.gate_stream(st.table_stream(spark, str(tmp_path), "log", 1), "s", "v", 2, 7), "late")
+    end = st.End(spark, "late")
+    got, late = st.run_counted(st.gate_stream(end.joined(st.table_stream(spark, str(tmp_path), "log", 1)), "s", "v", 2, 7), "late", end)
     twin = rp.hysteresis(df.filter("event_id > 0"), ["s"], ["event_id"], F.col("v"), 2, 7, "flagged").select("s", "event_id", "flagged")
-    assert got.select("s", "event_id", "flagged").exceptAll(twin).count() == 0 and got.count() == 178
+    assert got.select("s", "event_id", "flagged").exceptAll(twin).count() == 0 and got.count() == 239
     assert late == 1
+
+
+def test_state_is_forgotten_and_begins_anew(spark, tmp_path):
+    # key 1 falls silent for more than thirty days, key 2 does not
+    rows = [(1, 0, 0, 1), (2, 1, 0, 1), (2, 2, 20, 5), (2, 3, 40, 5), (1, 4, 60, 5), (2, 5, 60, 5)]
+    df = spark.createDataFrame(rows, "s INT, event_id BIGINT, day BIGINT, v INT").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("day") * 86400))
+    for day in (0, 20, 40, 60):
+        df.filter(F.col("day") == day).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log.parquet")
+    end = st.End(spark, "forget")
+    got = st.run_to_table(st.gate_stream(end.joined(st.table_stream(spark, str(tmp_path), "log", 1)), "s", "v", 2, 7), "forget", end)
+    assert {r.event_id: r.flagged for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True}
