@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightlog import vocab
 from sightlog.functions import geometry as g
 from sightlog.functions import text as tx
-from sightlog.session import materialise
+from sightlog.operators.segments import group_starts, in_order
 
 LEGACY = (1280.0, 960.0)
 LOGICAL = (1280, 720)
@@ -183,37 +185,79 @@ def ocr_boxes(
     )
 
 
-def conflicting_pairs(early: DataFrame, late: DataFrame, keys: list[str], iou_over: float = 0.5) -> DataFrame:
-    """Pairs of boxes of one group, ``early.rank < late.rank``, whose IoU exceeds ``iou_over`` (>= 0.5).
+class BoxGrid:
+    """Boxes of one group, found by overlap (IoU over ``iou_over`` >= 0.5).
 
-    Such boxes differ by less than a factor of two in size and by less than half of the
-    smaller side in position. With a grid whose cell follows the size class of the early
-    box, a late box has to look into three size classes and two cells per axis: an
-    equi-join on nearby cells instead of all pairs of a group.
+    Such boxes differ by less than a factor of two in size and by less than half of the smaller side in position. A box lies in the cell of its
+    centre, on a grid that follows its size class; a search looks into three size classes and two cells per axis.
     """
-    level = F.floor(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1)))).cast("int")
-    size = F.pow(F.lit(2.0), F.col("_lev") + 1)
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    cells = lambda c: F.sequence(
-        F.floor(c / size - 0.5).cast("bigint"), F.floor(c / size + 0.5).cast("bigint")
-    )
-    box = ["rank", "source", "x1", "y1", "x2", "y2"]
-    on = keys + ["_lev", "_gx", "_gy"]
-    a = (
-        early.withColumn("_lev", level)
-        .withColumn("_gx", F.floor(cx / size).cast("bigint"))
-        .withColumn("_gy", F.floor(cy / size).cast("bigint"))
-        .select(*on, *[F.col(c).alias("a_" + c) for c in box])
-    )
-    b = (
-        late.withColumn("_lev", F.explode(F.array(level - 1, level, level + 1)))
-        .withColumn("_gx", F.explode(cells(cx)))
-        .withColumn("_gy", F.explode(cells(cy)))
-        .select(*on, *[F.col(c).alias("b_" + c) for c in box])
-    )
-    sides = ("x1", "y1", "x2", "y2")
-    overlap = g.iou(*[F.col("a_" + c) for c in sides], *[F.col("b_" + c) for c in sides])
-    return a.join(b, on).filter("a_rank < b_rank").filter(overlap > iou_over)
+
+    def __init__(self, iou_over: float):
+        self.iou_over, self.cells = iou_over, defaultdict(list)
+
+    def add(self, box: tuple, name) -> None:
+        x1, y1, x2, y2 = box
+        level = max(x2 - x1, y2 - y1, 1).bit_length()
+        step = 2 << level
+        self.cells[level, (x1 + x2) // step, (y1 + y2) // step].append((box, name))
+
+    def overlapping(self, box: tuple):
+        """(box, name) of those that overlap it."""
+        x1, y1, x2, y2 = box
+        area, level = (x2 - x1) * (y2 - y1), max(x2 - x1, y2 - y1, 1).bit_length()
+        for lev in (level - 1, level, level + 1):
+            size, step = 1 << lev, 2 << lev
+            for gx in {(x1 + x2 - size) // step, (x1 + x2 + size) // step}:
+                for gy in {(y1 + y2 - size) // step, (y1 + y2 + size) // step}:
+                    for other, name in self.cells.get((lev, gx, gy), ()):
+                        w, h = min(x2, other[2]) - max(x1, other[0]), min(y2, other[3]) - max(y1, other[1])
+                        if w > 0 and h > 0:
+                            both = w * h
+                            if both > self.iou_over * (area + (other[2] - other[0]) * (other[3] - other[1]) - both):
+                                yield other, name
+
+
+SIDES = ("x1", "y1", "x2", "y2")
+
+
+def overlapping_pairs(boxes: DataFrame, keys: list[str], rank: str, iou_over: float = 0.5) -> DataFrame:
+    """(keys, a_rank, b_rank, iou): pairs of boxes of one group, the earlier one first, whose IoU exceeds ``iou_over`` (>= 0.5).
+
+    The result is the pairs, so it grows with them; the search does not. Boxes of a group pass one task in order, next to a grid of
+    those before them. ``rank`` is a BIGINT, total within a group; boxes without a side are left out.
+    """
+    sides = [F.col(c).cast("long").alias(c) for c in SIDES]
+    rows = boxes.select(*keys, F.col(rank).cast("long").alias("b_rank"), *sides).dropna(subset=list(SIDES))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields), "a_rank long", "b_rank long", "iou double"])
+
+    def run(batches):
+        group, grid = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, group = group_starts(batch, keys, group)
+            at, early, values = [], [], []
+            for i, (new, no, *box) in enumerate(zip(starts.tolist(), *(batch.column(c).to_pylist() for c in ("b_rank", *SIDES)), strict=True)):
+                if new:
+                    grid = BoxGrid(iou_over)
+                box = tuple(box)
+                area = (box[2] - box[0]) * (box[3] - box[1])
+                for o, name in grid.overlapping(box):
+                    both = (min(box[2], o[2]) - max(box[0], o[0])) * (min(box[3], o[3]) - max(box[1], o[1]))
+                    at.append(i)
+                    early.append(name)
+                    values.append(both / (area + (o[2] - o[0]) * (o[3] - o[1]) - both))
+                grid.add(box, no)
+                if len(at) >= 50_000:
+                    yield pairs_of(batch, at, early, values)
+                    at, early, values = [], [], []
+            yield pairs_of(batch, at, early, values)
+
+    def pairs_of(batch, at, early, values):
+        late = batch.select([*keys, "b_rank"]).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*(late.column(k) for k in keys), pa.array(early, pa.int64()), late.column("b_rank"), pa.array(values, pa.float64())], names=[*keys, "a_rank", "b_rank", "iou"])
+
+    return in_order(rows, keys, ["b_rank"], run, schema)
 
 
 def merge_sources(
@@ -222,38 +266,39 @@ def merge_sources(
     """Boxes of ``first`` all stay; a box of ``second`` stays unless it overlaps a kept box of the
     same group that comes before it.
 
-    The greedy rule is solved on the (few) overlapping pairs only: in each round a box with
-    a kept earlier partner goes, and a box without any open earlier partner stays. Identical
-    boxes are represented by their first copy, because later copies always go with it.
+    Equal boxes are represented by their first copy, because later copies always go with it. The distinct boxes of a group pass one task
+    in order, and a box meets only kept ones around it: kept boxes of ``second`` do not overlap, so few of them lie near any place, however
+    many were near it. The task holds a grid of the kept boxes. A box without a side overlaps nothing and stays.
     """
-    pool = boxes.filter(F.col("source").isin(first, second)).withColumn(
-        "rank", F.struct((F.col("source") != first).cast("int").alias("s"), F.col(order).alias("o"))
-    )
-    kept_first = pool.filter(F.col("source") == first)
-    shape = keys + ["x1", "y1", "x2", "y2"]
-    distinct = pool.groupBy(*shape).agg(F.min_by("source", "rank").alias("source"), F.min("rank").alias("rank"))
-    pairs = conflicting_pairs(distinct, distinct.filter(F.col("source") == second), keys, iou_over)
-    edges = materialise(pairs.select(*keys, F.col("a_rank").alias("early"), F.col("b_rank").alias("late"),
-                                     (F.col("a_source") == first).alias("sure")))
-    late_key, early_key = keys + ["late"], keys + ["early"]
-    gone = materialise(edges.filter("sure").select(*late_key).distinct())
-    open_edges = materialise(
-        edges.filter("NOT sure").join(gone, late_key, "left_anti").select(*keys, "early", "late")
-        .join(gone.withColumnRenamed("late", "early"), early_key, "left_anti")
-    )
-    while not open_edges.isEmpty():
-        # an early box that is no late box of an open pair is decided: it stays
-        undecided = open_edges.select(*keys, F.col("late").alias("early")).distinct()
-        drop = open_edges.join(undecided, early_key, "left_anti").select(*late_key).distinct()
-        gone = materialise(gone.unionByName(drop))
-        open_edges = materialise(
-            open_edges.join(gone, late_key, "left_anti")
-            .join(gone.withColumnRenamed("late", "early"), early_key, "left_anti")
-        )
-    second_kept = (
-        distinct.filter(F.col("source") == second)
-        .join(gone.withColumnRenamed("late", "rank"), keys + ["rank"], "left_anti")
-        .select(*keys, "rank")
-    )
-    kept_second = pool.filter(F.col("source") == second).join(second_kept, keys + ["rank"], "left_semi")
-    return kept_first.unionByName(kept_second).drop("rank")
+    pool = boxes.filter(F.col("source").isin(first, second))
+    payload = [c for c in boxes.columns if c not in (*keys, *SIDES)]
+    rank = F.struct((F.col("source") != first).cast("int").alias("s"), F.col(order).alias("o"))
+    # a box without a side is no copy of another
+    alone = F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in SIDES]), F.col(order))
+    distinct = pool.groupBy(*keys, *SIDES, alone.alias("_alone")).agg(F.min_by(F.struct(*payload), rank).alias("_p"), F.min(rank).alias("_rank"))
+    rows = distinct.select(*keys, *SIDES, *[F.col("_p")[c].alias(c) for c in payload], F.col("_rank.s").alias("_s"), F.col("_rank.o").alias("_o"))
+    names = boxes.columns
+    out = rows.select(*names).schema
+
+    def run(batches):
+        group, grid = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, group = group_starts(batch, keys, group)
+            kept = []
+            for i, (new, s, *box) in enumerate(zip(starts.tolist(), *(batch.column(c).to_pylist() for c in ("_s", *SIDES)), strict=True)):
+                if new:
+                    grid = BoxGrid(iou_over)
+                if None in box:
+                    kept += [i] * s
+                    continue
+                box = tuple(box)
+                if s and next(grid.overlapping(box), None) is not None:
+                    continue
+                grid.add(box, None)
+                kept += [i] * s
+            yield batch.select(names).take(pa.array(kept, pa.int64()))
+
+    second_kept = in_order(rows, keys, ["_s", "_o"], run, out)
+    return pool.filter(F.col("source") == first).unionByName(second_kept)

@@ -380,11 +380,8 @@ SELECT frame_id, a_no, b_no, r6(CAST(i AS DOUBLE)/(s-i)) AS iou FROM p WHERE CAS
     "det",
 )
 def overlapping_pairs(spark, sf):
-    d = src.detections(spark, sf).withColumn("rank", F.col("det_no"))
-    p = bx.conflicting_pairs(d, d, ["frame_id"])
-    sides = ("x1", "y1", "x2", "y2")
-    value = g.iou(*[F.col("a_" + c) for c in sides], *[F.col("b_" + c) for c in sides])
-    return p.select("frame_id", F.col("a_rank").alias("a_no"), F.col("b_rank").alias("b_no"), g.round_half_even(value).alias("iou"))
+    p = bx.overlapping_pairs(src.detections(spark, sf), ["frame_id"], "det_no")
+    return p.select("frame_id", F.col("a_rank").alias("a_no"), F.col("b_rank").alias("b_no"), g.round_half_even(F.col("iou")).alias("iou"))
 
 
 MERGED = """RECURSIVE o AS (SELECT frame_id, class_id, det_no, source, x1, y1, x2, y2,

