@@ -37,10 +37,32 @@ def cluster_representatives(spark, sf):
     return cl.representatives(v, "cluster", "vec_id", "embedding", DIM)
 
 
-@query("ag19_kmeans_clusters")
+K, ROUNDS = 10, 6
+# Lloyd's rounds written out one after the other; sums are shifted so that a whole division rounds down for either sign
+LLOYD = f"""q AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)) AS w FROM embeddings),
+u AS (SELECT vec_id, embedding, list_transform(w, lambda x: CAST(round(x::DOUBLE * 1000000::DOUBLE / greatest(sqrt(CAST(list_sum(list_transform(w, lambda y: y * y)) AS BIGINT)::DOUBLE), 1)) AS BIGINT)) AS u FROM q),
+k0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS cluster, u AS c FROM u ORDER BY vec_id LIMIT {K})""" + "".join(
+    f""",
+a{r} AS (SELECT vec_id, arg_min(cluster, ROW(CAST(list_sum(list_transform(list_zip(u, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), cluster)) AS cluster FROM u, k{r} GROUP BY vec_id),
+k{r + 1} AS (SELECT k{r}.cluster, coalesce(n.c, k{r}.c) AS c FROM k{r} LEFT JOIN (SELECT cluster, list(m ORDER BY i) AS c FROM (
+  SELECT cluster, i, CAST((sum(x) + 4000000 * count(*)) // count(*) AS BIGINT) - 4000000 AS m FROM (SELECT a.cluster, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM u JOIN a{r} a USING (vec_id)) GROUP BY cluster, i) GROUP BY cluster) n USING (cluster))"""
+    for r in range(ROUNDS)
+)
+
+
+@query(
+    "ag19_kmeans_clusters",
+    f"""WITH {LLOYD}, last AS (SELECT vec_id, arg_min(cluster, ROW(CAST(list_sum(list_transform(list_zip(u, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), cluster)) AS cluster FROM u, k{ROUNDS} GROUP BY vec_id),
+e AS (SELECT e.vec_id, e.embedding, last.cluster FROM embeddings e JOIN last USING (vec_id)),
+m AS (SELECT cluster, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, vec_id FROM e),
+c AS (SELECT cluster, i, avg(x) AS mean FROM m GROUP BY ALL),
+d AS (SELECT m.cluster, vec_id, round(sqrt(sum((x - mean) * (x - mean))), 8) AS d FROM m JOIN c USING (cluster, i) GROUP BY ALL),
+rep AS (SELECT cluster, CAST(count(*) AS BIGINT) AS size, arg_min(vec_id, ROW(d, vec_id)) AS representative FROM d GROUP BY cluster)
+SELECT rep.*, (SELECT list(vec_id ORDER BY vec_id)[1:50] FROM e WHERE e.cluster = rep.cluster) AS members FROM rep""",
+)
 def kmeans_clusters(spark, sf):
     v = src.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    a = cl.assign_clusters(v, "embedding", 10)
+    a = cl.assign_clusters(v, "vec_id", "embedding", K, DIM, ROUNDS)
     return cl.representatives(a, "cluster", "vec_id", "embedding", DIM)
 
 

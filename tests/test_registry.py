@@ -16,7 +16,7 @@ def test_every_reference_query_has_a_spark_query():
     queries, sql = all_queries(), reference_sql()
     assert set(sql) <= set(queries) and len(queries) >= 200
     assert set(queries) <= set(entry.queries()) and set(sql) <= set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(queries) - set(sql) == {"ag19_kmeans_clusters"}
+    assert set(queries) == set(sql)
 
 
 @pytest.fixture(scope="module")
