@@ -94,6 +94,11 @@ TIME_ROW = r"(?is)<TimelineRow>(.*?)</TimelineRow>"
 EXTRA = r"tableExtraInfo\s*=\s*(\[[\s\S]*?\])"
 
 
+def column_metadata(text: Column) -> Column:
+    """The list of column descriptions that a page embeds, NULL without one."""
+    return F.from_json(F.regexp_extract(text, EXTRA, 1), "ARRAY<MAP<STRING, STRING>>")
+
+
 def detail_fields(pages: DataFrame, text: str = "text", images: str = IMAGES) -> DataFrame:
     """Scalar fields and flat children of a detail page."""
     t = F.col(text)
@@ -108,7 +113,7 @@ def detail_fields(pages: DataFrame, text: str = "text", images: str = IMAGES) ->
             ).alias("rows"),
         ),
     )
-    extra = F.from_json(F.regexp_extract(t, EXTRA, 1), "ARRAY<MAP<STRING, STRING>>")
+    extra = column_metadata(t)
     return (
         pages.withColumn(text, body(t))
         .withColumn("_fm", tx.front_matter(t))
@@ -152,35 +157,44 @@ def notes(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     )
 
 
-@F.udtf(returnType="table_no INT, headers ARRAY<STRING>, rows ARRAY<ARRAY<STRING>>")
-class MarkdownTables:
-    """Row generator: each pipe table (header, separator line, rows) of a text."""
+# --- fixed values: the separator line of a pipe table, ends of a line ----------------
+SEPARATOR = r"^\|[\s:\-|]+\|$"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def markdown_tables(text: Column) -> Column:
+    """Pipe tables of a text as array<struct<headers, rows>>, in order.
+
+    Lines that do not start with a bar are blanked, so islands of bar lines lie between empty lines. An island holds at most one table: its
+    header is the line before the first separator (which is not the first line), its rows are all lines after that.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), tx.strip)
+    barred = F.array_join(F.transform(lines, lambda x: F.when(x.startswith("|"), x).otherwise("")), "\n")
+    islands = F.filter(F.split(F.regexp_replace(barred, r"^\n+|\n+$", ""), r"\n{2,}"), lambda x: x != "")
+    cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), tx.strip)
 
-    def eval(self, text: str):
-        import re
+    def table(island):
+        rows = F.split(island, "\n")
+        place = F.array_min(F.filter(F.transform(rows, lambda x, i: F.when((i > 0) & x.rlike(SEPARATOR), i)), lambda i: i.isNotNull()))
+        # bound once: the rows and the place of the separator
+        bound = F.transform(F.array(F.struct(rows.alias("rows"), place.alias("at"))), lambda v: F.when(v["at"].isNotNull(), F.struct(
+            cells(F.get(v["rows"], v["at"] - 1)).alias("headers"),
+            F.transform(F.filter(v["rows"], lambda _, i: i > v["at"]), cells).alias("rows"),
+        )))
+        return F.get(bound, F.lit(0))
 
-        cells = lambda line: [c.strip() for c in line.strip("|").split("|")]
-        lines = [x.strip() for x in (text or "").splitlines()]
-        n, i = 0, 0
-        while i + 1 < len(lines):
-            if not (lines[i].startswith("|") and re.match(r"^\|[\s:\-|]+\|$", lines[i + 1])):
-                i += 1
-                continue
-            end = i + 2
-            while end < len(lines) and lines[end].startswith("|"):
-                end += 1
-            yield n, cells(lines[i]), [cells(x) for x in lines[i + 2:end]]
-            n, i = n + 1, end
+    return F.filter(F.transform(islands, table), lambda t: t.isNotNull())
 
 
 def tables(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Pipe tables with cleaned cells and the nearest title before them as label."""
-    b = blocks(pages.select(*key, text), text, TITLE, "block_no", "_block")
-    b = b.withColumn("label", F.regexp_extract("_block", f"^{TITLE}", 1)).drop(text)
-    t = b.lateralJoin(MarkdownTables(F.col("_block").outer()))
+    """Pipe tables with cleaned cells, the nearest title before them as label and the column metadata of their page as ``extra_info``."""
+    extra = F.coalesce(column_metadata(F.col(text)), F.array().cast("array<map<string,string>>"))
+    b = blocks(pages.select(*key, text, extra.alias("extra_info")), text, TITLE, "block_no", "_block")
+    b = b.withColumn("label", F.regexp_extract("_block", f"^{TITLE}", 1))
+    t = b.select(*key, "block_no", "label", "extra_info", F.posexplode(markdown_tables(F.col("_block"))).alias("table_no", "_t"))
     return t.select(
-        *key, "block_no", "table_no", "label", F.transform("headers", tx.clean_cell).alias("headers"),
-        F.transform("rows", lambda r: F.transform(r, tx.clean_cell)).alias("rows"),
+        *key, "block_no", "table_no", "label", F.transform("_t.headers", tx.clean_cell).alias("headers"),
+        F.transform("_t.rows", lambda r: F.transform(r, tx.clean_cell)).alias("rows"), "extra_info",
     )
 
 
@@ -191,7 +205,10 @@ def detail_records(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
 
     def listed(rows: DataFrame, order: list[str], value: list[str], out: str) -> DataFrame:
-        found = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *value))).alias("_l"))
+        # by the order alone: values may hold maps, which have none
+        at = lambda e: F.struct(*[e[o] for o in order])
+        by_order = lambda a, b: F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0)
+        found = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *value)), by_order).alias("_l"))
         one = (lambda e: e[value[0]]) if len(value) == 1 else (lambda e: F.struct(*[e[v].alias(v) for v in value]))
         return found.select(key, F.transform("_l", one).alias(out))
 
@@ -201,7 +218,7 @@ def detail_records(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     images = images.withColumn("images", F.transform("_i", lambda i: F.struct(i["level"].alias("level"), i["src"].alias("src"))))
     parts = [
         listed(images, ["fallback", "group_no"], ["group", "images"], "image_groups"),
-        listed(tables(pages, [key], text), ["block_no", "table_no"], ["label", "headers", "rows"], "tables"),
+        listed(tables(pages, [key], text), ["block_no", "table_no"], ["label", "headers", "rows", "extra_info"], "tables"),
         listed(notes(pages, [key], text), ["line_no"], ["note"], "notes"),
     ]
     out = detail_fields(pages, text)

@@ -83,16 +83,20 @@ def pairs_and_timeline(spark, sf):
 
 @query(
     "pg4_pipe_tables",
-    """SELECT p_partkey, '升级 ' || p_size % 3 AS label, ['等级', '费用'] AS headers, [['1', p_size::VARCHAR], ['2', 'a b']] AS rows FROM part
-UNION ALL SELECT p_partkey, '其他', ['h'], [] FROM part""",
+    """SELECT t.*, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS n_columns, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS column_n FROM (
+SELECT p_partkey, '升级 ' || p_size % 3 AS label, ['等级', '费用'] AS headers, [['1', p_size::VARCHAR], ['2', 'a b']] AS rows FROM part
+UNION ALL SELECT p_partkey, '其他', ['h'], [] FROM part) t JOIN part USING (p_partkey)""",
 )
 def pipe_tables(spark, sf):
-    return ct.tables(detail_pages(spark, sf), ["p_partkey"]).select("p_partkey", "label", "headers", "rows")
+    return ct.tables(detail_pages(spark, sf), ["p_partkey"]).select(
+        "p_partkey", "label", "headers", "rows", F.size("extra_info").alias("n_columns"), F.try_element_at(F.get("extra_info", F.lit(0)), F.lit("n")).alias("column_n"),
+    )
 
 
 @query("ud3_table_generator", "SELECT CAST(2 * count(*) AS BIGINT) AS n_tables, CAST(2 * count(*) AS BIGINT) AS n_rows FROM part")
 def table_generator(spark, sf):
-    t = detail_pages(spark, sf).lateralJoin(ct.MarkdownTables(F.col("text").outer()))
+    """A row generator is an array of structs that is inlined."""
+    t = detail_pages(spark, sf).select(F.inline(ct.markdown_tables(F.col("text"))))
     return t.agg(lb.count_rows("n_tables"), F.sum(F.size("rows")).cast("bigint").alias("n_rows"))
 
 
