@@ -146,3 +146,36 @@ def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     )
     cross = ((o1 > 0) != (o2 > 0)) & ((o3 > 0) != (o4 > 0))
     return ~apart & (touch | cross)
+
+
+def lines_meet(ab: tuple, cd: tuple) -> bool:
+    """``segments_meet`` for plain whole numbers (ax, ay, bx, by)."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = ab, cd
+    if max(ax, bx) < min(cx, dx) or max(cx, dx) < min(ax, bx) or max(ay, by) < min(cy, dy) or max(cy, dy) < min(ay, by):
+        return False
+
+    def side(px, py, qx, qy, rx, ry):
+        return (qx - px) * (ry - py) - (qy - py) * (rx - px)
+
+    def on(px, py, qx, qy, rx, ry):
+        return min(px, qx) <= rx <= max(px, qx) and min(py, qy) <= ry <= max(py, qy)
+
+    o1, o2, o3, o4 = side(*cd, ax, ay), side(*cd, bx, by), side(*ab, cx, cy), side(*ab, dx, dy)
+    touch = (o1 == 0 and on(*cd, ax, ay)) or (o2 == 0 and on(*cd, bx, by)) or (o3 == 0 and on(*ab, cx, cy)) or (o4 == 0 and on(*ab, dx, dy))
+    return touch or ((o1 > 0) != (o2 > 0) and (o3 > 0) != (o4 > 0))
+
+
+def cells_along(line: tuple, size: int):
+    """Grid cells that a segment of whole numbers touches, column by column from its first end; cells may be named that it only comes near to."""
+    ax, ay, bx, by = line
+    first, last = ax // size, bx // size
+    for gx in range(first, last + 1) if first <= last else range(first, last - 1, -1):
+        if ax == bx:
+            low, high = min(ay, by), max(ay, by)
+        else:
+            # the part of the line above this column, rounded outwards
+            xs = [min(max(x, min(ax, bx)), max(ax, bx)) for x in (gx * size, (gx + 1) * size)]
+            ys = [ay + (by - ay) * (x - ax) / (bx - ax) for x in xs]
+            low, high = min(ys) - 1, max(ys) + 1
+        for gy in range(int(low // size), int(high // size) + 1):
+            yield gx, gy

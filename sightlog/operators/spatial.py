@@ -9,10 +9,12 @@ cell as key, so a point meets only points around it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightlog.functions import geometry as g
+from sightlog.operators.segments import group_starts, in_order
 
 
 def _cell(c: Column, size: int) -> Column:
@@ -104,29 +106,58 @@ def first_in_reach(
     return hit.select(*point, *[F.col("v")[c].alias(c) for c in [order, *payload]])
 
 
-def crossing_layers(routes: DataFrame, walls: DataFrame, keys: list[str], cap: int = 2, size: int = 128) -> DataFrame:
-    """Walls that each route (x, y) -> (px, py) meets, counted up to ``cap``.
+def crossing_layers(routes: DataFrame, walls: DataFrame, keys: list[str], cap: int = 2, size: int = 64) -> DataFrame:
+    """Walls that each route (x, y) -> (px, py) meets, counted up to ``cap``; routes that meet none are left out.
 
-    Routes and walls meet on the grid cells that their bounding boxes share. Equal walls are
-    one row with their number, and no more than ``cap`` of them can matter.
+    Equal walls are one row with their number. A group's walls pass its task before its routes and lie in the grid cells that their line
+    touches; a route is followed cell by cell and ends at the ``cap``-th wall, so no pairs are listed and a crowded frame stops early.
+    The task holds the distinct walls of a group.
     """
-    route = keys + ["x", "y", "px", "py"]
-    c = F.col
-
-    def boxed(df, ax, ay, bx, by):
-        return df.withColumn("_gx", _cells(F.least(ax, bx), F.greatest(ax, bx), size)).withColumn(
-            "_gy", _cells(F.least(ay, by), F.greatest(ay, by), size)
-        )
-
-    wall = ["x1", "y1", "x2", "y2"]
-    w = walls.groupBy(*keys, *wall).agg(F.count(F.lit(1)).alias("copies"))
-    r = boxed(routes.select(*route).distinct(), c("x"), c("y"), c("px"), c("py"))
-    w = boxed(w, c("x1"), c("y1"), c("x2"), c("y2"))
-    met = r.join(w, keys + ["_gx", "_gy"]).filter(
-        g.segments_meet(c("x"), c("y"), c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
-    )
-    # a pair may meet in several cells: count it where the cell is the first it shares
-    first_x = F.greatest(F.floor(F.least("x", "px") / size), F.floor(F.least("x1", "x2") / size))
-    first_y = F.greatest(F.floor(F.least("y", "py") / size), F.floor(F.least("y1", "y2") / size))
-    once = met.filter((c("_gx") == first_x) & (c("_gy") == first_y))
-    return once.groupBy(*route).agg(F.least(F.sum("copies"), F.lit(cap)).cast("int").alias("layers"))
+    ends = ["a", "b", "c", "d"]
+    columns = lambda names: [F.col(n).cast("long").alias(e) for n, e in zip(names, ends, strict=True)]
+    w = walls.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.least(F.count(F.lit(1)), F.lit(cap)).cast("int").alias("copies"))
+    rows = w.select(*keys, F.lit(0).alias("_kind"), *columns(("x1", "y1", "x2", "y2")), "copies").unionByName(
+        routes.select(*keys, "x", "y", "px", "py").distinct().select(*keys, F.lit(1).alias("_kind"), *columns(("x", "y", "px", "py")), F.lit(0).alias("copies"))
+    ).dropna(subset=ends)
+    route = [*keys, "x", "y", "px", "py"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in routes.select(*route).schema.fields), "layers int"])
+    types = {c: _to_arrow(routes.schema[c].dataType) for c in ("x", "y", "px", "py")}
+
+    def run(batches):
+        group, grid = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, group = group_starts(batch, keys, group)
+            at, layers = [], []
+            for i, (new, kind, copies, *line) in enumerate(zip(starts.tolist(), *(batch.column(c).to_pylist() for c in ("_kind", "copies", *ends)), strict=True)):
+                if new:
+                    grid = {}
+                line = tuple(line)
+                if kind == 0:
+                    for cell in g.cells_along(line, size):
+                        grid.setdefault(cell, []).append((line, copies))
+                elif n := _layers(line, grid, cap, size):
+                    at.append(i)
+                    layers.append(n)
+            met = batch.take(pa.array(at, pa.int64()))
+            values = [met.column(e).cast(types[c]) for e, c in zip(ends, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(met.column(k) for k in keys), *values, pa.array(layers, pa.int32())], names=[*route, "layers"])
+
+    return in_order(rows, keys, ["_kind"], run, schema)
+
+
+def _to_arrow(kind) -> pa.DataType:
+    return pa.int64() if kind.simpleString() == "bigint" else pa.int32()
+
+
+def _layers(line: tuple, grid: dict, cap: int, size: int) -> int:
+    n, seen = 0, set()
+    for cell in g.cells_along(line, size) if grid else ():
+        for wall, copies in grid.get(cell, ()):
+            if wall not in seen and g.lines_meet(line, wall):
+                seen.add(wall)
+                n += copies
+                if n >= cap:
+                    return cap
+    return n

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sightlog.functions import geometry as g
 from sightlog.operators import boxes as bx
 from sightlog.operators import spatial as sp
 
@@ -72,6 +73,24 @@ def test_crossing_layers(spark):
     assert capped == {1: 2, 2: 1}
 
 
+def test_lines_meet_as_the_column_expression_says(spark):
+    rnd = random.Random(6)
+    lines = [tuple(rnd.randint(-9, 9) for _ in range(8)) for _ in range(600)]
+    df = spark.createDataFrame(lines, ", ".join(f"v{i} INT" for i in range(8)))
+    for r in df.withColumn("meet", g.segments_meet(*[F.col(f"v{i}") for i in range(8)])).collect():
+        assert g.lines_meet(tuple(r[:4]), tuple(r[4:8])) == r.meet
+
+
+def test_crossings_against_all_pairs(spark):
+    rnd = random.Random(5)
+    line = lambda reach: (lambda x, y: (x, y, x + rnd.randint(-reach, reach), y + rnd.randint(-reach, reach)))(rnd.randint(0, 500), rnd.randint(-50, 400))
+    routes, walls = [(rnd.randint(1, 2), *line(300)) for _ in range(120)], [(rnd.randint(1, 2), *line(80)) for _ in range(150)]
+    walls += walls[:20]
+    got = {tuple(r[:5]): r.layers for r in sp.crossing_layers(spark.createDataFrame(routes, "f INT, x INT, y INT, px INT, py INT"), spark.createDataFrame(walls, "f INT, x1 INT, y1 INT, x2 INT, y2 INT"), ["f"], cap=4).collect()}
+    want = {r: min(4, sum(w[0] == r[0] and g.lines_meet(r[1:], w[1:]) for w in walls)) for r in routes}
+    assert got == {r: n for r, n in want.items() if n} and len(got) > 50
+
+
 def iou(a, b):
     i = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
     u = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - i
