@@ -1,8 +1,8 @@
 """Main text of web pages from parser events, text-to-tag ratios and smoothed thresholds.
 
 The standard-library parser streams events; blocks (lines) collect text and count tags. Regions that never hold
-main text (menus, headers, footers, sidebars, forms, scripts, styles, notices, adverts, comments, named by element or by class, id or
-role) are left out by their markup. Over the other lines the text-to-tag ratio is smoothed with a Gaussian, split by
+main text (menus, headers, footers, sidebars, forms, scripts, styles, notices, adverts, comments, named by element, by role or by a whole
+token of class or id) are left out by their markup. Over the other lines the text-to-tag ratio is smoothed with a Gaussian, split by
 two-means clustering at the midpoint of both centres, and the lines above it select their container: the innermost article, main or
 body around them. A selected article or main is kept whole, so a short paragraph or heading in it is not lost. Without
 one, the region from the first to the last line above the threshold is kept.
@@ -13,8 +13,10 @@ container; truncated markup is plain text as far as the parser sees it; other co
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -31,15 +33,27 @@ INLINE_TAGS = frozenset(
 CONTAINERS = frozenset(("article", "main"))
 SIBLINGS = frozenset("li dt dd tr td th option".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog".split())
-SKIP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe"
-    r"|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebars?|side|aside|header|footer|foot|masthead|toolbar|comments?|disqus|replies|respond|related|share|sharing|social|widgets?|pagination|pager)(?:$|[\s_-])",
-    re.IGNORECASE,
+SKIP_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices "
+    "popup modal newsletter subscribe nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side aside header footer foot masthead toolbar comment comments disqus replies "
+    "respond related share sharing social widget widgets pagination pager".split()
 )
+#: Words beside such a name that leave its meaning: a site-header is one, an entry-header, a share-price or has-sidebar is not.
+NEUTRAL = frozenset("site page main global top bottom left right primary secondary wrapper wrap container box area section block list inner outer bar slot unit links buttons form message overlay list wide".split())
 SPACE = re.compile(r"\s+")
 SIGMA = 1.0
 
 
+@functools.lru_cache(maxsize=4096)
+def names_region(value: str) -> bool:
+    """Whether a class or id names a region without main text: a token all of whose words are such names or neutral."""
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[-_]+", token) if w]
+        if any(w in SKIP_NAMES for w in words) and all(w in SKIP_NAMES or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
 class Blocks(HTMLParser):
     """Events to blocks: (text, number of tags, container number). Text of skipped regions is not collected."""
 
@@ -47,6 +61,10 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, bool, int]] = []  # tag, skipped region, container
+        # places in the stack, so that no event walks it: by tag, of blocks, and of regions that end tags inside do not leave
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks_at: list[int] = []
+        self.edges: list[int] = []
         self.parts: list[str] = []
         self.tags = 0
         self.skipped = 0
@@ -69,7 +87,13 @@ class Blocks(HTMLParser):
         if tag in VOID_TAGS:
             return
         skip = tag in SKIP_TAGS and not (tag == "header" and self.container) or self._named(tag, attrs)
+        at = len(self.stack)
         self.stack.append((tag, skip, self.container))
+        self.places[tag].append(at)
+        if tag not in INLINE_TAGS:
+            self.blocks_at.append(at)
+        if skip or tag in CONTAINERS:
+            self.edges.append(at)
         self.skipped += skip
         if tag in CONTAINERS and not self.skipped:
             self.made += 1
@@ -83,17 +107,20 @@ class Blocks(HTMLParser):
 
     def _end_implied(self, tag):
         """A block ends an open paragraph; an item or cell ends its open sibling."""
-        at = len(self.stack) - 1
-        while at >= 0 and self.stack[at][0] in INLINE_TAGS:
-            at -= 1
-        if at >= 0 and (self.stack[at][0] == "p" or self.stack[at][0] == tag and tag in SIBLINGS):
-            self._pop(at)
+        if self.blocks_at:
+            at = self.blocks_at[-1]
+            if self.stack[at][0] == "p" or self.stack[at][0] == tag and tag in SIBLINGS:
+                self._pop(at)
 
     def _pop(self, at):
-        for _, skip, container in reversed(self.stack[at:]):
+        for tag, skip, container in reversed(self.stack[at:]):
             self.skipped -= skip
             self.container = container
+            self.places[tag].pop()
         del self.stack[at:]
+        for places in (self.blocks_at, self.edges):
+            while places and places[-1] >= at:
+                places.pop()
 
     def _named(self, tag, attrs):
         if tag in ("html", "body", "article", "main"):
@@ -101,21 +128,20 @@ class Blocks(HTMLParser):
         found = dict(attrs)
         if (found.get("role") or "").lower() in SKIP_ROLES or "hidden" in found or (found.get("aria-hidden") or "").lower() == "true":
             return True
-        return any(SKIP_NAMES.search(found.get(k) or "") for k in ("class", "id"))
+        return any(names_region(found.get(k) or "") for k in ("class", "id"))
 
     def handle_endtag(self, tag):
         self.tags += not self.skipped
         if tag not in INLINE_TAGS:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                break
-            # an end tag inside a region ends nothing outside of it
-            if (self.stack[at][1] or self.stack[at][0] in CONTAINERS) and tag not in ("body", "html") and tag not in CONTAINERS and tag not in SKIP_TAGS:
-                return
-        else:
+        places = self.places.get(tag)
+        if not places:
+            return
+        # an end tag inside a region ends nothing outside of it
+        leaves = tag in ("body", "html") or tag in CONTAINERS or tag in SKIP_TAGS
+        if self.edges and self.edges[-1] > places[-1] and not leaves:
             return
-        self._pop(at)
+        self._pop(places[-1])
 
     def handle_data(self, data):
         if not self.skipped:

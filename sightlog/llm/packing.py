@@ -14,6 +14,7 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from bisect import bisect_left
 
@@ -35,30 +36,33 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def encoder(path: str = TOKENIZER):
     """The ids of the tokenizer file, by the faster of two libraries where both give the same.
 
-    A byte-level file with the public pattern is a plain table of ranks; any other file is encoded by ``tokenizers``.
+    A byte-level file with the public pattern is a plain table of ranks; any other file, and any text with an added token of the
+    file, is encoded by ``tokenizers`` with its defaults.
     """
     import json
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kind = spec["pre_tokenizer"] or {}
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(path)
+    whole = lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     plain = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not spec["normalizer"]
     if not plain or spec["model"]["type"] != "BPE" or spec["model"].get("ignore_merges"):
-        import tokenizers
-
-        tok = tokenizers.Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        return lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return whole
     import tiktoken
 
     # the printable stand-ins of bytes in such files: printable Latin-1 stands for itself, the others follow from 256 on
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
     back = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+    # a text that holds an added token is cut there first, as the library does
     special = {t["content"] for t in spec["added_tokens"]}
+    held = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)")
     ranks = {bytes(back[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
     enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(enc.encode_ordinary(text), dtype=np.uint32)
+    return lambda text: whole(text) if held.search(text) else np.asarray(enc.encode_ordinary(text), dtype=np.uint32)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:

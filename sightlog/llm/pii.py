@@ -38,21 +38,64 @@ BLOCK = 256
 ACCEPT, CONFIDENT, Z = 0.8, 0.6, 1.96
 
 
-def prefix_sums(values: Column) -> Column:
-    """Sums of all entries before each entry, in blocks, so that long arrays are not copied again for each entry."""
+def prefix_sums(values: Column, op=lambda a, b: a + b, zero: int = 0) -> Column:
+    """``op`` over all entries before each entry, in blocks, so that long arrays are not copied again for each entry."""
 
     def running(part: Column, start: Column) -> Column:
         done = F.aggregate(
             part, F.struct(start.alias("at"), F.array().cast("array<long>").alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         )
         return done["out"]
 
-    zero = F.lit(0).cast("long")
-    blocks = F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")))
-    parts = F.transform(blocks, lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda acc, x: acc + x))
-    return F.flatten(F.zip_with(parts, running(sums, zero), running))
+    first = F.lit(zero).cast("long")
+
+    def in_blocks(all_values: Column) -> Column:
+        blocks = F.when(F.size(all_values) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.size(all_values) - 1) / BLOCK).cast("int")))
+        parts = F.transform(blocks, lambda b: F.slice(all_values, b * BLOCK + 1, F.lit(BLOCK)))
+        return once(parts, lambda p: F.flatten(F.zip_with(p, running(F.transform(p, lambda q: F.aggregate(q, first, op)), first), running)))
+
+    return once(values, in_blocks)
+
+
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without_repeats(entries: Column) -> Column:
+    """Distinct entries, in order."""
+    return once(F.array_sort(entries), lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))
+
+
+def clear_of(entries: Column, taken: Column) -> Column:
+    """Entries (a, b, ...) that overlap none of ``taken`` (a, b, ...): one pass over both in order of place.
+
+    An entry is overlapped if the furthest end of those that start before its own end lies beyond its start.
+    """
+    event = lambda at, last, end, m: F.struct(at.cast("long").alias("at"), F.lit(last).alias("last"), end.cast("long").alias("end"), m.alias("m"))
+    mine = F.transform(entries, lambda m: event(m["b"], 0, F.lit(-1), m))
+    others = F.transform(taken, lambda m: event(m["a"], 1, m["b"], F.get(F.slice(entries, 1, 0), F.lit(0))))
+
+    def passed(events: Column) -> Column:
+        ends = prefix_sums(F.transform(events, lambda e: e["end"]), lambda a, b: F.greatest(a, b), -1)
+        both = F.filter(F.arrays_zip(events.alias("e"), ends.alias("far")), lambda z: (z["e"]["last"] == 0) & (z["far"] <= z["e"]["m"]["a"]))
+        return F.transform(both, lambda z: z["e"]["m"])
+
+    return once(F.array_sort(F.concat(mine, others)), passed)
+
+
+def outermost(spans: Column) -> Column:
+    """Spans (a, k, b) that lie in no longer one: in order of (a, -b) the longest so far is known by its end, then its start."""
+    key = lambda m: m["b"] * (1 << 31) - m["a"]
+    placed = F.transform(spans, lambda m: F.struct(m["a"].alias("a"), (-m["b"]).alias("_b"), m["k"].alias("k"), m["b"].alias("b")))
+
+    def kept(ordered: Column) -> Column:
+        longest = prefix_sums(F.transform(ordered, key), lambda a, b: F.greatest(a, b), -(1 << 62))
+        free = F.filter(F.arrays_zip(ordered.alias("m"), longest.alias("far")), lambda z: z["far"] <= key(z["m"]))
+        return F.transform(free, lambda z: F.struct(z["m"]["a"].alias("a"), z["m"]["k"].alias("k"), z["m"]["b"].alias("b")))
+
+    return once(F.array_sort(placed), kept)
 
 
 def with_matches(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
@@ -130,9 +173,9 @@ def found_rows(documents: DataFrame) -> DataFrame:
         return F.transform(kind, lambda m: F.struct(m["a"].alias("a"), F.lit(at).alias("k"), m["b"].alias("b"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after")))
 
     base = F.array_sort(F.concat(*map(tagged, KINDS)))
-    bare = F.array_distinct(F.concat(*(F.transform(name, trimmed) for name in ("word", "numbers", "spaced"))))
+    bare = without_repeats(F.concat(*(F.transform(name, trimmed) for name in ("word", "numbers", "spaced"))))
     like = F.filter(bare, lambda m: (F.length(digits_of(m["value"])) >= 4) | (m["value"].contains("@") & (F.length(m["value"]) > 4)))
-    free = F.filter("like", lambda c: ~F.exists("base", lambda m: (m["a"] < c["b"]) & (m["b"] > c["a"])))
+    free = clear_of(F.col("like"), F.col("base"))
     listed = found.select("uid", "doc_id", base.alias("base"), like.alias("like"))
     return listed.select("uid", "doc_id", "base", F.when(F.size("like") > 0, free).otherwise(F.col("like")).alias("free"))
 
@@ -221,8 +264,7 @@ def find(documents: DataFrame, **options) -> DataFrame:
     free = found.select("uid", F.explode("free").alias("m")).select("uid", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.lower("m.value").alias("value"))
     added = free.join(accepted, "value").groupBy("uid").agg(F.collect_list(F.struct("a", F.col("kind").alias("k"), "b")).alias("added"))
     # of several spellings at one place the longest counts
-    inside = lambda m, o: (o["a"] <= m["a"]) & (o["b"] >= m["b"]) & (o["b"] - o["a"] > m["b"] - m["a"])
-    added = added.withColumn("added", F.filter("added", lambda m: ~F.exists("added", lambda o: inside(m, o))))
+    added = added.withColumn("added", outermost(F.col("added")))
     base = F.transform("base", lambda m: F.struct(m["a"].alias("a"), m["k"].alias("k"), m["b"].alias("b")))
     none = F.array().cast("array<struct<a:bigint,k:int,b:bigint>>")
     out = found.select("uid", "doc_id", base.alias("base")).join(added, "uid", "left")

@@ -321,9 +321,10 @@ def test_packing_plan_is_no_worse_than_first_fit():
 def test_packing_ids_are_those_of_the_tokenizer_file():
     import tokenizers
 
+    # the library as it comes: added tokens of the file are matched in the text
     tok = tokenizers.Tokenizer.from_file(packing.TOKENIZER)
-    tok.encode_special_tokens = True
-    for text in ("", "Hello  world\n\n é 日本 's x", " <|endoftext|> \t  9a", "it's\r\n  \x1c"):
+    assert packing.encoder()("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    for text in ("", "Hello  world\n\n é 日本 's x", " <|endoftext|> \t  9a", "it's\r\n  \x1c", "<|endoftext|><|endoftext|>", "<|endoftext", "x<|endoftext|>"):
         assert packing.encoder()(text).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
