@@ -44,19 +44,61 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def address(url: Column) -> Column:
-    """What names a document whatever the scheme and the fragment: host, path and query; null without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    """What names a document whatever the scheme and the fragment: host, path without dot segments, and query; null without ``://``."""
+    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    search = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(host_of(url), F.when((path == "") & (search == ""), "/").otherwise(without_dots(path)), search))
+
+
+#: Characters of an address whose references are decoded; the ampersand comes last, so nothing is decoded twice.
+REFERENCES = {**{c: "" for c in "/:=?#%+.-_~,;@!$()*[]"}, '"': "quot", "'": "apos", "<": "lt", ">": "gt", "&": "amp"}
+
+
+def decoded(text: Column) -> Column:
+    """An attribute's value with its character references decoded, as far as an address may hold them."""
+    for char, pattern in reference_patterns():
+        text = F.regexp_replace(text, F.lit(pattern), F.lit("\\$" if char == "$" else char))
+    return text
+
+
+def reference_patterns() -> list[tuple[str, str]]:
+    return [(c, f"(?i)&(?:#0*{ord(c)}|#x0*{ord(c):x}{'|' + name if name else ''});") for c, name in REFERENCES.items()]
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    joined = F.concat(F.array_join(kept, "/"), F.when(last | (F.size(kept) == 1), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), joined).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The URL that a target names on the page ``url``, dot segments and all; null for other schemes."""
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(root, F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/"))
+    page = F.concat(root, F.when(path == "", "/").otherwise(path))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(page, target))
+        .when(target.startswith("#") | (target == ""), url)
+        .otherwise(F.concat(folder, target))
+    )
 
 
 def linked_addresses(html: Column, url: Column) -> Column:
-    """Addresses that a page names as its canonical address or redirects to; relative ones resolve against its host."""
+    """Addresses that a page names as its canonical address or redirects to; relative ones resolve against the page."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tags = F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"))
     found = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*[\"']?)([^\"'\s>]+)", 1))
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.transform(found, lambda t: F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(root, t)))
-    return F.filter(F.transform(full, address), lambda t: t.isNotNull())
+    full = F.transform(F.filter(found, lambda t: t != ""), lambda t: address(resolved(decoded(t), url)))
+    return F.filter(full, lambda t: t.isNotNull())
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -99,9 +141,25 @@ def _case(host: str, path: str, what: int) -> str:
 
 
 def _address(url: str) -> str:
-    rest = rf"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    path = rf"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    search = rf"regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1)"
     host = rf"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
-    return f"CASE WHEN contains({url}, '://') THEN {host} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+    return f"CASE WHEN contains({url}, '://') THEN {host} || CASE WHEN {path} = '' AND {search} = '' THEN '/' ELSE {_without_dots(path)} END || {search} END"
+
+
+def _decoded(text: str) -> str:
+    quoted = lambda v: v.replace("'", "''")
+    for char, pattern in reference_patterns():
+        text = f"regexp_replace({text}, '{pattern}', '{quoted(char)}', 'g')"
+    return text
+
+
+def _without_dots(path: str) -> str:
+    """Single dots first, then a segment with the ``..`` after it, from the left, as often as a path of the given pages may need; dots above the root are dropped."""
+    out = f"regexp_replace(regexp_replace({path}, '/(\\./)+', '/', 'g'), '/\\.$', '/')"
+    for _ in range(8):
+        out = f"regexp_replace(regexp_replace({out}, '^(/\\.\\.)+(/|$)', '/'), '/[^/]+/\\.\\.(/|$)', '/')"
+    return f"regexp_replace({out}, '^(/\\.\\.)+(/|$)', '/')"
 
 
 SQL = rf"""
@@ -115,9 +173,14 @@ WITH RECURSIVE seen AS (
 ), targets AS (
   SELECT address, url, regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*["'']?)([^"''\s>]+)', 1) AS t FROM tags
   WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b')
+), named AS (
+  SELECT address, url, {_decoded("t")} AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM targets WHERE t <> ''
+), whole AS (
+  SELECT address, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '/') THEN root || t WHEN starts_with(t, '?') THEN root || CASE WHEN path = '' THEN '/' ELSE path END || t WHEN starts_with(t, '#') OR t = '' THEN url
+    ELSE root || CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || t END AS f FROM named
 ), absolute AS (
-  SELECT address AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS u FROM targets
+  SELECT address AS a, f AS u FROM whole
 ), links AS (
   SELECT a, {_address("u")} AS b FROM absolute WHERE a IS NOT NULL AND contains(u, '://')
 ), ways AS (
