@@ -88,28 +88,68 @@ def gate(findings: DataFrame, config: dict) -> DataFrame:
     )
 
 
-def report_lines(findings: DataFrame, config: dict, form: str = "console") -> DataFrame:
-    """The report as ordered lines (part, path, line, col, rule_id, text), to be written in that order;
-    head lines come from the small count table, findings stay distributed."""
-    md = form == "markdown"
-    # findings feed the head, the verdict and the body: the scan itself should run once
-    findings = materialise(findings)
-    counts = severity_counts(findings)
-    verdict = gate(findings, config).agg(F.bool_or(F.col("over_limit") | F.col("at_threshold")).alias("failed"))
-    text = F.concat_ws(" | ", "severity", "n") if md else F.concat(F.lit("  "), "severity", F.lit(": "), "n")
-    blank = {"path": F.lit(""), "line": F.lit(0), "col": F.lit(0), "rule_id": F.lit("")}
-    head = counts.select(F.lit(0).alias("part"), (5 - F.col("rank")).alias("pos"), text.alias("text"))
-    state = verdict.select(F.lit(1).alias("part"), F.lit(0).alias("pos"), F.when(F.col("failed"), "AUDIT FAILED").otherwise("AUDIT PASSED").alias("text"))
+def finding_records(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with language, title, description, the line they stand on and advice.
+
+    A C line is shown without its comment. Findings meet their file by its path; which side moves is left to the optimiser.
+    """
+    c = F.col
+    texts = {rule: i for i, rule in enumerate(vocab.AUDIT_TEXTS)}
+    rule = F.when(c("rule_id").startswith("c-unsafe-api-"), F.lit("c-unsafe-api")).otherwise(c("rule_id"))
+    told = lambda i: vocab.lookup(rule, {r: vocab.AUDIT_TEXTS[r][i] for r in texts}, "")
+    name = F.when(c("rule_id").startswith("c-unsafe-api-"), F.concat(F.lit(": "), F.substring_index("rule_id", "-", -1))).otherwise("")
+    raw = F.get(F.split("content", LINE_END), c("line") - 1)
+    shown = F.when(c("language") == "c/c++", F.regexp_replace(raw, "//.*", "")).otherwise(raw)
+    known = files.select("path", "language", "content")
+    return findings.join(known, "path", "left").select(
+        *FINDING, F.when(c("content").isNull(), "unknown").otherwise(c("language")).alias("language"), F.concat(told(0), name).alias("title"), told(1).alias("description"),
+        F.when(c("line") > 0, F.coalesce(tx.strip(shown), F.lit(""))).otherwise("").alias("snippet"), told(2).alias("fix_suggestion"),
+    )
+
+
+def report_lines(records: DataFrame, files: DataFrame, config: dict, form: str = "console") -> DataFrame:
+    """The report as ordered lines (part, pos, path, line, col, rule_id, text), to be written in that order: totals, counts, verdict with the
+    limits that are exceeded, findings. Forms: console, markdown, json (one object per line). Head lines come from the small count
+    table, findings stay distributed. How long the scan took is no part of it."""
+    # records feed the head, the verdict and the body: the scan itself should run once
+    records = materialise(records)
+    verdicts = materialise(gate(records, config))
+    c, lit = F.col, F.lit
+    rank = vocab.lookup(c("severity"), {s: 4 - i for i, s in enumerate(vocab.SEVERITIES)})
+    blank = {"path": lit(""), "line": lit(0), "col": lit(0), "rule_id": lit("")}
+    at = lambda part, pos, text: (lit(part).alias("part"), (lit(pos) if isinstance(pos, int) else pos).alias("pos"), text.alias("text"))
+    totals = files.agg(F.count(lit(1)).alias("scanned")).join(verdicts.agg(F.sum("n").alias("total")), how="cross")
+    failed = verdicts.agg(F.bool_or(c("over_limit") | c("at_threshold")).alias("failed"))
+    over = verdicts.filter("over_limit")
+    exceeded = F.concat(c("severity"), lit(" findings "), c("n"), lit(" > max "), c("limit"))
     where = F.concat_ws(":", "path", "line", "col")
     if form == "json":
-        body = F.to_json(F.struct("rule_id", "severity", "path", "line", "col"))
-    elif md:
-        body = F.concat(F.lit("### "), "rule_id", F.lit(" — "), "severity", F.lit("\n- **Location:** "), where)
+        head = [
+            totals.select(*at(0, 0, F.to_json(F.struct(c("scanned").alias("files_scanned"), c("total").alias("total_findings"))))),
+            verdicts.select(*at(0, 1 + rank, F.to_json(F.struct("severity", "n")))),
+            failed.select(*at(1, 0, F.to_json(F.struct("failed")))), over.select(*at(1, 1 + rank, F.to_json(F.struct(exceeded.alias("violation"))))),
+        ]
+        location = F.struct(c("path").alias("file"), "line", c("col").alias("column")).alias("location")
+        body = F.to_json(F.struct("rule_id", "severity", "title", "description", location, "language", "snippet", "fix_suggestion"))
+    elif form == "markdown":
+        head = [
+            totals.select(*at(0, 0, F.concat(lit("# Code Audit Report\n\n- **Files scanned:** "), "scanned", lit("\n- **Total findings:** "), "total", lit("\n\n## Severity Counts\n\n| Severity | Count |\n|----------|-------|")))),
+            verdicts.select(*at(0, 1 + rank, F.concat(lit("| "), "severity", lit(" | "), "n", lit(" |")))),
+            failed.select(*at(1, 0, F.concat(lit("\n## Threshold Check\n\n"), F.when(c("failed"), "**FAILED** — audit thresholds exceeded.").otherwise("**PASSED** — no threshold violations.")))),
+            over.select(*at(1, 1 + rank, F.concat(lit("- "), exceeded))),
+            totals.select(*at(1, 9, F.concat(lit("\n## Findings\n"), F.when(c("total") == 0, "\nNo findings.").otherwise("")))),
+        ]
+        entry = [("Location", where), ("Title", c("title")), ("Description", c("description")), ("Snippet", F.concat(lit("`"), "snippet", lit("`"))), ("Fix suggestion", c("fix_suggestion"))]
+        body = F.concat(lit("### "), "rule_id", lit(" — "), "severity", lit("\n\n"), F.concat_ws("\n", *[F.concat(lit(f"- **{k}:** "), v) for k, v in entry]), lit("\n"))
     else:
-        body = F.concat(F.lit("["), "severity", F.lit("] "), "rule_id", F.lit(" at "), where)
-    rows = findings.select(F.lit(2).alias("part"), F.lit(0).alias("pos"), body.alias("text"), "path", "line", "col", "rule_id")
-    top = head.unionByName(state).withColumns(blank)
-    return top.unionByName(rows)
+        head = [
+            totals.select(*at(0, 0, F.concat(lit("Files scanned: "), "scanned", lit(" | Findings: "), "total"))),
+            verdicts.select(*at(0, 1 + rank, F.concat(lit("  "), "severity", lit(": "), "n"))),
+            failed.select(*at(1, 0, F.when(c("failed"), "AUDIT FAILED").otherwise("AUDIT PASSED"))), over.select(*at(1, 1 + rank, F.concat(lit("  - "), exceeded))),
+        ]
+        body = F.concat(lit("["), "severity", lit("] "), "rule_id", lit(" at "), where, lit(": "), "title")
+    rows = records.select(lit(2).alias("part"), lit(0).alias("pos"), body.alias("text"), "path", "line", "col", "rule_id")
+    return reduce(DataFrame.unionByName, [h.withColumns(blank) for h in head]).unionByName(rows)
 
 
 # --- lines -----------------------------------------------------------------------------------------

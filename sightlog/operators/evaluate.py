@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightlog import vocab
 from sightlog.functions import geometry as g
 from sightlog.functions import text as tx
+from sightlog.operators.segments import ordered
 
 SIGNALS = {"attack": "进攻按钮", "return": "返回按钮", "search": "搜索对手按钮", "next": "下一个按钮", "end": "结束战斗按钮"}
 MIN_CONF = 0.25
@@ -178,10 +179,41 @@ def spoken_resources(frames: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def frame_signals(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+def known_resources(status: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(frame_id, resources): the amounts read from the bar if any number was, else those named in texts if any is positive, else NULL."""
+    names = ["gold", "elixir", "dark_elixir"]
+    c = F.col
+    both = status.select("frame_id", "detected", *names).join(spoken.select("frame_id", *[c(n).alias(f"said_{n}") for n in names]), "frame_id", "left")
+    amounts = lambda pre: F.struct(*[c(pre + n).cast("bigint").alias(n) for n in names])
+    said = F.greatest(*[F.coalesce(f"said_{n}", F.lit(0)) for n in names]) > 0
+    return both.select("frame_id", F.when(c("detected") > 0, amounts("")).when(said, amounts("said_")).alias("resources"))
+
+
+def signal_points(boxes: DataFrame, segments: int | None = None) -> DataFrame:
+    """The point lists of each tick as rows (frame_id, kind, place, name, resource, x, y): all targets by vocabulary and detection order, all
+    collectible icons and all request entries in detection order; ``place`` numbers a list from 1.
+
+    ``boxes`` is (frame_id, det_no, type, x1, y1, x2, y2). Lists are rows, so a crowded frame is no long array; boxes at an unknown place do not count.
+    """
+    c = F.col
+    icons = {icon: resource for resource, icon in vocab.COLLECT_ICONS.items()}
+    kind = F.when(c("type").isin(list(vocab.BUILDING_RESOURCE)), "target").when(c("type").isin(list(icons)), "icon").when(c("type") == "请求条目", "request")
+    rows = boxes.select(
+        "frame_id", "det_no", c("type").alias("name"), kind.alias("kind"), g.centre(c("x1"), c("x2")).alias("x"), g.centre(c("y1"), c("y2")).alias("y"),
+        F.coalesce(vocab.lookup(c("type"), {n: i for i, n in enumerate(vocab.BUILDING_RESOURCE)}), F.lit(0)).alias("_p"),
+        vocab.lookup(c("type"), {**vocab.BUILDING_RESOURCE, **icons}).alias("resource"),
+    ).filter("kind IS NOT NULL AND x > 0 AND y > 0")
+    o = ordered(rows, ["frame_id", "kind"], ["_p", "det_no"], segments).row_number("place")
+    return o.result().select("frame_id", "kind", "place", "name", "resource", "x", "y")
+
+
+def frame_signals(frames: DataFrame, boxes: DataFrame, resources: DataFrame | None = None) -> DataFrame:
     """One row per tick: first box per button in detection order, first target in vocabulary order
-    and counts; boxes at an unknown place (x or y not positive) do not count."""
+    and counts; boxes at an unknown place (x or y not positive) do not count. ``resources`` as ``known_resources`` gives them;
+    the whole point lists are ``signal_points``."""
     c = F.col
+    if resources is not None:
+        frames = frames.select("frame_id").join(resources, "frame_id", "left")
     known = boxes.select(
         "frame_id", "det_no", "class_id",
         g.centre(c("x1"), c("x2")).alias("x"), g.centre(c("y1"), c("y2")).alias("y"),
@@ -201,7 +233,8 @@ def frame_signals(frames: DataFrame, boxes: DataFrame) -> DataFrame:
         F.count_if(place.isNotNull()).alias("n_targets"),
         F.count_if(c("class_id") == ids["request"]).alias("n_requests"),
     )
-    return frames.select("frame_id").join(wide, "frame_id", "left").withColumns({
+    kept = ["frame_id"] if resources is None else ["frame_id", "resources"]
+    return frames.select(*kept).join(wide, "frame_id", "left").withColumns({
         "n_targets": F.coalesce("n_targets", F.lit(0)),
         "more_requests": F.when(c("n_requests") > 0, c("n_requests") > 1),
     })

@@ -153,14 +153,53 @@ def audit_gate(spark, sf):
     return au.gate(all_findings(spark, sf), config)
 
 
+def corpus(spark, sf):
+    return c_files(spark, sf).unionByName(python_files(spark, sf))
+
+
+def records(spark, sf):
+    return au.finding_records(all_findings(spark, sf), corpus(spark, sf))
+
+
+TITLES = ", ".join(f"""('{r}', '{t}', '{d.replace("'", "''")}', '{x}')""" for r, (t, d, x) in vocab.AUDIT_TEXTS.items())
+CODE = f"code AS (SELECT {C_PATH} AS path, 'c/c++' AS language, {C_TEXT} AS content FROM orders UNION ALL SELECT {PY_PATH}, 'python', {PY_TEXT} FROM customer)"
+RECORDS = f"""{FOUND}, {CODE}, tt AS (SELECT * FROM (VALUES {TITLES}) v(rule, title, description, fix)),
+rec AS (SELECT f.path, f.rule_id, f.severity, f.line, f.col, CASE WHEN content IS NULL THEN 'unknown' ELSE language END AS language,
+  title || CASE WHEN starts_with(rule_id, 'c-unsafe-api-') THEN ': ' || replace(rule_id, 'c-unsafe-api-', '') ELSE '' END AS title, description,
+  CASE WHEN line > 0 THEN coalesce(trim(CASE WHEN language = 'c/c++' THEN regexp_replace(string_split(content, chr(10))[line], '//.*', '') ELSE string_split(content, chr(10))[line] END), '') ELSE '' END AS snippet, fix AS fix_suggestion
+  FROM found f JOIN code USING (path) JOIN tt ON tt.rule = CASE WHEN starts_with(rule_id, 'c-unsafe-api-') THEN 'c-unsafe-api' ELSE rule_id END)"""
+
+
+@query("sk6_finding_records", f"WITH {RECORDS} SELECT * FROM rec")
+def finding_records(spark, sf):
+    return records(spark, sf)
+
+
+REPORT = f"""{RECORDS}, {SEV}, n AS (SELECT s.severity, rank, count(f.path) AS n FROM sev s LEFT JOIN found f USING (severity) GROUP BY ALL),
+lim AS (SELECT severity, n, rank FROM n WHERE severity IN ('CRITICAL', 'HIGH') AND n > 0)"""
+
+
 @query(
     "sk6_report_lines",
-    f"""WITH {FOUND}, {SEV}, n AS (SELECT s.severity, rank, count(f.path) AS n FROM sev s LEFT JOIN found f USING (severity) GROUP BY ALL)
-SELECT 0 AS part, 5 - rank AS pos, concat('  ', severity, ': ', n) AS text, '' AS path, 0 AS line, 0 AS col, '' AS rule_id FROM n
-UNION ALL SELECT 1, 0, 'AUDIT FAILED', '', 0, 0, '' UNION ALL SELECT 2, 0, concat('[', severity, '] ', rule_id, ' at ', path, ':', line, ':', col), path, line, col, rule_id FROM found""",
+    f"""WITH {REPORT}
+SELECT 0 AS part, 0 AS pos, concat('Files scanned: ', (SELECT count(*) FROM code), ' | Findings: ', (SELECT count(*) FROM found)) AS text, '' AS path, 0 AS line, 0 AS col, '' AS rule_id
+UNION ALL SELECT 0, 5 - rank, concat('  ', severity, ': ', n), '', 0, 0, '' FROM n
+UNION ALL SELECT 1, 0, 'AUDIT FAILED', '', 0, 0, '' UNION ALL SELECT 1, 5 - rank, concat('  - ', severity, ' findings ', n, ' > max 0'), '', 0, 0, '' FROM lim
+UNION ALL SELECT 2, 0, concat('[', severity, '] ', rule_id, ' at ', path, ':', line, ':', col, ': ', title), path, line, col, rule_id FROM rec""",
 )
 def report_lines(spark, sf):
-    return au.report_lines(all_findings(spark, sf), au.gate_config())
+    return au.report_lines(records(spark, sf), corpus(spark, sf), au.gate_config())
+
+
+@query(
+    "sk6_report_json",
+    f"""WITH {REPORT}
+SELECT 2 AS part, path, line, col, rule_id, to_json({{'rule_id': rule_id, 'severity': severity, 'title': title, 'description': description, 'location': {{'file': path, 'line': line, 'column': col}}, 'language': language, 'snippet': snippet, 'fix_suggestion': fix_suggestion}})::VARCHAR AS text FROM rec
+UNION ALL SELECT 0, '', 0, 0, '', to_json({{'severity': severity, 'n': n}})::VARCHAR FROM n UNION ALL SELECT 0, '', 0, 0, '', to_json({{'files_scanned': (SELECT count(*) FROM code), 'total_findings': (SELECT count(*) FROM found)}})::VARCHAR
+UNION ALL SELECT 1, '', 0, 0, '', '{{"failed":true}}' UNION ALL SELECT 1, '', 0, 0, '', to_json({{'violation': concat(severity, ' findings ', n, ' > max 0')}})::VARCHAR FROM lim""",
+)
+def report_json(spark, sf):
+    return au.report_lines(records(spark, sf), corpus(spark, sf), au.gate_config(), "json").drop("pos")
 
 
 LISTING = """CASE p_partkey % 9 WHEN 0 THEN concat('src/', p_name, '.py') WHEN 1 THEN concat('build/', p_partkey, '.py') WHEN 2 THEN concat('lib/venv/x', p_partkey, '.c')

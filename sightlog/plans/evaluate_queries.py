@@ -10,6 +10,7 @@ from sightlog.operators import labels as lb
 from sightlog.operators import routing as rt
 from sightlog.plans.boxes_queries import BASE_RULES, H, W
 from sightlog.plans.registry import query
+from sightlog.plans.views import case
 from sightlog.sources import tables as src
 
 SIG = list(ev.SIGNALS)
@@ -246,24 +247,53 @@ ORDER = "CASE class_id " + " ".join(
 ) + " END"
 
 
+SPOKEN = """t AS (SELECT frame_id, det_no, regexp_extract(replace(replace(text, ',', ''), ' ', ''), '([0-9]+)', 1) AS d,
+  CASE WHEN contains(lower(text), 'gold') OR contains(text, '金币') THEN 'gold' WHEN contains(lower(text), 'elixir') OR contains(text, '圣水') THEN 'elixir'
+    WHEN contains(lower(text), 'dark') OR contains(text, '黑油') THEN 'dark' END AS k FROM ocr),
+h AS (SELECT frame_id, det_no, TRY_CAST(d AS BIGINT) AS v, k FROM t WHERE k IS NOT NULL AND d <> ''),
+sp AS (SELECT f.frame_id, coalesce(arg_max(v, det_no) FILTER (k = 'gold'), 0) AS said_gold, coalesce(arg_max(v, det_no) FILTER (k = 'elixir'), 0) AS said_elixir,
+  coalesce(arg_max(v, det_no) FILTER (k = 'dark'), 0) AS said_dark FROM frames f LEFT JOIN h USING (frame_id) GROUP BY f.frame_id)"""
+
+
 @query(
     "pr23_frame_signals",
-    f"""WITH k AS (SELECT frame_id, det_no, class_id, (x1+x2)//2 AS x, (y1+y2)//2 AS y, {ORDER} AS p FROM det)
-SELECT f.frame_id, arg_min(x, det_no) FILTER (class_id = 6) AS attack_x, arg_min(y, det_no) FILTER (class_id = 10) AS end_y,
+    f"""{STATUS}, {SPOKEN}, k AS (SELECT frame_id, det_no, class_id, (x1+x2)//2 AS x, (y1+y2)//2 AS y, {ORDER} AS p FROM det),
+s AS (SELECT f.frame_id, arg_min(x, det_no) FILTER (class_id = 6) AS attack_x, arg_min(y, det_no) FILTER (class_id = 10) AS end_y,
   arg_min(x, det_no) FILTER (class_id = 12) AS list_x, arg_min(x, det_no) FILTER (class_id = 16) AS troops_x,
   arg_min(class_id, (p, det_no)) FILTER (p IS NOT NULL) AS target_class, arg_min(x, (p, det_no)) FILTER (p IS NOT NULL) AS target_x,
   CAST(count(p) AS BIGINT) AS n_targets, CASE WHEN count(*) FILTER (class_id = 13) > 0 THEN count(*) FILTER (class_id = 13) > 1 END AS more_requests
-FROM frames f LEFT JOIN k ON f.frame_id = k.frame_id AND x > 0 AND y > 0 GROUP BY f.frame_id""",
-    "det frames",
+FROM frames f LEFT JOIN k ON f.frame_id = k.frame_id AND x > 0 AND y > 0 GROUP BY f.frame_id),
+kr AS (SELECT frame_id, CASE WHEN detected > 0 THEN [gold, elixir, dark_elixir] WHEN greatest(said_gold, said_elixir, said_dark) > 0 THEN [said_gold, said_elixir, said_dark] END AS a FROM st JOIN sp USING (frame_id))
+SELECT s.*, CAST(a[1] AS BIGINT) AS gold, CAST(a[2] AS BIGINT) AS elixir, CAST(a[3] AS BIGINT) AS dark_elixir FROM s JOIN kr USING (frame_id)""",
+    "det ocr frames",
 )
 def frame_signals(spark, sf):
-    s = ev.frame_signals(src.frames(spark, sf), src.detections(spark, sf))
+    frames = src.frames(spark, sf)
+    status = ev.resource_status(frames, ev.top_bar(bar_texts(spark, sf), H), STORE)
+    resources = ev.known_resources(status, ev.spoken_resources(frames, src.ocr_results(spark, sf)))
+    s = ev.frame_signals(frames, src.detections(spark, sf), resources)
     return s.selectExpr(
         "frame_id", "attack.x AS attack_x", "end.y AS end_y", "list.x AS list_x", "troops.x AS troops_x",
-        "target.class_id AS target_class", "target.x AS target_x", "n_targets", "more_requests",
+        "target.class_id AS target_class", "target.x AS target_x", "n_targets", "more_requests", "resources.gold AS gold", "resources.elixir AS elixir", "resources.dark_elixir AS dark_elixir",
     )
 
 
+ICON = "CASE WHEN class_id = 7 THEN CASE det_no % 4 WHEN 0 THEN '金币采集图标' WHEN 1 THEN '圣水采集图标' WHEN 2 THEN '黑油采集图标' ELSE type END ELSE type END"
+BUILDINGS = case("type", {n: i for i, n in enumerate(vocab.BUILDING_RESOURCE)})
+POINT_RESOURCE = case("type", {**vocab.BUILDING_RESOURCE, **{i: r for r, i in vocab.COLLECT_ICONS.items()}})
+
+
+@query(
+    "pr23_signal_points",
+    f"""WITH n AS (SELECT frame_id, det_no, {ICON} AS type, (x1+x2)//2 AS x, (y1+y2)//2 AS y FROM named),
+k AS (SELECT *, CASE WHEN {BUILDINGS} IS NOT NULL THEN 'target' WHEN ends_with(type, '采集图标') THEN 'icon' WHEN type = '请求条目' THEN 'request' END AS kind, coalesce({BUILDINGS}, 0) AS p FROM n)
+SELECT frame_id, kind, CAST(row_number() OVER (PARTITION BY frame_id, kind ORDER BY p, det_no) AS BIGINT) AS place, type AS name, {POINT_RESOURCE} AS resource, x, y FROM k WHERE kind IS NOT NULL AND x > 0 AND y > 0""",
+    "named",
+)
+def signal_points(spark, sf):
+    return ev.signal_points(src.named_detections(spark, sf).withColumn("type", F.expr(ICON)))
+
+
 @query(
     "pr20_state_detections",
     """SELECT frame_id, det_no, type, (x1+x2)//2 AS x, (y1+y2)//2 AS y, confidence FROM (SELECT frame_id, det_no, type, confidence, y1, y2,
