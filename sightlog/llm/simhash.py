@@ -35,22 +35,37 @@ HOT = 16_384
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     """Majority bits of the XXH64 of all word shingles, as a signed 64-bit integer."""
+    return _majority(text, words, seed, 1)[0]
+
+
+def _majority(text: str, words: int, seed: int, n_words: int) -> list[int]:
+    """The fingerprint, and further words of 64 bits from other mixtures of the same shingle hashes."""
     from xxhash import xxh64_intdigest
 
     tokens = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return [0] * n_words
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(tokens) - words + 1, 1)
     cut = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
     h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in cut], dtype=np.uint64)
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65_536):
-        part = h[at : at + 65_536]
-        total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+    out = []
+    for no in range(n_words):
+        total = np.zeros(64, dtype=np.int64)
+        for at in range(0, n, 65_536):
+            part = _mixed(h[at : at + 65_536]) if no else h[at : at + 65_536]
+            total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Other bits of the same hashes: a multiplication by odd constants with shifts between."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -62,18 +77,23 @@ def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = SEED) ->
     return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", run)
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) rows of all keys."""
-    bits = fps.view(np.uint64)
+def key_rows(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of unsigned 64-bit values, and the place of the value that each belongs to."""
     found = [golay.indices(((bits >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)) for at, width in SEGMENTS]
-    keys, owners = [], []
+    keys, places = [], []
     for no, (i, j) in enumerate(PAIRS):
         a, b = found[i][:, :, None], found[j][:, None, :]
         key = (no << 24) | (a << 12) | b
         at = np.nonzero((a >= 0) & (b >= 0))
         keys.append(key[at])
-        owners.append(fps[at[0]])
-    return np.concatenate(keys), np.concatenate(owners)
+        places.append(at[0])
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp) rows of all keys."""
+    keys, places = key_rows(fps.view(np.uint64))
+    return keys, fps[places]
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +113,17 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[root[own]]
 
 
-def links_in_order(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE):
-    """Pairs of neighbours in runs of equal keys that are close enough, in blocks of bounded size."""
+def links_in_order(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, more: np.ndarray | None = None):
+    """Pairs of neighbours in runs of equal keys that are close enough, in blocks of bounded size. ``more`` are second words, which have to
+    be as close."""
     at = np.arange(len(keys) - 1)
     step = 1
     while len(at):
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
         near = at[np.bitwise_count((fps[at] ^ fps[at + step]).view(np.uint64)) <= distance]
+        if more is not None:
+            near = near[np.bitwise_count((more[near] ^ more[near + step]).view(np.uint64)) <= distance]
         if len(near):
             yield fps[near], fps[near + step]
         step += 1
