@@ -37,9 +37,9 @@ def blocks(df: DataFrame, text: str, marker: str, pos: str, block: str) -> DataF
 
 def pairs(text: Column, pattern: str, first: str, second: str) -> Column:
     """All matches of a pattern with two groups, as an array of structs."""
-    a = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    b = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(a, b, lambda x, y: F.struct(x.alias(first), y.alias(second)))
+    # the text is read once; groups are taken from the short matches
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias(first), F.regexp_extract(m, pattern, 2).alias(second)))
 
 
 # --- fixed values: markup patterns of index pages ---------------------------------
