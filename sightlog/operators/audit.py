@@ -172,10 +172,10 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 
 def hits_in(lines: DataFrame, pattern: str) -> DataFrame:
     """One row per match of ``pattern`` (without groups of its own but the first) in ``code``: hit, name, col and the code after it."""
-    found = lines.withColumn("hits", F.regexp_extract_all("code", F.lit(f"({pattern})"), F.lit(1))).filter(F.size("hits") > 0)
-    # text before the k-th hit: the parts between hits and the earlier hits themselves
-    found = found.withColumn("gaps", F.split("code", pattern))
-    hits = found.select(*lines.columns, "gaps", "hits", F.posexplode("hits").alias("k", "hit"))
+    hits = F.regexp_extract_all("code", F.lit(f"({pattern})"), F.lit(1))
+    found = lines.select("*", F.explode(F.filter(F.array(hits), lambda h: F.size(h) > 0)).alias("hits"))
+    # text before the k-th hit: the parts between hits and the earlier hits themselves; only lines with a hit are split
+    hits = found.select("*", F.split("code", pattern).alias("gaps"), F.posexplode("hits").alias("k", "hit"))
     col = F.length(F.array_join(F.slice("gaps", F.lit(1), F.col("k") + 1), "")) + F.length(
         F.array_join(F.slice("hits", F.lit(1), F.col("k")), "")
     )
@@ -185,7 +185,7 @@ def hits_in(lines: DataFrame, pattern: str) -> DataFrame:
 
 def unsafe_calls(files: DataFrame) -> DataFrame:
     """Unsafe C calls with line and column; what follows // does not count, nor do comment lines."""
-    calls = hits_in(numbered_lines(files), UNSAFE)
+    calls = hits_in(numbered_lines(files).filter(F.col("code").contains("(")), UNSAFE)
     rules = files.sparkSession.createDataFrame(
         [(f, "CRITICAL" if f == "gets" else "HIGH") for f in vocab.UNSAFE_C_CALLS], "name STRING, severity STRING"
     )
@@ -199,7 +199,8 @@ SECRET = rf"\b(\w*{vocab.SECRET_NAME})\s*=\s*[\"'][^\"'\n]*[\"']"
 
 def secret_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Names that look like a credential and are assigned a string literal, in any text."""
-    lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("no", "raw"))
+    # most lines assign nothing: they are left out before the pattern is tried at each of their words
+    lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("no", "raw")).filter(F.col("raw").contains("="))
     names = F.regexp_extract_all("raw", F.lit(SECRET), F.lit(1))
     return lines.select(key, (F.col("no") + 1).alias("line"), F.explode(names).alias("name"))
 
@@ -237,7 +238,7 @@ def call_arguments(rest: Column) -> Column:
 
 def format_arguments(files: DataFrame) -> DataFrame:
     """Calls whose format argument is a variable."""
-    calls = hits_in(numbered_lines(files), FORMAT_CALL).withColumn("args", call_arguments(F.col("rest")))
+    calls = hits_in(numbered_lines(files).filter(F.col("code").contains("(")), FORMAT_CALL).withColumn("args", call_arguments(F.col("rest")))
     wanted = tx.strip(F.get("args", F.when(F.col("name").startswith("f"), 1).otherwise(0)))
     named = calls.filter(wanted.rlike(r"^[A-Za-z_]\w*\b") & ~wanted.rlike("^" + LITERAL))
     return named.select("path", F.lit("c-format-string").alias("rule_id"), F.lit("HIGH").alias("severity"), "line", "col")

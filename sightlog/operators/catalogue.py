@@ -7,10 +7,7 @@ shuffled until records of different pages meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightlog import vocab
@@ -229,65 +226,76 @@ def detail_records(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out
 
 
-TABLE_SCHEMA = "label STRING, headers ARRAY<STRING>, rows ARRAY<ARRAY<STRING>>"
-
-
-def _call_tables(text: str) -> Iterator[tuple[str, list, list]]:
-    """Tables written as nested calls a(`table`, ...): a stack of open calls, one pass."""
-    import re
-
-    clean = lambda s: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", s)).strip()
-    token = re.compile(r"a\(`(\w+)`,?(null,)?|t\(`([^`]*?)`(?=[,)])|`[^`]*`|[()]")
-    label, calls, table = "", [], None
-    for m in token.finditer(text):
-        part = m.group()
-        if m.group(1) is not None:  # a call opens
-            tag = m.group(1)
-            if tag == "table" and table is None:
-                table = {"label": label, "headers": [], "rows": []}
-            calls.append([tag, []])
-        elif part == "(":
-            calls.append(["", []])
-        elif m.group(3) is not None:  # a text call; its own closing bracket is still to come
-            label = m.group(3) if table is None else label
-            calls.append(["t", []])
-            _add_text(calls, m.group(3))
-        elif part.startswith("`"):
-            _add_text(calls, part[1:-1])
-        elif part == ")" and calls:
-            tag, texts = calls.pop()
-            if table is not None and tag in ("th", "td"):
-                cell = clean("".join(texts))
-                if tag == "th":
-                    table["headers"].append(cell)
-                else:
-                    table.setdefault("row", []).append(cell)
-            elif table is not None and tag == "tr" and table.get("row"):
-                table["rows"].append(table.pop("row"))
-            elif tag == "table" and table is not None:
-                yield table["label"], table["headers"], table["rows"]
-                table = None
-
-
-def _add_text(calls: list, text: str) -> None:
-    for call in reversed(calls):
-        if call[0] in ("th", "td"):
-            call[1].append(text)
-            return
+# --- fixed values: calls of live page chunks. An element call with its tag and what its content starts with, a text call, a string, a bracket
+CALL = r"a\(`\w+`(?:,(?:\s*null,)?\s*(?:`[^`]*`|\[)?)?"
+CALL_PARTS = r"^a\(`(\w+)`(?:,(?:\s*null,)?\s*(?:`([^`]*)`|(\[))?)?"
+TEXT_CALL = r"t\(`[^`]*`(?=[,)])"
+CALL_TOKEN = rf"{CALL}|{TEXT_CALL}|`[^`]*+(?:`|$)|[()]"
 
 
-def call_tables(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Tables of live page chunks; pages are spread over tasks, each is parsed on its own."""
+def call_items(pages: DataFrame, row: str, text: str) -> DataFrame:
+    """(row, items): element and text calls of each text in order, each with the number of items inside it, NULL if it is never closed, and
+    the last text before it.
 
-    def run(batches):
-        for pdf in batches:
-            out = [
-                (k, i, *t) for k, chunk in zip(pdf[key], pdf[text]) for i, t in enumerate(_call_tables(chunk or ""))
-            ]
-            yield pd.DataFrame(out, columns=[key, "table_no", "label", "headers", "rows"])
+    Brackets are matched by windows: an opening and its closing bracket are neighbours among the brackets of one level, and the level
+    is a running sum. Strings are tokens of their own, so brackets in them do not count.
+    """
+    c = F.col
+    tokens = pages.select(row, F.posexplode(F.regexp_extract_all(c(text), F.lit(f"({CALL_TOKEN})"), F.lit(1))).alias("pos", "token"))
+    parts = [F.regexp_extract("token", CALL_PARTS, i) for i in (1, 2, 3)]
+    told = c("token").rlike("^t\\(`")
+    tokens = tokens.withColumns({
+        "tag": F.when(told, "t").when(c("token").startswith("a(`"), parts[0]),
+        "text": F.when(told, F.regexp_extract("token", "`([^`]*)`", 1)).otherwise(parts[1]),
+        "listed": parts[2] != "",
+        "step": F.when(c("token") == ")", -1).when(c("token").startswith("`"), 0).otherwise(1),
+    })
+    so_far = Window.partitionBy(row).orderBy("pos")
+    tokens = tokens.withColumns({
+        "level": F.sum("step").over(so_far) + F.when(c("step") < 0, 1).otherwise(0),
+        "seen": F.count("tag").over(so_far),
+        "label": F.last(F.when(c("tag") == "t", c("text")), ignorenulls=True).over(so_far),
+    })
+    # a call is closed by the next bracket of its level
+    peers = Window.partitionBy(row, "level", c("step") == 0).orderBy("pos")
+    items = tokens.withColumn("inner", (F.lead("seen").over(peers) - c("seen")).cast("int")).filter("tag IS NOT NULL")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "tag", "text", "listed", "inner", "label")))
+    return items.groupBy(row).agg(listed.alias("items"))
+
+
+def calls_in(items: Column, tag: str) -> Column:
+    """Closed calls of a tag among items, each with the items inside it."""
+    found = F.transform(items, lambda e, i: F.when((e["tag"] == tag) & e["inner"].isNotNull(), F.struct(
+        e["text"].alias("text"), e["listed"].alias("listed"), e["label"].alias("label"), F.slice(items, i + 2, e["inner"]).alias("inside")
+    )))
+    return F.filter(found, lambda e: e.isNotNull())
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, text).mapInPandas(run, f"{key} {kind}, table_no INT, {TABLE_SCHEMA}")
+
+def call_tables(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """Tables of live page chunks, written as nested calls, with the text call before them as label.
+
+    Headers are the cells of the first closed head, rows those of the first closed body; rows without cells are left out. A cell is its
+    string, or the joined text calls of its list. A table inside a cell is a table of its own too; what is never closed is none.
+    """
+    cell = lambda e: tx.clean_cell(
+        F.when(e["listed"], F.array_join(F.transform(F.filter(e["inside"], lambda t: t["tag"] == "t"), lambda t: t["text"]), "")).otherwise(e["text"])
+    )
+    none = F.array().cast("array<string>")
+
+    def cells(part, tag):
+        return F.coalesce(F.transform(calls_in(part, tag), cell), none)
+
+    within = lambda tag: F.get(calls_in(F.col("inside"), tag), F.lit(0))["inside"]
+    numbered = pages.select(key, text).withColumn("_row", F.monotonically_increasing_id())
+    found = call_items(numbered.select("_row", F.col(text)), "_row", text).select("_row", F.posexplode(calls_in(F.col("items"), "table")).alias("table_no", "_t"))
+    parts = found.select("_row", "table_no", F.coalesce("_t.label", F.lit("")).alias("label"), F.col("_t.inside").alias("inside"))
+    parts = parts.withColumns({"_head": within("thead"), "_body": within("tbody")})
+    rows = F.filter(F.transform(calls_in(F.col("_body"), "tr"), lambda r: cells(r["inside"], "td")), lambda r: F.size(r) > 0)
+    read = parts.select(
+        "_row", "table_no", "label", F.coalesce(cells(F.col("_head"), "th"), none).alias("headers"),
+        F.coalesce(rows, F.array().cast("array<array<string>>")).alias("rows"),
+    )
+    return numbered.select("_row", key).join(read, "_row").drop("_row")
 
 
 def trim_category(details: DataFrame, tab: str = "英雄", arrays=("image_groups", "tables", "timeline", "building_num", "notes")) -> DataFrame:

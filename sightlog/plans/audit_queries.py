@@ -52,13 +52,13 @@ PY_EXPECT = """SELECT {path} AS path, rule_id, severity, line, col FROM customer
 
 
 def c_files(spark, sf):
-    return src.table(spark, sf, "orders").select(
+    return src.spread(src.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select(
         F.expr(C_PATH).alias("path"), F.lit("c/c++").alias("language"), F.expr(C_TEXT).alias("content")
     )
 
 
 def python_files(spark, sf):
-    return src.table(spark, sf, "customer").select(
+    return src.spread(src.table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(
         F.expr(PY_PATH).alias("path"), F.lit("python").alias("language"), F.expr(PY_TEXT).alias("content")
     )
 

@@ -56,7 +56,8 @@ DETAIL_TEXT = """concat('\ufeff---\ntitle: "T ', p_name, '"\nnavTitle: ', CASE W
 
 
 def detail_pages(spark, sf):
-    return src.table(spark, sf, "part").select(
+    parts = src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return src.spread(parts, "p_partkey").select(
         "p_partkey", F.expr("concat(p_partkey, '-', p_brand)").alias("link"), F.expr(DETAIL_TEXT).alias("text")
     )
 

@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has, by ``keys``. For narrow rows that are about to grow inside their task: a few bytes a row move,
+    and the long texts made from them are worked on by all cores, however few row groups the table has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per box. ``det_no`` orders the boxes of a frame and needs no window:
     it is the line number followed by part, supplier and quantity."""

@@ -114,9 +114,26 @@ def test_tables_and_notes(spark):
     assert [r.note for r in ct.notes(df, ["k"]).collect()] == ["one", "two b"]
 
 
-def test_call_tables():
-    chunk = "t(`L`,1),a(`table`,null,[a(`thead`,null,[a(`th`,null,[t(`a`,1),t(`b`,1)])]),a(`tbody`,null,[a(`tr`,null,[a(`td`,null,`(1`)])])])"
-    assert list(ct._call_tables(chunk)) == [("L", ["ab"], [["(1"]])]
+def test_call_tables(spark):
+    cell = lambda tag, x: f"a(`{tag}`,null,{x})"
+    row = lambda *cells: cell("tr", "[" + ",".join(cells) + "]")
+    table = lambda head, *rows: f"a(`table`,{{x:1}},[{cell('thead', head)},{cell('tbody', '[' + ','.join(rows) + ']')}])"
+    plain = "t(`L`,1)," + table(cell("th", "[t(`a`,1),t(`b`,1)]"), row(cell("td", "`(1`"), cell("td", "`<i>x</i>  y`")), row())
+    inner = table(cell("th", "`in`"), row(cell("td", "`2`")))
+    texts = [
+        (1, plain), (1, plain), (2, None), (3, ""), (4, "))" + plain + ",t(`M`)," + inner), (5, "a(`table`,null,[a(`thead`,null,a(`th`,null,`u`)),a(`tbody`"),
+        (6, f"t(`O`),a(`table`,null,[{cell('tbody', row(cell('td', '[t(`o`),' + inner + ']')))}])"), (7, "a(`table`,null,[" + inner + ",t(`x`)"), (8, "a(`table`)"),
+        (9, "t(`never closed"), (10, table(cell("th", "{y:`z`}"), row(cell("td", "``")))),
+    ]
+    df = spark.createDataFrame(texts, "k INT, chunk STRING")
+    got = sorted((r.k, r.table_no, r.label, r.headers, r.rows) for r in ct.call_tables(df, "k", "chunk").collect())
+    first = ("L", ["ab"], [["(1", "x y"]])
+    assert got == [
+        (1, 0, *first), (1, 0, *first), (4, 0, *first), (4, 1, "M", ["in"], [["2"]]),
+        # the outer table has no head of its own, so that of the table in its cell is the first
+        (6, 0, "O", ["in"], [["o"] + ["2"], ["2"]]), (6, 1, "o", ["in"], [["2"]]), (7, 0, "", ["in"], [["2"]]), (8, 0, "", [], []), (10, 0, "", [""], [[""]]),
+    ]
+    assert "Python" not in ct.call_tables(df, "k", "chunk")._jdf.queryExecution().toString()
 
 
 def test_discovery(spark):
