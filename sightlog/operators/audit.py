@@ -66,10 +66,15 @@ def gate_config(settings: dict | None = None) -> dict:
     return out
 
 
+def fixed_table(spark, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table of fixed words and numbers as part of the plan, so that no job has to send it."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(repr, rows))} AS t({columns})")
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """One row per severity, all five present."""
     spark = findings.sparkSession
-    dim = spark.createDataFrame([(s, i) for i, s in enumerate(vocab.SEVERITIES)], "severity STRING, rank INT")
+    dim = fixed_table(spark, [(s, i) for i, s in enumerate(vocab.SEVERITIES)], "severity, rank")
     n = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     return dim.join(F.broadcast(n), "severity", "left").select("severity", "rank", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -186,12 +191,8 @@ def hits_in(lines: DataFrame, pattern: str) -> DataFrame:
 def unsafe_calls(files: DataFrame) -> DataFrame:
     """Unsafe C calls with line and column; what follows // does not count, nor do comment lines."""
     calls = hits_in(numbered_lines(files).filter(F.col("code").contains("(")), UNSAFE)
-    rules = files.sparkSession.createDataFrame(
-        [(f, "CRITICAL" if f == "gets" else "HIGH") for f in vocab.UNSAFE_C_CALLS], "name STRING, severity STRING"
-    )
-    return calls.join(F.broadcast(rules), "name").select(
-        "path", F.concat(F.lit("c-unsafe-api-"), "name").alias("rule_id"), "severity", "line", "col"
-    )
+    severity = F.when(F.col("name") == "gets", "CRITICAL").otherwise("HIGH")
+    return calls.select("path", F.concat(F.lit("c-unsafe-api-"), "name").alias("rule_id"), severity.alias("severity"), "line", "col")
 
 
 SECRET = rf"\b(\w*{vocab.SECRET_NAME})\s*=\s*[\"'][^\"'\n]*[\"']"
@@ -475,7 +476,7 @@ def syntax_facts(files: DataFrame) -> DataFrame:
 
 def rule_findings(facts: DataFrame) -> DataFrame:
     """Facts that meet a rule of the table, and files that a function opens and leaves open."""
-    rules = F.broadcast(facts.sparkSession.createDataFrame(RULES, "kind STRING, rule STRING, needs STRING, rule_id STRING, severity STRING"))
+    rules = F.broadcast(fixed_table(facts.sparkSession, RULES, "kind, rule, needs, rule_id, severity"))
     secret = F.col("name").rlike(vocab.SECRET_NAME + "$")
     marked = facts.withColumn("marks", F.when((F.col("kind") == "text") & secret, F.array(F.lit("secret"))).otherwise(F.col("marks")))
     keyed = marked.withColumn("rule", F.explode(F.array_distinct(F.array(F.col("name"), F.lit(ANY)))))

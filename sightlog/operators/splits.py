@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightlog.session import materialise
+
 LEVELS = (3, 8)  # hex digits of the hash; eight leave one row in four billion to a range
 
 
@@ -45,7 +47,8 @@ def lowest_by_hash(
             counts = rows.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_left").alias("_take"))
         before = F.sum("_c").over(w) - F.col("_c")
         wanted = counts.select(*strata, "_b", (F.col("_take") - before).alias("_left"), "_c").filter("_left > 0 AND _left <= _c")
-        rows = rows.drop("_left").join(wanted.drop("_c"), strata + ["_b"])
+        # one prefix of a stratum in thousands is left: stored, so that the next level does not read and hash the whole table again
+        rows = materialise(rows.drop("_left").join(wanted.drop("_c"), strata + ["_b"]))
     rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy(place))
     cut = rows.withColumn("_rank", rank).filter("_rank = _left").select(*strata, place.alias("_cut"))
     marked = h.join(cut, strata, "left") if strata else h.crossJoin(cut.agg(F.first("_cut").alias("_cut")))
