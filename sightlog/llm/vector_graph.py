@@ -3,8 +3,8 @@
 Equal vectors of a label are one row with a weight. The rows of a label are dealt by hash into shards of about
 ``SHARD_ROWS``; every shard builds its graph in one task. Then each pair of shards of a label (a shard with itself included) is one task:
 the vectors of either search the graph of the other by beams, and candidates are verified by their cosine in double precision. A
-beam that holds links only is widened; an audit compares evenly spaced queries with brute force and doubles all beams
-until ``RECALL`` of the links is found, at last to the width of the shard, which is a full comparison. Links leave a task as counts and as
+beam that holds links only is widened; an audit of either side compares shuffled queries, block by block until links are seen, with brute force
+and doubles all beams until ``RECALL`` of the links is found, at last to the width of the shard, which is a full comparison. Links leave a task as counts and as
 one star per connected set, so a dense group is never expanded into pairs; stars of all tasks are united by
 distributed components.
 
@@ -175,29 +175,52 @@ def beam_links(q: np.ndarray, x: np.ndarray, graph: Graph, beam: int, cosine: fl
     return hits
 
 
+def audit_links(q: np.ndarray, x: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``q`` in a shuffled order, block by block until one has a link, and their true links. If none has, all rows were compared."""
+    order = np.random.default_rng(1).permutation(len(q))
+    for at in range(0, len(q), AUDIT):
+        rows = order[at : at + AUDIT]
+        truth = q[rows] @ x.T >= cosine
+        if same:
+            truth[np.arange(len(rows)), rows] = False
+        if truth.any():
+            return rows, truth
+    return order[:0], np.zeros((0, len(x)), dtype=bool)
+
+
 def found_links(a: np.ndarray, graph_a: Graph, b: np.ndarray, graph_b: Graph, cosine: float = COSINE, recall: float = RECALL) -> np.ndarray:
     """Links between two sets of vectors (or within one, if both are the same): either side searches the other's graph, so a row that
-    one graph hardly reaches is found from its own query. Beams grow until the audit passes."""
+    one graph hardly reaches is found from its own query. Beams grow until the audits of both sides pass; each audited row counts alike, so
+    a dense group does not hide what lone pairs miss."""
     same = a is b
     a, b = unit_rows(a), unit_rows(b)
-    audit = np.unique(np.linspace(0, len(a) - 1, min(AUDIT, len(a))).astype(int))
-    truth = a[audit] @ b.T >= cosine
+    rows_a, truth_a = audit_links(a, b, cosine, same)
+    rows_b, truth_b = (rows_a[:0], truth_a[:0]) if same or not len(rows_a) else audit_links(b, a, cosine, same)
+    if not len(rows_a):  # every row of a was compared with all of b
+        return np.eye(len(a), dtype=bool) if same else np.zeros((len(a), len(b)), dtype=bool)
     beam, widest = BEAM, max(len(a), len(b))
     while True:
         hits = beam_links(a, b, graph_b, beam, cosine)
         hits |= hits.T if same else beam_links(b, a, graph_a, beam, cosine).T
-        if beam >= widest or (hits[audit] & truth).sum() >= recall * truth.sum():
+        shares = [
+            (seen & truth).sum(1)[linked] / truth.sum(1)[linked]
+            for seen, truth in ((hits[rows_a], truth_a), (hits.T[rows_b], truth_b)) if len(truth) for linked in [truth.any(1)]
+        ]
+        if beam >= widest or min(share.mean() for share in shares) >= recall:
             return hits
         beam *= 2
 
 
 def link_counts(hits: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray):
-    """Links of the rows of both sides and the stars of connected rows; blocks bound the edges held at once."""
-    counts_a, counts_b = hits @ weight_b, weight_a @ hits
+    """Links of the rows of both sides and the stars of connected rows; blocks bound the numbers and the edges held at once."""
+    counts_a, counts_b = np.zeros(len(own_a), np.int64), np.zeros(len(own_b), np.int64)
     stars_a, stars_b, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     step = max(1, FLUSH // max(hits.shape[1], 1))
     for at in range(0, len(hits), step):
-        i, j = np.nonzero(hits[at : at + step])
+        part = hits[at : at + step]
+        counts_a[at : at + step] = part @ weight_b
+        counts_b += weight_a[at : at + step] @ part
+        i, j = np.nonzero(part)
         stars_a.append(own_a[at + i])
         stars_b.append(own_b[j])
         held += len(i)
