@@ -258,6 +258,22 @@ def test_vectors_against_brute_force(store, shard_rows):
     assert vector_graph.near_vectors(table.limit(0)).count() == 0
 
 
+def test_audit_of_both_sides_weighs_rows_alike():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(700, 32)), rng.normal(size=(900, 32))
+    none = vector_graph.audit_links(vector_graph.unit_rows(x), vector_graph.unit_rows(y), 0.93, False)
+    assert not len(none[0])  # all rows were compared
+    y[850] = x[3] + 0.01  # one link, wherever it is, is what the audit looks at
+    a, b = vector_graph.Graph(vector_graph.unit_rows(x)), vector_graph.Graph(vector_graph.unit_rows(y))
+    rows, truth = vector_graph.audit_links(vector_graph.unit_rows(x), vector_graph.unit_rows(y), 0.93, False)
+    assert truth.sum() == 1 and 3 in rows
+    assert np.argwhere(vector_graph.found_links(x, a, y, b)).tolist() == [[3, 850]]
+    w, v = rng.integers(1, 5, 700), rng.integers(1, 5, 900)
+    hits = rng.random((700, 900)) < 0.01
+    counts_a, counts_b, _, _ = vector_graph.link_counts(hits, np.arange(700), 700 + np.arange(900), w, v)
+    assert (counts_a == hits @ v).all() and (counts_b == w @ hits).all()
+
+
 def test_graph_recall_in_dense_and_sparse_places():
     rng = np.random.default_rng(7)
     dense = rng.normal(size=32) + 0.05 * rng.normal(size=(400, 32))
@@ -517,17 +533,49 @@ def test_binomial_bound_is_exact():
     assert risk_rules.binomial_tail(5, 10, 0.1) == 1.0
 
 
-def test_cutoffs_limit_false_rejections():
+def first_level(cuts, bins):
+    """The first level that rejects each document, by trying all levels."""
+    return np.array([next((i for i, cut in enumerate(cuts) if (row >= cut).any()), len(cuts)) for row in bins])
+
+
+def histogram(bins, good):
+    found = Counter((rule, int(b), bool(g)) for row, g in zip(bins, good, strict=True) for rule, b in enumerate(row))
+    keys = sorted({(rule, b) for rule, b, _ in found})
+    return (*(np.array(x) for x in zip(*keys, strict=True)), np.array([found[(*k, True)] for k in keys]), np.array([found[(*k, False)] for k in keys]))
+
+
+def test_certified_levels_limit_false_rejections():
     rng = np.random.default_rng(1)
     wrong = 0
-    for _ in range(200):  # good and bad alike: a cutoff that rejects over alpha of the good must be rare
-        share = rng.beta(1, 6, 3000)
-        bins, good = np.floor(share * 64).astype(int), rng.random(3000) < 0.5
-        cut = risk_rules.choose_cutoff(bins, good.astype(int), (~good).astype(int), 0.02, 0.05)
-        wrong += cut is not None and (1 - np.floor(cut * 64) / 64) ** 6 > 0.02
-    assert wrong <= 20
-    assert risk_rules.choose_cutoff(np.array([0, 40]), np.array([20, 0]), np.array([0, 20]), 0.01, 0.01) is None  # too few labels
-    assert risk_rules.choose_cutoff(np.array([0, 40]), np.array([5000, 0]), np.array([0, 500]), 0.01, 0.01) is not None
+    for _ in range(100):  # good and bad alike: a level that rejects over alpha of the good must be rare
+        bins = np.floor(rng.beta(1, 6, (1200, 3)) * 64).astype(int)
+        good = rng.random(1200) < 0.5
+        cuts = risk_rules.propose(*histogram(bins[:600], good[:600]), 0.05, 3)
+        assert (np.diff(cuts, axis=0) <= 0).all()
+        level = first_level(cuts, bins[600:])
+        at = risk_rules.certify(level, good[600:].astype(int), (~good[600:]).astype(int), 0.05, 0.05)
+        if at is not None:
+            kept = np.prod(1 - (1 - cuts[at].clip(max=64) / 64) ** 6)
+            wrong += 1 - kept > 0.05
+    assert wrong <= 10
+    # 200 good rows of a holdout are enough for rules that reject none of them, 50 are not
+    for n, enough in ((200, True), (50, False)):
+        found = risk_rules.certify(np.array([16, 0]), np.array([n, 0]), np.array([0, 20]), 0.03, 0.01)
+        assert found == (0 if enough else None)
+
+
+def test_small_strata_get_rules_of_their_own(store, spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    good = lambda: " ".join(word() for _ in range(60))
+    bad = lambda: " ".join(word() + r.choice(["!", "!!", ""]) for _ in range(60))
+    rows = [(i, bad() if i % 5 == 0 else good(), [None, "", "xx"][i % 3], "s") for i in range(1500)]
+    table = store(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(1500)], "doc_id long, quality int")
+    kept = {x["doc_id"]: x["kept"] for x in risk_rules.judge(table, labels).collect()}
+    assert kept == {i: i % 5 != 0 for i in range(1500)}
+    few = labels.where("doc_id < 150")
+    assert all(x["kept"] for x in risk_rules.judge(table, few).collect())  # nothing can be certified
 
 
 def test_classifier_on_held_out_rows(spark):
