@@ -32,6 +32,8 @@ WINDOW = 8
 RULES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share", "long_word_share")
 BINS = 64
 ALPHA, DELTA, LEVELS = 0.03, 0.05, 16
+#: A stratum's cutoffs are some 500 bytes: at most 5 MB are sent to the tasks.
+BROADCAST_STRATA = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
@@ -136,6 +138,12 @@ def certify(level: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float,
     return chosen
 
 
+def by_stratum(rows: DataFrame, cuts: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the stored row of their stratum. Up to BROADCAST_STRATA strata go to the rows, so that a stratum that holds most rows stays
+    spread; beyond that the join is left to the optimiser."""
+    return rows.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts, "stratum", how)
+
+
 def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, cutoffs array<int>) in the order of RULES, for strata with a certified level.
 
@@ -155,7 +163,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     offers = materialise(shown.groupBy("stratum").applyInPandas(offer, "stratum string, levels array<array<int>>"))
     hit = F.transform("levels", lambda cuts: F.exists(F.zip_with("bins", cuts, lambda b, c: b >= c), lambda x: x))
     first = F.coalesce(F.nullif(F.array_position(hit, F.lit(True)), F.lit(0)) - 1, F.lit(LEVELS))
-    tested = marked.where("holdout").join(offers, "stratum").select("stratum", "q", first.cast("int").alias("level")).groupBy("stratum", "level").agg(*tally)
+    tested = by_stratum(marked.where("holdout"), offers).select("stratum", "q", first.cast("int").alias("level")).groupBy("stratum", "level").agg(*tally)
     strata = max(offers.count(), 1)
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,14 +178,14 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the names of the rules that reject."""
     stats = materialise(document_counts(documents))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    cuts = thresholds(stats.where(~base), labels)
+    cuts = materialise(thresholds(stats.where(~base), labels))
     broken = F.filter(
         F.transform(
             F.array(*map(F.lit, RULES)), lambda name, i: F.when(F.floor(F.get("shares", i) * BINS) >= F.get("cutoffs", i), name)
         ),
         lambda name: name.isNotNull(),
     )
-    out = stats.join(cuts, "stratum", "left").withColumn("failed_rules", F.coalesce(broken, F.array().cast("array<string>")))
+    out = by_stratum(stats, cuts, "left").withColumn("failed_rules", F.coalesce(broken, F.array().cast("array<string>")))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         (~base & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules",
