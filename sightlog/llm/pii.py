@@ -268,7 +268,12 @@ def find(documents: DataFrame, **options) -> DataFrame:
     base = F.transform("base", lambda m: F.struct(m["a"].alias("a"), m["k"].alias("k"), m["b"].alias("b")))
     none = F.array().cast("array<struct<a:bigint,k:int,b:bigint>>")
     out = found.select("uid", "doc_id", base.alias("base")).join(added, "uid", "left")
-    counts = [F.size(F.filter("base", lambda m, k=k: m["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count_of(kind: int) -> Column:
+        # of one argument: a second one would be the place in the array
+        return F.size(F.filter("base", lambda m: m["k"] == kind)).cast("long")
+
+    counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("uid", "doc_id", *counts, "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 

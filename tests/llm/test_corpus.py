@@ -456,6 +456,16 @@ def test_pii_base_against_brute_force(store):
     assert pii.find(table.limit(0)).count() == 0
 
 
+def test_pii_digests_count_each_kind(store):
+    texts = ["x.y@z.org a@b.co q@r.st", "+1 (988) 555-2485", "4337166598464399 at 1.2.3.4", "1.2.3.4 5.6.7.8 a@b.co", None]
+    got = {r["doc_id"]: r for r in pii.find_digests(store(rows_of(texts))).collect()}
+    for i, text in enumerate(texts):
+        base = slow_base(text)
+        assert [got[i][f"n_{name}"] for name in pii.KINDS] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_pii_bootstrap_finds_identifiers_in_seen_contexts(store):
     texts = [f"please dial +1 (988) 555-{1000 + i} now, mail to u{i}@h{i}.example.org soon" for i in range(60)]
     texts += ["please dial 988-555-7777 now", "see order 988-555-7778 here", "number of rooms 123456 now"]
