@@ -1,14 +1,14 @@
 """Keyed streams: the replay operators and counters on unbounded input.
 
-Rows of a key wait in buckets of event time until the watermark has passed the bucket; a timer then releases it, in the order of
-(ts, event_id). A micro-batch touches the buckets it adds to or releases, not what else waits. State lives in the state store, its
+Rows of a key wait in chunks until the watermark has passed their bucket of event time; a timer then releases them, in the order of
+(ts, event_id). A micro-batch touches the chunks it adds or releases and a short index, not what else waits. State lives in the state store, its
 checkpoint in the shared folder. A source that has come to its end is told so by ``End``, whose mark lets the watermark pass everything.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +31,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if is_file else reader.parquet(table)
 
 
-DELAY, BUCKET_MS, EXPIRY_MS = "1 hour", 10 * 60 * 1000, 30 * 24 * 3600 * 1000
+DELAY, BUCKET_MS, EXPIRY_MS, CHUNK = "1 hour", 10 * 60 * 1000, 30 * 24 * 3600 * 1000, 4096
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,8 +60,9 @@ class End:
 class Replay(StatefulProcessor):
     """``state, result = step(state, value)`` per row of a key, once the watermark has passed the row's bucket.
 
-    State per key: the fold's state with the end of the last bucket, and the waiting rows by bucket. A key without rows for EXPIRY_MS of
-    event time is forgotten.
+    State per key: the fold's state with the time up to which rows are out, the waiting rows in sorted chunks, and an index of the chunks. The calls
+    to the store follow the number of keys and chunks, not that of buckets: one timer waits for the earliest bucket, and when it fires, all
+    buckets that the watermark has passed come out, chunk by chunk. A key without rows for EXPIRY_MS of event time is forgotten.
     """
 
     def __init__(self, key: str, types: dict[str, str], state: str, start, step):
@@ -70,45 +71,96 @@ class Replay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", f"s {self.state_type}, upto bigint")
-        self.waiting = handle.getMapState("waiting", "bucket bigint", f"at array<bigint>, id array<{self.types['event_id']}>, v array<{self.types['held']}>")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", f"at array<bigint>, id array<{self.types['event_id']}>, v array<{self.types['held']}>")
+        # the first time of each waiting chunk, by its number
+        self.index = handle.getValueState("index", "first array<bigint>, chunk array<bigint>")
+
+    def chunks(self) -> list[tuple[int, int]]:
+        found = self.index.get()
+        return [] if found is None else list(zip(*found, strict=True))
+
+    def put(self, chunks: list[tuple[int, int]], rows: list[tuple]) -> None:
+        """Adds sorted rows as chunks."""
+        number = max((c for _, c in chunks), default=-1) + 1
+        for low in range(0, len(rows), CHUNK):
+            part = rows[low : low + CHUNK]
+            self.waiting.updateValue((number,), tuple(map(list, zip(*part, strict=True))))
+            chunks.append((part[0][0], number))
+            number += 1
+
+    def store(self, chunks: list[tuple[int, int]], timer: int | None) -> None:
+        """Keeps the index, and a timer at the end of the earliest bucket unless it is there already."""
+        if not chunks:
+            self.index.clear()
+            return
+        self.index.update(tuple(map(list, zip(*chunks, strict=True))))
+        due = _bucket_end(min(chunks)[0])
+        if due != timer:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        buckets = defaultdict(lambda: ([], [], []))
+        chunks, timer = None, None
         for pdf in rows:
-            pdf = pdf[~pdf[End.MARK].astype(bool)] if End.MARK in pdf else pdf
-            at = pdf["ts"].astype("datetime64[us, UTC]" if pdf["ts"].dt.tz else "datetime64[us]").astype("int64")
-            for t, i, v in zip(at.tolist(), pdf["event_id"].tolist(), pdf["held"].tolist(), strict=True):
-                for column, value in zip(buckets[t // 1000 // BUCKET_MS], (t, i, None if pd.isna(v) else v), strict=True):
-                    column.append(value)
-        for bucket, (at, ids, values) in buckets.items():
-            if self.waiting.containsKey((bucket,)):
-                held = self.waiting.getValue((bucket,))
-                at, ids, values = [*held[0], *at], [*held[1], *ids], [*held[2], *values]
-            else:
-                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
-            self.waiting.updateValue((bucket,), (at, ids, values))
+            at = pdf["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            ended = pdf[End.MARK].tolist() if End.MARK in pdf else [False] * len(at)
+            taken = sorted(
+                ((t, i, None if pd.isna(v) else v) for t, i, v, e in zip(at, pdf["event_id"].tolist(), pdf["held"].tolist(), ended, strict=True) if not e),
+                key=lambda r: r[:2],
+            )
+            if taken and chunks is None:
+                chunks = self.chunks()
+                timer = _bucket_end(min(chunks)[0]) if chunks else None
+            if taken:
+                self.put(chunks, taken)
+        if chunks is not None:
+            self.store(chunks, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        state, upto = self.current.get() if self.current.exists() else (self.start, None)
+        state, upto = self.current.get() or (self.start, None)
         if now % BUCKET_MS:  # the time to forget, unless newer rows have come
             if upto is not None and upto + EXPIRY_MS + 1 == now:
                 self.current.clear()
             return
-        bucket = (now // BUCKET_MS - 1,)
-        at, ids, values = self.waiting.getValue(bucket)
-        self.waiting.removeKey(bucket)
-        done, results = [], []
-        for _, i, v in sorted(zip(at, ids, values, strict=True), key=lambda r: r[:2]):
-            state, r = self.step(state, v)
-            done.append(i)
-            results.append(r)
+        passed = max(now, timerValues.getCurrentWatermarkInMs() // BUCKET_MS * BUCKET_MS)
+        chunks = sorted(self.chunks())
+        due = [c for c in chunks if c[0] < passed * 1000]
+        if not due:
+            return
+        last, held, done, results = None, [], [], []
+        for (_, number), bound in zip(due, [*(first for first, _ in due[1:]), passed * 1000], strict=True):
+            rows = zip(*self.waiting.getValue((number,)), strict=True)
+            self.waiting.removeKey((number,))
+            held = sorted([*held, *rows], key=lambda r: r[:2])
+            # what a later chunk may come before has to wait for it
+            out = bisect.bisect_left(held, bound, key=lambda r: r[0])
+            for last, i, v in held[:out]:
+                state, r = self.step(state, v)
+                done.append(i)
+                results.append(r)
+            held = held[out:]
+            if len(done) >= CHUNK:
+                yield self.result(key, done, results)
+                done, results = [], []
+        chunks = chunks[len(due) :]
+        self.put(chunks, held)
+        self.store(chunks, None)
         if upto is not None:
             self.handle.deleteTimer(upto + EXPIRY_MS + 1)
-        self.handle.registerTimer(now + EXPIRY_MS + 1)
-        self.current.update((state, now))
-        yield pd.DataFrame({self.key: [key[0]] * len(done), "event_id": done, "_out": pd.Series(results, dtype=object)})
+        upto = _bucket_end(last)
+        self.handle.registerTimer(upto + EXPIRY_MS + 1)
+        self.current.update((state, upto))
+        if done:
+            yield self.result(key, done, results)
+
+    def result(self, key, done: list, results: list) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(done), "event_id": done, "_out": pd.Series(results, dtype=object)})
+
+
+def _bucket_end(at: int) -> int:
+    """The end in milliseconds of the bucket of a time in microseconds."""
+    return (at // 1000 // BUCKET_MS + 1) * BUCKET_MS
 
 
 def _stateful(df: DataFrame, key: str, value: str, state: str, start, step, out: str, delay: str = DELAY) -> DataFrame:

@@ -78,3 +78,88 @@ def test_state_is_forgotten_and_begins_anew(spark, tmp_path):
     end = st.End(spark, "forget")
     got = st.run_to_table(st.gate_stream(end.joined(st.table_stream(spark, str(tmp_path), "log", 1)), "s", "v", 2, 7), "forget", end)
     assert {r.event_id: r.flagged for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True}
+
+
+class Store:
+    """State of one key in memory, with the number of calls."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return StoredValue(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class StoredValue:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def at(self, key=()):
+        self.store.calls += 1
+        return self.name, key
+
+    def exists(self):
+        return self.at() in self.store.values
+
+    def get(self):
+        return self.store.values.get(self.at())
+
+    def update(self, value):
+        self.store.values[self.at()] = value
+
+    def clear(self):
+        self.store.values.pop(self.at(), None)
+
+    def containsKey(self, key):  # noqa: N802
+        return self.at(key) in self.store.values
+
+    def getValue(self, key):  # noqa: N802
+        return self.store.values.get(self.at(key))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.store.values[self.at(key)] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.store.values.pop(self.at(key), None)
+
+
+def test_store_calls_follow_keys_not_buckets(monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rnd = random.Random(4)
+    minutes = rnd.sample(range(40_000), 500)
+    rows = pd.DataFrame({"ts": pd.to_datetime([60 * m for m in minutes], unit="s"), "event_id": range(500), "held": [m % 10 for m in minutes], st.End.MARK: False})
+
+    def feed(parts, marks):
+        store, out = Store(), []
+        fold = st.Replay("s", {"event_id": "bigint", "held": "int"}, "bigint", 0, lambda s, v: (s * 3 + v) % 1009 and (s * 3 + v, s) or (0, s))
+        fold.init(store)
+        for part, mark in zip(parts, marks, strict=True):
+            list(fold.handleInputRows((1,), iter([part]), None))
+            passed = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+            while due := [t for t in store.timers if t < mark]:
+                first = min(due)
+                out += [i for pdf in fold.handleExpiredTimer((1,), passed, SimpleNamespace(getExpiryTimeInMs=lambda at=first: at)) for i in pdf["event_id"]]
+                store.timers.discard(first)
+        return out, store
+
+    want = [i for _, i in sorted(zip(minutes, range(500), strict=True))]
+    out, store = feed([rows], [1 << 50])
+    assert out == want and store.calls < 40 and not store.values
+    # several batches whose times overlap, in chunks of few rows, some of them out before the others come
+    monkeypatch.setattr(st, "CHUNK", 16, raising=False)
+    late = rows["ts"] >= pd.Timestamp(60 * 20_000, unit="s")
+    out, store = feed([rows[~late][::2], rows[~late][1::2], rows[late]], [0, 60_000 * 19_000, 1 << 50])
+    assert out == want and not store.values
