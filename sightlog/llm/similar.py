@@ -5,8 +5,9 @@ fingerprints that differ in up to REACH bits, the distance of texts with a Jacca
 and by all of them if a second word of 64 bits, from other bits of the same shingle hashes, gives keys as well). So candidates are rows of a
 key that differ in at most REACH bits of either word, which keeps rows apart that only share a key; they leave a task as stars, never as pairs. Components of candidates are
 then settled exactly: each member is compared with the kept document of its component, by the Jaccard similarity of all its five-word
-shingles, and goes only if that is SIMILARITY or more. Of members that are not like it, the smallest is kept in the next of ROUNDS
-rounds, and what is like none of these stays. Equal texts are one row before all this.
+shingles, and goes only if that is SIMILARITY or more. Of members that are not like it, the smallest is kept in the next round, and so on until
+no member is left, so every member has been compared with all kept ones before it. Equal texts are one row before all this.
+After ROUNDS rounds the smallest LEADERS members of a component are compared in one round, with each other too: the result is that of single rounds.
 
 A component is not gathered: its kept text meets its members one by one, and Spark splits that join where it is skewed. A key with more than ``simhash.HOT``
 rows is dealt to blocks, whose pairs are groups of their own, as in ``simhash``.
@@ -21,14 +22,14 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightlog.llm import simhash
 from sightlog.llm.common import components, map_batches
 from sightlog.session import materialise
 
-REACH, SHINGLE, SIMILARITY, ROUNDS = 14, 5, 0.8, 3
+REACH, SHINGLE, SIMILARITY, ROUNDS, LEADERS = 14, 5, 0.8, 3, 8
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -126,7 +127,7 @@ def candidate_links(fps: DataFrame, reach: int = REACH, hot: int = simhash.HOT)
     return links.union(dealt(grouped.join(second, "fp").select("key", "fp", "more"), None).select("a", "b"))
 
 
-def duplicates(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def duplicates(documents: DataFrame, similarity: float = SIMILARITY, single_rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
     """(row, kept): rows that are like a kept row of smaller ``place``. ``documents`` is (row, place, text); ``row`` is unique, ``place`` orders."""
 
     def run(rows, places, texts):
@@ -142,25 +143,40 @@ def duplicates(documents: DataFrame, similarity: float = SIMILARITY, rounds: int
     roots = components(candidate_links(fps))
     grouped = single.select("row", "place", "fp").join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("row", "place", F.coalesce("root", "fp").alias("root"))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    open_rows = materialise(grouped.join(sizes, "root"))
+    open_rows = materialise(grouped.join(sizes, "root").select("root", "row", "place"))
     # only texts of components are compared, and only they are moved
     texts = materialise(documents.select("row", F.col("text")).join(open_rows.select("row"), "row", "left_semi"))
-    found = equal
-    for _ in range(rounds):
-        kept = open_rows.groupBy("root").agg(F.min(F.struct("place", "row")).alias("first")).select("root", F.col("first.row").alias("kept"))
-        pairs = open_rows.join(kept, "root").where("row <> kept").select("row", "kept", "root")
-        seen = pairs.join(texts, "row").join(texts.select(F.col("row").alias("kept"), F.col("text").alias("kept_text")), "kept")
-        alike = materialise(map_batches(seen.select("row", "kept", "text", "kept_text"), "row long, kept long, like boolean", _alike(similarity)).where("like").select("row", "kept"))
+    found, done = equal, 0
+    while not open_rows.isEmpty():
+        alike, first = _settled(open_rows, texts, similarity, 1 if done < single_rounds else leaders)
         found = found.union(alike)
-        gone = alike.select("row").union(kept.select(F.col("kept").alias("row")))
-        open_rows = materialise(open_rows.join(gone, "row", "left_anti"))
-        if open_rows.isEmpty():
-            break
+        open_rows = materialise(open_rows.join(alike.select("row").union(first), "row", "left_anti"))
+        done += 1
     return found
 
 
+def _settled(open_rows: DataFrame, texts: DataFrame, similarity: float, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """(row, kept) of rows like a kept one of the first ``leaders`` rows of their component, and the rows that led."""
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("place", "row"))
+    led = materialise(open_rows.withColumn("no", rank).where(F.col("no") <= leaders).select("root", "row", "place", "no"))
+    ahead = led.select("root", F.col("row").alias("kept"), F.col("place").alias("kept_place"), "no")
+    after = (F.col("place") > F.col("kept_place")) | ((F.col("place") == F.col("kept_place")) & (F.col("row") > F.col("kept")))
+    pairs = open_rows.join(ahead, "root").where(after).select("root", "row", "kept", "no")
+    seen = pairs.join(texts, "row").join(texts.select(F.col("row").alias("kept"), F.col("text").alias("kept_text")), "kept")
+    compared = map_batches(seen.select("root", "row", "kept", "no", "text", "kept_text"), "root long, row long, kept long, no int, like boolean", _alike(similarity))
+    alike = materialise(compared.where("like").drop("like"))
+    # in order, a leader goes if it is like one that stays; the others keep what is like them
+    links = alike.join(led.select("row", F.col("no").alias("of")), "row").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("of", "no"))).alias("links"))
+    gone = F.aggregate(
+        "links", F.array().cast("array<int>"),
+        lambda out, x: F.when(F.array_contains(out, x["no"]), out).otherwise(F.array_union(out, F.array(x["of"]))),
+    )
+    stays = alike.join(links.select("root", gone.alias("gone")), "root", "left").where(~F.coalesce(F.array_contains("gone", F.col("no")), F.lit(False)))
+    return materialise(stays.groupBy("row").agg(F.min_by("kept", "no").alias("kept"))), led.select("row")
+
+
 def _alike(similarity: float):
-    def run(rows, kept, texts, kept_texts):
+    def run(roots, rows, kept, numbers, texts, kept_texts):
         memory: dict[str, np.ndarray] = {}
         out = []
         for a, b in zip(texts, kept_texts, strict=True):
@@ -170,6 +186,6 @@ def _alike(similarity: float):
             if b not in memory:
                 memory = {b: shingles(b)}
             out.append(jaccard(shingles(a), memory[b]) >= similarity)
-        return [rows, kept, out]
+        return [roots, rows, kept, numbers, out]
 
     return run

@@ -87,3 +87,27 @@ def test_hot_keys_are_dealt_and_give_the_same_links(spark, family):
 
 def test_no_rows(spark, family):
     assert similar.duplicates(placed(family[1].limit(0))).count() == 0
+
+
+def test_every_member_meets_all_kept_ones_before_it(spark, tmp_path, monkeypatch):
+    """A component of many unlike texts, some with a near copy: what is kept is what one pass in order keeps."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    bases = [[word() for _ in range(100)] for _ in range(14)]
+    near = [[*b[:60], word(), *b[61:]] for b in bases[3:]]
+    chain = [[*bases[9][:60], word(), *bases[9][61 : 90 - k], *(word() for _ in range(10 + k))] for k in range(4)]
+    rows = [" ".join(x) for x in [*bases, *near, *chain]]
+    sets, want, kept = [similar.shingles(t) for t in rows], {}, []
+    for i, s in enumerate(sets):
+        like = next((k for k in kept if similar.jaccard(sets[k], s) >= 0.8), None)
+        if like is None:
+            kept.append(i)
+        else:
+            want[i] = like
+    assert len(want) >= 11
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "t"))
+    # all are candidates of each other
+    monkeypatch.setattr(similar, "candidate_links", lambda fps, *_: fps.crossJoin(fps.agg(F.min("fp").alias("b"))).select(F.col("fp").alias("a"), "b").where("a <> b"))
+    got = similar.duplicates(placed(spark.read.parquet(str(tmp_path / "t")))).collect()
+    assert {x.row: x.kept for x in got} == want
