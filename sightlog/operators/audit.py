@@ -7,11 +7,12 @@ import fnmatch
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightlog import vocab
+from sightlog.functions import geometry as g
 from sightlog.functions import text as tx
 from sightlog.session import materialise
 
@@ -161,12 +162,21 @@ def report_lines(records: DataFrame, files: DataFrame, config: dict, form: str =
 
 #: Every end of a line that source code knows, the same for all rules.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+COMMENT = r"//[^\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]*"
 UNSAFE = rf"\b({'|'.join(vocab.UNSAFE_C_CALLS)})\s*\("
 
 
 def code_lines(content: Column) -> Column:
     """The lines of a C file without what follows //."""
-    return F.transform(F.split(content, LINE_END), lambda raw: F.regexp_replace(raw, "//.*", ""))
+    return F.split(F.regexp_replace(content, COMMENT, ""), LINE_END)
+
+
+def with_match(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, content) of files whose whole text holds a match of ``pattern``, so that other files are not cut into lines.
+
+    For patterns whose matches in a line are matches in the text, too. A generator keeps the test behind the spread of the rows.
+    """
+    return g.keep_value(files.select("path", "content"), "_text", F.when(F.col("content").rlike(pattern), F.col("content"))).select("path", F.col("_text").alias("content"))
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def hits_in(lines: DataFrame, pattern: str) -> DataFrame:
 
 def unsafe_calls(files: DataFrame) -> DataFrame:
     """Unsafe C calls with line and column; what follows // does not count, nor do comment lines."""
-    calls = hits_in(numbered_lines(files).filter(F.col("code").contains("(")), UNSAFE)
+    calls = hits_in(numbered_lines(with_match(files, UNSAFE)).filter(F.col("code").contains("(")), UNSAFE)
     severity = F.when(F.col("name") == "gets", "CRITICAL").otherwise("HIGH")
     return calls.select("path", F.concat(F.lit("c-unsafe-api-"), "name").alias("rule_id"), severity.alias("severity"), "line", "col")
 
@@ -239,7 +249,7 @@ def call_arguments(rest: Column) -> Column:
 
 def format_arguments(files: DataFrame) -> DataFrame:
     """Calls whose format argument is a variable."""
-    calls = hits_in(numbered_lines(files).filter(F.col("code").contains("(")), FORMAT_CALL).withColumn("args", call_arguments(F.col("rest")))
+    calls = hits_in(numbered_lines(with_match(files, FORMAT_CALL)).filter(F.col("code").contains("(")), FORMAT_CALL).withColumn("args", call_arguments(F.col("rest")))
     wanted = tx.strip(F.get("args", F.when(F.col("name").startswith("f"), 1).otherwise(0)))
     named = calls.filter(wanted.rlike(r"^[A-Za-z_]\w*\b") & ~wanted.rlike("^" + LITERAL))
     return named.select("path", F.lit("c-format-string").alias("rule_id"), F.lit("HIGH").alias("severity"), "line", "col")
@@ -256,40 +266,52 @@ FUNCTION = (
     r"(?:[\w\*]+(?:\s+const)?\s+)+([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:const\s*)?\{?\s*$"
 )
 MENTION = r"\b([A-Za-z_]\w*)\b(?!\s*\()"
+#: Words without which nothing is allocated or released.
+ALLOCATORS, RELEASES = ("malloc", "calloc", "realloc", "strdup", "new"), ("free", "delete")
 
 
 def function_spans(lines: Column) -> Column:
     """(first, last, closed) line numbers of functions in an array of lines: from a header to where its braces are level."""
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("depth"), F.lit(0).alias("no"), F.array().cast("array<struct<first:int,last:int,closed:boolean>>").alias("done"))
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("depth"), F.array().cast("array<struct<first:int,last:int,closed:boolean>>").alias("done"))
     count = lambda line, brace: F.length(line) - F.length(F.replace(line, F.lit(brace), F.lit("")))
-
-    def step(acc: Column, line: Column) -> Column:
-        no, level = acc["no"] + 1, count(line, "{") - count(line, "}")
-        first = F.when(acc["first"] > 0, acc["first"]).when(line.rlike(FUNCTION), no).otherwise(0)
-        depth = F.when(first > 0, acc["depth"] + level).otherwise(0)
+    # a step names its line many times, and a lambda repeats what it names: the tests on text are made once per line before, and
+    # lines that are no header and leave the braces as they are take no step
+    level = lambda line: F.when(line.contains("{") | line.contains("}"), count(line, "{") - count(line, "}")).otherwise(0)
+    header = lambda line: line.contains("(") & line.contains(")") & line.rlike(FUNCTION)
+    marks = F.transform(lines, lambda line, i: F.struct((i + 1).alias("no"), level(line).alias("level"), header(line).alias("header")))
+
+    def step(acc: Column, mark: Column) -> Column:
+        first = F.when(acc["first"] > 0, acc["first"]).when(mark["header"], mark["no"]).otherwise(0)
+        depth = F.when(first > 0, acc["depth"] + mark["level"]).otherwise(0)
         over = (first > 0) & (depth <= 0)
-        span = F.struct(first.alias("first"), no.alias("last"), F.lit(True).alias("closed"))
+        span = F.struct(first.alias("first"), mark["no"].alias("last"), F.lit(True).alias("closed"))
         done = F.when(over, F.concat(acc["done"], F.array(span))).otherwise(acc["done"])
-        return F.struct(F.when(over, 0).otherwise(first).alias("first"), F.when(over, 0).otherwise(depth).alias("depth"), no.alias("no"), done.alias("done"))
+        return F.struct(F.when(over, 0).otherwise(first).alias("first"), F.when(over, 0).otherwise(depth).alias("depth"), done.alias("done"))
 
     def end(acc: Column) -> Column:
-        rest = F.struct(acc["first"].alias("first"), acc["no"].alias("last"), F.lit(False).alias("closed"))
+        rest = F.struct(acc["first"].alias("first"), F.size(lines).alias("last"), F.lit(False).alias("closed"))
         return F.when(acc["first"] > 0, F.concat(acc["done"], F.array(rest))).otherwise(acc["done"])
 
-    return F.aggregate(lines, start, step, end)
+    return F.aggregate(F.filter(marks, lambda m: m["header"] | (m["level"] != 0)), start, step, end)
 
 
 def memory_events(files: DataFrame) -> DataFrame:
     """(path, first, closed, var, line, kind, col): what each line does to a variable. ``kind`` is also the order within a
-    line: 1 allocation, 2 free, 3 delete, 4 assignment, 5 mention. Mentions count for variables that the function releases."""
-    whole = files.select("path", code_lines(F.col("content")).alias("lines"))
-    spans = whole.select("path", "lines", F.explode(function_spans(F.col("lines"))).alias("f"))
+    line: 1 allocation, 2 free, 3 delete, 4 assignment, 5 mention. Assignments and mentions count for variables that the function releases."""
+    # nothing is found in a file that neither allocates nor releases, and a line without a pattern's word does not meet it
+    has = lambda text, words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    none = F.array().cast("array<string>")
+    told = g.keep_value(files.select("path", "content"), "text", F.when(has(F.col("content"), ALLOCATORS + RELEASES), F.col("content")))
+    whole = told.select("path", code_lines(F.col("text")).alias("lines"))
+    spans = whole.withColumn("spans", function_spans(F.col("lines"))).select("path", "lines", F.explode("spans").alias("f"))
     body = spans.select("path", "f.first", "f.closed", F.slice("lines", F.col("f.first"), F.col("f.last") - F.col("f.first") + 1).alias("body"))
-    released = F.flatten(F.transform("body", lambda c: F.concat(F.regexp_extract_all(c, F.lit(FREE), F.lit(1)), F.regexp_extract_all(c, F.lit(DELETE), F.lit(1)))))
+    every = lambda c, pattern, words: F.when(has(c, words), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))).otherwise(none)
+    released = F.flatten(F.transform("body", lambda c: F.concat(every(c, FREE, RELEASES[:1]), every(c, DELETE, RELEASES[1:]))))
     lines = body.withColumn("released", F.array_distinct(released)).select("path", "first", "closed", "released", F.posexplode("body").alias("at", "code"))
     lines = lines.withColumn("line", F.col("first") + F.col("at"))
+    c = F.col("code")
     for name, pattern in (("free", FREE), ("delete", DELETE)):
-        lines = lines.withColumn(f"{name}_hits", F.regexp_extract_all("code", F.lit(f"({pattern})"), F.lit(1))).withColumn(f"{name}_gaps", F.split("code", pattern))
+        lines = lines.withColumn(f"{name}_hits", every(c, f"({pattern})", (name,))).withColumn(f"{name}_gaps", F.when(F.size(f"{name}_hits") > 0, F.split("code", pattern)))
 
     def event(kind: int, var: Column, col: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), var.alias("var"), col.cast("int").alias("col"))
@@ -302,11 +324,12 @@ def memory_events(files: DataFrame) -> DataFrame:
         before = lambda k: F.length(F.array_join(F.slice(gaps, F.lit(1), k + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), k), ""))
         return F.transform(hits, lambda hit, k: event(kind, F.regexp_extract(hit, pattern, 1), before(k)))
 
-    names = lambda pattern: F.regexp_extract_all("code", F.lit(pattern), F.lit(1))
-    assigned = names(r"\b([A-Za-z_]\w*)\s*=(?!=)")
-    mentioned = F.array_intersect(F.array_except(names(MENTION), assigned), F.col("released"))
-    uses = F.when((F.size("released") > 0) & (F.size("free_hits") == 0), mentioned).otherwise(F.array().cast("array<string>"))
-    events = F.concat(named(1, names(ALLOCATION)), placed(2, "free", FREE), placed(3, "delete", DELETE), named(4, names(ASSIGNMENT)), named(5, uses))
+    assigned = every(c, r"\b([A-Za-z_]\w*)\s*=(?!=)", "=")
+    mentioned = F.array_intersect(F.array_except(F.regexp_extract_all("code", F.lit(MENTION), F.lit(1)), assigned), F.col("released"))
+    uses = F.when((F.size("released") > 0) & (F.size("free_hits") == 0), mentioned).otherwise(none)
+    # an assignment changes a variable that is gone, so only one that the function releases
+    renewed = F.when(F.size("released") > 0, F.filter(every(c, ASSIGNMENT, "="), lambda var: F.array_contains("released", var))).otherwise(none)
+    events = F.concat(named(1, every(c, ALLOCATION, ALLOCATORS)), placed(2, "free", FREE), placed(3, "delete", DELETE), named(4, renewed), named(5, uses))
     return lines.select("path", "first", "closed", "line", F.inline(events))
 
 
@@ -341,7 +364,7 @@ def memory_findings(files: DataFrame) -> DataFrame:
     folded = events.withColumn("s", F.aggregate("e", start, step)).select("path", "closed", "s")
     leak = F.when(F.col("closed") & F.col("s.held").isNotNull() & ~F.col("s.gone"), found(F.lit("c-memory-leak"), "MEDIUM", F.col("s.held"), F.lit(0)))
     every = F.concat("s.out", F.coalesce(leak, F.array().cast(finding)))
-    return folded.select("path", F.inline(every)).select(*FINDING)
+    return folded.select("path", every.alias("found")).select("path", F.inline("found")).select(*FINDING)
 
 
 # --- Python: facts of the syntax tree, rules as a table ---------------------------------------------
@@ -381,6 +404,7 @@ RULES = [
     ("call", "os.chmod", "world", "python-world-writable", "MEDIUM"),
     *(("method", n, "built", "python-sql-injection", "CRITICAL") for n in SQL_METHODS),
     ("text", ANY, "secret", "python-hardcoded-secret", "HIGH"),
+    ("left", ANY, "", "python-resource-leak", "MEDIUM"),
     ("handler", "", "", "python-bare-except", "MEDIUM"),
     ("handler", "Exception", "quiet", "python-swallowed-exception", "LOW"),
     ("broken", ANY, "", "python-syntax-error", "INFO"),
@@ -457,6 +481,11 @@ def python_facts(source: str) -> list[tuple]:
             case ast.FunctionDef() | ast.AsyncFunctionDef():
                 function = f"{line}:{col}"
         todo += [(child, function) for child in ast.iter_child_nodes(node)][::-1]
+    # the last word on a file that a function opens: a place to itself, or to a with block
+    last = {(f[5], f[1]): f[0] for f in out if f[0] in ("open", "managed")}
+    for function, name in (key for key, kind in last.items() if kind == "open"):
+        line, col = map(int, function.split(":"))
+        out.append(("left", name, [], line, col, function, len(out)))
     return out
 
 
@@ -464,28 +493,26 @@ def syntax_facts(files: DataFrame) -> DataFrame:
     """Facts of all Python files; a file without content could not be read, which is a fact too."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
+            for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
                 facts = [("unread", "", [], 0, 0, "", 0)] if content is None else python_facts(content) if language == "python" else []
                 out += [(path, *fact) for fact in facts]
-            yield pd.DataFrame(out, columns=FACT)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in out], t) for i, t in enumerate(types)], names=FACT)
 
-    return files.select("path", "language", "content").mapInPandas(run, FACT_SCHEMA)
+    types = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.int32()] * 2 + [pa.string(), pa.int32()]
+    # the parser reads texts that are Python or missing; others stay where they are
+    return files.filter("language = 'python' OR content IS NULL").select("path", "language", "content").mapInArrow(run, FACT_SCHEMA)
 
 
 def rule_findings(facts: DataFrame) -> DataFrame:
-    """Facts that meet a rule of the table, and files that a function opens and leaves open."""
+    """Facts that meet a rule of the table."""
     rules = F.broadcast(fixed_table(facts.sparkSession, RULES, "kind, rule, needs, rule_id, severity"))
     secret = F.col("name").rlike(vocab.SECRET_NAME + "$")
     marked = facts.withColumn("marks", F.when((F.col("kind") == "text") & secret, F.array(F.lit("secret"))).otherwise(F.col("marks")))
     keyed = marked.withColumn("rule", F.explode(F.array_distinct(F.array(F.col("name"), F.lit(ANY)))))
     met = keyed.join(rules, ["kind", "rule"]).filter((F.col("needs") == "") | F.array_contains("marks", F.col("needs")))
-    files = facts.filter(F.col("kind").isin("open", "managed"))
-    left = files.groupBy("path", "function", "name").agg(F.max_by("kind", "seq").alias("last")).filter("last = 'open'")
-    place = F.split("function", ":")
-    leaks = left.select("path", F.lit("python-resource-leak").alias("rule_id"), F.lit("MEDIUM").alias("severity"), place[0].cast("int").alias("line"), place[1].cast("int").alias("col"))
-    return met.select(*FINDING).union(leaks)
+    return met.select(*FINDING)
 
 
 def syntax_findings(files: DataFrame) -> DataFrame:

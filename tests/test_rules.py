@@ -181,6 +181,17 @@ def test_python_rules_scope(spark):
     assert findings(spark, source, "python") == [("python-dangerous-os-system", "CRITICAL", 2, 0), ("python-resource-leak", "MEDIUM", 7, 0)]
 
 
+def test_files_are_read_once_by_a_rule(spark):
+    files = spark.createDataFrame([("f", "python", "def f():\n    h = open('a')\n")], "path STRING, language STRING, content STRING")
+    plan = au.rule_findings(au.syntax_facts(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1
+    # an assignment to what is never released decides nothing
+    source = "void f(void) {\n  char *a = malloc(1); // b = 1\n  n = 2;\n  free(a);\n  a = 0;\n}\nint g(void)\nint h(int i) { return i; }\n"
+    c = spark.createDataFrame([("f", "c/c++", source), ("g", "c/c++", "int f(void) {\n  n = 2;\n}\n")], "path STRING, language STRING, content STRING")
+    events = au.memory_events(c).select("var", "line", "kind").collect()
+    assert sorted(map(tuple, events)) == [("a", 2, 1), ("a", 2, 4), ("a", 4, 2), ("a", 5, 4)]
+
+
 def test_deep_sources_are_findings(spark):
     assert [f[0] for f in findings(spark, "x = " + "(" * 5000 + ")" * 5000, "python")] == ["python-syntax-error"]
     chain = findings(spark, "x = " + "+".join(["eval(1)"] * 3000), "python")
