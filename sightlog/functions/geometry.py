@@ -47,6 +47,15 @@ def fixed_text(v: Column, digits: int = 6) -> Column:
     return F.replace(F.format_number(v, digits), F.lit(","), F.lit(""))
 
 
+def fraction_text(v: Column) -> Column:
+    """``fixed_text`` with six decimals, by whole numbers where the rounding is sure: a small positive value that is not near a tie."""
+    micro = v * F.lit(1e6)
+    sure = (v > 0) & (v < 1000) & (F.abs(micro - F.floor(micro) - 0.5) > 1e-4)
+    n = F.rint(micro).cast("bigint")
+    decimals = (n % 1_000_000 + 1_000_000).cast("string").substr(2, 6)
+    return F.when(sure, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("."), decimals)).otherwise(fixed_text(v))
+
+
 def round_half_even(v: Column, digits: int = 6) -> Column:
     """The number itself, rounded; text is made only where text is the result."""
     scale = F.lit(float(10**digits))
@@ -55,8 +64,8 @@ def round_half_even(v: Column, digits: int = 6) -> Column:
 
 def box_line(class_id: Column, box: Column) -> Column:
     """Label text of a normalised box, six decimals."""
-    nums = [fixed_text(box[f]) for f in ("cx", "cy", "bw", "bh")]
-    return F.concat_ws(" ", class_id.cast("string"), *nums)
+    nums = F.transform(F.array(*[box[f] for f in ("cx", "cy", "bw", "bh")]), fraction_text)
+    return F.concat_ws(" ", class_id.cast("string"), nums)
 
 
 def keep_when(df: DataFrame, cond: Column, out: str, value: Column) -> DataFrame:

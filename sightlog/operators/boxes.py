@@ -30,7 +30,8 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
     """
     v = lambda i: F.get("_t", F.lit(i)).try_cast("double")
     to_int = (lambda c: c.try_cast("int")) if rounding == "truncate" else (lambda c: F.rint(c).try_cast("int"))
-    tokens = lines.withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+")).filter((F.size("_t") == 5) & numbers_only(F.col("_t")))
+    split = lines.withColumn("_s", F.split(tx.strip(F.col("line")), r"\s+"))
+    tokens = g.keep_when(split, (F.size("_s") == 5) & numbers_only(F.col("_s")), "_t", F.col("_s"))
     return tokens.select(
         *[c for c in lines.columns if c != "line"],
         v(0).try_cast("int").alias("class_id"),
@@ -44,13 +45,14 @@ def parse_label_lines(lines: DataFrame, rounding: str = "truncate") -> DataFrame
 def clamp_label_lines(lines: DataFrame) -> DataFrame:
     """Clamped text of lines with five numbers; other lines stay as they are, blank ones go."""
     v = lambda i: F.get("_t", F.lit(i)).try_cast("double")
-    tokens = lines.filter(tx.strip(F.col("line")) != "").withColumn("_t", F.split(tx.strip(F.col("line")), r"\s+"))
+    stripped = lines.withColumn("_s", tx.strip(F.col("line")))
+    tokens = g.keep_when(stripped, F.col("_s") != "", "_text", F.col("_s")).drop("_s").withColumn("_t", F.split("_text", r"\s+"))
     fixed = F.when((F.size("_t") == 5) & numbers_only(F.col("_t")), g.box_line(v(0).try_cast("int"), F.col("_b")))
     return (
         g.add_clamped(tokens, "_b", v(1), v(2), v(3), v(4))
         .withColumn("fixed", F.coalesce(fixed, F.col("line")))
-        .withColumn("changed", F.col("fixed") != tx.strip(F.col("line")))
-        .drop("_t", "_b")
+        .withColumn("changed", F.col("fixed") != F.col("_text"))
+        .drop("_t", "_b", "_text")
     )
 
 

@@ -17,7 +17,7 @@ from sightlog.plans import boxes_queries as bq
 from sightlog.plans import pages_queries as pq
 from sightlog.plans import sessions_queries as sq
 from sightlog.plans.registry import query
-from sightlog.session import scratch_path
+from sightlog.session import materialise, scratch_path
 from sightlog.sources import sinks
 from sightlog.sources import tables as src
 
@@ -105,7 +105,8 @@ def retrain_extract(spark, sf):
     boxes = local.select(*keep).unionByName(missed.select(*keep))
     boxes = boxes.withColumn("n", g.normalised(F.col("b.x1"), F.col("b.y1"), F.col("b.x2"), F.col("b.y2"), w, h))
     lines = boxes.select("frame_id", "det_no", "class_id", g.box_line(F.col("class_id"), F.col("n")).alias("line"))
-    split = split_column(lines.select("frame_id").distinct())
+    # the split reads its samples several times: their keys are stored, so that no box is made again for them
+    split = split_column(materialise(boxes.select("frame_id").distinct()))
     states = src.ground_truth(spark, sf).selectExpr("frame_id", "expected_state AS state").join(split, "frame_id")
     out = scratch_path(spark, "retrain")
     sinks.write_dataset(lines.join(split, "frame_id"), states, out)

@@ -35,6 +35,16 @@ def test_rounding_follows_the_binary_value(spark):
     assert [r.t for r in df.collect()] == [f"{v:.6f}" for v in values]
 
 
+def test_label_text_is_made_once(spark):
+    values = [0.0, -0.25, 1e-7, 0.0000005, 0.2453125, 0.1234565, 0.9999995, 0.9999999, 12.5, 999.9999996, 1000.25, *(i / 1280 for i in range(400))]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select(g.fraction_text(F.col("v")).alias("t"))
+    assert [r.t for r in df.collect()] == [f"{v:.6f}" for v in values]
+    box = F.struct(*[(F.col("id") / 7).alias(c) for c in ("cx", "cy", "bw", "bh")])
+    lines = spark.range(5).select(F.lit(10).alias("w"), F.lit(10).alias("h"), g.box_line(F.lit(1), box).alias("line"))
+    plan = bx.parse_label_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_number") == 1
+
+
 @pytest.mark.parametrize("box,want", [((10, 10, 50, 40), (10, 10, 50, 40)), ((50, 10, 10, 40), None), ((-5, 90, 300, 130), (0, 90, 200, 100)),
                                       ((210, 10, 260, 40), None)])
 def test_clamp_to_image(spark, box, want):
