@@ -49,19 +49,14 @@ def front_matter(text: Column) -> Column:
 
     def entry(line):
         value = strip(F.regexp_extract(line, r"^[A-Za-z_]\w*:\s*(.*)$", 1))
-        quoted = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')
-        return F.struct(
-            F.regexp_extract(line, r"^([A-Za-z_]\w*):", 1).alias("key"),
-            F.when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value).alias("value"),
-        )
+        return F.struct(F.substring_index(line, ":", 1).alias("key"), F.regexp_replace(value, r'(?s)\A"(.*)"\z', "$1").alias("value"))
 
-    pairs = F.transform(lines, entry)
-    # a repeated key keeps its last value
-    last = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))),
-        lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["key"] == p["key"]),
-    )
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    def last(pairs):
+        # a repeated key keeps its last value
+        return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
+
+    # the block is read once: the pairs are a variable, where a column would be made again for each of them
+    return F.get(F.transform(F.array(F.transform(lines, entry)), last), F.lit(0))
 
 
 def first_filled(*cols: Column) -> Column:

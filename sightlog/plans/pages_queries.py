@@ -11,6 +11,7 @@ from sightlog.operators import labels as lb
 from sightlog.operators.segments import global_rank
 from sightlog.plans.registry import query
 from sightlog.plans.views import case
+from sightlog.session import materialise
 from sightlog.sources import tables as src
 
 # Source pages are written out from the part table, one page per part, so that the expected
@@ -358,9 +359,10 @@ def catalogue_stats(spark, sf):
     f"WITH {IMAGES} SELECT name, CAST(dense_rank() OVER (ORDER BY encode(name)) - 1 AS BIGINT) AS type_id, CAST((SELECT max(level) FROM kept) AS BIGINT) AS max_level FROM (SELECT DISTINCT name FROM kept)",
 )
 def type_vocabulary(spark, sf):
-    images = catalogue(spark, sf)
-    names = global_rank(images.select("name").distinct(), ["name"], "rank")
-    top = images.agg(F.max("level").alias("max_level"))
+    # names with their largest level are stored, so that the images are read once
+    levels = materialise(catalogue(spark, sf).groupBy("name").agg(F.max("level").alias("level")))
+    names = global_rank(levels.select("name"), ["name"], "rank")
+    top = levels.agg(F.max("level").alias("max_level"))
     return names.join(F.broadcast(top), how="cross").select("name", (F.col("rank") - 1).alias("type_id"), "max_level")
 
 

@@ -14,6 +14,7 @@ from sightlog.operators import catalogue as ct
 from sightlog.operators import evaluate as ev
 from sightlog.operators import scoring as sc
 from sightlog.operators import teacher as te
+from sightlog.plans import all_queries
 from sightlog.sources import files
 
 
@@ -256,3 +257,26 @@ def test_file_readers(spark, tmp_path):
 
 def test_vocabulary():
     assert len(vocab.CLASSES) == 17 and len(vocab.DEFENCES) == 22 and vocab.CLASSES[6] == "进攻按钮"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_front_matter_is_read_once(spark):
+    df = spark.createDataFrame([('---\na: "x"\nb: "\nc: y z \na: ""\n---\n',)], "t STRING").select(tx.front_matter(F.col("t")).alias("m"))
+    assert one(df).m == {"a": "", "b": '"', "c": "y z"}
+    assert plan_of(df.withColumn("n", F.size("m"))).count("split(") == 1
+
+
+def test_tokens_of_calls_stay_where_their_row_is(spark):
+    pages = spark.createDataFrame([("k", "a(`table`,null,[])")], "k STRING, text STRING")
+    assert "ENSURE_REQUIREMENTS" not in ct.call_tables(pages, "k", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cube_keeps_no_set_of_frames(spark):
+    assert "count(distinct" not in plan_of(all_queries()["ag17_split_class_cube"](spark, "/root/testdata/sf0.001"))
+
+
+def test_estimates_look_for_neighbours_once(spark):
+    assert "collect_set(" not in plan_of(all_queries()["so2_loot_estimate"](spark, "/root/testdata/sf0.001"))
