@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sightlog import vocab
 from sightlog.functions import text as tx
+from sightlog.sources.tables import spread
 
 # where links and image names point; a crawl of another site passes its own
 SITE = "https://pages.example"
@@ -286,7 +287,8 @@ def call_tables(pages: DataFrame, key: str, text: str) -> DataFrame:
         return F.coalesce(F.transform(calls_in(part, tag), cell), none)
 
     within = lambda tag: F.get(calls_in(F.col("inside"), tag), F.lit(0))["inside"]
-    numbered = pages.select(key, text).withColumn("_row", F.monotonically_increasing_id())
+    # rows are dealt before their tokens are made: windows, lists and the join find them in place, and a task holds its share of the table
+    numbered = spread(pages.select(key, text).withColumn("_row", F.monotonically_increasing_id()), "_row")
     found = call_items(numbered.select("_row", F.col(text)), "_row", text).select("_row", F.posexplode(calls_in(F.col("items"), "table")).alias("table_no", "_t"))
     parts = found.select("_row", "table_no", F.coalesce("_t.label", F.lit("")).alias("label"), F.col("_t.inside").alias("inside"))
     parts = parts.withColumns({"_head": within("thead"), "_body": within("tbody")})
