@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightlog import vocab
@@ -513,11 +514,16 @@ FROM frames f JOIN det d USING (frame_id) GROUP BY CUBE (f.split, d.class_id)"""
     "det frames",
 )
 def split_class_cube(spark, sf):
-    # boxes of one frame and class are folded first; the cube then works on that smaller table
-    per = src.detections(spark, sf).groupBy("frame_id", "class_id").agg(lb.count_rows("n"))
-    joined = src.frames(spark, sf).select("frame_id", "split").join(per, "frame_id")
-    return joined.cube("split", "class_id").agg(
-        F.sum("n").alias("n_boxes"), F.count_distinct("frame_id").alias("n_frames")
+    # a frame's boxes meet in one task: each of its classes counts it once, its first class counts it for all classes, and a frame has one
+    # split. So the cube is made of the few cells of split and class, and no set of frames is kept
+    per = src.spread(src.detections(spark, sf).select("frame_id", "class_id"), "frame_id").groupBy("frame_id", "class_id").agg(lb.count_rows("n"))
+    frames = src.spread(src.frames(spark, sf).select("frame_id", "split"), "frame_id").groupBy("frame_id", "split").agg(lb.count_rows("copies"))
+    first = F.row_number().over(Window.partitionBy("frame_id").orderBy("class_id")) == 1
+    cells = frames.join(per, "frame_id").withColumn("first", first.cast("bigint")).groupBy("split", "class_id").agg(
+        F.sum(F.col("n") * F.col("copies")).alias("n"), lb.count_rows("frames"), F.sum("first").alias("firsts")
+    )
+    return cells.cube("split", "class_id").agg(
+        F.sum("n").alias("n_boxes"), F.when(F.grouping("class_id") == 0, F.sum("frames")).otherwise(F.sum("firsts")).alias("n_frames")
     )
 
 
