@@ -19,6 +19,7 @@ from sightlog import vocab
 from sightlog.operators import scoring, spatial
 from sightlog.operators.segments import group_starts, in_order
 from sightlog.operators.sites import site_memory, with_sites
+from sightlog.session import materialise
 
 TARGET_PX, MAX_REPEATS, MIN_SEEN = 48, 2, 2
 #: Place of a requested candidate in its frame: after all detections.
@@ -54,13 +55,14 @@ def candidates(
     everything = add_requests(targets.drop("cap"), requests, size).join(targets.select("frame_id", "det_no", "cap"), ["frame_id", "det_no"], "left")
     everything = everything.withColumn("cap", F.coalesce("cap", vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY))).join(frames, "frame_id")
     # every candidate is observed, also one that is not open to a choice
-    placed = with_sites(everything, ["session_id", "name"], ["frame_id", "det_no"])
+    # memory and scores both start from it, routes and costs from the scores: stored, so that sites and neighbours are found once
+    placed = materialise(with_sites(everything, ["session_id", "name"], ["frame_id", "det_no"]))
     seen = site_memory(placed, ["session_id", "name"], ["frame_id", "det_no"], c("cap"), "step")
     site = ["session_id", "name", "site_x", "site_y"]
     memory = seen.groupBy(*site, "frame_id").agg(F.max("times_seen").alias("seen"), F.max("max_capacity").alias("capacity"))
     asked = everything.filter(c("det_no") == REQUESTED).select("frame_id", F.lit("target").alias("role"), "x", "y")
     near = scoring.with_neighbours(scoring.skip_full(placed, full), points.unionByName(asked))
-    scored = scoring.score_targets(near, size)
+    scored = materialise(scoring.score_targets(near, size))
     costs = scoring.approach(scored, walls, cfg)
     able = costs.filter((c("dist") <= cfg["max_px"]) & (c("wall_cost") <= cfg["wall_limit"]) & (c("risk") <= cfg["max_risk"]))
     joined = able.join(memory, [*site, "frame_id"]).join(requests, "frame_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightlog import vocab
 from sightlog.functions import geometry as g
 from sightlog.operators import spatial
+from sightlog.session import materialise
 
 WEIGHTS = {"value": 0.40, "access": 0.35, "safety": 0.15, "distance": 0.10}
 SAFE_PX = 200
@@ -100,6 +101,8 @@ def estimate_loot(targets: DataFrame, walls: DataFrame, known: DataFrame | None
     """
     c = F.col
     kept = targets.columns
+    # routes, known boxes and the estimate itself read the targets: stored, so that neighbours are looked for once
+    targets = materialise(targets)
     t = approach(targets, walls, cfg)
     default = vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY)
     if "level" in targets.columns:
