@@ -4,12 +4,14 @@
 fingerprints that differ in up to REACH bits, the distance of texts with a Jaccard similarity of 0.8 (measured on sf0.1: by 97 of 100 such pairs,
 and by all of them if a second word of 64 bits, from other bits of the same shingle hashes, gives keys as well). So candidates are rows of a
 key that differ in at most REACH bits of either word, which keeps rows apart that only share a key; they leave a task as stars, never as pairs. Components of candidates are
-then settled exactly: each member is compared with the kept document of its component, by the Jaccard similarity of all its five-word
-shingles, and goes only if that is SIMILARITY or more. Of members that are not like it, the smallest is kept in the next round, and so on until
-no member is left, so every member has been compared with all kept ones before it. Equal texts are one row before all this.
-After ROUNDS rounds the smallest LEADERS members of a component are compared in one round, with each other too: the result is that of single rounds.
-
-A component is not gathered: its kept text meets its members one by one, and Spark splits that join where it is skewed. A key with more than ``simhash.HOT``
+then settled exactly: each member is compared with the kept documents of its component, by the Jaccard similarity of all its five-word
+shingles, and goes only if that is SIMILARITY or more to one of them. Members come in the order of their places, so every member has been compared
+with all kept ones before it. Equal texts are one row before all this.
+
+A component is settled in rounds of blocks, and no text moves once per pair. The first LEADERS members (fewer, if their texts come to ROOM characters) meet in one
+task, in order; those of them that stay then meet the rest of the component, which is dealt to groups of GROUP members, and what is like none
+of them goes on to the next round. So a component of n members takes n / LEADERS rounds, its texts move once a round, and no task holds
+more than a block of it; components of up to LEADERS members, nearly all, are settled at once. A key with more than ``simhash.HOT``
 rows is dealt to blocks, whose pairs are groups of their own, as in ``simhash``.
 
 Defined cases: null texts count as empty; texts of fewer than five words are one shingle, texts without words are alike; repeated rows
@@ -29,7 +31,9 @@ from sightlog.llm import simhash
 from sightlog.llm.common import components, map_batches
 from sightlog.session import materialise
 
-REACH, SHINGLE, SIMILARITY, ROUNDS, LEADERS = 14, 5, 0.8, 3, 8
+REACH, SHINGLE, SIMILARITY = 14, 5, 0.8
+#: Members of a component that lead a round, characters of them, and members that meet them in one task.
+LEADERS, ROOM, GROUP = 512, 1 << 22, 2048
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -127,65 +131,142 @@ def candidate_links(fps: DataFrame, reach: int = REACH, hot: int = simhash.HOT)
     return links.union(dealt(grouped.join(second, "fp").select("key", "fp", "more"), None).select("a", "b"))
 
 
-def duplicates(documents: DataFrame, similarity: float = SIMILARITY, single_rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
+def duplicates(documents: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS, room: int = ROOM, group: int = GROUP) -> DataFrame:
     """(row, kept): rows that are like a kept row of smaller ``place``. ``documents`` is (row, place, text); ``row`` is unique, ``place`` orders."""
 
     def run(rows, places, texts):
         both = [simhash._majority(t or "", simhash.WORDS, simhash.SEED, 2) for t in texts]
-        return [rows, places, [b[0] for b in both], [b[1] for b in both], [sha256((t or "").encode()).hexdigest() for t in texts]]
+        return [rows, places, [b[0] for b in both], [b[1] for b in both], [len(t or "") for t in texts], [sha256((t or "").encode()).hexdigest() for t in texts]]
 
-    docs = materialise(map_batches(documents.select("row", "place", "text"), "row long, place long, fp long, more long, sha string", run))
+    docs = materialise(map_batches(documents.select("row", "place", "text"), "row long, place long, fp long, more long, size long, sha string", run))
     # equal texts need no comparison and move no text: the first of each stands for all
-    first = docs.groupBy("sha").agg(F.min(F.struct("place", "row", "fp", "more")).alias("m"))
+    first = docs.groupBy("sha").agg(F.min(F.struct("place", "row", "fp", "more", "size")).alias("m"))
     equal = docs.select("row", "sha").join(first.select("sha", F.col("m.row").alias("kept")), "sha").where("row <> kept").select("row", "kept")
     single = materialise(first.select("m.*"))
     fps = single.groupBy("fp").agg(F.min("more").alias("more"))
     roots = components(candidate_links(fps))
-    grouped = single.select("row", "place", "fp").join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("row", "place", F.coalesce("root", "fp").alias("root"))
+    placed = single.select("row", "place", "size", "fp").join(roots.withColumnRenamed("id", "fp"), "fp", "left")
+    grouped = placed.select("row", "place", "size", F.coalesce("root", "fp").alias("root"))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    open_rows = materialise(grouped.join(sizes, "root").select("root", "row", "place"))
-    # only texts of components are compared, and only they are moved
-    texts = materialise(documents.select("row", F.col("text")).join(open_rows.select("row"), "row", "left_semi"))
-    found, done = equal, 0
-    while not open_rows.isEmpty():
-        alike, first = _settled(open_rows, texts, similarity, 1 if done < single_rounds else leaders)
-        found = found.union(alike)
-        open_rows = materialise(open_rows.join(alike.select("row").union(first), "row", "left_anti"))
-        done += 1
+    # only texts of components are compared, and only they are stored
+    open_rows = materialise(grouped.join(sizes, "root").join(documents.select("row", "text"), "row").select("root", "row", "place", "size", "text"))
+    found = equal
+    while open_rows is not None:
+        alike, open_rows = _settled(open_rows, similarity, leaders, room, group)
+        for part in alike:
+            found = found.union(part)
     return found
 
 
-def _settled(open_rows: DataFrame, texts: DataFrame, similarity: float, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """(row, kept) of rows like a kept one of the first ``leaders`` rows of their component, and the rows that led."""
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("place", "row"))
-    led = materialise(open_rows.withColumn("no", rank).where(F.col("no") <= leaders).select("root", "row", "place", "no"))
-    ahead = led.select("root", F.col("row").alias("kept"), F.col("place").alias("kept_place"), "no")
-    after = (F.col("place") > F.col("kept_place")) | ((F.col("place") == F.col("kept_place")) & (F.col("row") > F.col("kept")))
-    pairs = open_rows.join(ahead, "root").where(after).select("root", "row", "kept", "no")
-    seen = pairs.join(texts, "row").join(texts.select(F.col("row").alias("kept"), F.col("text").alias("kept_text")), "kept")
-    compared = map_batches(seen.select("root", "row", "kept", "no", "text", "kept_text"), "root long, row long, kept long, no int, like boolean", _alike(similarity))
-    alike = materialise(compared.where("like").drop("like"))
-    # in order, a leader goes if it is like one that stays; the others keep what is like them
-    links = alike.join(led.select("row", F.col("no").alias("of")), "row").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("of", "no"))).alias("links"))
-    gone = F.aggregate(
-        "links", F.array().cast("array<int>"),
-        lambda out, x: F.when(F.array_contains(out, x["no"]), out).otherwise(F.array_union(out, F.array(x["of"]))),
+def _settled(open_rows: DataFrame, similarity: float, leaders: int, room: int, group: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(row, kept) of rows like a kept one of the first block of their component, and the rows that are like none (none left: None)."""
+    ids = open_rows.select("root", "place", "row", "size")
+    order = Window.partitionBy("root").orderBy("place", "row")
+    block = ids.withColumn("no", F.row_number().over(order)).where(F.col("no") <= leaders)
+    block = block.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") < room)
+    ends = block.groupBy("root").agg(F.max(F.struct("place", "row")).alias("end"), F.count("*").alias("led"))
+    left = ids.groupBy("root").agg(F.count("*").alias("n")).join(ends, "root").where("n > led")
+    # one row for each component that goes on after its block, so it is far smaller than what it is joined with
+    cuts = materialise(left.select("root", "end", F.ceil((F.col("n") - F.col("led")) / group).cast("int").alias("groups")))
+    marked = open_rows.join(F.broadcast(cuts), "root", "left").withColumn("later", F.coalesce(F.struct("place", "row") > F.col("end"), F.lit(False)))
+    rows = marked.where(~F.col("later")).select("root", "place", "row", "groups", "text")
+    ahead = rows.repartition("root").sortWithinPartitions("root", "place", "row").mapInArrow(_in_order(similarity), "root long, place long, row long, groups int, kept long, text string")
+    ahead = materialise(ahead)
+    gone = [_pairs(ahead)]
+    if cuts.isEmpty():
+        return gone, None
+    heads = ahead.where("kept IS NULL AND groups IS NOT NULL").select(
+        "root", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(False).alias("later"), "place", "row", F.lit(None).cast("long").alias("size"), "text"
     )
-    stays = alike.join(links.select("root", gone.alias("gone")), "root", "left").where(~F.coalesce(F.array_contains("gone", F.col("no")), F.lit(False)))
-    return materialise(stays.groupBy("row").agg(F.min_by("kept", "no").alias("kept"))), led.select("row")
-
-
-def _alike(similarity: float):
-    def run(roots, rows, kept, numbers, texts, kept_texts):
-        memory: dict[str, np.ndarray] = {}
-        out = []
-        for a, b in zip(texts, kept_texts, strict=True):
-            if a == b:
-                out.append(True)
-                continue
-            if b not in memory:
-                memory = {b: shingles(b)}
-            out.append(jaccard(shingles(a), memory[b]) >= similarity)
-        return [roots, rows, kept, numbers, out]
+    rest = marked.where("later").select("root", F.pmod(F.xxhash64("row"), F.col("groups")).cast("int").alias("group"), "later", "place", "row", "size", "text")
+    met = heads.union(rest).repartition("root", "group").sortWithinPartitions("root", "group", "later", "place", "row")
+    met = materialise(met.mapInArrow(_against(similarity), "root long, place long, row long, size long, kept long, text string"))
+    gone.append(_pairs(met))
+    open_rows = met.where("kept IS NULL").select("root", "row", "place", "size", "text")
+    return gone, None if open_rows.isEmpty() else open_rows
+
+
+def _pairs(settled: DataFrame) -> DataFrame:
+    """The pairs alone are stored, so that texts of a round go with it."""
+    return materialise(settled.where("kept IS NOT NULL").select("row", "kept"))
+
+
+class _Kept:
+    """Shingle sets of kept rows, in order, side by side as numbers of a common list."""
+
+    def __init__(self):
+        self.numbers: dict[int, int] = {}
+        self.rows: list[int] = []
+        self.starts: list[int] = []
+        self.sizes: list[int] = []
+        self.flat, self.used = np.empty(1024, dtype=np.int64), 0
+        self.seen = np.zeros(1024, dtype=bool)
+
+    def add(self, row: int, own: np.ndarray) -> None:
+        end = self.used + len(own)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * end - self.used, dtype=np.int64)])
+        self.flat[self.used : end] = [self.numbers.setdefault(h, len(self.numbers)) for h in own.tolist()]
+        if len(self.numbers) > len(self.seen):
+            self.seen = np.zeros(2 * len(self.numbers), dtype=bool)
+        self.rows.append(row)
+        self.starts.append(self.used)
+        self.sizes.append(len(own))
+        self.used = end
+
+    def first_like(self, own: np.ndarray, similarity: float) -> int | None:
+        """The first kept row with a Jaccard similarity of ``similarity`` or more."""
+        known = [i for i in map(self.numbers.get, own.tolist()) if i is not None]
+        if not known:
+            return None
+        self.seen[known] = True
+        both = np.add.reduceat(self.seen[self.flat[: self.used]], self.starts, dtype=np.int64)
+        self.seen[known] = False
+        like = np.nonzero(both / (len(own) + np.array(self.sizes) - both) >= similarity)[0]
+        return self.rows[like[0]] if len(like) else None
+
+
+def _in_order(similarity: float):
+    """Rows of a component in order: each is kept, or goes with the first kept one that it is like. Texts go on only where they lead a longer component."""
+
+    def run(batches):
+        now, kept = None, _Kept()
+        for batch in batches:
+            roots, _, rows, groups, texts = (c.to_pylist() for c in batch.columns)
+            found, on = [], []
+            for root, row, more, text in zip(roots, rows, groups, texts, strict=True):
+                if root != now:
+                    now, kept = root, _Kept()
+                own = shingles(text)
+                found.append(kept.first_like(own, similarity))
+                if found[-1] is None:
+                    kept.add(row, own)
+                on.append(text if found[-1] is None and more is not None else None)
+            columns = [*batch.columns[:4], pa.array(found, pa.int64()), pa.array(on, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "place", "row", "groups", "kept", "text"])
+
+    return run
+
+
+def _against(similarity: float):
+    """The later rows of each group, with the first of the group's leading rows that they are like; texts of the others go on."""
+
+    def run(batches):
+        now, kept = None, _Kept()
+        for batch in batches:
+            roots, numbers, later, places, rows, sizes, texts = (c.to_pylist() for c in batch.columns)
+            out = []
+            for root, number, after, place, row, size, text in zip(roots, numbers, later, places, rows, sizes, texts, strict=True):
+                if (root, number) != now:
+                    now, kept = (root, number), _Kept()
+                own = shingles(text)
+                if not after:
+                    kept.add(row, own)
+                    continue
+                first = kept.first_like(own, similarity)
+                out.append((root, place, row, size, first, text if first is None else None))
+            types = [pa.int64()] * 5 + [pa.string()]
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "place", "row", "size", "kept", "text"])
 
     return run

@@ -111,3 +111,32 @@ def test_every_member_meets_all_kept_ones_before_it(spark, tmp_path, monkeypatch
     monkeypatch.setattr(similar, "candidate_links", lambda fps, *_: fps.crossJoin(fps.agg(F.min("fp").alias("b"))).select(F.col("fp").alias("a"), "b").where("a <> b"))
     got = similar.duplicates(placed(spark.read.parquet(str(tmp_path / "t")))).collect()
     assert {x.row: x.kept for x in got} == want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"leaders": 7, "group": 5}, {"room": 900, "group": 4}])
+def test_a_component_of_many_unlike_texts_takes_few_rounds(spark, tmp_path, monkeypatch, sizes):
+    """One round for a component within a block, whatever stays of it; blocks and groups of any size give what one pass in order keeps."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(100)]
+    rows = []
+    for _ in range(48):
+        copy = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            copy[r.randrange(100)] = word()
+        rows.append(" ".join(copy))
+    sets, want, kept = [similar.shingles(x) for x in rows], {}, []
+    for i, s in enumerate(sets):
+        like = next((k for k in kept if similar.jaccard(sets[k], s) >= 0.8), None)
+        if like is None:
+            kept.append(i)
+        else:
+            want[i] = like
+    assert len(want) >= 4 and len(kept) >= 25
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(similar, "candidate_links", lambda fps, *_: fps.crossJoin(fps.agg(F.min("fp").alias("b"))).select(F.col("fp").alias("a"), "b").where("a <> b"))
+    rounds, settled = [], similar._settled
+    monkeypatch.setattr(similar, "_settled", lambda *a: rounds.append(1) or settled(*a))
+    got = similar.duplicates(placed(spark.read.parquet(str(tmp_path / "t"))), **sizes).collect()
+    assert {x.row: x.kept for x in got} == want
+    assert len(rounds) == 1 if not sizes else len(rounds) > 1
