@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightlog import vocab
 from sightlog.functions import geometry as g
 from sightlog.functions import text as tx
-from sightlog.operators.segments import ordered
+from sightlog.operators.segments import LARGE, row_numbers
 
 SIGNALS = {"attack": "进攻按钮", "return": "返回按钮", "search": "搜索对手按钮", "next": "下一个按钮", "end": "结束战斗按钮"}
 MIN_CONF = 0.25
@@ -189,22 +189,30 @@ def known_resources(status: DataFrame, spoken: DataFrame) -> DataFrame:
     return both.select("frame_id", F.when(c("detected") > 0, amounts("")).when(said, amounts("said_")).alias("resources"))
 
 
-def signal_points(boxes: DataFrame, segments: int | None = None) -> DataFrame:
+def signal_points(boxes: DataFrame, segments: int | None = None, large: int = LARGE) -> DataFrame:
     """The point lists of each tick as rows (frame_id, kind, place, name, resource, x, y): all targets by vocabulary and detection order, all
     collectible icons and all request entries in detection order; ``place`` numbers a list from 1.
 
     ``boxes`` is (frame_id, det_no, type, x1, y1, x2, y2). Lists are rows, so a crowded frame is no long array; boxes at an unknown place do not count.
+    A row moves as numbers: its place in the vocabulary stands for name, kind and resource.
     """
     c = F.col
-    icons = {icon: resource for resource, icon in vocab.COLLECT_ICONS.items()}
-    kind = F.when(c("type").isin(list(vocab.BUILDING_RESOURCE)), "target").when(c("type").isin(list(icons)), "icon").when(c("type") == "请求条目", "request")
+    listed = [(n, "target", r) for n, r in vocab.BUILDING_RESOURCE.items()]
+    n_targets = len(listed)
+    listed += [(icon, "icon", resource) for resource, icon in vocab.COLLECT_ICONS.items()]
+    n_points = len(listed)
+    listed += [("请求条目", "request", None)]
     rows = boxes.select(
-        "frame_id", "det_no", c("type").alias("name"), kind.alias("kind"), g.centre(c("x1"), c("x2")).alias("x"), g.centre(c("y1"), c("y2")).alias("y"),
-        F.coalesce(vocab.lookup(c("type"), {n: i for i, n in enumerate(vocab.BUILDING_RESOURCE)}), F.lit(0)).alias("_p"),
-        vocab.lookup(c("type"), {**vocab.BUILDING_RESOURCE, **icons}).alias("resource"),
-    ).filter("kind IS NOT NULL AND x > 0 AND y > 0")
-    o = ordered(rows, ["frame_id", "kind"], ["_p", "det_no"], segments).row_number("place")
-    return o.result().select("frame_id", "kind", "place", "name", "resource", "x", "y")
+        "frame_id", "det_no", vocab.lookup(c("type"), {n: i for i, (n, _, _) in enumerate(listed)}).alias("_entry"),
+        g.centre(c("x1"), c("x2")).alias("x"), g.centre(c("y1"), c("y2")).alias("y"),
+    ).filter("x > 0 AND y > 0 AND _entry IS NOT NULL")
+    target = c("_entry") < n_targets
+    rows = rows.withColumns({
+        "_kind": F.when(target, 0).when(c("_entry") < n_points, 1).otherwise(2), "_p": F.when(target, c("_entry")).otherwise(0),
+    })
+    placed = row_numbers(rows, ["frame_id", "_kind"], ["_p", "det_no"], "place", segments, large)
+    entry = lambda k: vocab.lookup(c("_entry"), {i: e[k] for i, e in enumerate(listed)})
+    return placed.select("frame_id", entry(1).alias("kind"), "place", entry(0).alias("name"), entry(2).alias("resource"), "x", "y")
 
 
 def frame_signals(frames: DataFrame, boxes: DataFrame, resources: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from sightlog.operators import labels as lb
 from sightlog.operators import machines as ma
 from sightlog.operators import replay as rp
 from sightlog.operators import splits
-from sightlog.operators.segments import global_rank, machine_states
+from sightlog.operators.segments import global_rank, machine_states, ordered, row_numbers
 
 K, O = ["s"], ["t"]
 
@@ -183,3 +183,33 @@ def test_split_per_group(spark):
     df = spark.range(101).withColumn("g", F.when(F.col("id") == 0, 0).otherwise(1 + F.col("id") % 2))
     got = {r.g: r.n for r in splits.split_per_group(df, ["g"], ["id"], 0.3).filter("is_val").groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 15, 2: 15}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("large", [10, 100, 1000])
+def test_row_numbers_of_small_and_large_groups(spark, large):
+    rnd = random.Random(7)
+    # half of the rows in one group, some under no key, the rest in groups of a few
+    rows = [(1 if rnd.random() < 0.5 else rnd.choice([None, *range(2, 60)]), t) for t in range(600)]
+    rnd.shuffle(rows)
+    got = row_numbers(spark.createDataFrame(rows, "s INT, t INT"), K, O, "n", 7, large).collect()
+    seen, want = {}, set()
+    for s, t in sorted(rows, key=lambda r: r[1]):
+        seen[s] = seen.get(s, 0) + 1
+        want.add((s, t, seen[s]))
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
+def test_row_numbers_store_nothing_and_move_rows_once(spark):
+    rows = spark.range(1000).selectExpr("id % 300 AS s", "id AS t")
+    logical, physical = plan_of(row_numbers(rows, K, O, "n"))
+    assert "LogicalRDD" not in logical and physical.count("Exchange") == 1
+
+
+def test_what_segments_hand_on_is_broadcast(spark, log):
+    df, _ = log
+    _, physical = plan_of(ordered(df, K, O, 4).row_number("n").result())
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical

@@ -85,6 +85,22 @@ def test_top_bar_order_and_full_rule(spark):
     assert got == {1: (2, 1000, 900, True), 2: (1, 5000, 0, False), 3: (0, 0, 0, False)}
 
 
+@pytest.mark.parametrize("large", [2, 1000])
+def test_signal_points_of_a_crowded_frame(spark, large):
+    names = ["圣水瓶", "金矿", "请求条目", "金币采集图标", "金矿", "请求条目", "黑油采集图标", "进攻按钮", None]
+    rows = [(frame, no, n, no + 1, 3, no + 4, 5) for frame in (1, 2) for no, n in enumerate(names)]
+    rows += [(3, 1, "金矿", -9, 3, 9, 5), (3, 2, "金矿", 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "frame_id INT, det_no INT, type STRING, x1 INT, y1 INT, x2 INT, y2 INT")
+    out = ev.signal_points(df, 5, large)
+    assert out.columns == ["frame_id", "kind", "place", "name", "resource", "x", "y"] and dict(out.dtypes)["place"] == "bigint"
+    got = sorted(tuple(r) for r in out.collect())
+    lists = [
+        ("icon", 1, "金币采集图标", "gold", 5), ("icon", 2, "黑油采集图标", "dark_elixir", 8), ("request", 1, "请求条目", None, 4), ("request", 2, "请求条目", None, 7),
+        ("target", 1, "金矿", "gold", 3), ("target", 2, "金矿", "gold", 6), ("target", 3, "圣水瓶", "elixir", 2),
+    ]
+    assert got == [(frame, *row, 4) for frame in (1, 2) for row in lists] + [(3, "target", 1, "金矿", "gold", 3, 4)]
+
+
 def test_validator_order(spark):
     rows = [("fly", "金矿", 50, 50, None), ("tap", "金矿", None, None, None), ("tap", "金矿", 4, 50, None), ("deploy", "金矿", 50, 50, 1),
             ("tap", "金矿", 50, 50, 1), ("tap", None, 50, 50, None), ("wait", None, None, None, None), ("deploy", "金矿", 94, 50, None), ("tap", "金矿", 95, 50, None)]
