@@ -79,7 +79,8 @@ def keep_when(df: DataFrame, cond: Column, out: str, value: Column) -> DataFrame
 
 def keep_value(df: DataFrame, out: str, value: Column) -> DataFrame:
     """Rows for which ``value`` is not NULL, with the value; see ``keep_when``."""
-    return df.select("*", F.explode(F.array_compact(F.array(value))).alias(out))
+    staged = df.withColumn(out, value)
+    return staged.select(*df.columns, F.explode(F.when(F.col(out).isNotNull(), F.array(out))).alias(out))
 
 
 def add_clamped_to_image(

@@ -122,23 +122,18 @@ def signal_recall(pred: DataFrame, truth: DataFrame) -> DataFrame:
 def top_bar(results: DataFrame, height: int, fraction: float = 0.16) -> DataFrame:
     """Digits of texts that lie wholly above ``fraction`` of the image; a text without a box counts
     as lying at (0, 0). Numbers past the type are dropped."""
-    ys = F.transform("bbox", lambda p: p["y"])
     mean = lambda f: F.aggregate(
         "bbox", F.lit(0.0), lambda a, p: a + p[f], lambda a: a / F.size("bbox")
     )
     boxed = F.coalesce(F.size("bbox") > 0, F.lit(False))
-    return (
-        results.filter("text <> ''")
-        .filter(~boxed | (F.array_max(ys) <= height * fraction))
-        .withColumn("digits", F.regexp_replace("text", "[^0-9]", ""))
-        .filter("digits <> ''")
-        .select(
-            "frame_id",
-            F.when(boxed, mean("x")).otherwise(0.0).alias("cx"),
-            F.when(boxed, mean("y")).otherwise(0.0).alias("cy"),
-            F.col("digits").try_cast("bigint").alias("value"),
-        )
-        .filter("value IS NOT NULL")
+    high = (F.col("text") != "") & (~boxed | (F.array_max(F.col("bbox")["y"]) <= height * fraction))
+    # no digits are no number either
+    numbers = g.keep_when(results.select("frame_id", "text", "bbox"), high, "value", F.regexp_replace("text", "[^0-9]+", "").try_cast("bigint"))
+    return numbers.select(
+        "frame_id",
+        F.when(boxed, mean("x")).otherwise(0.0).alias("cx"),
+        F.when(boxed, mean("y")).otherwise(0.0).alias("cy"),
+        "value",
     )
 
 
@@ -162,14 +157,15 @@ def resource_status(frames: DataFrame, numbers: DataFrame, storage: dict[str, in
 
 def spoken_resources(frames: DataFrame, results: DataFrame) -> DataFrame:
     """Amounts from texts that name a resource; the last text per resource wins, 0 if none or past the type."""
-    low = F.lower("text")
+    low = F.col("_low")
     kind = (
         F.when(low.contains("gold") | F.col("text").contains("金币"), "gold")
         .when(low.contains("elixir") | F.col("text").contains("圣水"), "elixir")
         .when(low.contains("dark") | F.col("text").contains("黑油"), "dark_elixir")
     )
-    digits = F.regexp_extract(F.regexp_replace("text", "[, ]", ""), r"(\d+)", 1)
-    hits = results.withColumn("kind", kind).withColumn("digits", digits).filter("kind IS NOT NULL AND digits <> ''")
+    digits = F.regexp_extract(F.translate("text", ", ", ""), r"(\d+)", 1)
+    hits = g.keep_value(results.select("frame_id", "det_no", "text", F.lower("text").alias("_low")), "kind", kind)
+    hits = g.keep_value(hits, "digits", F.nullif(digits, F.lit("")))
     names = ["gold", "elixir", "dark_elixir"]
     wide = hits.groupBy("frame_id").agg(
         *[F.max_by(F.col("digits").try_cast("bigint"), F.when(F.col("kind") == n, F.col("det_no"))).alias(n) for n in names]
@@ -226,23 +222,32 @@ def frame_signals(frames: DataFrame, boxes: DataFrame, resources: DataFrame | No
         "frame_id", "det_no", "class_id",
         g.centre(c("x1"), c("x2")).alias("x"), g.centre(c("y1"), c("y2")).alias("y"),
     ).filter("x > 0 AND y > 0")
-    point = F.struct("x", "y")
+    # a point as one number and targets by class: all partial results of a frame have a fixed width
+    point = c("x").cast("bigint") * (1 << 32) + c("y")
+    unpack = lambda p, *more: F.when(
+        p.isNotNull(), F.struct(*more, F.shiftright(p, 32).cast("int").alias("x"), p.bitwiseAND((1 << 32) - 1).cast("int").alias("y"))
+    )
     ids = {s: vocab.CLASSES.index(n) for s, n in {
         **SIGNALS, "list": "消息列表按钮", "request": "请求条目", "reinforce": "增援按钮",
         "close": "关闭按钮", "confirm": "捐赠确认按钮", "troops": "兵种选择栏",
     }.items()}
     order = [vocab.CLASSES.index(n) for n in vocab.BUILDING_RESOURCE]
-    place = vocab.lookup(c("class_id"), {cid: i for i, cid in enumerate(order)})
+    targets = {cid: f"_target{cid}" for cid in order}
+    # of one class, a box without a number comes first
+    det_no = F.coalesce(c("det_no"), F.lit(-(1 << 63)))
     wide = known.groupBy("frame_id").agg(
         *[F.min_by(point, F.when(c("class_id") == i, c("det_no"))).alias(s) for s, i in ids.items()],
-        F.min_by(
-            F.struct(c("class_id"), c("x"), c("y")), F.when(place.isNotNull(), F.struct(place.alias("p"), c("det_no")))
-        ).alias("target"),
-        F.count_if(place.isNotNull()).alias("n_targets"),
+        *[F.min_by(point, F.when(c("class_id") == i, det_no)).alias(t) for i, t in targets.items()],
+        F.count_if(c("class_id").isin(order)).alias("n_targets"),
         F.count_if(c("class_id") == ids["request"]).alias("n_requests"),
     )
     kept = ["frame_id"] if resources is None else ["frame_id", "resources"]
-    return frames.select(*kept).join(wide, "frame_id", "left").withColumns({
-        "n_targets": F.coalesce("n_targets", F.lit(0)),
-        "more_requests": F.when(c("n_requests") > 0, c("n_requests") > 1),
-    })
+    first = [unpack(c(t), F.lit(i).alias("class_id")) for i, t in targets.items()]
+    return frames.select(*kept).join(wide, "frame_id", "left").select(
+        *kept,
+        *[unpack(c(s)).alias(s) for s in ids],
+        F.coalesce(*first).alias("target"),
+        F.coalesce("n_targets", F.lit(0)).alias("n_targets"),
+        "n_requests",
+        F.when(c("n_requests") > 0, c("n_requests") > 1).alias("more_requests"),
+    )

@@ -101,6 +101,39 @@ def test_signal_points_of_a_crowded_frame(spark, large):
     assert got == [(frame, *row, 4) for frame in (1, 2) for row in lists] + [(3, "target", 1, "金矿", "gold", 3, 4)]
 
 
+def test_frame_signals_of_odd_boxes(spark):
+    cls = lambda n: vocab.CLASSES.index(n)
+    rows = [
+        (1, 5, cls("进攻按钮"), 10, 20), (1, 2, cls("进攻按钮"), 30, 40), (1, 9, cls("圣水瓶"), 50, 60), (1, 8, cls("圣水瓶"), 70, 80),
+        (1, 1, cls("请求条目"), 1, 1), (1, 3, cls("请求条目"), 1, 1), (2, 7, cls("储金罐"), 2, 3), (2, None, cls("储金罐"), 4, 5),
+        (2, 1, cls("请求条目"), 1, 1), (2, 1, cls("金矿"), 0, 9), (2, 1, cls("金矿"), -3, 9), (3, 1, None, 2, 2), (9, 1, cls("金矿"), 1, 1),
+        (4, 1 << 62, cls("暗黑重油罐"), (1 << 31) - 1, (1 << 31) - 1),
+    ]
+    boxes = spark.createDataFrame(rows, "frame_id INT, det_no LONG, class_id INT, x1 INT, y1 INT").withColumns({"x2": F.col("x1"), "y2": F.col("y1")})
+    boxes = boxes.withColumns({k: F.col(k).cast("bigint") for k in ("x1", "y1", "x2", "y2")})
+    frames = spark.createDataFrame([(1,), (2,), (3,), (4,)], "frame_id INT")
+    df = ev.frame_signals(frames, boxes)
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.frame_id: (r.attack and tuple(r.attack), r.target and tuple(r.target), r.n_targets, r.n_requests, r.more_requests) for r in df.collect()}
+    assert got == {
+        1: ((30, 40), (cls("圣水瓶"), 70, 80), 2, 2, True), 2: (None, (cls("储金罐"), 4, 5), 2, 1, False),
+        3: (None, None, 0, 0, None), 4: (None, (cls("暗黑重油罐"), (1 << 31) - 1, (1 << 31) - 1), 1, 0, None),
+    }
+
+
+def test_numbers_in_texts_are_read_once(spark):
+    texts = ["Gold: 1,234", "金币 5 6", "ELIXIR 7 x 8", "圣水", "dark", "黑油: 99999999999999999999", "GOLD elixir 3", "x 4", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "det_no INT, text STRING").selectExpr("det_no AS frame_id", "det_no", "text", "CAST(NULL AS ARRAY<STRUCT<x: INT, y: INT>>) AS bbox")
+    said = ev.spoken_resources(df.select("frame_id"), df)
+    bar = ev.top_bar(df, 100)
+    for out in (said, bar):
+        assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_") == 1
+    got = {r.frame_id: (r.gold, r.elixir, r.dark_elixir) for r in said.collect()}
+    want = {0: (1234, 0, 0), 1: (56, 0, 0), 2: (0, 7, 0), 6: (3, 0, 0)}
+    assert got == {i: want.get(i, (0, 0, 0)) for i in range(len(texts))}
+    assert {r.frame_id: (r.cx, r.cy, r.value) for r in bar.collect()} == {i: (0.0, 0.0, v) for i, v in {0: 1234, 1: 56, 2: 78, 6: 3, 7: 4}.items()}
+
+
 def test_validator_order(spark):
     rows = [("fly", "金矿", 50, 50, None), ("tap", "金矿", None, None, None), ("tap", "金矿", 4, 50, None), ("deploy", "金矿", 50, 50, 1),
             ("tap", "金矿", 50, 50, 1), ("tap", None, 50, 50, None), ("wait", None, None, None, None), ("deploy", "金矿", 94, 50, None), ("tap", "金矿", 95, 50, None)]
