@@ -168,7 +168,9 @@ def _settled(open_rows: DataFrame, similarity: float, leaders: int, room: int, g
     left = ids.groupBy("root").agg(F.count("*").alias("n")).join(ends, "root").where("n > led")
     # one row for each component that goes on after its block, so it is far smaller than what it is joined with
     cuts = materialise(left.select("root", "end", F.ceil((F.col("n") - F.col("led")) / group).cast("int").alias("groups")))
-    marked = open_rows.join(F.broadcast(cuts), "root", "left").withColumn("later", F.coalesce(F.struct("place", "row") > F.col("end"), F.lit(False)))
+    # grouped again, so that Spark knows one row a root: it would take the product of both sizes, and numbers that double their digits each round fill the driver
+    single = cuts.groupBy("root").agg(F.max("end").alias("end"), F.max("groups").alias("groups"))
+    marked = open_rows.join(F.broadcast(single), "root", "left").withColumn("later", F.coalesce(F.struct("place", "row") > F.col("end"), F.lit(False)))
     rows = marked.where(~F.col("later")).select("root", "place", "row", "groups", "text")
     ahead = rows.repartition("root").sortWithinPartitions("root", "place", "row").mapInArrow(_in_order(similarity), "root long, place long, row long, groups int, kept long, text string")
     ahead = materialise(ahead)

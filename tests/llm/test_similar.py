@@ -1,6 +1,7 @@
 """The near-duplicate stage against all pairs by five-word Jaccard similarity."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -140,3 +141,18 @@ def test_a_component_of_many_unlike_texts_takes_few_rounds(spark, tmp_path, monk
     got = similar.duplicates(placed(spark.read.parquet(str(tmp_path / "t"))), **sizes).collect()
     assert {x.row: x.kept for x in got} == want
     assert len(rounds) == 1 if not sizes else len(rounds) > 1
+
+
+def test_many_rounds_leave_the_estimates_of_the_plan_small(spark, capsys):
+    """Sizes that Spark estimates are numbers of any length: taken times each other round after round, they filled the driver."""
+    rows = [(1, n, n, 30, " ".join(f"w{n}x{i}" for i in range(8))) for n in range(8)]
+    open_rows, rounds = spark.createDataFrame(rows, "root long, row long, place long, size long, text string"), 0
+    while True:
+        _, rest = similar._settled(open_rows, 0.8, 1, 1 << 22, 2048)
+        rounds += 1
+        if rest is None:
+            break
+        open_rows = rest
+    open_rows.explain(mode="cost")
+    powers = [int(p) for p in re.findall(r"sizeInBytes=[0-9.]+E\+(\d+) B", capsys.readouterr().out)]
+    assert rounds == 8 and max(powers, default=0) < 60
