@@ -12,11 +12,12 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightlog import vocab
-from sightlog.operators import scoring, spatial
+from sightlog.functions import geometry as g
+from sightlog.operators import scoring
 from sightlog.operators.segments import group_starts, in_order
 from sightlog.operators.sites import site_memory, with_sites
 from sightlog.session import materialise
@@ -32,16 +33,29 @@ PLAN = (
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
-def add_requests(targets: DataFrame, requests: DataFrame, size: tuple[int, int], reach: int = TARGET_PX) -> DataFrame:
-    """Targets (frame_id, det_no, name, x, y), and the requested place (r_name, rx, ry) of frames that have no target of that name in reach of it."""
-    w, h = size
+def _at(place: str, top: int) -> Column:
+    return F.least(F.greatest(F.col(place), F.lit(0)), F.lit(top - 1)).alias(place[1])
+
+
+def asked_places(requests: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(frame_id, name, x, y) of requests for a resource at a known place, moved inside the canvas."""
     known = requests.filter(F.col("r_name").isin(vocab.RESOURCE_CLASSES) & F.col("rx").isNotNull() & F.col("ry").isNotNull())
-    at = lambda c, top: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(top - 1)).alias(c[1])
-    asked = known.select("frame_id", F.col("r_name").alias("name"), at("rx", w), at("ry", h))
-    given = targets.select("frame_id", "name", F.col("x").alias("px"), F.col("y").alias("py")).distinct()
-    have = spatial.within_reach(asked, given, ["frame_id", "name"], reach).select("frame_id")
-    new = asked.join(have, "frame_id", "left_anti").withColumn("det_no", F.lit(REQUESTED))
-    return targets.unionByName(new)
+    return known.select("frame_id", F.col("r_name").alias("name"), _at("rx", size[0]), _at("ry", size[1]))
+
+
+def add_requests(targets: DataFrame, requests: DataFrame, size: tuple[int, int], reach: int = TARGET_PX) -> DataFrame:
+    """Targets (frame_id, det_no, name, x, y), and the requested place (r_name, rx, ry) of frames that have no target of that name in reach of it.
+
+    Rows move once, by frame, where each target is compared with the few places that are asked for. Further columns are NULL for a requested place.
+    """
+    c = F.col
+    asked = asked_places(requests, size).withColumn("det_no", F.lit(REQUESTED))
+    rows = targets.withColumn("_new", F.lit(False)).unionByName(asked.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    frame = Window.partitionBy("frame_id")
+    rows = rows.withColumn("_places", F.collect_set(F.when(c("_new"), F.struct("name", "x", "y"))).over(frame))
+    meets = F.exists("_places", lambda p: (p["name"] == c("name")) & (g.squared_distance(c("x"), c("y"), p["x"], p["y"]) <= reach * reach))
+    rows = rows.withColumn("_have", F.max(~c("_new") & c("frame_id").isNotNull() & meets).over(frame))
+    return rows.filter(~(c("_new") & F.coalesce("_have", F.lit(False)))).drop("_new", "_places", "_have")
 
 
 def candidates(
@@ -50,25 +64,37 @@ def candidates(
     """Candidates of each tick that a choice may fall on, with score, costs, site and the site's memory at the end of the tick's observation.
 
     ``targets`` carries ``cap``, ``frames`` is (frame_id, session_id, step), ``points`` as ``scoring.with_neighbours`` takes them.
+
+    Every candidate is observed, also one that is not open to a choice, so all rows pass sites and memory. They move once by frame, once by session and
+    once by site; what lies around a candidate goes with it only if a choice may fall on it, and all later steps have only such rows.
     """
     c = F.col
-    everything = add_requests(targets.drop("cap"), requests, size).join(targets.select("frame_id", "det_no", "cap"), ["frame_id", "det_no"], "left")
-    everything = everything.withColumn("cap", F.coalesce("cap", vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY))).join(frames, "frame_id")
-    # every candidate is observed, also one that is not open to a choice
-    # memory and scores both start from it, routes and costs from the scores: stored, so that sites and neighbours are found once
-    placed = materialise(with_sites(everything, ["session_id", "name"], ["frame_id", "det_no"]))
-    seen = site_memory(placed, ["session_id", "name"], ["frame_id", "det_no"], c("cap"), "step")
-    site = ["session_id", "name", "site_x", "site_y"]
-    memory = seen.groupBy(*site, "frame_id").agg(F.max("times_seen").alias("seen"), F.max("max_capacity").alias("capacity"))
-    asked = everything.filter(c("det_no") == REQUESTED).select("frame_id", F.lit("target").alias("role"), "x", "y")
-    near = scoring.with_neighbours(scoring.skip_full(placed, full), points.unionByName(asked))
-    scored = materialise(scoring.score_targets(near, size))
-    costs = scoring.approach(scored, walls, cfg)
+    # a capacity holds for each row of its number in the frame
+    same = Window.partitionBy("frame_id", "det_no")
+    rows = add_requests(targets.withColumn("_own", F.struct("cap")).drop("cap"), requests, size)
+    caps = F.when(c("frame_id").isNotNull() & c("det_no").isNotNull(), F.collect_list("_own").over(same))
+    rows = rows.withColumn("_caps", caps).select("frame_id", "det_no", "name", "x", "y", F.explode_outer("_caps").alias("_own"))
+    rows = rows.withColumn("cap", F.coalesce("_own.cap", vocab.lookup(c("name"), vocab.CAPACITY, vocab.DEFAULT_CAPACITY))).drop("_own").join(frames, "frame_id")
+    # places that are no candidates, as a target is near them, ask for neighbours that no row takes
+    asked = asked_places(requests, size).select("frame_id", F.lit("target").alias("role"), "x", "y")
+    may = (scoring.landing_px() <= cfg["max_px"]) & (scoring.landing_risk() <= cfg["max_risk"])
+    near = scoring.with_neighbours(rows.dropna(subset=["x", "y"]), points.unionByName(asked), only=may)
+    around = F.when(c("has_landable"), F.struct("defence_px", "landable"))
+    near = near.withColumn("around", around).drop("defence_px", "landable", "has_landable")
+    placed = with_sites(near, ["session_id", "name"], ["frame_id", "det_no"])
+    seen = site_memory(placed, ["session_id", "name"], ["frame_id"], c("cap"), "step", together=True)
+    able = seen.filter("around IS NOT NULL AND session_id IS NOT NULL").select(
+        "session_id", "frame_id", "det_no", "name", "x", "y", "site_x", "site_y", c("times_seen").alias("seen"), c("max_capacity").cast("long").alias("capacity"), "around.*",
+        F.lit(True).alias("has_landable"),
+    )
+    # dealt by frame once for both joins
+    able = scoring.skip_full(able.repartition("frame_id"), full.repartition("frame_id")).join(requests, "frame_id", "left")
+    # routes and costs both start from it
+    costs = scoring.approach(materialise(scoring.score_targets(able, size)), walls, cfg)
     able = costs.filter((c("dist") <= cfg["max_px"]) & (c("wall_cost") <= cfg["wall_limit"]) & (c("risk") <= cfg["max_risk"]))
-    joined = able.join(memory, [*site, "frame_id"]).join(requests, "frame_id", "left")
     apart = (c("x") - c("rx")).cast("long") * (c("x") - c("rx")) + (c("y") - c("ry")).cast("long") * (c("y") - c("ry"))
-    return joined.select(
-        "session_id", "frame_id", "det_no", "name", "x", "y", "score", "site_x", "site_y", "seen", c("capacity").cast("long").alias("capacity"), "px", "py",
+    return able.select(
+        "session_id", "frame_id", "det_no", "name", "x", "y", "score", "site_x", "site_y", "seen", "capacity", "px", "py",
         "wall_cost", "walk_extra", "loot_factor", F.coalesce((c("name") == c("r_name")) & (apart <= TARGET_PX**2), F.lit(False)).alias("asked"), "r_name",
     )
 

@@ -23,16 +23,17 @@ LOOT = {
 }
 
 
-def with_neighbours(targets: DataFrame, points: DataFrame, safe_px: int = SAFE_PX, landing_px: int = LANDING_PX) -> DataFrame:
+def with_neighbours(targets: DataFrame, points: DataFrame, safe_px: int = SAFE_PX, landing_px: int = LANDING_PX, only: Column | None = None) -> DataFrame:
     """Targets with what lies around them, from one pass over ``points`` (frame_id, role, x, y; roles target, defence, landable).
 
     Adds ``defence_px``: distance to the nearest defence, cut at ``safe_px`` (beyond it every score is the same), NULL in a frame
-    without defences; ``landable``: struct (d2, py, px) of the nearest landable point within ``landing_px``; ``has_landable``.
+    without defences; ``landable``: struct (d2, py, px) of the nearest landable point within ``landing_px``; ``has_landable``. All three are NULL
+    where ``only`` (over them) does not hold.
     """
     near = spatial.neighbours(points, ["frame_id"], "target", {"defence": safe_px, "landable": landing_px})
     far = F.coalesce(F.sqrt(F.col("defence")["d2"].cast("double")), F.lit(float(safe_px)))
-    near = near.withColumn("defence_px", F.when(F.col("has_defence"), far))
-    return targets.join(near.select("frame_id", "x", "y", "defence_px", "landable", "has_landable"), ["frame_id", "x", "y"])
+    near = near.withColumn("defence_px", F.when(F.col("has_defence"), far)).select("frame_id", "x", "y", "defence_px", "landable", "has_landable")
+    return targets.join(near, ["frame_id", "x", "y"]) if only is None else targets.join(near.filter(only), ["frame_id", "x", "y"], "left")
 
 
 def skip_full(targets: DataFrame, status: DataFrame) -> DataFrame:
@@ -75,19 +76,28 @@ def rank_targets(scored: DataFrame, top_k: int | None = None) -> DataFrame:
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 
 
+def landing_px() -> Column:
+    """Distance to the nearest landable point, NULL without one in reach."""
+    return F.sqrt(F.col("landable")["d2"].cast("double"))
+
+
+def landing_risk() -> Column:
+    near = 1.0 - F.col("defence_px") / float(SAFE_PX)
+    return F.when(F.col("defence_px").isNull(), 0.1).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), near)))
+
+
 def approach(targets: DataFrame, walls: DataFrame, cfg: dict = LOOT) -> DataFrame:
     """What a landing at the nearest landable point costs: px, py, dist, wall_cost, walk_extra, loot_factor and risk, added to all columns of
     ``targets`` (frame_id, x, y, defence_px, landable). ``dist`` is NULL without a landable point in reach."""
     c, key = F.col, ["frame_id"]
-    t = targets.withColumns({"px": c("landable")["px"], "py": c("landable")["py"], "dist": F.sqrt(c("landable")["d2"].cast("double"))})
+    t = targets.withColumns({"px": c("landable")["px"], "py": c("landable")["py"], "dist": landing_px()})
     route = [*key, "x", "y", "px", "py"]
     layers = spatial.crossing_layers(t.filter("px IS NOT NULL").select(*route), walls, key)
     over = F.greatest(F.lit(0.0), c("dist") - cfg["optimal_px"])
     span = cfg["max_px"] - cfg["optimal_px"]
-    near = 1.0 - c("defence_px") / float(SAFE_PX)
     return t.join(layers, route, "left").withColumns({
         "wall_cost": F.coalesce(c("layers") * cfg["breaker"], F.lit(0)),
-        "risk": F.when(c("defence_px").isNull(), 0.1).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), near))),
+        "risk": landing_risk(),
         "walk_extra": F.when(over > 0, F.ceil(over / cfg["walk_px"])).otherwise(0).cast("int"),
         "loot_factor": F.when(over > 0, F.greatest(F.lit(0.35), 1.0 - F.least(F.lit(1.0), over / span) * 0.8)).otherwise(1.0),
     }).drop("layers")

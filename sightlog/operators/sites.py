@@ -1,9 +1,9 @@
 """Sites: what a target is across frames, how often it was seen, and what is left of it.
 
 A detection belongs to the first site of its name within reach, in the order in which sites were founded; without one it founds a site.
-What a point belongs to is settled when the point is first seen, because later sites come later in that order. So only distinct points, with
-their first sighting, have to be clustered: a group holds at most as many as its canvas has pixels, and founders lie more than
-the reach apart. The sorted points of a group are streamed past a grid of its founders. Everything after that is grouping by site.
+What a point belongs to is settled when the point is first seen, because later sites come later in that order. So the sorted detections of a
+group are streamed past a grid of its founders, which lie more than the reach apart, and each carries its site on: they move once, and a task holds
+a batch and the founders. Everything after that is grouping by site.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sightlog.operators.segments import group_starts, in_order, join_segments, ordered
+from sightlog.operators.segments import LARGE, by_groups, group_starts, in_order
+from sightlog.session import materialise
 
 MATCH_PX = 32
 
@@ -43,11 +45,7 @@ class Founders:
 
 def with_sites(detections: DataFrame, keys: list[str], order: list[str], reach: int = MATCH_PX) -> DataFrame:
     """``detections`` (keys, x, y, order) with the founding point (site_x, site_y) of their site."""
-    point = [*keys, "x", "y"]
-    first = detections.groupBy(*point).agg(F.min(F.struct(*order)).alias("_first"))
-    places = [f"_{i}" for i, _ in enumerate(order)]
-    first = first.select(*point, *[F.col("_first")[o].alias(p) for o, p in zip(order, places, strict=True)])
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in first.select(*point).schema.fields), "site_x int", "site_y int"])
+    schema = T.StructType([*detections.schema.fields, T.StructField("site_x", T.IntegerType()), T.StructField("site_y", T.IntegerType())])
 
     def run(batches):
         group, founders = None, None
@@ -61,18 +59,26 @@ def with_sites(detections: DataFrame, keys: list[str], order: list[str], reach:
                     founders = Founders(reach)
                 found.append(founders.site_of(x, y))
             at = np.asarray(found, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in point), pa.array(at[:, 0]), pa.array(at[:, 1])], names=[*point, "site_x", "site_y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=schema.names)
 
-    return join_segments(detections, in_order(first, keys, places, run, schema), point)
+    return in_order(detections, keys, order, run, schema)
 
 
-def site_memory(detections: DataFrame, keys: list[str], order: list[str], capacity: Column, step: str, segments=None) -> DataFrame:
+def site_memory(
+    detections: DataFrame, keys: list[str], order: list[str], capacity: Column, step: str, segments=None, together: bool = False, large: int = LARGE,
+) -> DataFrame:
     """Times seen so far, largest capacity so far and step of the last sighting of the site of each detection.
 
-    Steps rise along the order, so the row's own one is the last.
+    Steps rise along the order, so the row's own one is the last. ``together``: detections of equal ``order`` are seen at once, and each has
+    what is known of its site after them.
     """
-    o = ordered(detections.withColumn("_cap", capacity), [*keys, "site_x", "site_y"], order, segments)
-    return o.row_number("times_seen").running_max("max_capacity", F.col("_cap")).result().drop("_cap").withColumn("last_seen", F.col(step))
+    def observe(o):
+        return o.row_number("times_seen").running_max("max_capacity", F.col("_cap"))
+
+    # read for the size of its groups as well: stored, so that sites are found once
+    stored = materialise(detections.withColumn("_cap", capacity))
+    seen = by_groups(stored, [*keys, "site_x", "site_y"], order, observe, segments, large, together)
+    return seen.drop("_cap").withColumn("last_seen", F.col(step))
 
 
 def depletion(capacity: Column, deploys: Column, seen: Column, wall: Column, walk: Column, per_troop: int = 1000, min_seen: int = 2) -> dict[str, Column]:

@@ -94,6 +94,50 @@ RANKED = (
 )
 
 
+def test_sites_move_each_row_once(spark, capsys):
+    """Rows went through four shuffles for their sites, which filled the disks."""
+    df = spark.createDataFrame([(1, 1, 1, "a", 0, 0)], "session_id LONG, frame_id LONG, det_no LONG, name STRING, x INT, y INT")
+    st.with_sites(df, KEYS, ORDER).explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("large", [1_000_000, 20])
+def test_memory_of_detections_seen_at_once(spark, large):
+    """What is known of a site after each frame, also of sites that are laid out in segments."""
+    rnd = random.Random(5)
+    rows = [(1 if rnd.random() < 0.6 else rnd.choice([None, 2]), rnd.randint(0, 40), n, rnd.choice("ab"), rnd.randint(0, 90), 5, rnd.choice([None, *range(9)]), 0) for n in range(400)]
+    df = spark.createDataFrame(rows, "session_id LONG, frame_id LONG, det_no LONG, name STRING, x INT, y INT, cap INT, step LONG").repartition(4)
+    seen = st.site_memory(st.with_sites(df, KEYS, ORDER), KEYS, ["frame_id"], F.col("cap"), "step", segments=5, together=True, large=large)
+    got = {r.det_no: (r.times_seen, r.max_capacity) for r in seen.collect()}
+    site = sites_by_hand([r[:6] for r in rows])
+    of = lambda r: (r[0], r[3], site[r[:3]])
+    want = {}
+    for r in rows:
+        until = [q for q in rows if of(q) == of(r) and q[1] <= r[1]]
+        want[r[2]] = len(until), max((q[6] for q in until if q[6] is not None), default=None)
+    assert len(got) == 400 and got == want
+
+
+def test_candidates_of_repeated_and_incomplete_rows(spark):
+    """Each row of a repeated number has the capacities of all of them; frames may ask for several places; rows without a frame or a session name no candidate."""
+    t = [(1, 5, "金矿", 100, 100, 900), (1, 5, "金矿", 100, 100, 900), (2, 6, "金矿", 105, 100, 2500), (3, 7, "圣水瓶", 300, 300, None), (None, 8, "金矿", 1, 1, 5), (4, 9, "金矿", 100, 100, 700)]
+    targets = spark.createDataFrame(t, "frame_id LONG, det_no LONG, name STRING, x INT, y INT, cap INT")
+    frames = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, None, 1)], "frame_id LONG, session_id LONG, step LONG")
+    asked = [(2, "圣水瓶", 150, 100), (2, "金矿", 100, 100), (3, "金矿", 310, 300)]
+    requests = spark.createDataFrame(asked, "frame_id LONG, r_name STRING, rx INT, ry INT")
+    land = [(f, "landable", x + 10, x) for f, x in ((1, 100), (2, 100), (3, 300), (4, 100))]
+    points = spark.createDataFrame(land + [(f, "target", x, y) for f, _, _, x, y, _ in t], "frame_id LONG, role STRING, x INT, y INT")
+    walls = spark.createDataFrame([(1, 1, 105, 90, 105, 110)], "frame_id LONG, wall_no LONG, x1 INT, y1 INT, x2 INT, y2 INT")
+    full = spark.createDataFrame([(2, "elixir")], "frame_id LONG, resource STRING")
+    found = rt.candidates(targets, frames, requests, points, walls, full, (1280, 720)).collect()
+    got = sorted((r.frame_id, r.det_no, r.name, r.x, r.site_x, r.seen, r.capacity, r.px, r.wall_cost, r.asked, r.r_name or "") for r in found)
+    assert got == [
+        *[(1, 5, "金矿", 100, 100, 4, 900, 110, 3, False, "")] * 4,
+        (2, 6, "金矿", 105, 100, 5, 2500, 110, 0, False, "圣水瓶"), (2, 6, "金矿", 105, 100, 5, 2500, 110, 0, True, "金矿"),
+        (3, 7, "圣水瓶", 300, 300, 1, 4000, 310, 0, False, "金矿"), (3, rt.REQUESTED, "金矿", 310, 310, 1, 1500, 310, 0, True, "金矿"),
+    ]
+
+
 def test_rotation_against_a_loop(spark):
     rnd = random.Random(7)
     rows, names = [], ["金矿", "圣水瓶"]
