@@ -87,8 +87,7 @@ def candidates(
         "session_id", "frame_id", "det_no", "name", "x", "y", "site_x", "site_y", c("times_seen").alias("seen"), c("max_capacity").cast("long").alias("capacity"), "around.*",
         F.lit(True).alias("has_landable"),
     )
-    # dealt by frame once for both joins
-    able = scoring.skip_full(able.repartition("frame_id"), full.repartition("frame_id")).join(requests, "frame_id", "left")
+    able = scoring.skip_full(able, full).join(requests, "frame_id", "left")
     # routes and costs both start from it
     costs = scoring.approach(materialise(scoring.score_targets(able, size)), walls, cfg)
     able = costs.filter((c("dist") <= cfg["max_px"]) & (c("wall_cost") <= cfg["wall_limit"]) & (c("risk") <= cfg["max_risk"]))
