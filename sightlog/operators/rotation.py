@@ -78,7 +78,7 @@ def candidates(
     # places that are no candidates, as a target is near them, ask for neighbours that no row takes
     asked = asked_places(requests, size).select("frame_id", F.lit("target").alias("role"), "x", "y")
     may = (scoring.landing_px() <= cfg["max_px"]) & (scoring.landing_risk() <= cfg["max_risk"])
-    near = scoring.with_neighbours(rows.dropna(subset=["x", "y"]), points.unionByName(asked), only=may)
+    near = scoring.with_neighbours(rows, points.unionByName(asked), only=may)
     around = F.when(c("has_landable"), F.struct("defence_px", "landable"))
     near = near.withColumn("around", around).drop("defence_px", "landable", "has_landable")
     placed = with_sites(near, ["session_id", "name"], ["frame_id", "det_no"])
